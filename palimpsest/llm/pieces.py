@@ -26,9 +26,9 @@ from palimpsest.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Words that a Python worker remembers before it starts anew.
-REMEMBER = 1_000_000
+REMEMBER = 1_500_000
 
-_memory: dict[str, dict[str, list[int]]] = {}
+_memory: dict[str, "Known"] = {}
 
 
 @dataclass
@@ -40,11 +40,11 @@ class Pieces:
     byte_ids: list[int]
     as_bytes: list[bytes]
     fold: str = "merge"
-    longest: int = field(init=False)
+    begun: dict[str, tuple[int, float] | None] = field(init=False)
     words: str = field(init=False)
 
     def __post_init__(self) -> None:
-        self.longest = max(map(len, self.table), default=1)
+        self.begun = {p[:k]: None for p in self.table for k in range(1, len(p))} | self.table
         inside = "".join(c for c in "\n\t\r" if not any(c in p for p in self.table))
         if any(BLANK in p.lstrip(BLANK) for p in self.table):
             raise ValueError("a piece goes across a blank")
@@ -70,15 +70,18 @@ def load(path: str = MODEL) -> Pieces:
 
 
 def lattice(word: str, pieces: Pieces) -> list[dict[int, tuple[int, float]]]:
-    """Edges of a word by where they begin: its substrings that are pieces, as end -> (id, score)."""
-    get, n, longest = pieces.table.get, len(word), pieces.longest
-    out = []
+    """Edges of a word by where they begin: its substrings that are pieces, as end -> (id, score). A
+    substring grows while it begins some piece, so its length is bounded by the longest piece."""
+    find, n, out, missing = pieces.begun.get, len(word), [], 0
     for i in range(n):
         edges = {}
-        for j in range(i + 1, min(n, i + longest) + 1):
-            e = get(word[i:j])
-            if e is not None:
+        j = i + 1
+        while (e := find(word[i:j], missing)) is not missing:
+            if e:
                 edges[j] = e
+            if j == n:
+                break
+            j += 1
         out.append(edges)
     return out
 
@@ -143,9 +146,8 @@ def fold_viterbi(word: str, edges: list[dict[int, tuple[int, float]]], unknown:
 
 def encode_word(word: str, pieces: Pieces) -> list[int]:
     edges = lattice(word, pieces)
-    spans = (fold_merge if pieces.fold == "merge" else fold_viterbi)(word, edges)
     out: list[int] = []
-    for i, j in spans:
+    for i, j in (fold_merge if pieces.fold == "merge" else fold_viterbi)(word, edges):
         e = edges[i].get(j)
         if e is not None:
             out.append(e[0])
@@ -154,18 +156,22 @@ def encode_word(word: str, pieces: Pieces) -> list[int]:
     return out
 
 
-def encode_text(text: str | None, pieces: Pieces, words: re.Pattern, known: dict[str, list[int]]) -> list[int]:
-    """Ids of a text, with a blank before it as the model has it; null and empty texts have none."""
-    out: list[int] = []
-    if text:
-        for w in words.findall(BLANK + text.replace(" ", BLANK)):
-            ids = known.get(w)
-            if ids is None:
-                if len(known) >= REMEMBER:
-                    known.clear()
-                known[w] = ids = encode_word(w, pieces)
-            out += ids
-    return out
+class Known(dict):
+    """Words and their ids, as bytes of four each; computed when first asked for."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        super().__init__()
+        self.pieces, self.words = pieces, re.compile(pieces.words)
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= REMEMBER:
+            self.clear()
+        self[word] = ids = array("i", encode_word(word, self.pieces)).tobytes()
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text, with a blank before it as the model has it; null and empty texts have none."""
+        return b"".join(map(self.__getitem__, self.words.findall(BLANK + text.replace(" ", BLANK)))) if text else b""
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
@@ -181,20 +187,21 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool
     kept = [c for c in docs.columns if c not in (text_col, "ids", "decoded_sha256", "exact")]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, words = _memory.setdefault(pieces.name + pieces.fold, {}), re.compile(pieces.words)
+        if (known := _memory.get(pieces.name + pieces.fold)) is None:
+            known = _memory.setdefault(pieces.name + pieces.fold, Known(pieces))
         for b in it:
             for a, z in slices([1] * b.num_rows, 500):
                 part = b.slice(a, z - a)
-                ends, flat, shas, exact = [0], array("i"), [], []
+                ends, each, shas, exact = [0], [], [], []
                 for text in part.column(len(kept)).to_pylist():
-                    ids = encode_text(text, pieces, words, known)
-                    flat.extend(ids)
-                    ends.append(len(flat))
+                    ids = known.encode(text)
+                    each.append(ids)
+                    ends.append(ends[-1] + len(ids) // 4)
                     if check:
-                        back = decode_ids(ids, pieces)
+                        back = decode_ids(memoryview(ids).cast("i"), pieces)
                         shas.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
                         exact.append(back == (text or "").replace(BLANK, " "))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32)))
                 more = [pa.array(shas, pa.string()), pa.array(exact, pa.bool_())] if check else []
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, *more], [*kept, "ids", *["decoded_sha256", "exact"][: len(more)]])
 
