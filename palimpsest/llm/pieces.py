@@ -26,7 +26,7 @@ from palimpsest.llm.common import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 #: Words that a Python worker remembers before it starts anew.
-REMEMBER = 1_500_000
+REMEMBER = 700_000
 
 _memory: dict[str, "Known"] = {}
 
