@@ -113,7 +113,9 @@ def identify(docs: DataFrame, profiles: tuple[list[str], np.ndarray], id_col: st
         known = np.flatnonzero(used)
         flat = np.repeat(np.arange(len(texts)), sizes) * len(known) + place[np.concatenate(codes)]
         counts = np.bincount(flat, minlength=len(texts) * len(known)).reshape(len(texts), -1).astype(np.float32)
-        docs_v = counts @ vectors(known, dim)
+        docs_v = np.zeros((len(texts), dim), np.float32)
+        for a in range(0, len(known), 2048):  # vectors of a few trigrams at a time
+            docs_v += counts[:, a : a + 2048] @ vectors(known[a : a + 2048], dim)
         cos = (docs_v @ proto.T) / np.maximum(np.linalg.norm(docs_v, axis=1, keepdims=True), 1e-12)
         best = cos.argmax(axis=1)
         has = sizes > 0
