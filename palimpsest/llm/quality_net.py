@@ -75,8 +75,7 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ROWS * DIM)
         for b in it:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(0)), 0).to_pylist()
-            for s, z in slices(lengths, 2_000_000):
+            for s, z in slices(_lengths(b.column(0)), 1_000_000):
                 rows, first = tokens(b.column(0)[s:z].to_pylist())
                 text = np.repeat(np.arange(z - s, dtype=np.int32), np.diff(first))
                 for reach in range(1, REACH + 1):
@@ -107,30 +106,18 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out.astype(np.float32)
 
 
-def pooled(docs: DataFrame, vectors: np.ndarray, text_col: str = "text") -> DataFrame:
-    """All columns of docs but the text, plus features: means and spreads of the vectors, and the
-    logarithm of the number of tokens. Texts without a token have zeros."""
-    kept = [c for c in docs.columns if c not in (text_col, "features")]
-
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(len(kept))), 0).to_pylist()
-            out = np.zeros((b.num_rows, 2 * DIM + 1), np.float32)
-            for s, z in slices(lengths, 2_000_000):
-                rows, first = tokens(b.column(len(kept))[s:z].to_pylist())
-                n = np.diff(first)
-                has = np.flatnonzero(n)
-                if not len(has):
-                    continue
-                v = vectors[rows]
-                mean = np.add.reduceat(v, first[has], axis=0, dtype=np.float64) / n[has, None]
-                square = np.add.reduceat(v * v, first[has], axis=0, dtype=np.float64) / n[has, None]
-                out[s + has] = np.hstack([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(n[has, None])])
-            features = pa.ListArray.from_arrays(np.arange(b.num_rows + 1, dtype=np.int32) * out.shape[1], out.ravel())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], features], [*kept, "features"])
-
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema)
-    return docs.select(*kept, text_col).mapInArrow(batches, f"{schema}features array<float>")
+def features_of(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
+    """Means and spreads of the tokens' vectors, and the logarithm of their number; without a token zeros."""
+    out = np.zeros((len(texts), 2 * DIM + 1), np.float32)
+    rows, first = tokens(texts)
+    n = np.diff(first)
+    has = np.flatnonzero(n)
+    if len(has):
+        v = vectors[rows]
+        mean = np.add.reduceat(v, first[has], axis=0, dtype=np.float64) / n[has, None]
+        square = np.add.reduceat(v * v, first[has], axis=0, dtype=np.float64) / n[has, None]
+        out[has] = np.hstack([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(n[has, None])])
+    return out
 
 
 @dataclass
@@ -187,24 +174,41 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 300, decay: float = 1e-3, se
     return net
 
 
-def learn(features: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS) -> Network:
-    """Fit on features (doc_id, features) of at most limit rows of labels (doc_id, label), by a hash of doc_id."""
+def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, text_col: str = "text", limit: int = TRAIN_ROWS) -> Network:
+    """Fit on the texts of docs (doc_id, text) that at most limit rows of labels (doc_id, label 0 or 1) cover, chosen by
+    a hash of doc_id. Only their features come to the driver."""
     chosen = labels.where(F.col("label").isin(0, 1)).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = features.select("doc_id", "features").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "label").limit(2 * limit).toPandas()
-    x = np.stack(rows["features"].to_list()) if len(rows) else np.empty((0, 2 * DIM + 1))
-    return fit(x.astype(np.float64), rows["label"].to_numpy(np.int64))
+    rows = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for a, z in slices(_lengths(b.column(1)), 1_000_000):
+                x = features_of(b.column(1)[a:z].to_pylist(), vectors)
+                features = pa.ListArray.from_arrays(np.arange(z - a + 1, dtype=np.int32) * x.shape[1], x.ravel())
+                yield pa.RecordBatch.from_arrays([b.column(0)[a:z], b.column(2)[a:z], features], ["doc_id", "label", "features"])
+
+    found = rows.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(batches, "doc_id long, label int, features array<float>").limit(2 * limit).toPandas()
+    found = found.sort_values(["doc_id", "label"], kind="stable")
+    x = np.stack(found["features"].to_list()) if len(found) else np.empty((0, 2 * DIM + 1))
+    return fit(x.astype(np.float64), found["label"].to_numpy(np.int64))
 
 
-def score(features: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
-    """All columns but features, plus score (0 to 1) and predicted (1 from the threshold on). Columns of
-    these names are replaced."""
-    kept = [c for c in features.columns if c not in ("features", "score", "predicted")]
+def _lengths(texts: pa.Array) -> list[int]:
+    return pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+
+
+def score(docs: DataFrame, net: Network, vectors: np.ndarray, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """All columns of docs plus score (0 to 1) and predicted (1 from the threshold on). Every row is scored, null
+    and empty texts as texts without a token. Columns of these names in docs are replaced."""
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    spot = kept.index(text_col)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x = b.column(len(kept)).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            p = net.probability(x.astype(np.float64)) if b.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
+            for a, z in slices(_lengths(b.column(spot)), 1_000_000):
+                part = b.slice(a, z - a)
+                p = net.probability(features_of(part.column(spot).to_pylist(), vectors).astype(np.float64))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in features.select(*kept).schema)
-    return features.select(*kept, "features").mapInArrow(batches, f"{schema}score double, predicted int")
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema)
+    return docs.select(*kept).mapInArrow(batches, f"{schema}score double, predicted int")

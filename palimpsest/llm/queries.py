@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import fingerprint, html_cut, langid, mixing, pieces, quality_net, quality_rules, simhash, toxicity, warc_audit
-from palimpsest.llm.common import held_out, materialize, table
+from palimpsest.llm.common import held_out, table
 
 
 def op1_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,8 +56,8 @@ def op7_sentencepiece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id"), 4, 2))
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 4, 2)).select("doc_id", F.col("quality").alias("label"))
-    features = materialize(quality_net.pooled(docs, quality_net.word_vectors(docs)), "features")
-    return quality_net.score(features, quality_net.learn(features, labels)).select("doc_id", "held_out", "score", "predicted")
+    vectors = quality_net.word_vectors(docs)
+    return quality_net.score(docs, quality_net.learn(docs, labels, vectors), vectors).select("doc_id", "held_out", "score", "predicted")
 
 
 def op9_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
