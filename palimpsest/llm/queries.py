@@ -77,4 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_sentencepiece_lattice, op8_random_indexing_quality, op9_pareto_mix, op10_hyperdimensional_language,
     )
 }
-SQL: dict[str, str] = {}
+_CRLF = "chr(13) || chr(10)"
+#: The others have no SQL: they are tested against brute force, exact round trips or held-out labels.
+SQL: dict[str, str] = {
+    "op4_warc_merkle_audit": f"""with r as (select page_id, page_id // 1000 as warc_file, page_id % 1000 as slot,
+ 'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {_CRLF} || 'WARC-Target-URI: ' || coalesce(url, '') || {_CRLF}
+ || 'Content-Type: text/html' || {_CRLF} || 'Content-Length: ' || strlen(coalesce(html, '')) || {_CRLF} || {_CRLF} || coalesce(html, '') || {_CRLF} || {_CRLF} as rec from pages)
+select page_id, warc_file, cast(coalesce(sum(strlen(rec)) over (partition by warc_file order by slot rows between unbounded preceding and 1 preceding), 0) as bigint) as record_offset,
+ cast(strlen(rec) as bigint) as record_length, sha256(rec) as record_sha256, case page_id % 50 when 7 then 'corrupt' when 9 then 'missing' else 'intact' end as status from r""",
+}
