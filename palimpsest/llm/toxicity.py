@@ -114,11 +114,8 @@ def fit(texts: list[str | None], labels: np.ndarray, prevalence: float | None =
     per_window = np.maximum(np.bincount(owner, minlength=count), 1)
     # Start: an n-gram's first coordinate is its log odds of occurring in texts of either label.
     seen = [np.zeros(size), np.zeros(size)]
-    order = np.argsort(text_of[owner], kind="stable")
-    ends = np.searchsorted(text_of[owner][order], np.arange(len(texts) + 1))
-    for i in range(len(texts)):
-        seen[y[i]][np.unique(codes[order[ends[i] : ends[i + 1]]])] += 1
-    del order
+    for label, text in zip(y, texts, strict=True):
+        seen[label][np.unique(windows([text])[0])] += 1
     odds = np.log((seen[1] + 1) / (y.sum() + 2)) - np.log((seen[0] + 1) / (len(y) - y.sum() + 2))
     emb = rng.normal(0, 0.05, (size, DIM)).astype(np.float32)
     emb[:, 0] = np.clip(odds, -2, 2)
