@@ -36,6 +36,7 @@ def windows(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     """Hashed n-grams of all texts, the window of each, and the first window of each text (with
     the number of windows at the end). A text without a word has no window."""
     a, starts = joined_bytes(texts, lower=True)
+    a, starts = np.concatenate((np.full(1, 10, np.uint8), a)), starts + 1  # the first text has a blank before it, too
     white = _IS_WHITE[a]
     a = np.where(white, np.uint8(32), a).astype(np.uint32)
     begins = ~white & np.concatenate(([True], white[:-1]))

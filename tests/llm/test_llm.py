@@ -155,6 +155,8 @@ def test_misspelt_insults_score_high():
     model = toxicity.fit(clean + bad, np.array([0] * 200 + [1] * 200))
     low, high = model.logits(["river stone market green"])[0], model.logits(["river idi0tic market green"])[0]
     assert high > low
+    mixed = [clean[0], bad[1], "", bad[2], None]
+    assert model.logits(mixed) == pytest.approx([model.logits([t])[0] for t in mixed])
 
 
 def test_held_out_labels(spark):
