@@ -105,14 +105,19 @@ def fit(texts: list[str | None], labels: np.ndarray, prevalence: float | None =
     y = np.asarray(labels, np.int64)
     size = 1 << TABLE_BITS
     base = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1))) if prevalence is None else float(np.log(max(prevalence, 1e-4) / max(1 - prevalence, 1e-4)))
-    codes, owner, first = windows(texts)
+    # The n-grams stay in pieces of about a million bytes of text, so that no round needs room for all at once.
+    chunks, first = [], np.zeros(1, np.int64)
+    for a, z in slices([len(t or "") for t in texts], 1_000_000):
+        codes, owner, own = windows(texts[a:z])
+        chunks.append((codes, owner, int(first[-1]), int(own[-1])))
+        first = np.concatenate((first, own[1:] + first[-1]))
     count = int(first[-1])
     if len(set(y.tolist())) < 2 or not count:
         return Model(np.zeros(size, np.float32), 0.0, 0.0, base, base)
     rng = np.random.default_rng(seed)
     text_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(first))
     window_y = y[text_of]
-    per_window = np.maximum(np.bincount(owner, minlength=count), 1)
+    per_window = np.concatenate([np.maximum(np.bincount(owner, minlength=n), 1) for _, owner, _, n in chunks])
     # Start: an n-gram's first coordinate is its log odds of occurring in texts of either label.
     seen = [np.zeros(size), np.zeros(size)]
     for label, text in zip(y, texts, strict=True):
@@ -126,15 +131,18 @@ def fit(texts: list[str | None], labels: np.ndarray, prevalence: float | None =
     sums = [np.full(x.shape, 1e-6, np.float32) for x in (emb, soft, bias)]
     for _ in range(rounds):
         weight = emb @ (soft[:, 1] - soft[:, 0])
-        each = np.bincount(owner, weight[codes], count) / per_window
+        each = np.concatenate([np.bincount(owner, weight[codes], n) for codes, owner, _, n in chunks]) / per_window
         worst = _worst(each, first, 6)
         one = np.zeros(count, bool)
         one[_worst(each, first, 1)] = True
         chosen = worst[(window_y[worst] == 0) | one[worst]]
         place = np.full(count, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
-        use = np.flatnonzero(place[owner] >= 0)
-        bag, ids = place[owner[use]], codes[use]
+        hits = []
+        for codes, owner, at, n in chunks:
+            spot = place[at : at + n][owner]
+            hits.append((spot[spot >= 0], codes[spot >= 0]))
+        bag, ids = (np.concatenate(x) for x in zip(*hits, strict=True))
         target = window_y[chosen]
         share = np.where(target == 1, 0.5 / max(target.sum(), 1), 0.5 / max((target == 0).sum(), 1)).astype(np.float32)
         lengths = per_window[chosen].astype(np.float32)[:, None]
@@ -159,7 +167,7 @@ def fit(texts: list[str | None], labels: np.ndarray, prevalence: float | None =
     weight = (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32)
     out = Model(weight, float(bias[1] - bias[0]), 1.0, 0.0, base)
     # Calibrate the worst window's log odds on the same texts, with the labels' true shares.
-    x = out.logits(texts)
+    x = np.concatenate([out.logits(texts[a:z]) for a, z in slices([len(t or "") for t in texts], 1_000_000)])
     true = float(y.mean()) if prevalence is None else prevalence
     w = np.where(y == 1, true / y.mean(), (1 - true) / (1 - y.mean())) / len(y)
     slope, shift = 1.0, 0.0
