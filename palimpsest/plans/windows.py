@@ -52,18 +52,21 @@ def canonical_page_text(t):
 
 
 # A document of spec_lines is a run of ten pages, so that state crosses page breaks and no window holds the corpus.
-DOC = F.floor((F.col("page") - 1) / 10).cast("long")
+def doc():
+    return F.floor((F.col("page") - 1) / 10).cast("long")
+
+
 KINDS_DOC = KINDS.replace("over (order by page, line_no", "over (partition by (page - 1) // 10 order by page, line_no")
 
 
 @query("classify_structure_lines", KINDS_DOC + " select page, line_no, number, kind from classed", "spec_lines")
 def classify_structure_lines(t):
-    return W.owner_attribution(t("spec_lines").withColumn("doc", DOC), ["doc"], ["page", "line_no"]).select("page", "line_no", "number", "kind")
+    return W.owner_attribution(t("spec_lines").withColumn("doc", doc()), ["doc"], ["page", "line_no"]).select("page", "line_no", "number", "kind")
 
 
 @query("owner_attribution", KINDS_DOC + " select page, line_no, kind, owner from classed where kind in ('rule-start', 'rule-continuation')", "spec_lines")
 def owner_attribution(t):
-    rows = W.owner_attribution(t("spec_lines").withColumn("doc", DOC), ["doc"], ["page", "line_no"])
+    rows = W.owner_attribution(t("spec_lines").withColumn("doc", doc()), ["doc"], ["page", "line_no"])
     return rows.where("kind IN ('rule-start', 'rule-continuation')").select("page", "line_no", "kind", "owner")
 
 
@@ -79,7 +82,7 @@ BLOCKS = PRODUCTION + r"""
 
 
 def blocks_of(t):
-    return W.production_blocks(t("spec_lines").withColumn("doc", DOC), ["doc"], ["page", "line_no"])
+    return W.production_blocks(t("spec_lines").withColumn("doc", doc()), ["doc"], ["page", "line_no"])
 
 
 @query("production_blocks", BLOCKS + " select doc, page, line_no, occurrence, position, rule, lhs, operator, content from blocks", "spec_lines")
