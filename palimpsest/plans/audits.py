@@ -229,7 +229,7 @@ def sink_replace(t):
     """Written once, refused a second time, replaced on request, and read back."""
     rows = t("documents").groupBy("source").agg(F.count("*").alias("n"))
     spark = rows.sparkSession
-    store.write_tsv(rows.limit(0), path := store.fresh(spark, "sink"))
+    store.write_tsv(rows.where(F.lit(False)), path := store.fresh(spark, "sink"))
     refused = False
     try:
         store.write_tsv(rows, path)
