@@ -1,4 +1,4 @@
-"""Queries: written contracts and reports, read back as written; checks of contracts and targets."""
+"""Queries: written contracts and reports, read back as written; checks of tokens and targets."""
 
 from __future__ import annotations
 
@@ -137,47 +137,6 @@ def extract_layout_records(t):
     return rows.select("doc_id", "text_index", "byte_offset", "byte_length", "ch", "x1", "y1", "x2", (F.col("y1") + 10.0).alias("y2"), "text_length", "text_bytes")
 
 
-# Fixed values of the layout facts: what each kind needs (+) and must not have (-).
-LAYOUT = (
-    ("terminator", "terminator", "+"), ("terminator", "suffix", "-"),
-    ("continuation", "signal", "+"), ("continuation", "terminator", "-"),
-    ("comment", "signal", "+"), ("comment", "suffix", "-"),
-    ("statement-class-suffix", "suffix", "+"), ("statement-class-suffix", "signal", "-"),
-)
-_FACTS = {
-    "id": "p_partkey",
-    "document": "p_brand",
-    "kind": "case p_size % 4 when 0 then 'terminator' when 1 then 'continuation' when 2 then 'comment' else 'statement-class-suffix' end",
-    "source_form": "case when p_size % 5 = 0 then 'free' else 'all' end",
-    "terminator": "case when p_partkey % 7 = 2 or p_size % 4 = 0 and p_partkey % 11 <> 3 then 'eol' else '' end",
-    "suffix": "case when p_size % 4 = 3 and p_partkey % 13 <> 4 then '-stmt' else '' end",
-    "signal": "case when p_size % 4 in (1, 2) and p_partkey % 17 <> 5 then '&' else '' end",
-}
-_KEY = ["document", "kind", "source_form", "terminator", "suffix", "signal"]
-_UNPIVOT = "select id, kind, 'terminator' as field, terminator as value from facts union all select id, kind, 'suffix', suffix from facts union all select id, kind, 'signal', signal from facts"
-
-
-@query("layout_fact_check", f"""with facts as (select {", ".join(f"{e} as {n}" for n, e in _FACTS.items())} from part), needs(kind, field, need) as (values {", ".join(map(str, LAYOUT))}), f as ({_UNPIVOT})
- select cast(id as varchar) as subject, case need when '+' then 'missing ' else 'unexpected ' end || field as reason from f join needs using (kind, field) where (need = '+') = (value = '')
- union all select cast(min(id) as varchar), 'duplicate' from facts group by {", ".join(_KEY)} having count(*) > 1
- union all select document, 'suffix facts' from facts group by document having count(*) filter (kind = 'statement-class-suffix') <> 1
- union all select cast(id as varchar), 'suffix form' from facts where kind = 'statement-class-suffix' and source_form <> 'all'""")
-def layout_fact_check(t):
-    """Facts against a table of required and forbidden fields; duplicates; one suffix fact a document, of form all."""
-    facts = t("part").selectExpr(*(f"{e} as {n}" for n, e in _FACTS.items()))
-    needs = facts.sparkSession.createDataFrame(LAYOUT, "kind string, field string, need string")
-    fields = facts.unpivot(["id", "kind"], ["terminator", "suffix", "signal"], "field", "value")
-    wrong = fields.join(F.broadcast(needs), ["kind", "field"]).where("(need = '+') = (value = '')")
-    out = wrong.select(F.col("id").cast("string").alias("subject"), F.concat(F.when(F.col("need") == "+", "missing ").otherwise("unexpected "), "field").alias("reason"))
-    same = facts.groupBy(*_KEY).agg(F.min("id").cast("string").alias("subject"), F.count("*").alias("n")).where("n > 1")
-    suffix = F.col("kind") == "statement-class-suffix"
-    count = facts.groupBy(F.col("document").alias("subject")).agg(F.count(F.when(suffix, 1)).alias("n")).where("n <> 1")
-    form = facts.where(suffix & (F.col("source_form") != "all")).select(F.col("id").cast("string").alias("subject"))
-    for rows, reason in ((same, "duplicate"), (count, "suffix facts"), (form, "suffix form")):
-        out = out.unionByName(rows.select("subject", F.lit(reason).alias("reason")))
-    return out
-
-
 @query("lexer_contract", f"""+ v as (select pos, {SOURCE} as reason from semantic_items) select document as contract, cast(pos as varchar) as subject, 'provenance: ' || reason as reason from v join semantic_items using (pos) where reason is not null
  union all select document, id, 'name' from semantic_items group by document, id having count(*) > 1
  union all select document, rule, 'term' from semantic_items group by document, rule having count(*) > 1

@@ -2,7 +2,9 @@
 
 import pytest
 
-from palimpsest.operators import graph, text, windows
+from palimpsest.operators import contracts, graph, text, windows
+from palimpsest.plans.catalog import QUERIES
+from palimpsest.plans.contracts import DECLARED
 
 
 def test_line_spans(spark):
@@ -54,3 +56,44 @@ def test_glyphs(spark):
 def test_production_class(spark, line, kind):
     df = spark.createDataFrame([(line,)], "line string")
     assert df.select(text.production_class(df["line"]).alias("k")).first()["k"] == kind
+
+
+@pytest.mark.parametrize(("type_", "good", "bad"), [
+    ("int", ["0", "-0", "12", "-7"], ["", "-", "007", "1.0", "+1", "12\n"]),
+    ("bool", ["true", "false"], ["True", "0", ""]),
+    ("name", ["a-b", "é"], ["", "a b", "(a)", 'q"', "b\\s"]),
+    ("origin", ["llm", "llm-repair"], ["llm-", "repair"]),
+    ("item", ["(relation)", '(syntax "a b")', "(syntax x)"], ["(syntax)", "(relation x)", "relation", "(other)"]),
+    ("names", ["(names)", "(names a b)"], ["(name a)", "()", "names", "(names a  b)"]),
+    ("source-ref-option", ["none", "(some (source-ref (document d) (clause 1) (rule R1) (page 3) (source-hash ab)))"], ["some", "(some none)", "(some (source-ref (clause 1) (document d) (rule R1) (page 3) (source-hash ab)))"]),
+])
+def test_patterns_of_types(spark, type_, good, bad):
+    df = spark.createDataFrame([(x, True) for x in good] + [(x, False) for x in bad], "value string, want boolean")
+    pattern = contracts.pattern(DECLARED, type_)
+    assert [r["value"] for r in df.where(df["value"].rlike(rf"\A{pattern}\z") != df["want"]).collect()] == []
+
+
+def test_nonconforming_records(spark):
+    sound = [("id", "S1"), ("checked", "true"), ("page", "1"), ("origin", "smt"), ("resolution", "open"), ("body", "(rule)"), ("names", "(names)"), ("source", "none")]
+    rows = [(1, i, *f) for i, f in enumerate(sound, 1)] + [(2, i, *f) for i, f in enumerate(sound[:4], 1)] + [(1, 9, "more", "x")]
+    values = spark.createDataFrame(rows, "record_id long, position int, field string, value string")
+    got = {tuple(r) for r in contracts.nonconforming(values, DECLARED, "fact").collect()}
+    assert got == {(1, "resolution", "not of type enum"), (1, "more", "unknown field"), (1, None, "field count"), (2, None, "field count")}
+    assert contracts.nonconforming(values.where("record_id = 3"), DECLARED, "fact").count() == 0
+
+
+def test_registry(spark):
+    d = spark.createDataFrame([(1, "pair", "record", None), (2, "many", "list", "pair"), (3, "many", "enum", None), (4, None, "optional", "gone"), (5, "either", "sum", None)], "decl_id long, name string, kind string, target string")
+    m = spark.createDataFrame([(1, "left", "int"), (1, "left", "pair"), (1, "right", None), (3, "a", None), (3, None, None), (5, "yes", None), (5, "no", "lost")], "decl_id long, member string, type string")
+    got = sorted((r["decl_id"], r["member"] or "", r["reason"]) for r in contracts.registry_faults(d, m).collect())
+    assert got == [
+        (1, "left", "duplicate member"), (1, "right", "unknown member type"), (2, "", "duplicate declaration"), (3, "", "empty member"),
+        (4, "", "empty name"), (4, "", "unknown target type"), (5, "no", "unknown payload type"),
+    ]
+
+
+@pytest.mark.parametrize(("name", "reasons"), [("source_ref_check", 8), ("candidate_check", 10), ("trace_check", 32), ("layout_fact_check", 12), ("record_conformance", 9), ("schema_registry_check", 7)])
+def test_planted_faults_are_all_found(spark, name, reasons):
+    """Each condition of a contract is broken by some row, and is the reason given."""
+    got = {r["reason"] for r in QUERIES[name](spark, "/root/testdata/sf0.01").select("reason").distinct().collect()}
+    assert len(got) == reasons, sorted(got)
