@@ -3,7 +3,7 @@
 Tokens (runs of letters, of digits or of one mark) fall into rows by hash, words in capitals into rows of
 their own. Each row has a sparse random index vector; a row's word vector is the sum of the index
 vectors of its neighbours in all texts. A document is the mean and the spread of its
-tokens' vectors. A network with one hidden layer is trained on labelled documents, and its
+tokens' vectors, and how often a vector returns within a few places. A network with one hidden layer is trained on labelled documents, and its
 probabilities are calibrated with a temperature on rows that it wasn't trained on.
 """
 
@@ -27,6 +27,9 @@ ROWS = 4 * ROWS_PER_KIND
 DIM = 32
 NONZERO = 4
 REACH = 2
+#: Places over which tokens that return are counted.
+RETURNS = 3
+WIDTH = 2 * DIM + 1 + RETURNS
 HIDDEN = 32
 #: Most labelled rows that are learned from, chosen by a hash of their ids.
 TRAIN_ROWS = 8000
@@ -107,8 +110,9 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def features_of(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
-    """Means and spreads of the tokens' vectors, and the logarithm of their number; without a token zeros."""
-    out = np.zeros((len(texts), 2 * DIM + 1), np.float32)
+    """Means and spreads of the tokens' vectors, the logarithm of their number, and the shares of tokens that have the
+    vector of the token one, two, ... places before; without a token zeros."""
+    out = np.zeros((len(texts), WIDTH), np.float32)
     rows, first = tokens(texts)
     n = np.diff(first)
     has = np.flatnonzero(n)
@@ -116,7 +120,10 @@ def features_of(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
         v = vectors[rows]
         mean = np.add.reduceat(v, first[has], axis=0, dtype=np.float64) / n[has, None]
         square = np.add.reduceat(v * v, first[has], axis=0, dtype=np.float64) / n[has, None]
-        out[has] = np.hstack([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(n[has, None])])
+        text = np.repeat(np.arange(len(texts)), n)
+        again = [np.bincount(text[k:][(rows[k:] == rows[:-k]) & (text[k:] == text[:-k])], minlength=len(texts)) for k in range(1, RETURNS + 1)]
+        share = np.stack(again, axis=1)[has] / n[has, None]
+        out[has] = np.hstack([mean, np.sqrt(np.maximum(square - mean**2, 0)), np.log1p(n[has, None]), share])
     return out
 
 
@@ -141,7 +148,7 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 300, decay: float = 1e-3, se
     """Train on four fifths of the rows; choose the temperature on the rest. Fewer than ten rows or one label
     alone give a constant."""
     rng = np.random.default_rng(seed)
-    width = x.shape[1] if x.ndim == 2 and x.size else 2 * DIM + 1
+    width = x.shape[1] if x.ndim == 2 and x.size else WIDTH
     if len(y) < 10 or len(set(y.tolist())) < 2:
         odds = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
         return Network(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), odds, 1.0)
@@ -189,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, text_col: str
 
     found = rows.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(batches, "doc_id long, label int, features array<float>").limit(2 * limit).toPandas()
     found = found.sort_values(["doc_id", "label"], kind="stable")
-    x = np.stack(found["features"].to_list()) if len(found) else np.empty((0, 2 * DIM + 1))
+    x = np.stack(found["features"].to_list()) if len(found) else np.empty((0, WIDTH))
     return fit(x.astype(np.float64), found["label"].to_numpy(np.int64))
 
 

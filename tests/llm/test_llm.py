@@ -159,6 +159,15 @@ def test_misspelt_insults_score_high():
     assert model.logits(mixed) == pytest.approx([model.logits([t])[0] for t in mixed])
 
 
+def test_quality_features_see_returning_words():
+    texts = ["one one one one", "one two three four", None, "a, a, a, a,", "", "x y x y x y"]
+    vectors = np.random.default_rng(1).normal(size=(quality_net.ROWS, quality_net.DIM)).astype(np.float32)
+    shares = quality_net.features_of(texts, vectors)[:, -quality_net.RETURNS :]
+    assert np.allclose(shares, [[0.75, 0.5, 0.25], [0, 0, 0], [0, 0, 0], [0, 0.75, 0], [0, 0, 0], [0, 2 / 3, 0]])
+    alone = np.vstack([quality_net.features_of([t], vectors) for t in texts])
+    assert np.allclose(alone, quality_net.features_of(texts, vectors), atol=1e-5)
+
+
 def test_held_out_labels(spark):
     data = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{data}/labels.parquet")
