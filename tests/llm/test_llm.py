@@ -190,3 +190,13 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, DATA)
     assert out.count() > 50
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_language_stage_keeps_short_texts(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    short = ["Avec.", "Lllldoado.", "A.", "Edrere.", "Onhaha sh."]
+    more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*short, "12 34", "", None])], "doc_id long, text string")
+    out = corpus_pipeline.identify_language(spark, docs.unionByName(more, allowMissingColumns=True), DATA)
+    assert {r["text"] for r in out.where("doc_id < 0").collect()} == set(short)
