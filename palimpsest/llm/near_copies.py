@@ -1,0 +1,209 @@
+"""Near copies by shingle sets: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
+
+The search is exact. All texts order their shingles alike, rare ones first. Two sets of similarity s or more share
+a shingle among the first n - ceil(s n) + 1 of each, so only these are compared by equality. Texts that share one form a list,
+and lists that hang together a group; where that has many texts, each list is cut into chunks, and each pair of
+chunks is a group. Inside a group all pairs are counted exactly, by an inverted index of the whole sets. A group
+gives the edges of a spanning forest of its links. How often a shingle occurs is counted in a bounded sample of texts: it decides the
+order, and so how long the lists are, but not what is found.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from palimpsest.llm.common import materialize, partitions
+from palimpsest.llm.simhash import SEED, components
+
+#: Words of a shingle; texts of fewer words are one shingle.
+WORDS = 5
+#: The least similarity, as a fraction.
+NEAR = (4, 5)
+#: Texts of the sample, and the most shingles that it tells to be common.
+SAMPLE, COMMON = 20_000, 200_000
+#: Nodes of a group of lists, and rows of a list that one chunk holds on average.
+CHUNK = 1024
+#: The most nodes in groups that are sent to all executors, about 50 bytes each; more are joined by merging.
+BROADCAST = 500_000
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The set of a text's word shingles as sorted XXH64 values; A-Z are lower-cased. No word: none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n, joined = len(words), b" ".join(words)
+    if n <= WORDS:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if n else [], np.uint64)
+    ends = np.cumsum([len(x) + 1 for x in words])
+    begins = np.concatenate(([0], ends[: n - WORDS])).tolist()
+    hash_of = xxhash.xxh64_intdigest
+    return np.unique(np.array([hash_of(joined[a:b], SEED) for a, b in zip(begins, (ends[WORDS - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample share, sorted, and in how many of them they are."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_py()).view(np.int64))], ["shingle"])
+
+    every = max(1, texts.count() // SAMPLE)
+    some = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(every)) == 0).select("text").distinct()
+    counts = some.mapInArrow(batches, "shingle long").groupBy("shingle").count().where("count > 1")
+    found = counts.orderBy(F.desc("count"), "shingle").limit(COMMON).toPandas()
+    values = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(values)
+    return values[order], found["count"].to_numpy(np.int64)[order]
+
+
+def first_shingles(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Those shingles of a set of which every near set's first ones hold one."""
+    values, counts = common
+    n, often = len(own), np.ones(len(own), np.int64)
+    if len(values) and n:
+        at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+        often = np.where(values[at] == own, counts[at], 1)
+    return own[np.lexsort((own, often))[: n - -(-NEAR[0] * n // NEAR[1]) + 1]] if n else own
+
+
+def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of all near pairs of sets."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    rows = np.repeat(np.arange(n), sizes)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    by_column = np.argsort(column, kind="stable")
+    holders, ends = rows[by_column], np.cumsum(np.bincount(column, minlength=len(values)))
+    begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    label, out = np.arange(n), []
+    for i in range(n - 1):
+        if len(out) == n - 1:
+            break
+        mine = column[offsets[i] : offsets[i + 1]]
+        mine = mine[ends[mine] - begins[mine] > 1]
+        if not len(mine):
+            continue
+        shared = np.bincount(np.concatenate([holders[a:z] for a, z in zip(begins[mine].tolist(), ends[mine].tolist(), strict=True)]), minlength=n)
+        near = sum(NEAR) * shared >= NEAR[0] * (sizes[i] + sizes)  # shared / (all - shared) >= the fraction
+        near[: i + 1] = False
+        for j in np.flatnonzero(near & (label != label[i])).tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out
+
+
+def crowded(first: DataFrame) -> DataFrame:
+    """Rows (shingle, node) whose shingle more than one node has."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, node, shared = np.empty(0, np.int64), np.empty(0, np.int64), False  # the last row, and if the one before has its shingle
+        for b in it:
+            shingle, node = np.concatenate((shingle, b.column(0).to_numpy())), np.concatenate((node, b.column(1).to_numpy()))
+            if not len(shingle):
+                continue
+            same = shingle[1:] == shingle[:-1]
+            keep = np.concatenate(([shared], same)) | np.concatenate((same, [False]))
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[:-1][keep[:-1]]), pa.array(node[:-1][keep[:-1]])], ["shingle", "node"])
+            shingle, node, shared = shingle[-1:], node[-1:], bool(keep[-1])
+        if shared:
+            yield pa.RecordBatch.from_arrays([pa.array(shingle), pa.array(node)], ["shingle", "node"])
+
+    dealt = first.select("shingle", "node").repartition(partitions(first.sparkSession), "shingle").sortWithinPartitions("shingle", "node")
+    return dealt.mapInArrow(batches, "shingle long, node long")
+
+
+def groups(members: DataFrame) -> DataFrame:
+    """(node, g, c1, c2): nodes that may be near share a group. Lists that hang together are one group while they have few nodes;
+    else each list of other members is cut into chunks, and each pair of its chunks is a group."""
+    lists = members.groupBy("shingle").agg(F.count("*").alias("m"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"))
+    lists = materialize(lists.groupBy("m", "least", "x", "y").agg(F.min("shingle").alias("shingle")), "lists")
+    members = materialize(members.hint("merge").join(lists.select("shingle", "m", "least").hint("merge"), "shingle"), "members")
+    hangs = components(members.where("node > least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
+    hangs = materialize(hangs.unionByName(hangs.select(F.col("component").alias("node"), "component").distinct()), "hangs")
+    few = materialize(hangs.groupBy("component").count().where(F.col("count") <= CHUNK).select("component"), "few")
+    small = hangs.hint("merge").join(few.hint("merge"), "component", "left_semi").select("node", F.col("component").alias("g"), F.lit(0).alias("c1"), F.lit(0).alias("c2"))
+    rest = hangs.hint("merge").join(few.hint("merge"), "component", "left_anti").select("node")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    large = members.hint("merge").join(rest, "node", "left_semi").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
+    large = large.select("shingle", "node", chunk.alias("chunk"), other)
+    return small.unionByName(large.select("node", F.col("shingle").alias("g"), (F.least("chunk", "other") + 1).alias("c1"), (F.greatest("chunk", "other") + 1).alias("c2")))
+
+
+def links(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges (u > v) that connect the same components as all near pairs. found: (doc_id, text_hash, node long, first array of
+    long); texts: (doc_id, text_hash, text), from which the nodes' whole sets are taken."""
+    first = found.select("node", "first").distinct().select("node", F.explode("first").alias("shingle"))
+    placed = groups(materialize(crowded(first), "crowded"))
+    heads = found.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
+    placed = materialize(placed.hint("merge").join(heads, "node").select("head.doc_id", "head.text_hash", "node", "g", "c1", "c2"), "placed")
+    side = placed.hint("broadcast" if placed.count() <= BROADCAST else "merge")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges() -> pa.RecordBatch:
+            found = np.array([(group[i], group[j]) for i, j in forest(list(sets.values()))] if len(group) > 1 else [], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], ["u", "v"])
+
+        at, group, sets = None, [], {}
+        for b in it:
+            keys = list(zip(*(c.to_pylist() for c in b.columns[:3]), strict=True))
+            for k, (key, node) in enumerate(zip(keys, b.column(3).to_pylist(), strict=True)):
+                if key != at:
+                    if len(group) > 1:
+                        yield edges()
+                    at, group, sets = key, [], {}
+                if node not in sets:  # a row may be given more than once
+                    group.append(node)
+                    sets[node] = shingles(b.column(4)[k].as_py())
+        yield edges()
+
+    n = partitions(found.sparkSession)
+    dealt = texts.join(side, ["doc_id", "text_hash"]).select("g", "c1", "c2", "node", "text").repartition(n, "g", "c1", "c2").sortWithinPartitions("g", "c1", "c2", "node")
+    return dealt.mapInArrow(batches, "u long, v long").distinct()
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_hash, component) for every row with an id: rows are in one component if a chain of near pairs leads from one
+    to the other. Texts of equal sets are near, those without a word too. text_hash is that of the text as given."""
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    common = common_shingles(texts)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            nodes, first = [], []
+            for t in b.column(2):
+                own = shingles(t.as_py())
+                nodes.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                first.append(first_shingles(own, common).view(np.int64))
+            ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *first])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), lists], ["doc_id", "text_hash", "node", "first"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    found = materialize(texts.mapInArrow(batches, f"doc_id {kind}, text_hash long, node long, first array<long>"), "shingles")
+    member = components(links(found, texts))
+    return found.select("doc_id", "text_hash", "node").hint("merge").join(member, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of found (doc_id, text_hash, component), with all columns of docs: that of the smallest id, then of the
+    smallest hash of its text. Rows with a null id all stay."""
+    heads = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("h")).select(F.col("h.doc_id").alias("__id"), F.col("h.text_hash").alias("__hash"))
+    heads = materialize(heads, "heads")
+    rows = docs.where(F.col(id_col).isNotNull()).withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_col)})
+    kept = rows.hint("merge").join(heads, ["__id", "__hash"], "left_semi")
+    one = Window.partitionBy("__id", "__hash").orderBy(F.xxhash64(*docs.columns))
+    kept = kept.withColumn("__n", F.row_number().over(one)).where("__n = 1")
+    return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of near copies, with all columns of docs; rows with a null id link nothing and all stay."""
+    return one_of_each(docs, near_copies(docs, id_col, text_col), id_col, text_col)

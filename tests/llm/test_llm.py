@@ -9,7 +9,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import fingerprint, html_cut, langid, mixing, pieces, quality_net, quality_rules, simhash, toxicity, warc_audit
+from palimpsest.llm import fingerprint, html_cut, langid, mixing, near_copies, pieces, quality_net, quality_rules, simhash, toxicity, warc_audit
 from palimpsest.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -200,3 +200,49 @@ def test_language_stage_keeps_short_texts(spark):
     more = spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*short, "12 34", "", None])], "doc_id long, text string")
     out = corpus_pipeline.identify_language(spark, docs.unionByName(more, allowMissingColumns=True), DATA)
     assert {r["text"] for r in out.where("doc_id < 0").collect()} == set(short)
+
+
+def test_near_dedup_stage_by_brute_force(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    common = [rng.choice(words) for _ in range(30)]
+    texts = ["", " ", "one", "ONE", "a b c", None]
+    for _ in range(90):
+        base = [rng.choice(words) for _ in range(rng.randint(1, 120))] + (common if rng.random() < 0.4 else [])
+        for _ in range(rng.randint(1, 5)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows = [(i - i % 9 if i % 9 < 2 else i, t) for i, t in enumerate(texts)]  # some ids are given twice
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    found = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                found += root[i] != root[j]
+                root = [root[j] if r == root[i] else r for r in root]
+    assert found > 40
+    heads = {}
+    for r, row in zip(root, rows):
+        heads.setdefault(r, []).append(row)
+    docs = spark.createDataFrame([*rows, (None, "one"), (None, "one")], "doc_id long, text string")
+    for chunk, sample in ((1024, 20_000), (2, 50)):  # with every list in one chunk, and cut into many
+        near_copies.CHUNK, near_copies.SAMPLE = chunk, sample
+        out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()]
+        assert out.count((None, "one")) == 2
+        kept = [r for r in out if r[0] is not None]
+        assert len(kept) == len(heads)
+        for members in heads.values():  # one row of each component, of its smallest id
+            mine = [r for r in kept if r in members]
+            assert len(mine) == 1 and mine[0][0] == min(i for i, _ in members)
+    near_copies.CHUNK, near_copies.SAMPLE = 1024, 20_000
