@@ -2,7 +2,7 @@
 
 A text is cut into words where no piece can go across: before a blank (written as the lower block
 mark) and around characters that no piece holds. Each distinct word's substrings of bounded length
-are joined by equality to the piece table; the matches are the edges of the word's lattice, and
+are looked up in the piece table, a dict in a Python worker; the matches are the edges of the word's lattice, and
 a fold over the lattice gives the word's pieces: for a BPE table the merge of the adjacent pair
 of best score until none is left (leftmost on ties), for a unigram table the Viterbi path. Characters without a piece
 become byte pieces. Words are folded once in a Python worker and remembered, up to a bound.
@@ -51,6 +51,36 @@ class Pieces:
         self.words = f"{BLANK}*[^{BLANK}{inside}]+|{BLANK}+" + (f"|[{inside}]" if inside else "")
 
 
+def fold_of(model: bytes) -> str:
+    """The fold of a serialized model, by the model_type (field 3) of its trainer_spec (field 2); without one it is unigram."""
+
+    def number(data: bytes, at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (data[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if data[at - 1] < 128:
+                return value, at
+
+    def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+        at = 0
+        while at < len(data):
+            tag, at = number(data, at)
+            if tag & 7 == 0:
+                value, at = number(data, at)
+            else:
+                size, at = number(data, at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+                value, at = data[at : at + size], at + size
+            yield tag >> 3, value
+
+    kind = 1
+    for spec in (x for k, x in fields(model) if k == 2):
+        kind = next((x for k, x in fields(spec) if k == 3), kind)
+    if kind not in (1, 2):
+        raise ValueError("neither a unigram nor a BPE model")
+    return "viterbi" if kind == 1 else "merge"
+
+
 def load(path: str = MODEL) -> Pieces:
     """Read a model's piece table on the driver; its size is that of the vocabulary."""
     m = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -66,7 +96,7 @@ def load(path: str = MODEL) -> Pieces:
         else:
             table[piece] = (i, m.get_score(i))
             as_bytes.append(piece.replace(BLANK, " ").encode())
-    return Pieces(f"{path}:{m.vocab_size()}", table, byte_ids, as_bytes)
+    return Pieces(f"{path}:{m.vocab_size()}", table, byte_ids, as_bytes, fold_of(m.serialized_model_proto()))
 
 
 def lattice(word: str, pieces: Pieces) -> list[dict[int, tuple[int, float]]]:

@@ -246,3 +246,16 @@ def test_near_dedup_stage_by_brute_force(spark):
             mine = [r for r in kept if r in members]
             assert len(mine) == 1 and mine[0][0] == min(i for i, _ in members)
     near_copies.CHUNK, near_copies.SAMPLE = 1024, 20_000
+
+
+def test_fold_follows_the_model_type(tmp_path):
+    rng = random.Random(9)
+    parts = ["river", "stone", "market", "walks", "green", "over", "stones", "greener"]
+    texts = [" ".join(rng.choice(parts) for _ in range(20)) for _ in range(300)]
+    options = dict(vocab_size=60, normalization_rule_name="identity", remove_extra_whitespaces=False, byte_fallback=False, minloglevel=2, hard_vocab_limit=False)
+    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(texts), model_prefix=f"{tmp_path}/u", model_type="unigram", **options)
+    table, model = pieces.load(f"{tmp_path}/u.model"), sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/u.model")
+    known = pieces.Known(table)
+    assert (table.fold, pieces.load().fold) == ("viterbi", "merge")
+    for t in texts[:50]:
+        assert list(memoryview(known.encode(t)).cast("i")) == model.encode(t)
