@@ -1,54 +1,82 @@
-"""SentencePiece encoding and decoding over a lattice of pieces.
-
-A text is cut into words where no piece can go across: before a blank (written as the lower block
-mark) and around characters that no piece holds. Each distinct word's substrings of bounded length
-are looked up in the piece table, a dict in a Python worker; the matches are the edges of the word's lattice, and
-a fold over the lattice gives the word's pieces: for a BPE table the merge of the adjacent pair
-of best score until none is left (leftmost on ties), for a unigram table the Viterbi path. Characters without a piece
-become byte pieces. Words are folded once in a Python worker and remembered, up to a bound.
+"""SentencePiece encoding and decoding over a relational lattice of pieces.
+
+Texts are cut into words where no piece can go across: before a blank (written as the lower block mark), and between
+characters that stand beside each other in no piece. The distinct words of all texts are one table. Their substrings of
+bounded length are exploded and joined by equality to the piece table; the matches, grouped by word, are the edges of its
+lattice, and a fold over them (a higher-order aggregate) gives the word's pieces: for a BPE table the merge of the adjacent
+pair of best score until none is left (leftmost on ties), whose result a path of best score isn't; for a unigram table
+the Viterbi path. Characters without a piece become byte pieces.
+
+The ids go back to the texts in two ways. Words from a count on, at most COMMON, are sent to all tasks. All others are joined
+to the texts that hold them, each text once with a list of its own rare words. Words beyond LONG characters have the same
+lattice; their merges are folded with a heap in Arrow tasks, as the aggregate takes a word's length squared.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import io
 import re
-from array import array
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm.common import slices
+from palimpsest.llm.common import materialize, partitions, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-#: Words that a Python worker remembers before it starts anew.
-REMEMBER = 700_000
+#: The most words whose ids are sent to all tasks; rarer ones are joined.
+COMMON = 500_000
+#: Characters of a word from which its merges are folded with a heap, and of the parts that longer words are exploded in.
+LONG, PART = 40, 256
+#: Words that a task counts before it hands them on.
+HELD = 300_000
 
-_memory: dict[str, "Known"] = {}
+_common: dict[str, dict[str, bytes]] = {}
 
 
 @dataclass
 class Pieces:
-    """The piece table: id and score of each piece, ids of the byte pieces, and the fold to use."""
+    """The piece table: id and score of each piece, ids of the byte pieces, and the fold to use. words is a regular
+    expression of the words of a text."""
 
-    name: str
     table: dict[str, tuple[int, float]]
     byte_ids: list[int]
     as_bytes: list[bytes]
     fold: str = "merge"
-    begun: dict[str, tuple[int, float] | None] = field(init=False)
+    longest: int = field(init=False)
     words: str = field(init=False)
 
     def __post_init__(self) -> None:
-        self.begun = {p[:k]: None for p in self.table for k in range(1, len(p))} | self.table
-        inside = "".join(c for c in "\n\t\r" if not any(c in p for p in self.table))
         if any(BLANK in p.lstrip(BLANK) for p in self.table):
             raise ValueError("a piece goes across a blank")
-        self.words = f"{BLANK}*[^{BLANK}{inside}]+|{BLANK}+" + (f"|[{inside}]" if inside else "")
+        self.longest = max(map(len, self.table), default=1)
+        group: dict[str, str] = {}
+
+        def root(c: str) -> str:
+            while group.setdefault(c, c) != c:
+                group[c] = c = group[group[c]]
+            return c
+
+        for p in self.table:
+            for a, b in zip(p, p[1:]):
+                if a != BLANK:
+                    group[root(a)] = root(b)
+        runs: dict[str, list[str]] = {}
+        for c in group:
+            runs.setdefault(root(c), []).append(c)
+        runs.pop(BLANK, None)
+        classes = "".join(f"[{re.escape(''.join(sorted(cs)))}]+|" for cs in sorted(runs.values(), key=lambda cs: (-len(cs), cs)))
+        self.words = f"{BLANK}*(?:{classes}[^{BLANK}])|{BLANK}+"
 
 
 def fold_of(model: bytes) -> str:
@@ -96,54 +124,141 @@ def load(path: str = MODEL) -> Pieces:
         else:
             table[piece] = (i, m.get_score(i))
             as_bytes.append(piece.replace(BLANK, " ").encode())
-    return Pieces(f"{path}:{m.vocab_size()}", table, byte_ids, as_bytes, fold_of(m.serialized_model_proto()))
-
-
-def lattice(word: str, pieces: Pieces) -> list[dict[int, tuple[int, float]]]:
-    """Edges of a word by where they begin: its substrings that are pieces, as end -> (id, score). A
-    substring grows while it begins some piece, so its length is bounded by the longest piece."""
-    find, n, out, missing = pieces.begun.get, len(word), [], 0
-    for i in range(n):
-        edges = {}
-        j = i + 1
-        while (e := find(word[i:j], missing)) is not missing:
-            if e:
-                edges[j] = e
-            if j == n:
-                break
-            j += 1
-        out.append(edges)
-    return out
-
-
-def fold_merge(word: str, edges: list[dict[int, tuple[int, float]]]) -> list[tuple[int, int]]:
-    """Merge adjacent spans along edges, best score first, leftmost on ties."""
-    n = len(word)
-    if n > 64:
-        return _fold_merge_long(n, edges)
-    low = float("-inf")
-    marks = list(range(n + 1))  # begins of the spans, and the end
-    pairs = [e[1] if (e := edges[i].get(i + 2)) else low for i in range(n - 1)]  # score of joining spans k and k + 1
-    while pairs:
-        best = max(pairs)
-        if best == low:
-            break
-        k = pairs.index(best)
-        del marks[k + 1], pairs[k]
-        if k < len(pairs):
-            pairs[k] = e[1] if (e := edges[marks[k]].get(marks[k + 2])) else low
-        if k:
-            pairs[k - 1] = e[1] if (e := edges[marks[k - 1]].get(marks[k + 1])) else low
-    return list(zip(marks, marks[1:], strict=False))
+    return Pieces(table, byte_ids, as_bytes, fold_of(m.serialized_model_proto()))
+
+
+def name_of(word: str) -> str:
+    """What a word is joined by: itself, or for a long one the digest of its bytes after a NUL, which begins no word of more
+    than one character."""
+    return word if len(word) <= LONG else "\0" + hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def cut(text: str, find) -> list[str]:
+    """Words of a text, with a blank before it as the model has it."""
+    return find(BLANK + text.replace(" ", BLANK))
+
+
+def word_counts(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
+    """(name, word, n): the distinct words of all texts. Each task counts its own before they are dealt out by name."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pieces.words, re.S).findall
+        counts: Counter[str] = Counter()
+
+        def rows() -> pa.RecordBatch:
+            words = list(counts)
+            out = pa.RecordBatch.from_arrays([pa.array(map(name_of, words), pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], ["name", "word", "n"])
+            counts.clear()
+            return out
+
+        for b in it:
+            for text in b.column(0):
+                if text.is_valid:
+                    counts.update(cut(text.as_py(), find))
+                    if len(counts) > HELD:
+                        yield rows()
+        yield rows()
+
+    found = docs.where(F.length(text_col) > 0).select(text_col).mapInArrow(batches, "name string, word string, n long")
+    return found.repartition(partitions(docs.sparkSession), "name").groupBy("name").agg(F.min("word").alias("word"), F.sum("n").alias("n"))
+
+
+def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
+    """(piece, id, score, rank): rank orders scores, the best first. The empty piece stands for itself in every word, so
+    that words without a piece stay."""
+    best = {s: r for r, s in enumerate(sorted({s for _, s in pieces.table.values()}, reverse=True))}
+    rows = [("", -1, 0.0, -1), *((p, i, s, best[s]) for p, (i, s) in pieces.table.items())]
+    return spark.createDataFrame(pa.table([pa.array(c) for c in zip(*rows, strict=True)], ["piece", "id", "score", "rank"])).select("piece", F.col("id").cast("int"), "score", F.col("rank").cast("long"))
+
+
+def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(name, n, size, edges): edges are those substrings of a word of (name, word, n) that are pieces, as structs of begin,
+    length, id, score and rank. Words stay where they are; what is sent to all tasks is the vocabulary."""
+    size = F.length("word")
+    parts = words.select("name", "n", size.alias("size"), "word", F.explode(F.sequence(F.lit(0), size - 1, F.lit(PART))).alias("base"))
+    parts = parts.select("name", "n", "size", "base", F.expr(f"substring(word, base + 1, {PART + pieces.longest})").alias("part"))
+    begins = parts.select("*", F.explode(F.expr(f"sequence(0, least({PART}, size - base) - 1)")).alias("i"))
+    spans = begins.select("*", F.explode(F.expr(f"sequence(if(base + i = 0, 0, 1), least({pieces.longest}, size - base - i))")).alias("k"))
+    spans = spans.select("name", "n", "size", (F.col("base") + F.col("i")).alias("i"), "k", F.expr("substring(part, i + 1, k)").alias("piece"))
+    found = spans.join(F.broadcast(piece_table(words.sparkSession, pieces)), "piece")
+    edge = F.when(F.col("k") > 0, F.struct("i", "k", "id", "score", "rank"))
+    return found.groupBy("name").agg(F.min("n").alias("n"), F.min("size").alias("size"), F.collect_list(edge).alias("edges"))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is worked out once. A column of a projection below would be put into a lambda as an expression
+    and worked out at each of its calls."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _edge_map(pieces: Pieces, value: str) -> Column:
+    """A map from begin * (longest + 1) + length to a field of the edges."""
+    return F.map_from_entries(F.transform("edges", lambda e: F.struct(e["i"] * (pieces.longest + 1) + e["k"], e[value])))
+
+
+def fold_merge(pieces: Pieces, ranks: Column) -> Column:
+    """Ends of the spans of a word, 0 first: adjacent spans are merged along edges, best rank first, leftmost on ties."""
+    w, far = pieces.longest + 1, 2 * LONG
+
+    def step(ends: Column, _: Column) -> Column:
+        def joined(k: Column) -> Column:
+            begin = F.get(ends, k - 1)
+            span = F.get(ends, k + 1) - begin
+            return F.try_element_at(ranks, F.when(span < w, begin * w + span)) * far + k
 
+        def without(best: Column) -> Column:
+            k = (best % far).cast("int")
+            return F.when(best.isNull(), ends).otherwise(F.concat(F.slice(ends, F.lit(1), k), F.slice(ends, k + 2, F.size(ends))))
 
-def _fold_merge_long(n: int, edges: list[dict[int, tuple[int, float]]]) -> list[tuple[int, int]]:
-    """The same with a heap, for long words."""
-    import heapq
+        return _let(F.array_min(F.when(F.size(ends) > 2, F.transform(F.sequence(F.lit(1), F.size(ends) - 2), joined))), without)
 
+    times = F.when(F.col("size") > 1, F.sequence(F.lit(2), "size")).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(times, F.sequence(F.lit(0), "size").cast("array<int>"), step)
+
+
+def fold_viterbi(pieces: Pieces, scores: Column) -> Column:
+    """Ends of the spans of the path of the best sum of scores, 0 first. A character without a piece is an edge of its own,
+    ten under the least score."""
+    w, unknown = pieces.longest + 1, min((s for _, s in pieces.table.values()), default=0.0) - 10.0
+
+    def step(nodes: Column, j: Column) -> Column:
+        def come(k: Column) -> Column:
+            own = F.try_element_at(scores, (j - k) * w + k)
+            s = F.when(k == 1, F.coalesce(own, F.lit(unknown))).otherwise(own)
+            return F.struct((F.get(nodes, j - k)["best"] + s).alias("best"), (j - k).alias("back"))
+
+        ways = F.transform(F.sequence(F.lit(1), F.least(j, F.lit(pieces.longest))), come)
+        return F.concat(nodes, F.array(F.array_max(F.filter(ways, lambda x: x["best"].isNotNull()))))
+
+    def path(nodes: Column) -> Column:
+        def back(ends: Column, _: Column) -> Column:
+            return F.when(F.get(ends, 0) == 0, ends).otherwise(F.concat(F.array(F.get(nodes, F.get(ends, 0))["back"]), ends))
+
+        return F.aggregate(F.sequence(F.lit(1), "size"), F.array("size"), back)
+
+    start = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("back"))).cast("array<struct<best:double,back:int>>")
+    return _let(F.aggregate(F.sequence(F.lit(1), "size"), start, step), path)
+
+
+def _span_ids(pieces: Pieces, ends: Column, known: Column) -> Column:
+    """Ids of the spans between ends; a character without a piece gives the ids of its bytes."""
+    w, bytes_ = pieces.longest + 1, F.array(*map(F.lit, pieces.byte_ids))
+
+    def one(k: Column) -> Column:
+        begin = F.get(ends, k - 1)
+        span = F.get(ends, k) - begin
+        raw = F.hex(F.substring("name", begin + 1, span).cast("binary"))
+        spelt = F.transform(F.sequence(F.lit(1), F.length(raw) - 1, F.lit(2)), lambda x: F.get(bytes_, F.conv(F.substring(raw, x, F.lit(2)), 16, 10).cast("int")))
+        return _let(F.try_element_at(known, begin * w + span), lambda id_: F.when(id_.isNull(), spelt).otherwise(F.array(id_)))
+
+    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(ends) - 1), one))
+
+
+def heap_merge(n: int, edges: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """Spans of a word of n characters, merged along edges ((begin, end) to rank): best rank first, leftmost on ties."""
     after, before = list(range(1, n + 1)), list(range(-1, n))  # ends of spans; begin of the span before
     live = [True] * n
-    heap = [(-e[1], i, i + 1, i + 2) for i in range(n - 1) if (e := edges[i].get(i + 2))]
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := edges.get((i, i + 2))) is not None]
     heapq.heapify(heap)
     while heap:
         _, i, mid, end = heapq.heappop(heap)
@@ -153,55 +268,95 @@ def _fold_merge_long(n: int, edges: list[dict[int, tuple[int, float]]]) -> list[
         after[i] = end
         if end < n:
             before[end] = i
-            if e := edges[i].get(after[end]):
-                heapq.heappush(heap, (-e[1], i, end, after[end]))
-        if (p := before[i]) >= 0 and (e := edges[p].get(end)):
-            heapq.heappush(heap, (-e[1], p, i, end))
+            if (r := edges.get((i, after[end]))) is not None:
+                heapq.heappush(heap, (r, i, end, after[end]))
+        if (p := before[i]) >= 0 and (r := edges.get((p, end))) is not None:
+            heapq.heappush(heap, (r, p, i, end))
     return [(i, after[i]) for i in range(n) if live[i]]
 
 
-def fold_viterbi(word: str, edges: list[dict[int, tuple[int, float]]], unknown: float = -1e6) -> list[tuple[int, int]]:
-    """The path of the best sum of scores; a character without a piece is an edge of its own."""
-    best, back = [0.0] + [float("-inf")] * len(word), [0] * (len(word) + 1)
-    for i, ends in enumerate(edges):
-        for j, s in [(i + 1, unknown), *((j, s) for j, (_, s) in ends.items())]:
-            if best[i] + s > best[j]:
-                best[j], back[j] = best[i] + s, i
-    out, j = [], len(word)
-    while j:
-        out.append((back[j], j))
-        j = back[j]
-    return out[::-1]
-
-
-def encode_word(word: str, pieces: Pieces) -> list[int]:
-    edges = lattice(word, pieces)
-    out: list[int] = []
-    for i, j in (fold_merge if pieces.fold == "merge" else fold_viterbi)(word, edges):
-        e = edges[i].get(j)
-        if e is not None:
-            out.append(e[0])
-        else:
-            out.extend(pieces.byte_ids[b] for b in word[i:j].encode("utf-8", "surrogatepass"))
-    return out
-
-
-class Known(dict):
-    """Words and their ids, as bytes of four each; computed when first asked for."""
+def _fold_long(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """(name, n, ids) of long words of (name, n, word, edges)."""
 
-    def __init__(self, pieces: Pieces) -> None:
-        super().__init__()
-        self.pieces, self.words = pieces, re.compile(pieces.words)
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(b.num_rows):
+                word, e = b.column(2)[at].as_py(), b.column(3)[at].values.flatten()
+                i, k, ids, _, ranks = (x.to_pylist() for x in e)
+                spans = heap_merge(len(word), {(x, x + y): r for x, y, r in zip(i, k, ranks, strict=True)})
+                known = {(x, x + y): z for x, y, z in zip(i, k, ids, strict=True)}
+                out: list[int] = []
+                for s in spans:
+                    out.extend([known[s]] if s in known else [pieces.byte_ids[x] for x in word[slice(*s)].encode("utf-8", "surrogatepass")])
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + 1], b.column(1)[at : at + 1], pa.array([out], pa.list_(pa.int32()))], ["name", "n", "ids"])
+
+    return rows.select("name", "n", "word", "edges").mapInArrow(batches, "name string, n long, ids array<int>")
+
+
+def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """(name, n, ids) of words (name, word, n), each once."""
+    edges = lattice(words, pieces)
+    long = (F.col("size") > LONG) if pieces.fold == "merge" else F.lit(False)
+    short = edges.where(~long)
+    fold, value = (fold_merge, "rank") if pieces.fold == "merge" else (fold_viterbi, "score")
+    ends = _let(_edge_map(pieces, value), lambda by: fold(pieces, by))
+    ids = _let(_edge_map(pieces, "id"), lambda known: _let(ends, lambda x: _span_ids(pieces, x, known)))
+    out = short.select("name", "n", ids.alias("ids"))
+    if pieces.fold != "merge":
+        return out
+    rest = edges.where(long).select("name", "n", "edges").hint("merge").join(words.where(F.length("word") > LONG).select("name", "word"), "name")
+    return out.unionByName(_fold_long(rest, pieces))
+
+
+def common_words(coded: DataFrame, most: int) -> tuple[int, Broadcast]:
+    """The least count from which there are at most `most` words, and these words' ids, as an Arrow stream for all tasks."""
+    capped = 10_000
+    total, least = 0, capped + 1
+    for r in coded.groupBy(F.least("n", F.lit(capped)).alias("n")).count().orderBy(F.desc("n")).collect():
+        total += r["count"]
+        if total > most:
+            break
+        least = r["n"]
+    sink = io.BytesIO()
+    table = coded.where(F.col("n") >= least).select("name", "ids").toArrow()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return least, coded.sparkSession.sparkContext.broadcast(sink.getvalue())
+
+
+def _known(common: Broadcast) -> dict[str, bytes]:
+    """Names of the common words and their ids as bytes of four each; kept by a worker for the words it had last."""
+    data = common.value
+    tag = hashlib.md5(data).hexdigest()
+    if tag not in _common:
+        _common.clear()
+        table = pa.ipc.open_stream(data).read_all()
+        ids = table.column("ids").combine_chunks()
+        offsets, values = ids.offsets.to_numpy() * 4, ids.values.to_numpy().astype(np.int32).tobytes()
+        _common[tag] = {w: values[a:z] for w, a, z in zip(table.column("name").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)}
+    return _common[tag]
+
+
+def rare_words(docs: DataFrame, pieces: Pieces, common: Broadcast, text_col: str = "text") -> DataFrame:
+    """(key, at, name): the words of each distinct text that aren't common, numbered in order of their first occurrence. A
+    task gives equal texts once; key is the digest of a text."""
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBER:
-            self.clear()
-        self[word] = ids = array("i", encode_word(word, self.pieces)).tobytes()
-        return ids
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, known, done = re.compile(pieces.words, re.S).findall, _known(common), set()
+        for b in it:
+            keys, ats, names = [], [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if key in done:
+                    continue
+                done.add(key)
+                rare = [w for w in dict.fromkeys(map(name_of, cut(text.as_py(), find))) if w not in known]
+                keys.extend([key] * len(rare))
+                ats.extend(range(len(rare)))
+                names.extend(rare)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ats, pa.int32()), pa.array(names, pa.string())], ["key", "at", "name"])
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids of a text, with a blank before it as the model has it; null and empty texts have none."""
-        return b"".join(map(self.__getitem__, self.words.findall(BLANK + text.replace(" ", BLANK)))) if text else b""
+    rows = docs.where(F.length(text_col) > 0).select(F.unhex(F.md5(F.col(text_col).cast("binary"))), text_col)
+    return rows.mapInArrow(batches, "key binary, at int, name string")
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
@@ -210,33 +365,66 @@ def decode_ids(ids: list[int], pieces: Pieces) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool = False, common: int = COMMON) -> DataFrame:
     """All columns of docs but the text, plus ids (array of int); null and empty texts have no ids. With check, the ids
     are decoded at once, and decoded_sha256 and exact (decoding gives the text, with the
-    lower block mark as a blank) are added. Columns of these names in docs are replaced."""
+    lower block mark as a blank) are added. Columns of these names in docs are replaced. Repeated rows all stay. common is the
+    most words whose ids are sent to all tasks: it decides how ids come to the texts, not which."""
     kept = [c for c in docs.columns if c not in (text_col, "ids", "decoded_sha256", "exact")]
+    coded = materialize(encode_words(word_counts(docs, pieces, text_col), pieces), "coded-words")
+    least, sent = common_words(coded, common)
+    n = partitions(docs.sparkSession)
+    rare = rare_words(docs, pieces, sent, text_col).repartition(n, "name").distinct()
+    rare = rare.hint("merge").join(coded.where(F.col("n") < least).select("name", "ids"), "name").groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("patch"))
+
+    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in it:
+            texts = [None if t is None else pack(t) for t in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], [*inner, "key", "text"])
+
+    inner = [f"c{i}" for i in range(len(kept))]  # names of its own, whatever those of docs are
+    kinds = "".join(f"{i} {docs.schema[c].dataType.simpleString()}, " for i, c in zip(inner, kept, strict=True))
+    raw = F.col(f"`{text_col}`").cast("binary")
+    rows = docs.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, kept, strict=True)), F.unhex(F.md5(raw)).alias("key"), raw.alias("text"))
+    rows = rows.mapInArrow(packed, f"{kinds}key binary, text binary").hint("merge").join(rare, "key", "left")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if (known := _memory.get(pieces.name + pieces.fold)) is None:
-            known = _memory.setdefault(pieces.name + pieces.fold, Known(pieces))
+        find, known, unpack = re.compile(pieces.words, re.S).findall, _known(sent), zstandard.ZstdDecompressor().decompress
         for b in it:
             for a, z in slices([1] * b.num_rows, 500):
                 part = b.slice(a, z - a)
                 ends, each, shas, exact = [0], [], [], []
-                for text in part.column(len(kept)).to_pylist():
-                    ids = known.encode(text)
+                for text, patch in zip(part.column(len(kept)), part.column(len(kept) + 1), strict=True):
+                    text = unpack(text.as_py()).decode("utf-8", "surrogatepass") if text.is_valid else ""
+                    ids = _encode(text, find, known, patch.as_py() if patch.is_valid else [])
                     each.append(ids)
                     ends.append(ends[-1] + len(ids) // 4)
                     if check:
                         back = decode_ids(memoryview(ids).cast("i"), pieces)
                         shas.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                        exact.append(back == (text or "").replace(BLANK, " "))
+                        exact.append(back == text.replace(BLANK, " "))
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32)))
                 more = [pa.array(shas, pa.string()), pa.array(exact, pa.bool_())] if check else []
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids, *more], [*kept, "ids", *["decoded_sha256", "exact"][: len(more)]])
-
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*kept).schema)
-    return docs.select(*kept, text_col).mapInArrow(batches, f"{schema}ids array<int>" + (", decoded_sha256 string, exact boolean" if check else ""))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], ids, *more], [*inner, "ids", *["decoded_sha256", "exact"][: len(more)]])
+
+    out = rows.select(*inner, "text", "patch").mapInArrow(batches, f"{kinds}ids array<int>" + (", decoded_sha256 string, exact boolean" if check else ""))
+    return out.select(*(F.col(i).alias(c) for i, c in zip(inner, kept, strict=True)), *out.columns[len(kept) :])
+
+
+def _encode(text: str, find, known: dict[str, bytes], patch: list[dict]) -> bytes:
+    """Ids of a text, by the common words and those of its patch."""
+    if not text:
+        return b""
+    rare = {p["at"]: np.array(p["ids"], np.int32).tobytes() for p in patch}
+    own: dict[str, bytes] = {}
+    words = cut(text, find)
+    at = 0
+    for word in dict.fromkeys(words):
+        if (ids := known.get(name_of(word))) is None:
+            ids, at = rare[at], at + 1
+        own[word] = ids
+    return b"".join(map(own.__getitem__, words))
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

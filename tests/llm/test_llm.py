@@ -103,17 +103,40 @@ def test_html():
     assert html_cut.minimum_cut([2.0, -0.5, -3.0], [(0, 1, 1.0), (1, 2, 0.2)]) == [True, True, False]
 
 
-def test_pieces_match_the_library():
+def odd_texts(n):
+    rng = random.Random(4)
+    parts = [" ", "  ", "\n", "a", "the", "ing", "é", "日", "▁", ".", "!!", "***", "\t", "0", "😀", "x" * 70, "\0", "²", "];", "naïve"]
+    out = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(n)]
+    return [*out, *out[:9], "", " ", "é" * 5000, "ab" * 4000 + "c", "日本語" * 300]
+
+
+@pytest.mark.parametrize("common", [pieces.COMMON, 20, 0])
+def test_pieces_match_the_library(spark, common):
+    """Every text, whichever way its words' ids come to it: all sent, some joined, all joined."""
     table, model = pieces.load(), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    known, rng = pieces.Known(table), random.Random(4)
-    parts = [" ", "  ", "\n", "a", "the", "ing", "é", "日", "▁", ".", "!!", "***", "\t", "0", "😀", "x" * 70]
-    for _ in range(500):
-        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))
-        ids = list(memoryview(known.encode(t)).cast("i"))
-        assert ids == model.encode(t)
-        assert pieces.decode_ids(ids, table) == t.replace("▁", " ")
-    edges = pieces.lattice("ab", pieces.Pieces("t", {"a": (0, -1.0), "b": (1, -1.0), "ab": (2, -1.5)}, [], []))
-    assert pieces.fold_viterbi("ab", edges) == [(0, 2)]
+    rows = [(i, t, "x") for i, t in enumerate(odd_texts(400))]
+    docs = spark.createDataFrame([*rows, (None, None, "x"), (0, rows[0][1], "y")], "doc_id long, text string, key string")
+    got = pieces.encode(docs, table, check=True, common=common)
+    assert got.columns == ["doc_id", "key", "ids", "decoded_sha256", "exact"]
+    found = got.collect()
+    assert len(found) == len(rows) + 2 and all(r["exact"] for r in found)
+    by_id = {(r["doc_id"], r["key"]): r["ids"] for r in found}
+    for i, t, _ in rows:
+        assert by_id[i, "x"] == model.encode(t)
+        assert pieces.decode_ids(by_id[i, "x"], table) == t.replace("▁", " ")
+    assert by_id[0, "y"] == by_id[0, "x"] and by_id[None, "x"] == []
+    back = pieces.decode(got, table).select("doc_id", "key", "decoded").collect()
+    assert {r["decoded"] for r in back} == {(t or "").replace("▁", " ") for _, t, _ in rows}
+
+
+def test_lattice_by_brute_force(spark):
+    table = pieces.load()
+    words = ["▁the", "▁a", "é", "😀", "▁inging", "x" * 600, "▁"]
+    rows = spark.createDataFrame([(pieces.name_of(w), w, 1) for w in words], "name string, word string, n long")
+    got = {r["name"]: sorted((e["i"], e["k"], e["id"]) for e in r["edges"]) for r in pieces.lattice(rows, table).collect()}
+    for w in words:
+        want = [(i, k, table.table[w[i : i + k]][0]) for i in range(len(w)) for k in range(1, min(table.longest, len(w) - i) + 1) if w[i : i + k] in table.table]
+        assert got[pieces.name_of(w)] == sorted(want)
 
 
 def test_mixing_targets(spark):
@@ -248,14 +271,24 @@ def test_near_dedup_stage_by_brute_force(spark):
     near_copies.CHUNK, near_copies.SAMPLE = 1024, 20_000
 
 
-def test_fold_follows_the_model_type(tmp_path):
+def test_unigram_fold_by_brute_force(spark):
+    """The best of all paths over a unigram table with made-up scores, characters without a piece ten under the least."""
     rng = random.Random(9)
-    parts = ["river", "stone", "market", "walks", "green", "over", "stones", "greener"]
-    texts = [" ".join(rng.choice(parts) for _ in range(20)) for _ in range(300)]
-    options = dict(vocab_size=60, normalization_rule_name="identity", remove_extra_whitespaces=False, byte_fallback=False, minloglevel=2, hard_vocab_limit=False)
-    sentencepiece.SentencePieceTrainer.train(sentence_iterator=iter(texts), model_prefix=f"{tmp_path}/u", model_type="unigram", **options)
-    table, model = pieces.load(f"{tmp_path}/u.model"), sentencepiece.SentencePieceProcessor(model_file=f"{tmp_path}/u.model")
-    known = pieces.Known(table)
-    assert (table.fold, pieces.load().fold) == ("viterbi", "merge")
-    for t in texts[:50]:
-        assert list(memoryview(known.encode(t)).cast("i")) == model.encode(t)
+    made = {c: -6.0 - i / 8 for i, c in enumerate("abc▁")} | {"".join(rng.choice("abc") for _ in range(rng.randint(2, 4))): -rng.uniform(4, 14) for _ in range(25)}
+    table = pieces.Pieces({p: (256 + i, s) for i, (p, s) in enumerate(made.items())}, list(range(256)), [], "viterbi")
+    words = ["▁" + "".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(80)]
+
+    def best(word):
+        if not word:
+            return 0.0, []
+        ways = []
+        for k in range(1, min(table.longest, len(word)) + 1):
+            if (e := table.table.get(word[:k])) or k == 1:
+                score, ids = best(word[k:])
+                ways.append((score + (e[1] if e else min(made.values()) - 10), ([e[0]] if e else list(word[:1].encode())) + ids))
+        return max(ways, key=lambda x: x[0])
+
+    rows = spark.createDataFrame([(w, w, 1) for w in set(words)], "name string, word string, n long")
+    got = {r["name"]: r["ids"] for r in pieces.encode_words(rows, table).collect()}
+    assert got == {w: best(w)[1] for w in set(words)}
+    assert pieces.load().fold == "merge"
