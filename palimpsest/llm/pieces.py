@@ -38,8 +38,11 @@ BLANK = "▁"
 COMMON = 500_000
 #: Characters of a word from which its merges are folded with a heap, and of the parts that longer words are exploded in.
 LONG, PART = 40, 256
+#: Edges are numbers: (begin * SPAN + length) << BITS | number, number being a piece's place by score. Numbers from CHARS on
+#: are single characters, by code point.
+SPAN, BITS, CHARS = 64, 22, 1 << 21
 #: Words that a task counts before it hands them on.
-HELD = 300_000
+HELD = 600_000
 
 _common: dict[str, dict[str, bytes]] = {}
 
@@ -47,7 +50,7 @@ _common: dict[str, dict[str, bytes]] = {}
 @dataclass
 class Pieces:
     """The piece table: id and score of each piece, ids of the byte pieces, and the fold to use. words is a regular
-    expression of the words of a text."""
+    expression of the words of a text; order has the pieces by score, the best first, ties the places of equal scores."""
 
     table: dict[str, tuple[int, float]]
     byte_ids: list[int]
@@ -55,11 +58,21 @@ class Pieces:
     fold: str = "merge"
     longest: int = field(init=False)
     words: str = field(init=False)
+    order: list[str] = field(init=False)
+    ties: list[tuple[int, int]] = field(init=False)
 
     def __post_init__(self) -> None:
         if any(BLANK in p.lstrip(BLANK) for p in self.table):
             raise ValueError("a piece goes across a blank")
         self.longest = max(map(len, self.table), default=1)
+        self.order = sorted(self.table, key=lambda p: (-self.table[p][1], self.table[p][0]))
+        if self.longest >= SPAN or len(self.order) >= CHARS:
+            raise ValueError("pieces too long or too many")
+        scores = [self.table[p][1] for p in self.order]
+        begins = [i for i in range(len(scores)) if not i or scores[i] != scores[i - 1]]
+        self.ties = [(a, z) for a, z in zip(begins, [*begins[1:], len(scores)], strict=True) if z - a > 1]
+        if self.fold == "merge" and len(self.ties) > 16:
+            raise ValueError("too many pieces of equal score")
         group: dict[str, str] = {}
 
         def root(c: str) -> str:
@@ -133,21 +146,23 @@ def name_of(word: str) -> str:
     return word if len(word) <= LONG else "\0" + hashlib.md5(word.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def cut(text: str, find) -> list[str]:
+def cut(text: str, find: Callable[[str], list[str]]) -> list[str]:
     """Words of a text, with a blank before it as the model has it."""
     return find(BLANK + text.replace(" ", BLANK))
 
 
 def word_counts(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
-    """(name, word, n): the distinct words of all texts. Each task counts its own before they are dealt out by name."""
+    """(name, word, n): the distinct words of all texts; word is null where the name is the word. Each task counts its own
+    before they are dealt out by name."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pieces.words, re.S).findall
         counts: Counter[str] = Counter()
 
         def rows() -> pa.RecordBatch:
-            words = list(counts)
-            out = pa.RecordBatch.from_arrays([pa.array(map(name_of, words), pa.string()), pa.array(words, pa.string()), pa.array(counts.values(), pa.int64())], ["name", "word", "n"])
+            names = list(map(name_of, counts))
+            own = [None if w == x else w for w, x in zip(counts, names, strict=True)]
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(own, pa.string()), pa.array(counts.values(), pa.int64())], ["name", "word", "n"])
             counts.clear()
             return out
 
@@ -164,24 +179,28 @@ def word_counts(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, id, score, rank): rank orders scores, the best first. The empty piece stands for itself in every word, so
-    that words without a piece stay."""
-    best = {s: r for r, s in enumerate(sorted({s for _, s in pieces.table.values()}, reverse=True))}
-    rows = [("", -1, 0.0, -1), *((p, i, s, best[s]) for p, (i, s) in pieces.table.items())]
-    return spark.createDataFrame(pa.table([pa.array(c) for c in zip(*rows, strict=True)], ["piece", "id", "score", "rank"])).select("piece", F.col("id").cast("int"), "score", F.col("rank").cast("long"))
+    """(piece, number, score). The empty piece stands for itself in every word, so that words without a piece stay."""
+    rows = [("", -1, 0.0), *((p, number, pieces.table[p][1]) for number, p in enumerate(pieces.order))]
+    return spark.createDataFrame(pa.table([pa.array(c) for c in zip(*rows, strict=True)], ["piece", "number", "score"]))
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(name, n, size, edges): edges are those substrings of a word of (name, word, n) that are pieces, as structs of begin,
-    length, id, score and rank. Words stay where they are; what is sent to all tasks is the vocabulary."""
-    size = F.length("word")
-    parts = words.select("name", "n", size.alias("size"), "word", F.explode(F.sequence(F.lit(0), size - 1, F.lit(PART))).alias("base"))
+    """(name, n, size, edges): those substrings of a word of (name, word, n) that are pieces, as edges; for a unigram table
+    structs of edge and score. Merges need none of single characters. Words stay where they are; what is sent to all tasks
+    is the vocabulary."""
+    word = F.coalesce("word", "name")
+    size = F.length(word)
+    parts = words.select("name", "n", size.alias("size"), word.alias("word"), F.explode(F.sequence(F.lit(0), size - 1, F.lit(PART))).alias("base"))
     parts = parts.select("name", "n", "size", "base", F.expr(f"substring(word, base + 1, {PART + pieces.longest})").alias("part"))
     begins = parts.select("*", F.explode(F.expr(f"sequence(0, least({PART}, size - base) - 1)")).alias("i"))
-    spans = begins.select("*", F.explode(F.expr(f"sequence(if(base + i = 0, 0, 1), least({pieces.longest}, size - base - i))")).alias("k"))
-    spans = spans.select("name", "n", "size", (F.col("base") + F.col("i")).alias("i"), "k", F.expr("substring(part, i + 1, k)").alias("piece"))
+    shortest = 2 if pieces.fold == "merge" else 1
+    lengths = F.expr(f"case when size - base - i >= {shortest} then sequence({shortest}, least({pieces.longest}, size - base - i)) else array() end")
+    spans = begins.select("*", F.explode(F.when(F.col("base") + F.col("i") == 0, F.concat(F.array(F.lit(0)), lengths)).otherwise(lengths)).alias("k"))
+    spans = spans.select("name", "n", "size", (F.col("base") + F.col("i")).cast("long").alias("i"), "k", F.expr("substring(part, i + 1, k)").alias("piece"))
     found = spans.join(F.broadcast(piece_table(words.sparkSession, pieces)), "piece")
-    edge = F.when(F.col("k") > 0, F.struct("i", "k", "id", "score", "rank"))
+    edge = F.when(F.col("k") > 0, F.shiftleft(F.col("i") * SPAN + F.col("k"), BITS).bitwiseOR(F.col("number")))
+    if pieces.fold != "merge":
+        edge = F.when(edge.isNotNull(), F.struct(edge.alias("edge"), "score"))
     return found.groupBy("name").agg(F.min("n").alias("n"), F.min("size").alias("size"), F.collect_list(edge).alias("edges"))
 
 
@@ -191,67 +210,68 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _edge_map(pieces: Pieces, value: str) -> Column:
-    """A map from begin * (longest + 1) + length to a field of the edges."""
-    return F.map_from_entries(F.transform("edges", lambda e: F.struct(e["i"] * (pieces.longest + 1) + e["k"], e[value])))
+def _of(keys: Column, values: Column, begin: Column, end: Column) -> Column:
+    """The value of an edge, null if there is none."""
+    return F.get(values, (F.array_position(keys, end + begin * (SPAN - 1)) - 1).cast("int"))
 
 
-def fold_merge(pieces: Pieces, ranks: Column) -> Column:
-    """Ends of the spans of a word, 0 first: adjacent spans are merged along edges, best rank first, leftmost on ties."""
-    w, far = pieces.longest + 1, 2 * LONG
+def fold_merge(keys: Column, numbers: Column, ties: list[tuple[int, int]]) -> Column:
+    """Ends of the spans of a word, 0 first: adjacent spans are merged along edges, best score first, leftmost on ties."""
 
     def step(ends: Column, _: Column) -> Column:
-        def joined(k: Column) -> Column:
-            begin = F.get(ends, k - 1)
-            span = F.get(ends, k + 1) - begin
-            return F.try_element_at(ranks, F.when(span < w, begin * w + span)) * far + k
-
         def without(best: Column) -> Column:
-            k = (best % far).cast("int")
+            k = (best % SPAN).cast("int")
             return F.when(best.isNull(), ends).otherwise(F.concat(F.slice(ends, F.lit(1), k), F.slice(ends, k + 2, F.size(ends))))
 
-        return _let(F.array_min(F.when(F.size(ends) > 2, F.transform(F.sequence(F.lit(1), F.size(ends) - 2), joined))), without)
+        joined = F.transform(F.sequence(F.lit(1), F.size(ends) - 2), lambda k: _of(keys, ranks, F.get(ends, k - 1), F.get(ends, k + 1)) * SPAN + k)
+        return _let(F.array_min(F.when(F.size(ends) > 2, joined)), without)
+
+    def rank(number: Column) -> Column:
+        for a, z in ties:
+            number = F.when((number >= a) & (number < z), F.lit(a).cast("long")).otherwise(number)
+        return number
+
+    def fold(given: Column) -> Column:
+        nonlocal ranks
+        ranks = given
+        return F.aggregate(times, F.sequence(F.lit(0).cast("long"), F.col("size").cast("long")), step)
 
+    ranks = numbers
     times = F.when(F.col("size") > 1, F.sequence(F.lit(2), "size")).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(times, F.sequence(F.lit(0), "size").cast("array<int>"), step)
+    return _let(F.transform(numbers, rank), fold)
 
 
-def fold_viterbi(pieces: Pieces, scores: Column) -> Column:
-    """Ends of the spans of the path of the best sum of scores, 0 first. A character without a piece is an edge of its own,
-    ten under the least score."""
-    w, unknown = pieces.longest + 1, min((s for _, s in pieces.table.values()), default=0.0) - 10.0
+def fold_viterbi(keys: Column, scores: Column, longest: int, unknown: float) -> Column:
+    """Ends of the spans of the path of the best sum of scores, 0 first. A character without a piece is an edge of its own."""
 
     def step(nodes: Column, j: Column) -> Column:
         def come(k: Column) -> Column:
-            own = F.try_element_at(scores, (j - k) * w + k)
+            own = _of(keys, scores, j - k, j)
             s = F.when(k == 1, F.coalesce(own, F.lit(unknown))).otherwise(own)
-            return F.struct((F.get(nodes, j - k)["best"] + s).alias("best"), (j - k).alias("back"))
+            return F.struct((F.get(nodes, (j - k).cast("int"))["best"] + s).alias("best"), (j - k).alias("back"))
 
-        ways = F.transform(F.sequence(F.lit(1), F.least(j, F.lit(pieces.longest))), come)
+        ways = F.transform(F.sequence(F.lit(1).cast("long"), F.least(j, F.lit(longest).cast("long"))), come)
         return F.concat(nodes, F.array(F.array_max(F.filter(ways, lambda x: x["best"].isNotNull()))))
 
     def path(nodes: Column) -> Column:
         def back(ends: Column, _: Column) -> Column:
-            return F.when(F.get(ends, 0) == 0, ends).otherwise(F.concat(F.array(F.get(nodes, F.get(ends, 0))["back"]), ends))
+            return F.when(F.get(ends, 0) == 0, ends).otherwise(F.concat(F.array(F.get(nodes, F.get(ends, 0).cast("int"))["back"]), ends))
 
-        return F.aggregate(F.sequence(F.lit(1), "size"), F.array("size"), back)
+        return F.aggregate(F.sequence(F.lit(1), "size"), F.array(F.col("size").cast("long")), back)
 
-    start = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("back"))).cast("array<struct<best:double,back:int>>")
-    return _let(F.aggregate(F.sequence(F.lit(1), "size"), start, step), path)
+    start = F.array(F.struct(F.lit(0.0).alias("best"), F.lit(0).alias("back"))).cast("array<struct<best:double,back:bigint>>")
+    return _let(F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("size").cast("long")), start, step), path)
 
 
-def _span_ids(pieces: Pieces, ends: Column, known: Column) -> Column:
-    """Ids of the spans between ends; a character without a piece gives the ids of its bytes."""
-    w, bytes_ = pieces.longest + 1, F.array(*map(F.lit, pieces.byte_ids))
+def _numbers(ends: Column, keys: Column, numbers: Column) -> Column:
+    """Numbers of the spans between ends."""
 
     def one(k: Column) -> Column:
-        begin = F.get(ends, k - 1)
-        span = F.get(ends, k) - begin
-        raw = F.hex(F.substring("name", begin + 1, span).cast("binary"))
-        spelt = F.transform(F.sequence(F.lit(1), F.length(raw) - 1, F.lit(2)), lambda x: F.get(bytes_, F.conv(F.substring(raw, x, F.lit(2)), 16, 10).cast("int")))
-        return _let(F.try_element_at(known, begin * w + span), lambda id_: F.when(id_.isNull(), spelt).otherwise(F.array(id_)))
+        begin, end = F.get(ends, k - 1), F.get(ends, k)
+        char = CHARS + F.ascii(F.substring("name", begin.cast("int") + 1, F.lit(1)))
+        return F.when(end - begin == 1, char).otherwise(_of(keys, numbers, begin, end)).cast("int")
 
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.size(ends) - 1), one))
+    return F.transform(F.sequence(F.lit(1), F.size(ends) - 1), one)
 
 
 def heap_merge(n: int, edges: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
@@ -276,40 +296,46 @@ def heap_merge(n: int, edges: dict[tuple[int, int], int]) -> list[tuple[int, int
 
 
 def _fold_long(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """(name, n, ids) of long words of (name, n, word, edges)."""
+    """(name, n, numbers) of long words of (name, n, size, edges, word)."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = {x: a for a, z in pieces.ties for x in range(a, z)}
         for b in it:
             for at in range(b.num_rows):
-                word, e = b.column(2)[at].as_py(), b.column(3)[at].values.flatten()
-                i, k, ids, _, ranks = (x.to_pylist() for x in e)
-                spans = heap_merge(len(word), {(x, x + y): r for x, y, r in zip(i, k, ranks, strict=True)})
-                known = {(x, x + y): z for x, y, z in zip(i, k, ids, strict=True)}
-                out: list[int] = []
-                for s in spans:
-                    out.extend([known[s]] if s in known else [pieces.byte_ids[x] for x in word[slice(*s)].encode("utf-8", "surrogatepass")])
-                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + 1], b.column(1)[at : at + 1], pa.array([out], pa.list_(pa.int32()))], ["name", "n", "ids"])
+                word, edges = b.column(2)[at].as_py(), b.column(3)[at].values.to_numpy()
+                begin, size, number = (edges >> BITS) // SPAN, (edges >> BITS) % SPAN, edges & ((1 << BITS) - 1)
+                found = dict(zip(zip(begin.tolist(), (begin + size).tolist()), number.tolist()))
+                spans = heap_merge(len(word), {s: rank.get(x, x) for s, x in found.items()})
+                yield pa.RecordBatch.from_arrays([b.column(0)[at : at + 1], b.column(1)[at : at + 1], pa.array([[CHARS + ord(word[a]) if z - a == 1 else found[a, z] for a, z in spans]], pa.list_(pa.int32()))], ["name", "n", "numbers"])
 
-    return rows.select("name", "n", "word", "edges").mapInArrow(batches, "name string, n long, ids array<int>")
+    return rows.select("name", "n", "word", "edges").mapInArrow(batches, "name string, n long, numbers array<int>")
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(name, n, ids) of words (name, word, n), each once."""
-    edges = lattice(words, pieces)
-    long = (F.col("size") > LONG) if pieces.fold == "merge" else F.lit(False)
-    short = edges.where(~long)
-    fold, value = (fold_merge, "rank") if pieces.fold == "merge" else (fold_viterbi, "score")
-    ends = _let(_edge_map(pieces, value), lambda by: fold(pieces, by))
-    ids = _let(_edge_map(pieces, "id"), lambda known: _let(ends, lambda x: _span_ids(pieces, x, known)))
-    out = short.select("name", "n", ids.alias("ids"))
-    if pieces.fold != "merge":
-        return out
-    rest = edges.where(long).select("name", "n", "edges").hint("merge").join(words.where(F.length("word") > LONG).select("name", "word"), "name")
-    return out.unionByName(_fold_long(rest, pieces))
+    """(name, n, numbers) of words (name, word, n), each once. The result is written out."""
+    merge, unknown = pieces.fold == "merge", min((s for _, s in pieces.table.values()), default=0.0) - 10.0
+    edges = F.col("edges") if merge else F.col("edges.edge")
+
+    def numbers_of(keys: Column) -> Column:
+        def given(numbers: Column) -> Column:
+            ends = fold_merge(keys, numbers, pieces.ties) if merge else fold_viterbi(keys, F.col("edges.score"), pieces.longest, unknown)
+            return _let(ends, lambda x: _numbers(x, keys, numbers))
+
+        return _let(F.transform(edges, lambda e: e.bitwiseAND(F.lit((1 << BITS) - 1))), given)
+
+    folded = _let(F.transform(edges, lambda e: F.shiftright(e, BITS)), numbers_of)
+    long = (F.col("size") > LONG) if merge else F.lit(False)
+    found = lattice(words, pieces).select("name", "n", "size", F.when(~long, folded).alias("numbers"), F.when(long, edges).alias("edges"))
+    found = materialize(found, "folded-words")
+    done = found.where("numbers IS NOT NULL").select("name", "n", "numbers")
+    if not merge:
+        return done
+    texts = materialize(words.where("word IS NOT NULL").select("name", "word"), "long-words")
+    return done.unionByName(_fold_long(found.where("numbers IS NULL").hint("merge").join(texts, "name"), pieces))
 
 
 def common_words(coded: DataFrame, most: int) -> tuple[int, Broadcast]:
-    """The least count from which there are at most `most` words, and these words' ids, as an Arrow stream for all tasks."""
+    """The least count from which there are at most `most` words, and these words' numbers, as an Arrow stream for all tasks."""
     capped = 10_000
     total, least = 0, capped + 1
     for r in coded.groupBy(F.least("n", F.lit(capped)).alias("n")).count().orderBy(F.desc("n")).collect():
@@ -318,22 +344,44 @@ def common_words(coded: DataFrame, most: int) -> tuple[int, Broadcast]:
             break
         least = r["n"]
     sink = io.BytesIO()
-    table = coded.where(F.col("n") >= least).select("name", "ids").toArrow()
+    table = coded.where(F.col("n") >= least).select("name", "numbers").toArrow()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     return least, coded.sparkSession.sparkContext.broadcast(sink.getvalue())
 
 
-def _known(common: Broadcast) -> dict[str, bytes]:
-    """Names of the common words and their ids as bytes of four each; kept by a worker for the words it had last."""
+def _plain_ids(pieces: Pieces) -> np.ndarray:
+    """Id of each number, -1 for characters that are no piece."""
+    out = np.full(CHARS + 0x110000, -1, np.int32)
+    out[: len(pieces.order)] = [pieces.table[p][0] for p in pieces.order]
+    for p, (i, _) in pieces.table.items():
+        if len(p) == 1:
+            out[CHARS + ord(p)] = i
+    return out
+
+
+def ids_of(numbers: np.ndarray, pieces: Pieces, plain: np.ndarray) -> np.ndarray:
+    """Ids of numbers; characters that are no piece give the ids of their bytes."""
+    found = plain[numbers]
+    if not len(found) or found.min() >= 0:
+        return found
+    spelt = [[i] if i >= 0 else [pieces.byte_ids[v] for v in chr(x - CHARS).encode("utf-8", "surrogatepass")] for i, x in zip(found.tolist(), numbers.tolist(), strict=True)]
+    return np.array([y for x in spelt for y in x], np.int32)
+
+
+def _known(common: Broadcast, pieces: Pieces) -> dict[str, bytes]:
+    """Names of the common words and their ids as bytes of four each; a worker keeps those that it had last."""
     data = common.value
     tag = hashlib.md5(data).hexdigest()
     if tag not in _common:
         _common.clear()
         table = pa.ipc.open_stream(data).read_all()
-        ids = table.column("ids").combine_chunks()
-        offsets, values = ids.offsets.to_numpy() * 4, ids.values.to_numpy().astype(np.int32).tobytes()
-        _common[tag] = {w: values[a:z] for w, a, z in zip(table.column("name").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)}
+        numbers = table.column("numbers").combine_chunks()
+        offsets, values, plain = numbers.offsets.to_numpy(), numbers.values.to_numpy(), _plain_ids(pieces)
+        ids = plain[values]
+        raw, odd = ids.tobytes(), np.concatenate(([0], np.cumsum(ids < 0)))
+        rows = zip(table.column("name").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), (odd[offsets[1:]] > odd[offsets[:-1]]).tolist(), strict=True)
+        _common[tag] = {w: ids_of(values[a:z], pieces, plain).tobytes() if spelt else raw[4 * a : 4 * z] for w, a, z, spelt in rows}
     return _common[tag]
 
 
@@ -342,14 +390,14 @@ def rare_words(docs: DataFrame, pieces: Pieces, common: Broadcast, text_col: str
     task gives equal texts once; key is the digest of a text."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, done = re.compile(pieces.words, re.S).findall, _known(common), set()
+        find, known, done = re.compile(pieces.words, re.S).findall, _known(common, pieces), set()
         for b in it:
             keys, ats, names = [], [], []
             for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if key in done:
                     continue
                 done.add(key)
-                rare = [w for w in dict.fromkeys(map(name_of, cut(text.as_py(), find))) if w not in known]
+                rare = [x for w in dict.fromkeys(cut(text.as_py(), find)) if w not in known and (x := name_of(w)) not in known]
                 keys.extend([key] * len(rare))
                 ats.extend(range(len(rare)))
                 names.extend(rare)
@@ -371,11 +419,11 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool
     lower block mark as a blank) are added. Columns of these names in docs are replaced. Repeated rows all stay. common is the
     most words whose ids are sent to all tasks: it decides how ids come to the texts, not which."""
     kept = [c for c in docs.columns if c not in (text_col, "ids", "decoded_sha256", "exact")]
-    coded = materialize(encode_words(word_counts(docs, pieces, text_col), pieces), "coded-words")
+    coded = encode_words(word_counts(docs, pieces, text_col), pieces)
     least, sent = common_words(coded, common)
     n = partitions(docs.sparkSession)
     rare = rare_words(docs, pieces, sent, text_col).repartition(n, "name").distinct()
-    rare = rare.hint("merge").join(coded.where(F.col("n") < least).select("name", "ids"), "name").groupBy("key").agg(F.collect_list(F.struct("at", "ids")).alias("patch"))
+    rare = rare.hint("merge").join(coded.where(F.col("n") < least).select("name", "numbers"), "name").groupBy("key").agg(F.collect_list(F.struct("at", "numbers")).alias("patch"))
 
     def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
@@ -390,14 +438,15 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool
     rows = rows.mapInArrow(packed, f"{kinds}key binary, text binary").hint("merge").join(rare, "key", "left")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, unpack = re.compile(pieces.words, re.S).findall, _known(sent), zstandard.ZstdDecompressor().decompress
+        find, known, unpack = re.compile(pieces.words, re.S).findall, _known(sent, pieces), zstandard.ZstdDecompressor().decompress
+        plain = _plain_ids(pieces)
         for b in it:
             for a, z in slices([1] * b.num_rows, 500):
                 part = b.slice(a, z - a)
                 ends, each, shas, exact = [0], [], [], []
                 for text, patch in zip(part.column(len(kept)), part.column(len(kept) + 1), strict=True):
                     text = unpack(text.as_py()).decode("utf-8", "surrogatepass") if text.is_valid else ""
-                    ids = _encode(text, find, known, patch.as_py() if patch.is_valid else [])
+                    ids = _encode(text, find, known, patch.as_py() if patch.is_valid else [], pieces, plain)
                     each.append(ids)
                     ends.append(ends[-1] + len(ids) // 4)
                     if check:
@@ -412,17 +461,19 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool
     return out.select(*(F.col(i).alias(c) for i, c in zip(inner, kept, strict=True)), *out.columns[len(kept) :])
 
 
-def _encode(text: str, find, known: dict[str, bytes], patch: list[dict]) -> bytes:
+def _encode(text: str, find: Callable[[str], list[str]], known: dict[str, bytes], patch: list[dict], pieces: Pieces, plain: np.ndarray) -> bytes:
     """Ids of a text, by the common words and those of its patch."""
     if not text:
         return b""
-    rare = {p["at"]: np.array(p["ids"], np.int32).tobytes() for p in patch}
-    own: dict[str, bytes] = {}
     words = cut(text, find)
+    if not patch:
+        return b"".join([known.get(w) or known[name_of(w)] for w in words])
+    rare = {p["at"]: p["numbers"] for p in patch}
+    own: dict[str, bytes] = {}
     at = 0
     for word in dict.fromkeys(words):
-        if (ids := known.get(name_of(word))) is None:
-            ids, at = rare[at], at + 1
+        if (ids := known.get(word) or known.get(name_of(word))) is None:
+            ids, at = ids_of(np.array(rare[at], np.int64), pieces, plain).tobytes(), at + 1
         own[word] = ids
     return b"".join(map(own.__getitem__, words))
 
