@@ -16,16 +16,28 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the context's
-    own checkpoint folder. Only where neither is set (tests on one machine) is one made."""
+    own checkpoint folder. Only on one machine, where neither is set, is one made."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not path:
         if context.getCheckpointDir() is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
         path = context.getCheckpointDir()
     return path.rstrip("/")
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after them where df has columns of these names in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts the lineage with
     files that survive the loss of executors, and gives later joins true sizes."""

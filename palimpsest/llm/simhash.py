@@ -7,6 +7,12 @@ triangle inequality a pair whose coordinates differ by more than the limit anywh
 near and is discarded; survivors are verified bit by bit. Large buckets are cut into chunks, and
 each pair of chunks is a group of its own, so that no group grows with the data. A group gives
 the edges of a spanning forest of its links, not the links themselves.
+
+Texts of a Jaccard similarity of 0.8 differ in about 10 of 64 bits, too many for these blocks. `similar` takes a wide
+fingerprint of their shingle sets, 24 lanes of 64 bits; each of its 96 bands of 16 bits is a bucket key. In a bucket pairs are
+discarded by their pivot distances and by the bits of two lanes, and what hangs together is verified by the exact similarity
+of the shingle sets. A pair at 0.8 has equal bits in a band with odds of 0.8485 ** 16 and so is in no common bucket with odds of
+0.1 %, less the more alike it is. Few pairs of unlike texts are told apart by the pivots at so wide a limit; the lanes do it.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import materialize, partitions
+from palimpsest.llm.common import materialize, partitions, spare
 
 SEED = 42
 #: Widths of the five blocks of the 64 bits, from the low end.
@@ -28,6 +34,13 @@ BLOCKS = (13, 13, 13, 13, 12)
 PIVOTS = 32
 #: Rows of a bucket that one chunk holds on average.
 CHUNK = 1024
+#: Lanes of a wide fingerprint, bits by which two lanes of near texts may differ (also the pivots' limit),
+#: and the least similarity of near texts, as a fraction.
+LANES, WIDE_BITS, NEAR = 24, 36, (4, 5)
+#: Pivots of a wide search.
+WIDE_PIVOTS = 4
+#: The most nodes in groups that are sent to all executors, about 50 bytes each; more are joined by merging.
+BROADCAST = 500_000
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _LANES = (np.arange(8) * 256).astype(np.int64)
@@ -81,11 +94,11 @@ def _keys(fp: Column) -> Column:
     )
 
 
-def _forest(group: np.ndarray, fp: np.ndarray, node: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (larger node, smaller node) of a spanning forest of the links inside each group.
-    group is sorted; rows of a group are compared with those k places on, k = 1, 2, ..."""
-    n = len(fp)
-    refs = pivots()
+def _forest(group: np.ndarray, lanes: np.ndarray, node: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (larger node, smaller node) of a spanning forest of the links inside each group: pairs whose lanes (one column or
+    two of 64 bits) differ by max_bits or less. group is sorted; rows of a group are compared with those k places on, k = 1, 2, ..."""
+    n, fp = len(lanes), lanes[:, 0]
+    refs = pivots(PIVOTS if max_bits <= 3 else WIDE_PIVOTS)
     table = np.bitwise_count(fp[:, None] ^ refs).astype(np.int8)
     last = np.searchsorted(group, group, side="right")  # end of each row's group
     parent = np.arange(n)
@@ -103,12 +116,12 @@ def _forest(group: np.ndarray, fp: np.ndarray, node: np.ndarray, max_bits: int)
         if not len(rows):
             break
         left = rows
-        for c in range(0, PIVOTS, 4):  # coordinates in fours; few pairs get past the first
+        for c in range(0, len(refs), 4):  # coordinates in fours; few pairs get past the first
             near = (np.abs(table[left, c : c + 4] - table[left + k, c : c + 4]) <= max_bits).all(axis=1)
             left = left[near]
             if not len(left):
                 break
-        left = left[np.bitwise_count(fp[left] ^ fp[left + k]) <= max_bits]
+        left = left[np.bitwise_count(lanes[left] ^ lanes[left + k]).sum(axis=1) <= max_bits]
         for i in left.tolist():
             a, b = root(i), root(i + k)
             if a != b:
@@ -125,20 +138,28 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
     nodes: (fp long, node long), each fp once. max_bits may be 0 to 3."""
     if not 0 <= max_bits <= 3:
         raise ValueError("two of five blocks agree only for distances up to 3")
-    n = partitions(nodes.sparkSession)
-    keyed = nodes.select("fp", "node", F.explode(_keys(F.col("fp"))).alias("bucket"))
+    return bucket_links(nodes.select(F.explode(_keys(F.col("fp"))).alias("bucket"), "node", "fp"), max_bits)
+
+
+def bucket_links(keyed: DataFrame, max_bits: int) -> DataFrame:
+    """Edges (u > v) of spanning forests of the near pairs inside buckets. keyed: (bucket, node long, one or more lanes long)."""
+    n, lanes = partitions(keyed.sparkSession), keyed.columns[2:]
     crowded = keyed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    chunk = F.pmod(F.xxhash64(*lanes), F.col("chunks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
     pairs = (
         keyed.hint("merge").join(crowded, "bucket")
         .withColumn("chunks", chunks).withColumn("chunk", chunk)
-        .select("bucket", "fp", "node", "chunk", other)
-        .select("bucket", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "fp", "node")
+        .select("bucket", *lanes, "node", "chunk", other)
+        .select("bucket", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "node", *lanes)
     )
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges(group: np.ndarray, cols: list[np.ndarray]) -> pa.RecordBatch:
+            u, v = _forest(group, np.stack(cols[4:], axis=1).view(np.uint64), cols[3], max_bits)
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
         kept: list[np.ndarray] | None = None  # rows of the group that may go on in the next batch
         for b in it:
             cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns]
@@ -153,13 +174,11 @@ def links(nodes: DataFrame, max_bits: int = 3) -> DataFrame:
             group = np.cumsum(group)
             kept = [c[cut:] for c in cols]
             if cut:
-                u, v = _forest(group[:cut], cols[3][:cut].view(np.uint64), cols[4][:cut], max_bits)
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+                yield edges(group[:cut], [c[:cut] for c in cols])
         if kept is not None and len(kept[0]):
-            u, v = _forest(np.zeros(len(kept[0]), np.int64), kept[3].view(np.uint64), kept[4], max_bits)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            yield edges(np.zeros(len(kept[0]), np.int64), kept)
 
-    dealt = pairs.repartition(n, "bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2", "fp")
+    dealt = pairs.repartition(n, "bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2", *lanes)
     return dealt.mapInArrow(batches, "u long, v long").distinct()
 
 
@@ -203,12 +222,144 @@ def hex16(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
-    """One row of each component, with all columns of docs: that of the smallest id (of rows that agree
-    in id, one). Rows with a null id link nothing and all stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    heads = materialize(found.where("doc_id = component_id").select("doc_id").distinct(), "heads")
-    kept = docs.where(F.col(id_col).isNotNull()).hint("merge").join(heads.withColumnRenamed("doc_id", id_col), id_col, "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    kept = kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n")
+def shingles(text: str | None, size: int = 5) -> np.ndarray:
+    """The set of a text's word shingles as sorted XXH64 values; A-Z are lower-cased. Fewer words are one shingle; no word: none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n, joined = len(words), b" ".join(words)
+    if n <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)] if n else [], np.uint64)
+    ends = np.cumsum([len(x) + 1 for x in words])
+    begins = np.concatenate(([0], ends[: n - size])).tolist()
+    hash_of = xxhash.xxh64_intdigest
+    return np.unique(np.array([hash_of(joined[a:b], SEED) for a, b in zip(begins, (ends[size - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def wide_fingerprint(own: np.ndarray) -> np.ndarray:
+    """Lanes of 64 bits of a set of shingles: a bit is 1 if set in over half of its hashes, mixed anew for each lane."""
+    counts, odd = np.zeros(LANES * 2048, np.int64), _LANE_MIX
+    for a in range(0, len(own), 4096):
+        h = own[a : a + 4096, None] * odd
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        counts += np.bincount((h.view(np.uint8).reshape(len(h), -1) + _LANE_BYTES).ravel(), minlength=LANES * 2048)
+    ones = counts.reshape(-1, 256).astype(np.float32) @ _BITS.astype(np.float32)
+    return np.packbits((ones * 2 > len(own)).ravel(), bitorder="little").view(np.uint64)
+
+
+_LANE_MIX = np.random.default_rng(13).integers(1, 2**63, LANES, np.uint64) * np.uint64(2) + np.uint64(1)
+_LANE_BYTES = (np.arange(LANES * 8) * 256).astype(np.int64)
+
+
+def similar_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of all pairs of sets of a Jaccard similarity of NEAR or more."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    rows = np.repeat(np.arange(n), sizes)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    by_column = np.argsort(column, kind="stable")
+    holders, ends = rows[by_column], np.cumsum(np.bincount(column, minlength=len(values)))
+    begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    label, out = np.arange(n), []
+    for i in range(n - 1):
+        if len(out) == n - 1:
+            break
+        mine = column[offsets[i] : offsets[i + 1]]
+        mine = mine[ends[mine] - begins[mine] > 1]
+        if not len(mine):
+            continue
+        shared = np.bincount(np.concatenate([holders[a:z] for a, z in zip(begins[mine].tolist(), ends[mine].tolist(), strict=True)]), minlength=n)
+        near = sum(NEAR) * shared >= NEAR[0] * (sizes[i] + sizes)  # shared / (all - shared) >= the fraction
+        near[: i + 1] = False
+        for j in np.flatnonzero(near & (label != label[i])).tolist():
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
+    return out
+
+
+def groups_of(hangs: DataFrame) -> DataFrame:
+    """(node, g, c1, c2): nodes of a component, given as (node, component) without its smallest node, share a group. A component
+    of many nodes is cut into chunks, and each pair of its chunks is a group."""
+    hangs = materialize(hangs.unionByName(hangs.select(F.col("component").alias("node"), "component").distinct()), "hangs")
+    size = hangs.groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    rows = hangs.hint("merge").join(size, "component").select("node", F.col("component").alias("g"), chunk.alias("chunk"), other)
+    return rows.select("node", "g", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"))
+
+
+def similar_links(placed: DataFrame, heads: DataFrame, texts: DataFrame, words_per_shingle: int) -> DataFrame:
+    """Edges (u > v) that connect the same components as all near pairs inside groups. placed: (node, g, c1, c2); heads: (node,
+    head of doc_id and text_hash); texts: (doc_id, text_hash, text), from which the nodes' whole sets are taken."""
+    placed = materialize(placed.hint("merge").join(heads, "node").select("head.doc_id", "head.text_hash", "node", "g", "c1", "c2"), "placed")
+    side = placed.hint("broadcast" if placed.count() <= BROADCAST else "merge")
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edges() -> pa.RecordBatch:
+            found = np.array([(group[i], group[j]) for i, j in similar_forest(list(sets.values()))] if len(group) > 1 else [], np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(found.max(axis=1)), pa.array(found.min(axis=1))], ["u", "v"])
+
+        at, group, sets = None, [], {}
+        for b in it:
+            keys = list(zip(*(c.to_pylist() for c in b.columns[:3]), strict=True))
+            for k, (key, node) in enumerate(zip(keys, b.column(3).to_pylist(), strict=True)):
+                if key != at:
+                    if len(group) > 1:
+                        yield edges()
+                    at, group, sets = key, [], {}
+                if node not in sets:  # a row may be given more than once
+                    group.append(node)
+                    sets[node] = shingles(b.column(4)[k].as_py(), words_per_shingle)
+        yield edges()
+
+    n = partitions(placed.sparkSession)
+    dealt = texts.join(side, ["doc_id", "text_hash"]).select("g", "c1", "c2", "node", "text").repartition(n, "g", "c1", "c2").sortWithinPartitions("g", "c1", "c2", "node")
+    return dealt.mapInArrow(batches, "u long, v long").distinct()
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+    """(doc_id, text_hash, component) for every row with an id: rows are in one component if a chain of pairs of a Jaccard similarity
+    of NEAR or more over word shingles leads from one to the other. Texts of equal sets are near, null, empty and blank ones
+    too. Repeated ids are told apart by text_hash, which is that of the text as given. Extra columns are not carried; an
+    empty table gives no rows."""
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+
+    def fingerprint(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            sets = [shingles(t.as_py(), words_per_shingle) for t in b.column(2)]
+            nodes = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED) for own in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array([wide_fingerprint(own).tobytes() for own in sets], pa.binary())], ["doc_id", "text_hash", "node", "lanes"])
+
+    def bands(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for a in range(0, b.num_rows, 1000):
+                lanes = np.frombuffer(b"".join(b.column(1)[a : a + 1000].to_pylist()), np.uint64).reshape(-1, LANES)
+                keys = lanes.view(np.uint16).astype(np.int32)
+                keys += np.arange(keys.shape[1], dtype=np.int32) << 16
+                each = [np.repeat(x, keys.shape[1]) for x in (b.column(0)[a : a + 1000].to_numpy(), lanes[:, 0].view(np.int64), lanes[:, 1].view(np.int64))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *each)], ["bucket", "node", "a", "b"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    found = materialize(texts.mapInArrow(fingerprint, f"doc_id {kind}, text_hash long, node long, lanes binary"), "fingerprints")
+    nodes = materialize(found.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"), F.min("lanes").alias("lanes")), "nodes")
+    keyed = nodes.select("node", "lanes").mapInArrow(bands, "bucket int, node long, a long, b long")
+    member = components(similar_links(groups_of(components(bucket_links(keyed, WIDE_BITS))), nodes.select("node", "head"), texts, words_per_shingle))
+    return found.select("doc_id", "text_hash", "node").hint("merge").join(member, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component of found (doc_id, text_hash, component), with all columns of docs: that of the smallest id, then of
+    the smallest hash of its text. Rows with a null id all stay."""
+    own, text, place = spare(docs, "own_id", "own_hash", "place")
+    heads = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("h")).select(F.col("h.doc_id").alias(own), F.col("h.text_hash").alias(text))
+    heads = materialize(heads, "heads")
+    rows = docs.where(F.col(id_col).isNotNull()).withColumns({own: F.col(id_col), text: F.xxhash64(text_col)})
+    kept = rows.hint("merge").join(heads, [own, text], "left_semi")
+    one = Window.partitionBy(own, text).orderBy(F.xxhash64(*docs.columns))
+    kept = kept.withColumn(place, F.row_number().over(one)).where(F.col(place) == 1)
     return kept.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5) -> DataFrame:
+    """One row of each component of similar texts, with all columns of docs; rows with a null id link nothing and all stay."""
+    return one_of_each(docs, similar(docs, id_col, text_col, words_per_shingle), id_col, text_col)

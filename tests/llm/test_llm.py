@@ -9,7 +9,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from palimpsest.llm import fingerprint, html_cut, langid, mixing, near_copies, pieces, quality_net, quality_rules, simhash, toxicity, warc_audit
+from palimpsest.llm import fingerprint, html_cut, langid, mixing, pieces, quality_net, quality_rules, simhash, toxicity, warc_audit
 from palimpsest.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -261,8 +261,8 @@ def test_near_dedup_stage_by_brute_force(spark):
     for r, row in zip(root, rows):
         heads.setdefault(r, []).append(row)
     docs = spark.createDataFrame([*rows, (None, "one"), (None, "one")], "doc_id long, text string")
-    for chunk, sample in ((1024, 20_000), (2, 50)):  # with every list in one chunk, and cut into many
-        near_copies.CHUNK, near_copies.SAMPLE = chunk, sample
+    for chunk in (1024, 2):  # with every group in one chunk, and cut into many
+        simhash.CHUNK = chunk
         out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()]
         assert out.count((None, "one")) == 2
         kept = [r for r in out if r[0] is not None]
@@ -270,7 +270,7 @@ def test_near_dedup_stage_by_brute_force(spark):
         for members in heads.values():  # one row of each component, of its smallest id
             mine = [r for r in kept if r in members]
             assert len(mine) == 1 and mine[0][0] == min(i for i, _ in members)
-    near_copies.CHUNK, near_copies.SAMPLE = 1024, 20_000
+    simhash.CHUNK = 1024
 
 
 def test_unigram_fold_by_brute_force(spark):
