@@ -26,20 +26,19 @@ CLASSES = 64
 
 @lru_cache(1)
 def _letter_of() -> np.ndarray:
-    """Class of each code point of the basic plane; letters beyond share a class."""
-    out = np.zeros(0x10001, np.uint8)
-    for cp in range(0x10000):
-        c = chr(cp)
-        if c.isalpha():
-            out[cp] = cp - 96 if 97 <= cp <= 122 else 27 + cp * 2654435761 % 2**32 % (CLASSES - 27)
-    out[0x10000] = CLASSES - 1
+    """Class of each code point; letters beyond the basic plane share one."""
+    out = np.zeros(0x110000, np.uint8)
+    letters = np.array([cp for cp in range(0x110000) if chr(cp).isalpha()], np.int64)
+    out[letters] = 27 + letters * 2654435761 % 2**32 % (CLASSES - 27)
+    out[letters[letters > 0xFFFF]] = CLASSES - 1
+    out[97:123] = np.arange(1, 27)
     return out
 
 
 def trigrams(text: str | None) -> np.ndarray:
     """Codes of a text's letter trigrams; words are framed by one non-letter. No letter: none."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = _letter_of()[np.minimum(points, 0x10000)]
+    c = _letter_of()[points]
     c = np.concatenate((np.zeros(1, np.uint8), c, np.zeros(1, np.uint8))).astype(np.int32)
     c = c[np.concatenate(([True], (c[1:] != 0) | (c[:-1] != 0)))]  # runs of non-letters count once
     if len(c) < 3:
