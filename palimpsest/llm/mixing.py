@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WORD, materialize
+from palimpsest.llm.common import WORD, materialize, spare
 
 #: Fixed values of the weights, in order of the sources, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -101,11 +101,11 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """The mixed rows themselves, each as often as it was taken, with all columns of docs. Rows that
     agree in id and text share their copies as evenly as can be."""
     seed = options.get("seed", "mix")
-    taken = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").groupBy("key").agg(F.sum("copies").alias("copies"))
-    keyed = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col), seed))
-    same = Window.partitionBy("__key")
-    keyed = keyed.hint("merge").join(taken.withColumnRenamed("key", "__key").withColumnRenamed("copies", "__copies"), "__key")
-    keyed = keyed.withColumn("__n", F.count("*").over(same)).withColumn("__r", F.row_number().over(same.orderBy("__copies")))
-    times = F.floor(F.col("__copies") / F.col("__n")) + (F.col("__r") <= F.col("__copies") % F.col("__n")).cast("long")
-    keyed = keyed.withColumn("__times", times).where("__times > 0")
-    return keyed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    key, copies, n, r, times, copy = spare(docs, "own_key", "copies", "n_rows", "row_no", "times", "copy_no")
+    taken = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies))
+    keyed = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col), seed)).hint("merge").join(taken, key)
+    same = Window.partitionBy(key)
+    keyed = keyed.withColumn(n, F.count("*").over(same)).withColumn(r, F.row_number().over(same.orderBy(F.xxhash64(*docs.columns))))
+    each = F.floor(F.col(copies) / F.col(n)) + (F.col(r) <= F.col(copies) % F.col(n)).cast("long")
+    keyed = keyed.withColumn(times, each).where(F.col(times) > 0)
+    return keyed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
