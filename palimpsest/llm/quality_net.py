@@ -2,9 +2,10 @@
 
 Tokens (runs of letters, of digits or of one mark) fall into rows by hash, words in capitals into rows of
 their own. Each row has a sparse random index vector; a row's word vector is the sum of the index
-vectors of its neighbours in all texts. A document is the mean and the spread of its
-tokens' vectors, and how often a vector returns within a few places. A network with one hidden layer is trained on labelled documents, and its
-probabilities are calibrated with a temperature on rows that it wasn't trained on.
+vectors of its neighbours in all texts. A document is the mean and the spread of its tokens' vectors. A network with one
+hidden layer is trained on labelled documents, and its probabilities are calibrated with a temperature on rows that it wasn't
+trained on. By the loss on the same rows it is decided whether the network also sees how often a vector returns within a few
+places.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import WHITE, joined_bytes, slices
 from palimpsest.llm.toxicity import sigmoid
 
-ROWS_PER_KIND = 4096
-#: Kinds of rows: words, words in capitals, digits, marks.
-ROWS = 4 * ROWS_PER_KIND
+#: Rows of words (letters that aren't all capitals), and of each other kind: words in capitals, digits, marks.
+WORD_ROWS, ROWS_PER_KIND = 65_536, 4096
+ROWS = WORD_ROWS + 3 * ROWS_PER_KIND
+#: Bytes of text that are counted at a time.
+SLICE = 4_000_000
 DIM = 32
 NONZERO = 4
 REACH = 2
@@ -65,8 +68,8 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     h = (h >> np.uint64(40)).astype(np.int64)
     capitals = (np.add.reduceat(_UPPER[a], run) == length) & (length > 1)
-    h = np.where(kind == 2, length, np.where(kind == 3, a[run].astype(np.int64) * 4 + np.minimum(length, 3), h)) % ROWS_PER_KIND
-    rows = h + ROWS_PER_KIND * np.where(kind == 1, capitals, kind).astype(np.int64)
+    other = np.where(kind == 2, length, np.where(kind == 3, a[run].astype(np.int64) * 4 + np.minimum(length, 3), h)) % ROWS_PER_KIND
+    rows = np.where((kind == 1) & ~capitals, h % WORD_ROWS, WORD_ROWS + other + ROWS_PER_KIND * np.where(kind == 1, 0, kind.astype(np.int64) - 1))
     keep = kind != 0
     return rows[keep], np.concatenate(([0], np.cumsum(keep)))[np.searchsorted(run, starts)]
 
@@ -78,7 +81,7 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ROWS * DIM)
         for b in it:
-            for s, z in slices(_lengths(b.column(0)), 1_000_000):
+            for s, z in slices(_lengths(b.column(0)), SLICE):
                 rows, first = tokens(b.column(0)[s:z].to_pylist())
                 text = np.repeat(np.arange(z - s, dtype=np.int32), np.diff(first))
                 for reach in range(1, REACH + 1):
@@ -138,28 +141,19 @@ class Network:
     temperature: float
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh((x - self.center) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
+        return np.tanh((x[:, : len(self.center)] - self.center) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.logits(x) / self.temperature)
 
 
-def fit(x: np.ndarray, y: np.ndarray, epochs: int = 300, decay: float = 1e-3, seed: int = 9) -> Network:
-    """Train on four fifths of the rows; choose the temperature on the rest. Fewer than ten rows or one label
-    alone give a constant."""
-    rng = np.random.default_rng(seed)
-    width = x.shape[1] if x.ndim == 2 and x.size else WIDTH
-    if len(y) < 10 or len(set(y.tolist())) < 2:
-        odds = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-        return Network(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), odds, 1.0)
-    order = rng.permutation(len(y))
-    rest, train = order[: len(y) // 5], order[len(y) // 5 :]
-    center, scale = x[train].mean(axis=0), x[train].std(axis=0) + 1e-6
-    z, t = (x[train] - center) / scale, y[train].astype(float)
+def _train(x: np.ndarray, y: np.ndarray, epochs: int, decay: float, rng: np.random.Generator) -> Network:
+    center, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+    z, t, width = (x - center) / scale, y.astype(float), x.shape[1]
     params = [rng.normal(0, width**-0.5, (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    for _ in range(epochs // 10):
+    for _ in range(epochs):
         for batch in np.array_split(rng.permutation(len(t)), max(1, len(t) // 256)):
             h = np.tanh(z[batch] @ params[0] + params[1])
             g = (sigmoid(h @ params[2] + params[3]) - t[batch]) / len(batch)
@@ -170,21 +164,38 @@ def fit(x: np.ndarray, y: np.ndarray, epochs: int = 300, decay: float = 1e-3, se
                 m[k] = 0.9 * m[k] + 0.1 * gr
                 v[k] = 0.999 * v[k] + 0.001 * gr * gr
                 params[k] -= 0.004 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    net = Network(center, scale, params[0], params[1], params[2], float(params[3][0]), 1.0)
-    own, truth = net.logits(x[rest]), y[rest]
+    return Network(center, scale, params[0], params[1], params[2], float(params[3][0]), 1.0)
+
+
+def fit(x: np.ndarray, y: np.ndarray, epochs: int = 30, decay: float = 1e-3, seed: int = 9) -> Network:
+    """Train on four fifths of the rows, once with and once without the shares of returning tokens (the last RETURNS features);
+    the rest of the rows, by their loss at the best temperature, choose between the two. Fewer than ten rows or one label
+    alone give a constant."""
+    rng = np.random.default_rng(seed)
+    width = x.shape[1] if x.ndim == 2 and x.size else WIDTH
+    if len(y) < 10 or len(set(y.tolist())) < 2:
+        odds = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+        return Network(np.zeros(width), np.ones(width), np.zeros((width, 1)), np.zeros(1), np.zeros(1), odds, 1.0)
+    order = rng.permutation(len(y))
+    rest, train = order[: len(y) // 5], order[len(y) // 5 :]
+    ways = []
+    for columns in (width - RETURNS, width):
+        net = _train(x[train, :columns], y[train], epochs, decay, np.random.default_rng(seed))
+        own, truth = net.logits(x[rest]), y[rest]
 
-    def loss(temperature: float) -> float:
-        p = np.clip(sigmoid(own / temperature), 1e-9, 1 - 1e-9)
-        return float(-(truth * np.log(p) + (1 - truth) * np.log(1 - p)).mean())
+        def loss(temperature: float, own: np.ndarray = own, truth: np.ndarray = truth) -> float:
+            p = np.clip(sigmoid(own / temperature), 1e-9, 1 - 1e-9)
+            return float(-(truth * np.log(p) + (1 - truth) * np.log(1 - p)).mean())
 
-    net.temperature = min(np.geomspace(0.25, 8, 101).tolist(), key=loss)
-    return net
+        net.temperature = min(np.geomspace(0.25, 8, 101).tolist(), key=loss)
+        ways.append((loss(net.temperature), columns, net))
+    return min(ways, key=lambda w: w[:2])[2]
 
 
 def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, text_col: str = "text", limit: int = TRAIN_ROWS) -> Network:
     """Fit on the texts of docs (doc_id, text) that at most limit rows of labels (doc_id, label 0 or 1) cover, chosen by
     a hash of doc_id. Only their features come to the driver."""
-    chosen = labels.where(F.col("label").isin(0, 1)).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = labels.where(F.col("label").isin(0, 1)).select("doc_id", "label").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(limit)
     rows = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +205,9 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, text_col: str
                 features = pa.ListArray.from_arrays(np.arange(z - a + 1, dtype=np.int32) * x.shape[1], x.ravel())
                 yield pa.RecordBatch.from_arrays([b.column(0)[a:z], b.column(2)[a:z], features], ["doc_id", "label", "features"])
 
-    found = rows.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(batches, "doc_id long, label int, features array<float>").limit(2 * limit).toPandas()
-    found = found.sort_values(["doc_id", "label"], kind="stable")
+    found = rows.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(batches, "doc_id long, label int, features array<float>")
+    # Of rows that agree in id one is learned from.
+    found = found.groupBy("doc_id", "label").agg(F.min("features").alias("features")).toPandas().sort_values(["doc_id", "label"])
     x = np.stack(found["features"].to_list()) if len(found) else np.empty((0, WIDTH))
     return fit(x.astype(np.float64), found["label"].to_numpy(np.int64))
 
