@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import WHITE, joined_bytes, slices
@@ -25,8 +25,9 @@ ORDERS = (3, 4, 5)
 TABLE_BITS = 18
 DIM = 8
 WINDOW = 4
-#: Most labelled rows of each label that are learned from, chosen by a hash of their ids.
-TRAIN_ROWS = {1: 900, 0: 1500}
+#: Most labelled rows of each label that are learned from, in the order of a hash of their ids, and most bytes of their
+#: texts: a text with which all before it would pass the bytes is left out, so that the driver's share is bounded.
+TRAIN_ROWS, TRAIN_BYTES = {1: 900, 0: 1500}, 24_000_000
 
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[[*WHITE]] = True
@@ -183,15 +184,20 @@ def fit(texts: list[str | None], labels: np.ndarray, prevalence: float | None =
 
 def learn_from(docs: DataFrame, labels: DataFrame, limits: dict[int, int] | None = None) -> Model:
     """Fit on the texts of docs (doc_id, text) that labels (doc_id, label 0 or 1) covers: at most
-    limits[label] rows of each label, by a hash of doc_id, with their whole texts."""
+    limits[label] rows of each label, by a hash of doc_id, with their whole texts, up to TRAIN_BYTES. Of rows that agree in id
+    one is learned from."""
     limits = limits or TRAIN_ROWS
-    labels = labels.where(F.col("label").isin(0, 1))
+    labels = labels.where(F.col("label").isin(0, 1)).select("doc_id", "label").distinct()
     shares = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     chosen = None
     for label, most in limits.items():
         some = labels.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").limit(2 * sum(limits.values())).toPandas().sort_values(["doc_id", "label"])
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label")  # over the chosen rows alone
+    rows = rows.withColumn("so_far", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("so_far") <= TRAIN_BYTES)
+    rows = rows.select("doc_id", "label", "text").toPandas().sort_values(["doc_id", "label"])
     total = sum(shares.values())
     return fit(rows["text"].to_list(), rows["label"].to_numpy(np.int64), shares.get(1, 0) / total if total else None)
 
