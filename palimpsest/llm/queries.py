@@ -26,11 +26,14 @@ def op3_html_minimum_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica of all pages in which records are damaged (page_id % 50 = 7: a first character is
-    put before the html) or lost (page_id % 50 = 9)."""
+    put before the html), lost (page_id % 50 = 9) or added (page_id % 50 = 13: the first replica lacks them)."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     hurt = F.when(F.col("page_id") % 50 == 7, F.concat(F.lit("#"), F.coalesce("html", F.lit("")))).otherwise(F.col("html"))
-    replica = pages.where(F.coalesce(F.col("page_id") % 50 != 9, F.lit(True))).withColumn("html", hurt)
-    return warc_audit.audit(pages, replica)
+
+    def without(remainder: int) -> DataFrame:
+        return pages.where(F.coalesce(F.col("page_id") % 50 != remainder, F.lit(True)))
+
+    return warc_audit.audit(without(13), without(9).withColumn("html", hurt))
 
 
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,11 +81,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 _CRLF = "chr(13) || chr(10)"
+_RECORD = f"""'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {_CRLF} || 'WARC-Target-URI: ' || coalesce(url, '') || {_CRLF}
+ || 'Content-Type: text/html' || {_CRLF} || 'Content-Length: ' || strlen(html) || {_CRLF} || {_CRLF} || html || {_CRLF} || {_CRLF}"""
+_PLACED = """select page_id, page_id // 1000 as warc_file, cast(coalesce(sum(strlen(rec)) over (partition by page_id // 1000 order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as record_offset,
+ cast(strlen(rec) as bigint) as record_length, sha256(rec) as record_sha256"""
 #: The others have no SQL: they are tested against brute force, exact round trips or held-out labels.
 SQL: dict[str, str] = {
-    "op4_warc_merkle_audit": f"""with r as (select page_id, page_id // 1000 as warc_file, page_id % 1000 as slot,
- 'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC-Record-ID: <urn:page:' || page_id || '>' || {_CRLF} || 'WARC-Target-URI: ' || coalesce(url, '') || {_CRLF}
- || 'Content-Type: text/html' || {_CRLF} || 'Content-Length: ' || strlen(coalesce(html, '')) || {_CRLF} || {_CRLF} || coalesce(html, '') || {_CRLF} || {_CRLF} as rec from pages)
-select page_id, warc_file, cast(coalesce(sum(strlen(rec)) over (partition by warc_file order by slot rows between unbounded preceding and 1 preceding), 0) as bigint) as record_offset,
- cast(strlen(rec) as bigint) as record_length, sha256(rec) as record_sha256, case page_id % 50 when 7 then 'corrupt' when 9 then 'missing' else 'intact' end as status from r""",
+    "op4_warc_merkle_audit": f"""with a as (select page_id, url, coalesce(html, '') as html from pages where page_id % 50 <> 13),
+ b as (select page_id, url, case when page_id % 50 = 7 then '#' else '' end || coalesce(html, '') as html from pages where page_id % 50 <> 9),
+ ra as (select page_id, {_RECORD} as rec from a), rb as (select page_id, {_RECORD} as rec from b)
+ {_PLACED}, case page_id % 50 when 7 then 'corrupt' when 9 then 'missing' else 'intact' end as status from ra
+ union all select * from ({_PLACED}, 'extra' as status from rb) where page_id % 50 = 13""",
 }
