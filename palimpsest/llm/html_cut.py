@@ -1,9 +1,11 @@
 """Main text of web pages by minimum cut.
 
-A page is cut into blocks of text. A linear classifier over each block's ancestors, links and
-length gives the cost of calling it content or boilerplate; these are the capacities of its edges
-to the two terminals. Neighbouring blocks, and blocks that share a container, are tied by smoothness
-edges that weaken with their distance in the document tree. The minimum cut labels the page.
+The nodes of a page's graph are its blocks of text and the elements that contain them. A linear classifier gives the cost of
+calling a node content or boilerplate, and so the capacities of its edges to the two terminals: for a block by its own
+text alone (length and links), for an element by its tag and its names, counted once for each block inside of it. Most elements
+say nothing. Smoothness edges tie a block to its element, an element to the one around it, and neighbouring blocks to each other, the
+less the farther apart they are in the document tree. The minimum cut labels all nodes at once, so that the text of
+a comment goes with its container, and a short line of an article with the article.
 """
 
 from __future__ import annotations
@@ -11,8 +13,8 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,8 +49,9 @@ _BAD = frozenset(
 _GOOD = frozenset("article articlebody content main body story post entry text maincontent".split())
 _AD_LEADS = -7.0
 _NAMED_GOOD = 1.5
-#: Smoothness: neighbours in page order, blocks of the same container, and what a step in the tree divides by.
-ADJACENT, SIBLING, STEP = 1.2, 0.8, 1.0
+#: Smoothness: neighbours in page order, a block and its element, an element and the one around it, and what a step in the
+#: tree divides by.
+ADJACENT, INSIDE, AROUND, STEP = 1.2, 6.0, 4.0, 1.0
 
 
 def _own_score(tag: str, attrs: str) -> float:
@@ -67,26 +70,38 @@ def _own_score(tag: str, attrs: str) -> float:
 
 
 class _Block:
-    __slots__ = ("chars", "linked", "path", "score", "text")
+    """A block of text: its code points, those in links, the element around it and what inline elements say of it."""
 
-    def __init__(self, text: str, linked: int, score: float, path: tuple[int, ...]) -> None:
-        self.text, self.chars, self.linked, self.score, self.path = text, len(text), linked, score, path
+    __slots__ = ("box", "chars", "linked", "score", "text")
 
+    def __init__(self, text: str, linked: int, score: float, box: int) -> None:
+        self.text, self.chars, self.linked, self.score, self.box = text, len(text), linked, score, box
 
-def blocks(page: str) -> list[_Block]:
-    """Text blocks in page order, references decoded and white space made single blanks. Tags may be
+
+class _Box(NamedTuple):
+    """An element: the element around it (-1: none), its depth, and what its tag and names say."""
+
+    around: int
+    depth: int
+    score: float
+
+
+def blocks(page: str) -> tuple[list[_Block], list[_Box]]:
+    """Text blocks in page order, references decoded and white space made single blanks, and the elements. Tags may be
     unclosed or cut off; markup never becomes text."""
     out: list[_Block] = []
-    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # tag, score with all ancestors, number of the element
+    boxes = [_Box(-1, 0, 0.0)]
+    stack: list[tuple[str, float, int]] = [("", 0.0, 0)]  # tag, score of inline elements open inside the box, box
+    opened: dict[str, int] = {}  # how many elements of a tag are open
     parts: list[str] = []
-    linked = links = serial = 0
+    linked = links = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append(_Block(text, min(linked, len(text)), stack[-1][1], tuple(e[2] for e in stack if e[0] not in _INLINE)))
+                out.append(_Block(text, min(linked, len(text)), stack[-1][1], stack[-1][2]))
             parts.clear()
         linked = 0
 
@@ -98,7 +113,9 @@ def blocks(page: str) -> list[_Block]:
 
     def close_to(depth: int) -> None:
         nonlocal links
-        links -= sum(e[0] == "a" for e in stack[depth:])
+        for tag, _, _ in stack[depth:]:
+            opened[tag] -= 1
+            links -= tag == "a"
         del stack[depth:]
 
     at = 0
@@ -117,9 +134,12 @@ def blocks(page: str) -> list[_Block]:
         if m[2]:
             if not inline:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth and not (inline and any(e[0] not in _INLINE for e in stack[depth + 1 :])):
-                close_to(depth)
+            if opened.get(tag):
+                depth = len(stack) - 1
+                while stack[depth][0] != tag and not (inline and stack[depth][0] not in _INLINE):
+                    depth -= 1
+                if stack[depth][0] == tag:
+                    close_to(depth)
             continue
         if not inline:
             flush()
@@ -134,13 +154,19 @@ def blocks(page: str) -> list[_Block]:
                     break
         if tag in _VOID or m[4].endswith("/"):
             continue
-        serial += 1
-        stack.append((tag, stack[-1][1] + _own_score(tag, m[4]), serial))
+        own = _own_score(tag, m[4])
+        if inline:
+            stack.append((tag, stack[-1][1] + own, stack[-1][2]))
+        else:
+            around = stack[-1][2]
+            boxes.append(_Box(around, boxes[around].depth + 1, own))
+            stack.append((tag, 0.0, len(boxes) - 1))
+        opened[tag] = opened.get(tag, 0) + 1
         links += tag == "a"
     if at < len(page):
         add(page[at:])
     flush()
-    return out
+    return out, boxes
 
 
 def _softplus(x: float) -> float:
@@ -148,86 +174,106 @@ def _softplus(x: float) -> float:
 
 
 def costs(block: _Block) -> tuple[float, float]:
-    """Costs of the labels content and boilerplate, from the classifier's log odds."""
+    """Costs of the labels content and boilerplate of a block, from the log odds of its own text."""
     share = block.linked / max(block.chars, 1)
     z = block.score - 0.5 - 4.0 * share + 0.8 * min(math.log1p(block.chars / 40), 3.0)
     return _softplus(-z), _softplus(z)
 
 
-def _distance(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    return len(a) + len(b) - 2 * same
+def _distance(a: int, b: int, boxes: list[_Box]) -> int:
+    """Steps between two elements in the document tree."""
+    steps = 0
+    while a != b:
+        if boxes[a].depth >= boxes[b].depth:
+            a = boxes[a].around
+        else:
+            b = boxes[b].around
+        steps += 1
+    return steps
+
+
+def graph(found: list[_Block], boxes: list[_Box]) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Terminals and edges of a page. Nodes are the blocks, then the elements that contain blocks."""
+    inside = [0] * len(boxes)
+    for b in found:
+        inside[b.box] += 1
+    for i in range(len(boxes) - 1, 0, -1):  # an element comes after the one around it
+        inside[boxes[i].around] += inside[i]
+    used = [i for i in range(len(boxes)) if inside[i]]
+    node = {box: len(found) + k for k, box in enumerate(used)}
+    terminal = []
+    for b in found:
+        content, boilerplate = costs(b)
+        terminal.append(boilerplate - content)  # what both terminals share is cut in any case
+    terminal += [boxes[i].score * inside[i] for i in used]
+    edges = [(i, node[b.box], INSIDE) for i, b in enumerate(found)]
+    edges += [(node[i], node[boxes[i].around], AROUND) for i in used if i]
+    edges += [(i, i + 1, ADJACENT / (1 + STEP * _distance(a.box, b.box, boxes))) for i, (a, b) in enumerate(zip(found, found[1:]))]
+    return terminal, edges
 
 
 def minimum_cut(terminal: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
     """Which nodes stay on the source's side. terminal: capacity from the source (positive) or to the
-    sink (negative); edges hold both ways. Augments along shortest paths."""
-    n = len(terminal)
-    near: list[list[list]] = [[] for _ in range(n)]  # [target, capacity, reverse edge]
+    sink (negative); edges hold both ways. Flows go level by level from the sources, each level graph filled before the next."""
+    n, tiny = len(terminal), 1e-9
+    near: list[list[int]] = [[] for _ in range(n)]
+    end, room = [], []  # arcs; the reverse of arc e is e ^ 1
     for a, b, w in edges:
-        x, y = [b, w, None], [a, w, None]
-        x[2], y[2] = y, x
-        near[a].append(x)
-        near[b].append(y)
+        near[a].append(len(end))
+        near[b].append(len(end) + 1)
+        end += (b, a)
+        room += (w, w)
     rest = list(terminal)
     while True:
-        came: list = [None] * n
-        seen = [r > 1e-9 for r in rest]
-        queue = deque(i for i in range(n) if seen[i])
-        end = -1
-        while queue:
-            i = queue.popleft()
-            if rest[i] < -1e-9:
-                end = i
-                break
-            for e in near[i]:
-                if e[1] > 1e-9 and not seen[e[0]]:
-                    seen[e[0]] = True
-                    came[e[0]] = e
-                    queue.append(e[0])
-        if end < 0:
-            return seen
-        flow, i = -rest[end], end
-        while came[i] is not None:
-            flow = min(flow, came[i][1])
-            i = came[i][2][0]
-        flow = min(flow, rest[i])
-        rest[i] -= flow
-        rest[end] += flow
-        i = end
-        while came[i] is not None:
-            came[i][1] -= flow
-            came[i][2][1] += flow
-            i = came[i][2][0]
+        level = [0 if r > tiny else -1 for r in rest]
+        ring, reached = [i for i in range(n) if not level[i]], False
+        sources, depth = ring, 0
+        while ring and not reached:
+            depth += 1
+            after = []
+            for i in ring:
+                for e in near[i]:
+                    j = end[e]
+                    if room[e] > tiny and level[j] < 0:
+                        level[j] = depth
+                        after.append(j)
+                        reached = reached or rest[j] < -tiny
+            ring = after
+        if not reached:
+            return [x >= 0 for x in level]
+        arc = [0] * n
+        for source in sources:
+            path: list[int] = []
+            i = source
+            while rest[source] > tiny:
+                if rest[i] < -tiny:
+                    flow = min(rest[source], -rest[i], min(room[e] for e in path))
+                    rest[source] -= flow
+                    rest[i] += flow
+                    for k in range(len(path) - 1, -1, -1):
+                        room[path[k]] -= flow
+                        room[path[k] ^ 1] += flow
+                    full = next((k for k, e in enumerate(path) if room[e] <= tiny), len(path))
+                    i = end[path[full] ^ 1] if full < len(path) else i
+                    del path[full:]
+                    continue
+                while arc[i] < len(near[i]) and not (room[near[i][arc[i]]] > tiny and level[end[near[i][arc[i]]]] == level[i] + 1):
+                    arc[i] += 1
+                if arc[i] < len(near[i]):
+                    path.append(near[i][arc[i]])
+                    i = end[path[-1]]
+                elif path:
+                    i = end[path.pop() ^ 1]
+                    arc[i] += 1
+                else:
+                    break
 
 
 def main_text(page: str | None) -> str:
     """The content blocks of a page, one a line; empty if there is none."""
-    found = blocks(page or "")
-    terminal = []
-    for b in found:
-        content, boilerplate = costs(b)
-        terminal.append(boilerplate - content)  # what both terminals share is cut in any case
-    edges, last = [], {}
-    for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, ADJACENT / (1 + STEP * max(0, _distance(found[i - 1].path, b.path) - 2))))
-        for up in (1, 2):  # the same parent or grandparent container, when not the neighbour
-            box = b.path[:-up]
-            if box and (j := last.get(box)) is not None and j != i - 1:
-                edges.append((j, i, SIBLING / up))
-            last[box] = i
-    if all(t > 0 for t in terminal):
-        keep = [True] * len(found)
-    elif all(t <= 0 for t in terminal):
-        keep = [False] * len(found)
-    else:
-        keep = minimum_cut(terminal, edges)
-    return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+    found, boxes = blocks(page or "")
+    keep = minimum_cut(*graph(found, boxes)) if found else []
+    return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

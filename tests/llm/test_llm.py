@@ -103,6 +103,33 @@ def test_html():
     assert html_cut.minimum_cut([2.0, -0.5, -3.0], [(0, 1, 1.0), (1, 2, 0.2)]) == [True, True, False]
 
 
+def test_minimum_cut_by_brute_force():
+    rng = random.Random(10)
+    for _ in range(200):
+        n = rng.randint(1, 8)
+        terminal = [rng.uniform(-3, 3) for _ in range(n)]
+        edges = [(a, b, rng.uniform(0, 3)) for a in range(n) for b in range(a) if rng.random() < 0.5]
+
+        def cost(keep):
+            return sum(abs(t) for t, k in zip(terminal, keep) if (t > 0) != k) + sum(w for a, b, w in edges if keep[a] != keep[b])
+
+        best = min(cost([m >> i & 1 == 1 for i in range(n)]) for m in range(1 << n))
+        assert cost(html_cut.minimum_cut(terminal, edges)) == pytest.approx(best)
+
+
+def test_html_of_odd_shapes():
+    """The cut decides where a block's own text misleads; long, deep and broken pages end soon."""
+    found, boxes = html_cut.blocks("<article><p>Short.</p><p>" + "words " * 80 + "</p></article><div class=comments><p>" + "words " * 80 + "</p></div>")
+    terminal, edges = html_cut.graph(found, boxes)
+    assert [t > 0 for t in terminal[:3]] == [False, True, True]
+    assert html_cut.minimum_cut(terminal, edges)[:3] == [True, True, False]
+    long = "<article>" + "".join(f"<p>paragraph {i} of a long page</p><div class=ad>buy {i}</div>" for i in range(5000)) + "</article>"
+    assert html_cut.main_text(long) == "\n".join(f"paragraph {i} of a long page" for i in range(5000))
+    assert html_cut.main_text("<div>some text of it " * 5000).count("\n") in (-1 + 5000, 0)
+    for broken in ("<", "<p", "<p class='", "a < b > c", "</p></div>", "<!--", "<![CDATA[x", "&#x110000; &bogus; &lt"):
+        assert "<p" not in html_cut.main_text(broken)
+
+
 def odd_texts(n):
     rng = random.Random(4)
     parts = [" ", "  ", "\n", "a", "the", "ing", "é", "日", "▁", ".", "!!", "***", "\t", "0", "😀", "x" * 70, "\0", "²", "];", "naïve"]
