@@ -3,20 +3,21 @@ to the shared folder, so plans stay short and rounds survive lost executors."""
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.sources.store import materialize
 
-MAX_ROUNDS = 200
-
 
-def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
-    """(node, depth) for all nodes reachable from seeds (node) over edges (src, dst), seeds included at depth 0."""
-    edges = edges.select("src", "dst").distinct()
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, depth) for all nodes reachable from seeds (node) over edges (src, dst), seeds included at depth 0. The edges are
+    worked out once; a round reads them as written."""
+    edges = materialize(edges.select("src", "dst").distinct(), "edges")
     frontier = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "reach")
     seen = frontier
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         frontier = materialize(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")), "reach")
         if frontier.isEmpty():
@@ -24,24 +25,24 @@ def reach(edges: DataFrame, seeds: DataFrame, max_rounds: int = MAX_ROUNDS) -> D
         seen = seen.unionByName(frontier)
         if depth % 10 == 0:
             seen = materialize(seen, "reach")
-    raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+    raise AssertionError
 
 
 def pairs(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(src, dst): transitive closure by path doubling; self pairs are the nodes on cycles."""
     known = materialize(edges.select("src", "dst").distinct(), "pairs")
-    count = known.count()
+    before = known.count()
     for _ in range(max_rounds):
         twice = known.join(known.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst"))
         known = materialize(known.unionByName(twice).distinct(), "pairs")
         now = known.count()
-        if now == count:
+        if now == before:
             return known
-        count = now
+        before = now
     raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
 
 
-def nullable(items: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def nullable(items: DataFrame) -> DataFrame:
     """(lhs): names that can be empty. items: lhs, alt, item_kind, name. Optional items and repeats from 0 can, tokens
     can't, a reference can if its name can; an alternative if all of its items can, a name if some alternative can."""
     own = F.col("item_kind").isin("optional", "repeat0")
@@ -50,25 +51,24 @@ def nullable(items: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
     live = items.join(waiting.where("NOT never").drop("never"), ["lhs", "alt"])
     live = materialize(live.select("lhs", "alt", F.when(own, None).otherwise(F.col("name")).alias("need")).distinct(), "nullable")
     known = materialize(live.groupBy("lhs", "alt").agg(F.count("need").alias("n")).where("n = 0").select("lhs").distinct(), "nullable")
-    count = known.count()
-    for _ in range(max_rounds):
+    before = known.count()
+    while True:
         met = live.join(known.select(F.col("lhs").alias("need"), F.lit(1).alias("met")), "need", "left")
         ready = met.groupBy("lhs", "alt").agg(F.bool_and(F.col("need").isNull() | F.col("met").isNotNull()).alias("ok")).where("ok")
         known = materialize(ready.select("lhs").distinct(), "nullable")
         now = known.count()
-        if now == count:
+        if now == before:
             return known
-        count = now
-    raise RuntimeError(f"no fixpoint in {max_rounds} rounds")
+        before = now
 
 
-def levels(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def levels(edges: DataFrame) -> DataFrame:
     """(node, level): 1 for nodes that depend on nothing, else 1 + the highest level of what they depend on (src depends
     on dst). Nodes on cycles, and those that depend on them, have a null level."""
     edges = materialize(edges.select("src", "dst").distinct(), "levels")
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
     left, done = materialize(nodes, "levels"), None
-    for level in range(1, max_rounds + 1):
+    for level in count(1):
         blocked = edges.join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
         peeled = materialize(left.join(blocked, "node", "left_anti").withColumn("level", F.lit(level).cast("long")), "levels")
         if peeled.isEmpty():
@@ -76,7 +76,7 @@ def levels(edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
             return rest if done is None else done.unionByName(rest)
         done = peeled if done is None else done.unionByName(peeled)
         left = materialize(left.join(peeled, "node", "left_anti"), "levels")
-    raise RuntimeError(f"more than {max_rounds} levels")
+    raise AssertionError
 
 
 def resolve_aliases(names: DataFrame, max_rounds: int = 40) -> DataFrame:

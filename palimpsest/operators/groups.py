@@ -9,15 +9,16 @@ from palimpsest.sources.store import materialize
 
 
 def merge_provenance(rows: DataFrame, key: list[Column], pos: str, provenance: str) -> DataFrame:
-    """(kept, copies, provenance): the first row of each key, and the distinct sources of all. The sources of a
+    """(kept, copies, provenance): the first row of each key (nulls are equal to nulls alone), and the distinct sources of all. The sources of a
     key are made distinct by a group of their own first, so that no list grows with the copies."""
-    keyed = rows.select(F.xxhash64(*key).alias("h"), F.concat_ws("\x1f", *key).alias("k"), F.col(pos).alias("pos"), F.col(provenance).alias("p"))
-    each = keyed.groupBy("h", "k", "p").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
-    return each.groupBy("h", "k").agg(F.min("pos").alias("kept"), F.sum("n").alias("copies"), F.array_join(F.array_sort(F.collect_list("p")), ",").alias("provenance")).drop("h", "k")
+    keys = [f"k{i}" for i in range(len(key))]
+    keyed = rows.select(*(k.alias(name) for k, name in zip(key, keys, strict=True)), F.col(pos).alias("pos"), F.col(provenance).alias("p"))
+    each = keyed.groupBy(*keys, "p").agg(F.min("pos").alias("pos"), F.count("*").alias("n"))
+    return each.groupBy(*keys).agg(F.min("pos").alias("kept"), F.sum("n").alias("copies"), F.array_join(F.array_sort(F.collect_list("p")), ",").alias("provenance")).drop(*keys)
 
 
 def intern(keys: DataFrame, key: str, pos: str, parts: int | None = None) -> DataFrame:
-    """(key, id): dense ids from 1 in order of first position. Positions are cut into ranges; ranks run inside a range, after
+    """(key, id): dense ids from 1 in order of first position, which may be a struct. Positions are cut into ranges; ranks run inside a range, after
     the number of keys in the ranges before it. What comes to the driver is one number a range."""
     first = materialize(keys.groupBy(F.col(key).alias("key")).agg(F.min(pos).alias("first_pos")), "keys")
     n = parts or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))

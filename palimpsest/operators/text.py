@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the notation.
@@ -18,12 +19,62 @@ LAYOUT_PREFIXES = ("J3/", "2023-", "2024-", "2025-", "WD ")
 
 def line_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, byte_start, byte_length, line). Lines end at line feeds, which aren't counted; a trailing line
-    feed gives no last line; null and empty texts have no lines. The window runs over one text."""
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"), (F.size(F.split(text_col, "\n")) - 1).alias("last"))
-    lines = lines.where("NOT (line_no = last AND line = '')").withColumn("byte_length", F.octet_length("line").cast("long"))
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("byte_length") + 1).over(before), F.lit(0))
-    return lines.select("doc_id", F.col("line_no").cast("long"), start.alias("byte_start"), "byte_length", "line")
+    feed gives no last line; null and empty texts have no lines. Starts are summed inside the row of a text, so nothing is
+    shuffled; repeated ids don't mix."""
+    spans = docs.select(F.col(id_col).alias("doc_id"), F.explode(spans_of(F.col(text_col))).alias("s"))
+    return spans.select("doc_id", *(F.col(f"s.{c}") for c in ("line_no", "byte_start", "byte_length", "line")))
+
+
+def spans_of(text: Column) -> Column:
+    """Array of a text's lines as structs of line_no, byte_start, byte_length and line. A running sum keeps the ends alone, and
+    the lines are taken in beside it."""
+    lines = F.split(text, "\n")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    return F.flatten(F.transform(F.array(lines), _with_starts))
+
+
+def _with_starts(lines: Column) -> Column:
+    # Sums of a block of lines first, so that no array grows with each line of a long text.
+    block = 512
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / block).cast("int")), lambda b: F.slice(lines, b * block + 1, F.lit(block)))
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x) + 1)
+
+    def starts(sizes: Column, first: Column) -> Column:
+        return F.aggregate(sizes, F.array(first), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+
+    def spans(parts: Column) -> Column:
+        begins = starts(F.transform(parts, total), F.lit(0).cast("long"))
+
+        def inside(part: Column, b: Column) -> Column:
+            own = F.transform(F.array(starts(F.transform(part, lambda x: F.octet_length(x).cast("long") + 1), F.get(begins, b))), lambda at: F.transform(part, lambda x, i: _span(b * block + i, F.get(at, i), x)))
+            return F.get(own, 0)
+
+        return F.flatten(F.transform(parts, inside))
+
+    found = F.flatten(F.transform(F.array(blocks), spans))
+    return F.when(F.size(lines) > 0, found)
+
+
+def _span(line_no: Column, start: Column, line: Column) -> Column:
+    return F.struct(line_no.cast("long").alias("line_no"), start.alias("byte_start"), F.octet_length(line).cast("long").alias("byte_length"), line.alias("line"))
+
+
+def cut_spans(docs: DataFrame, start: Callable[[Column], Column], length: Callable[[Column], Column], *more: str) -> DataFrame:
+    """(doc_id, line_no, byte_start, byte_length, reason, more) of all lines of docs (doc_id, text): `out of range` where the span
+    (start, length), functions of a line's struct, leaves the text's bytes, `other text` where the bytes aren't the line's, else
+    null. Each line is cut inside the row of its text, which isn't joined to its lines."""
+    raw = F.col("text").cast("binary")
+
+    def judged(s: Column) -> Column:
+        at, size = start(s), length(s)
+        cut = F.substring(raw, (at + 1).cast("int"), size.cast("int"))
+        reason = F.when((at < 0) | (size < 0) | (at + size > F.octet_length("text")), "out of range").when(cut != s["line"].cast("binary"), "other text")
+        return F.struct(s["line_no"].alias("line_no"), s["byte_start"].alias("byte_start"), s["byte_length"].alias("byte_length"), reason.alias("reason"))
+
+    rows = docs.select("doc_id", F.explode(F.transform(spans_of(F.col("text")), judged)).alias("x"), *more)
+    return rows.select("doc_id", "x.*", *more)
 
 
 def any_prefix(text: Column, prefixes: tuple[str, ...]) -> Column:
@@ -114,7 +165,7 @@ def utf8_fault(data: Column) -> Column:
         found = [first_fault(b) for b in s]
         return pd.DataFrame({"fault_offset": pd.array([f[0] for f in found], "Int64"), "reason": np.array([f[1] for f in found], object)})
 
-    return faults(data)
+    return faults(F.when(~F.is_valid_utf8(data), data))
 
 
 def codepoints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

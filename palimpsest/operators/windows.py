@@ -85,7 +85,7 @@ def production_blocks(lines: DataFrame, document: list[str], order: list[str]) -
     head = r"^(R[0-9]+) *([^ ].*?) is  *(.*)$"
     rows = rows.withColumns({
         "operator": F.when(start, "is").otherwise(F.col("class")),
-        "content": F.when(start, F.regexp_extract("x", head, 3)).when(F.col("class") == "or", F.trim(F.substring("x", 4, 1 << 20))).otherwise(F.col("x")),
+        "content": F.when(start, F.regexp_extract("x", head, 3)).when(F.col("class") == "or", F.trim(F.expr("substr(x, 4)"))).otherwise(F.col("x")),
         "clause": F.when(start, F.col("heading")),
         "position": (F.row_number().over(Window.partitionBy(*document, "occurrence").orderBy(*order)) - 1).cast("long"),
     })

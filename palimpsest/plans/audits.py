@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import text as T
+from palimpsest.operators.contracts import first_fault
 from palimpsest.operators.order import ranked
 from palimpsest.plans.fixtures import query
 from palimpsest.plans.text import SPANS
@@ -16,10 +17,27 @@ from palimpsest.sources import store
 # Fixed values of the domains.
 ORIGINS = ("mechanical", "search", "smt", "llm", "llm-repair", "human", "imported", "differential")
 RESOLUTIONS = ("resolved", "unresolved", "disputed")
-_IN = "(" + ", ".join(f"'{o}'" for o in ORIGINS) + ")"
 
-SOURCE = "case when document = '' or document is null then 'document' when clause = '' then 'clause' when rule = '' then 'rule' when source_hash = '' then 'hash' when page <= 0 then 'page' end"
-ITEM = f"coalesce(case when id is null or id = '' then 'id' when subject is null or subject = '' then 'subject' end, {SOURCE}, case when origin not in {_IN} then 'origin' when resolution not in ('resolved', 'unresolved', 'disputed') then 'resolution' end)"
+def _in(column: str, names: tuple[str, ...]) -> str:
+    return f"{column} in ({', '.join(f"'{n}'" for n in names)})"
+
+
+# What sound rows fulfil, in the order in which faults are reported; a condition that is null is a fault.
+SOURCE_RULES = {"document": "document <> ''", "clause": "clause <> ''", "rule": "rule <> ''", "hash": "source_hash <> ''", "page": "page > 0"}
+DOMAIN_RULES = {"origin": _in("origin", ORIGINS), "resolution": _in("resolution", RESOLUTIONS)}
+ITEM_RULES = {"id": "id <> ''", "subject": "subject <> ''"} | SOURCE_RULES | DOMAIN_RULES
+SOURCE = first_fault(SOURCE_RULES)
+# The same for DuckDB, from lists of faults rather than from conditions.
+_NO_SOURCE = "[case when nullif(document, '') is null then 'document' end, case when nullif(clause, '') is null then 'clause' end, case when nullif(rule, '') is null then 'rule' end, case when nullif(source_hash, '') is null then 'hash' end, case when greatest(coalesce(page, 0), 0) = 0 then 'page' end]"
+_NO_DOMAIN = f"[case when not list_contains({list(ORIGINS)}, coalesce(origin, '')) then 'origin' end, case when not list_contains({list(RESOLUTIONS)}, coalesce(resolution, '')) then 'resolution' end]"
+_NO_ITEM = f"list_concat([case when nullif(id, '') is null then 'id' end, case when nullif(subject, '') is null then 'subject' end], {_NO_SOURCE}, {_NO_DOMAIN})"
+
+
+def first_of(faults_: str) -> str:
+    return f"list_filter({faults_}, lambda x: x is not null)[1]"
+
+
+SOURCE_SQL = first_of(_NO_SOURCE)
 
 
 def faults(rows: DataFrame, reason: str) -> DataFrame:
@@ -27,20 +45,27 @@ def faults(rows: DataFrame, reason: str) -> DataFrame:
     return rows.select("pos", F.expr(reason).alias("reason")).where("reason IS NOT NULL")
 
 
-def simple(name: str, reason: str) -> None:
-    query(name, f"select pos, {reason} as reason from semantic_items where {reason} is not null", "semantic_items")(lambda t: faults(t("semantic_items"), reason))
+def checked(name: str, rules: dict[str, str], sql: str) -> None:
+    query(name, f"+ f as (select pos, {first_of(sql)} as reason from checked_items) select * from f where reason is not null", "semantic_items", "checked_items")(lambda t: faults(t("checked_items"), first_fault(rules)))
 
 
-simple("item_check", ITEM)
-simple("enum_domain_check", f"case when origin not in {_IN} then 'origin' when resolution not in ('resolved', 'unresolved', 'disputed') then 'resolution' end")
+checked("item_check", ITEM_RULES, _NO_ITEM)
+checked("enum_domain_check", DOMAIN_RULES, _NO_DOMAIN)
 
 
-@query("span_audit", SPANS + " select doc_id, line_no from spans where byte_start < 0", "lines")
+@query("span_audit", SPANS + """, given as (select doc_id, line_no, line, byte_start + case when line_no % 7 = 3 then 2 else 0 end as s, byte_length + case when line_no % 11 = 5 then 100000 else 0 end as n from spans)
+ select g.doc_id, line_no, case when s + n > strlen(text) then 'out of range' else 'other text' end as reason from given g join documents using (doc_id)
+ where s + n > strlen(text) or encode(text)[s + 1:s + n] <> encode(line)""", "lines")
 def span_audit(t):
-    """Lines that don't come out of their document at their span: none, as spans are sound."""
-    raw = t("documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
-    cut = F.substring(F.col("raw"), (F.col("byte_start") + 1).cast("int"), F.col("byte_length").cast("int"))
-    return T.line_spans(t("documents")).hint("merge").join(raw, "doc_id").where(cut != F.col("line").cast("binary")).select("doc_id", "line_no")
+    """Lines that don't come out of their document at their span, or whose span leaves it; some are moved by two bytes, some
+    made too long. Each line is cut inside the row of its document."""
+    def moved(s: Column) -> Column:
+        return s["byte_start"] + F.when(s["line_no"] % 7 == 3, 2).otherwise(0)
+
+    def size(s: Column) -> Column:
+        return s["byte_length"] + F.when(s["line_no"] % 11 == 5, 100000).otherwise(0)
+
+    return T.cut_spans(t("documents"), moved, size).where("reason IS NOT NULL").select("doc_id", "line_no", "reason")
 
 
 @query("canonical_spelling", "with c as (select distinct unnest(string_split(text, '')) as ch from documents where text <> '') select cast(unicode(ch) as bigint) as cp, case when strlen(ch) > 1 and unicode(ch) not in (8211, 8217) then 'needs a spelling' end as fault from c")
@@ -88,20 +113,24 @@ def validity_report(t):
     return s.crossJoin(o).withColumn("verdict", F.expr("case when starts > 0 and starts = objects then 'PASS' else 'FAIL' end"))
 
 
-@query("all_or_nothing", f"+ g as (select document, bool_and({SOURCE} is null) as ok from semantic_items group by document) select pos, document from semantic_items join g using (document) where ok", "semantic_items")
+@query("all_or_nothing", f"+ g as (select id, count(*) as n, count(*) filter ({SOURCE_SQL} is null) as sound from checked_items where id is not null group by id) select pos, id from checked_items join g using (id) where n = sound", "semantic_items", "checked_items")
 def all_or_nothing(t):
-    """A document's batch goes out only if each of its rows is sound."""
-    items = t("semantic_items")
-    ok = items.groupBy("document").agg(F.bool_and(F.expr(f"{SOURCE} is null")).alias("ok")).where("ok").select("document")
-    return items.join(ok, "document", "left_semi").select("pos", "document")
+    """A batch (rows of an id) goes out only if each of its rows is sound; rows without an id are in no batch."""
+    items = t("checked_items")
+    ok = items.groupBy("id").agg(F.bool_and(F.expr(f"{SOURCE} is null")).alias("ok")).where("ok").select("id")
+    return items.hint("merge").join(ok, "id", "left_semi").select("pos", "id")
 
 
-@query("witness_set_equality", "with e as (select distinct o_custkey as k from orders where o_orderkey % 10 <> 3), a as (select c_custkey as k from customer) select k, 'missing' as fault from e where k not in (select k from a) union all select k, 'unexpected' from a where k not in (select k from e)")
+@query("witness_set_equality", "with e as (select distinct o_custkey as k from orders where o_custkey % 17 <> 4), a as (select c_custkey as k from customer where c_custkey % 19 <> 5 union all select c_custkey from customer where c_custkey % 23 = 6) select k, 'missing' as fault from e where k not in (select k from a) union all select distinct k, 'unexpected' from a where k not in (select k from e) union all select k, 'twice' from a group by k having count(*) > 1")
 def witness_set_equality(t):
-    """Expected witnesses (customers that ordered) against the actual ones (customers)."""
-    e = t("orders").where("o_orderkey % 10 <> 3").select(F.col("o_custkey").alias("k")).distinct()
+    """Expected witnesses (customers that ordered) against the actual ones (customers); some of each are taken away, and some
+    stand twice."""
+    e = t("orders").where("o_custkey % 17 <> 4").select(F.col("o_custkey").alias("k")).distinct()
     a = t("customer").select(F.col("c_custkey").alias("k"))
-    return e.exceptAll(a).withColumn("fault", F.lit("missing")).unionByName(a.exceptAll(e).withColumn("fault", F.lit("unexpected")))
+    a = a.where("k % 19 <> 5").unionByName(a.where("k % 23 = 6"))
+    once = a.groupBy("k").agg(F.count("*").alias("n"))
+    out = e.exceptAll(once.select("k")).withColumn("fault", F.lit("missing")).unionByName(once.select("k").exceptAll(e).withColumn("fault", F.lit("unexpected")))
+    return out.unionByName(once.where("n > 1").select("k", F.lit("twice").alias("fault")))
 
 
 @query("lineage_witness", "select 'target' as kind, concat('S', p_partkey) as id, p_brand as detail from part where p_size >= 10 union all select 'pruned', concat('S', p_partkey), null from part where p_size < 10 union all select 'alias', n_name, cast(n_regionkey as varchar) from nation")
@@ -178,15 +207,20 @@ def write_productions_jsonl(t):
     return productions(t).select(F.to_json(F.struct("rule", "operator", "content")).alias("record"))
 
 
-@query("read_page_index", "with s as (select source, doc_id as page, cast(coalesce(sum(strlen(text) + 1) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start, cast(strlen(text) as bigint) as length from documents) select * from s")
+@query("read_page_index", """with s as (select source, doc_id as page, cast(coalesce(sum(strlen(text) + 1) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start, cast(strlen(text) as bigint) as length from documents)
+ select source, page, case when page % 83 <> 9 then start end as start, case when page % 83 <> 9 then length end as length, case when page % 83 = 9 then 'malformed page' end as fault from s
+ union all select source, null, null, null, 'declared pages' from s group by source having count(*) filter (page % 83 = 9) > 0
+ union all select source, null, null, null, 'declared bytes' from s group by source having max(case when page % 83 <> 9 then start + length end) is distinct from max(start + length)""")
 def read_page_index(t):
-    """An index written as `source S page N start A length B` lines and parsed again."""
+    """An index written as `source S page N start A length B` lines with a `source S pages N bytes T` line each, and parsed again.
+    Lines that are malformed (some lose their length), and sources whose pages or bytes aren't as declared, are rows with a fault."""
     spans = W.page_spans(t("documents"), "source", "doc_id", "text")
-    line = F.concat_ws(" ", F.lit("source"), "source", F.lit("page"), "page", F.lit("start"), "byte_start", F.lit("length"), "byte_length")
+    line = F.concat_ws(" ", F.lit("source"), "source", F.lit("page"), "page", F.lit("start"), "byte_start", F.when(F.col("page") % 83 != 9, F.concat(F.lit("length "), "byte_length")))
+    head = F.concat_ws(" ", F.lit("source"), "source", F.lit("pages"), "n", F.lit("bytes"), "total")
+    sums = spans.groupBy("source").agg(F.count("*").alias("n"), F.max(F.col("byte_start") + F.col("byte_length")).alias("total"))
     spark = spans.sparkSession
-    spans.select(line.alias("value")).write.text(path := store.fresh(spark, "index"))
-    p = r"^source (.*) page (\d+) start (\d+) length (\d+)$"
-    return spark.read.text(path).where(F.col("value").rlike(p)).select(F.regexp_extract("value", p, 1).alias("source"), *(F.regexp_extract("value", p, i).cast("long").alias(n) for i, n in ((2, "page"), (3, "start"), (4, "length"))))
+    spans.select(line.alias("value")).unionByName(sums.select(head.alias("value"))).write.text(path := store.fresh(spark, "index"))
+    return store.read_page_index(spark, path)
 
 
 @query("read_candidates_tsv", "select cast(pos as varchar) as pos, rule, document, clause, cast(page as varchar) as page, origin from semantic_items where origin <> 'unknown'", "semantic_items")

@@ -14,6 +14,9 @@ _LI = """li as (
          row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) n
   from {lineitem})"""
 
+# Forty orders make a page, and ten pages a document, so that documents grow in number with the orders and not in size.
+_PAGE = "cast(floor(o_orderkey / 40) as bigint) + 1"
+
 #: SQL that Spark and DuckDB read alike; a pair where they don't.
 VIEWS: dict[str, str | tuple[str, str]] = {
     "lines": (
@@ -22,12 +25,12 @@ VIEWS: dict[str, str | tuple[str, str]] = {
     ),
     "spec_lines": f"""with {_LI},
 raw as (
-  select o_custkey % 50 + 1 as page, o_orderkey as k, 1 as n, concat('R', o_orderkey + 100, ' order-', o_orderkey, ' is cust-', o_custkey) as body from {{orders}}
-  union all select o_custkey % 50 + 1, o_orderkey, 0, concat(o_custkey % 50 + 1, '.', o_orderkey, ' Section for clerk') from {{orders}} where o_orderkey % 10 = 0
-  union all select o_custkey % 50 + 1, o_orderkey, 7, 'NOTE urgent orders follow' from {{orders}} where o_orderpriority = '1-URGENT'
-  union all select o.o_custkey % 50 + 1, li.k, 2 * li.n, case when li.n % 2 = 1 then concat('or part-', li.pk) else concat('[ supp-', li.sk, ' ]') end
+  select {_PAGE} as page, o_orderkey as k, 1 as n, concat('R', o_orderkey + 100, ' order-', o_orderkey, ' is cust-', o_custkey) as body from {{orders}}
+  union all select {_PAGE}, o_orderkey, 0, concat({_PAGE}, '.', o_orderkey, ' Section for clerk') from {{orders}} where o_orderkey % 10 = 0
+  union all select {_PAGE}, o_orderkey, 7, 'NOTE urgent orders follow' from {{orders}} where o_orderpriority = '1-URGENT'
+  union all select {_PAGE}, li.k, 2 * li.n, case when li.n % 2 = 1 then concat('or part-', li.pk) else concat('[ supp-', li.sk, ' ]') end
     from li join {{orders}} o on o.o_orderkey = li.k
-  union all select o.o_custkey % 50 + 1, li.k, 2 * li.n + 1, 'J3/24-007' from li join {{orders}} o on o.o_orderkey = li.k where li.n = 2 and li.k % 4 = 0)
+  union all select {_PAGE}, li.k, 2 * li.n + 1, 'J3/24-007' from li join {{orders}} o on o.o_orderkey = li.k where li.n = 2 and li.k % 4 = 0)
 select page, row_number() over (partition by page order by k, n, body) as line_no,
        concat(row_number() over (partition by page order by k, n, body), ' ', body) as line
 from raw""",
@@ -81,6 +84,10 @@ union all select concat('rhs/', r_regionkey + 1), concat('region-', r_regionkey)
 union all select concat('rhs/', n_regionkey + 1, '/', j), concat('nation-', n_nationkey) from n
 union all select concat('rhs/', n.n_regionkey + 1, '/', n.j, '/', s.k), concat('supp-', s_suppkey) from s join n on n.n_nationkey = s.s_nationkey""",
 }
+VIEWS["checked_items"] = """select case when pos % 43 = 5 then null else id end as id, pos, case when pos % 47 = 6 then null else subject end as subject, case when pos % 53 = 7 then null else document end as document,
+ case when pos % 59 = 8 then null when pos % 59 = 9 then '' else clause end as clause, case when pos % 61 = 10 then null when pos % 61 = 11 then '' else rule end as rule, case when pos % 67 = 12 then null else page end as page,
+ case when pos % 71 = 13 then null else source_hash end as source_hash, case when pos % 73 = 14 then null else origin end as origin, case when pos % 79 = 15 then null when pos % 79 = 16 then 'open' else resolution end as resolution
+ from {semantic_items}"""
 _items = VIEWS["semantic_items"][0]
 VIEWS["semantic_items"] = (_items, _items.replace("sha2(d.text, 256)", "sha256(d.text)").replace("as string", "as varchar"))
 

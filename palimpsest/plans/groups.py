@@ -61,11 +61,11 @@ def suppressed_retained_link(t):
     return rows.hint("merge").join(first, "key").where("doc_id <> retained").select(F.col("doc_id").alias("suppressed"), "retained")
 
 
-@query("intern_keys", "with k as (select translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key, min(doc_id * 1000000 + i) as first_pos from (select doc_id, unnest(range(len(string_split(text, ' ')))) as i, unnest(string_split(text, ' ')) as word from documents) where word <> '' group by 1) select key, row_number() over (order by first_pos) as id from k")
+@query("intern_keys", "with k as (select translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key, min((doc_id, i)) as first_pos from (select doc_id, unnest(range(len(string_split(text, ' ')))) as i, unnest(string_split(text, ' ')) as word from documents) where word <> '' group by 1) select key, row_number() over (order by first_pos) as id from k")
 def intern_keys(t):
     """Words of all texts, A-Z folded alone, with dense ids in order of their first occurrence."""
     words = t("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).where("word <> ''")
-    keys = words.select(F.translate("word", ascii_uppercase, ascii_lowercase).alias("key"), (F.col("doc_id") * 1000000 + F.col("i")).alias("pos"))
+    keys = words.select(F.translate("word", ascii_uppercase, ascii_lowercase).alias("key"), F.struct("doc_id", "i").alias("pos"))
     return G.intern(keys, "key", "pos")
 
 

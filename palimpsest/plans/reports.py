@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import graph as G
 from palimpsest.operators import windows as W
-from palimpsest.plans.audits import SOURCE
+from palimpsest.plans.audits import SOURCE, SOURCE_SQL
 from palimpsest.plans.fixtures import query
 from palimpsest.plans.graph import REACHED, part_roots
 from palimpsest.plans.joins import CANDIDATES, DISPOSITION, WHY, boundary_rows
@@ -60,11 +60,11 @@ def write_witness_jsonl(t):
     return written(rows, "witness", '{"format":"witness"}')
 
 
-@query("write_fact_contracts", f"""+ g as (select rule, bool_and({SOURCE} is null) as ok from semantic_items group by rule)
- select '{{"id":"' || id || '","rule":"' || rule || '","clause":"' || clause || '","page":' || page || ',"hash":"' || source_hash || '"}}' as record from semantic_items join g using (rule) where ok""", "semantic_items")
+@query("write_fact_contracts", f"""+ g as (select rule, bool_and({SOURCE_SQL} is null) as ok from checked_items where id is not null group by rule)
+ select '{{"id":"' || id || '","rule":"' || rule || '","clause":"' || clause || '","page":' || page || ',"hash":"' || source_hash || '"}}' as record from checked_items join g using (rule) where ok and id is not null""", "semantic_items", "checked_items")
 def write_fact_contracts(t):
-    """Facts as JSON lines; a rule's facts are written all or, if one of them is unsound, not at all."""
-    items = t("semantic_items")
+    """Facts as JSON lines; a rule's facts are written all or, if one of them is unsound, not at all. Rows without an id are none."""
+    items = t("checked_items").where("id IS NOT NULL")
     sound = items.groupBy("rule").agg(F.bool_and(F.expr(f"{SOURCE} is null")).alias("ok")).where("ok").select("rule")
     kept = items.hint("merge").join(sound, "rule", "left_semi")
     return written(kept.select("id", "rule", "clause", "page", F.col("source_hash").alias("hash")), "facts", '{"format":"facts","version":0}')
@@ -137,7 +137,7 @@ def extract_layout_records(t):
     return rows.select("doc_id", "text_index", "byte_offset", "byte_length", "ch", "x1", "y1", "x2", (F.col("y1") + 10.0).alias("y2"), "text_length", "text_bytes")
 
 
-@query("lexer_contract", f"""+ v as (select pos, {SOURCE} as reason from semantic_items) select document as contract, cast(pos as varchar) as subject, 'provenance: ' || reason as reason from v join semantic_items using (pos) where reason is not null
+@query("lexer_contract", f"""+ v as (select pos, {SOURCE_SQL} as reason from semantic_items) select document as contract, cast(pos as varchar) as subject, 'provenance: ' || reason as reason from v join semantic_items using (pos) where reason is not null
  union all select document, id, 'name' from semantic_items group by document, id having count(*) > 1
  union all select document, rule, 'term' from semantic_items group by document, rule having count(*) > 1
  union all select document, source_hash, 'spelling' from semantic_items where source_hash <> '' group by document, source_hash having count(*) > 1
@@ -158,7 +158,7 @@ def lexer_contract(t):
 _WITNESS = "select pos, case when pos % 31 = 5 then concat(id, 'x') else id end as named, case when pos % 37 = 6 then 'elsewhere' else document end as source from {0} union all select pos, id, document from {0} where pos % 29 = 7"
 
 
-@query("target_check", f"""+ w as ({_WITNESS.format("semantic_items")}), prov as (select distinct id, document as source from semantic_items), v as (select pos, {SOURCE} as reason from semantic_items)
+@query("target_check", f"""+ w as ({_WITNESS.format("semantic_items")}), prov as (select distinct id, document as source from semantic_items), v as (select pos, {SOURCE_SQL} as reason from semantic_items)
  select pos, reason from v where reason is not null
  union all select w.pos, 'witness target' from w join semantic_items s using (pos) where named <> id
  union all select w.pos, 'witness source' from w join semantic_items s using (pos) where (s.id, w.source) not in (select (id, source) from prov)

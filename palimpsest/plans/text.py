@@ -19,10 +19,8 @@ def line_spans(t):
 @query("span_lineage", SPANS + " select s.doc_id, s.line_no, s.byte_start, s.byte_length, true as intact, sha256(d.text) as doc_sha256 from spans s join documents d using (doc_id)", "lines")
 def span_lineage(t):
     """Each line cut back out of its document by its bytes, and the document's hash."""
-    docs = t("documents").select("doc_id", F.col("text").cast("binary").alias("raw"), F.sha2("text", 256).alias("doc_sha256"))
-    cut = F.substring(F.col("raw"), (F.col("byte_start") + 1).cast("int"), F.col("byte_length").cast("int"))
-    rows = T.line_spans(t("documents")).hint("merge").join(docs, "doc_id")
-    return rows.select("doc_id", "line_no", "byte_start", "byte_length", (cut == F.col("line").cast("binary")).alias("intact"), "doc_sha256")
+    rows = T.cut_spans(t("documents").withColumn("doc_sha256", F.sha2("text", 256)), lambda s: s["byte_start"], lambda s: s["byte_length"], "doc_sha256")
+    return rows.select("doc_id", "line_no", "byte_start", "byte_length", F.col("reason").isNull().alias("intact"), "doc_sha256")
 
 
 @query("clean_layout_controls", "select doc_id, translate(replace(text, 'a', chr(12)), chr(12) || chr(13), '  ') as clean from documents")
@@ -96,9 +94,8 @@ def canonical_notation(t):
 @query("normative_clause", "select pos, rule, case when regexp_matches(rule, '^R[0-9]{3,}$') and cast(substr(rule, 2) as bigint) >= 100 then cast(cast(substr(rule, 2) as bigint) // 100 as varchar) else clause end as owner_clause from semantic_items", "semantic_items")
 def normative_clause(t):
     """Clause of a rule number of three digits or more; else the clause on record."""
-    number = F.substring("rule", 2, 18).cast("long")
-    found = F.col("rule").rlike("^R[0-9]{3,}$") & (number >= 100)
-    return t("semantic_items").select("pos", "rule", F.when(found, F.floor(number / 100).cast("string")).otherwise(F.col("clause")).alias("owner_clause"))
+    hundreds = F.regexp_extract("rule", "^R0*([1-9][0-9]*)[0-9]{2}$", 1)  # as text: a number may have any number of digits
+    return t("semantic_items").select("pos", "rule", F.coalesce(F.nullif(hundreds, F.lit("")), "clause").alias("owner_clause"))
 
 
 @query("affix_target", """select name, kind, case when kind in ('alias', 'list') and ends_with(name, suffix) and length(name) > length(suffix) then left(name, length(name) - length(suffix))
@@ -113,9 +110,11 @@ def affix_target(t):
 @query("corpus_policy_scan", r"""select doc_id, line_no, 'shout' as rule from lines where regexp_matches(line, '[A-Z]{3,}!!') and not regexp_matches(line, 'allow:')
  union all select doc_id, line_no, 'secret' from lines where regexp_matches(line, '(token|key|secret|password) *= *"') and not regexp_matches(line, 'allow:')""", "lines")
 def corpus_policy_scan(t):
-    """Lines that break a rule of a rule table and aren't exempt."""
-    rules = t("region").sparkSession.createDataFrame([("shout", "[A-Z]{3,}!!", "allow:"), ("secret", '(token|key|secret|password) *= *"', "allow:")], "rule string, pattern string, exempt string")
-    return t("lines").join(F.broadcast(rules), F.expr("line rlike pattern and not line rlike exempt")).select("doc_id", "line_no", "rule")
+    """Lines that break a rule and aren't exempt. The patterns are constants of the plan, so each is compiled once."""
+    line = F.col("line")
+    rules = (("shout", "[A-Z]{3,}!!", "allow:"), ("secret", '(token|key|secret|password) *= *"', "allow:"))
+    broken = F.array_compact(F.array(*(F.when(line.rlike(pattern) & ~line.rlike(exempt), rule) for rule, pattern, exempt in rules)))
+    return t("lines").select("doc_id", "line_no", F.explode(broken).alias("rule"))
 
 
 @query("corpus_policy_repeats")

@@ -129,11 +129,11 @@ def sequence_internal(t):
     return rows.where("bearing AND pos < last AND (nb < nn OR nn IS NULL)").select("lhs", "alt", "pos", "name")
 
 
-@query("first_plus_repeat", """+ w as (select *, max(cast(ends_with(name, '-stmt') as int)) over (partition by lhs order by alt, pos rows between unbounded preceding and 1 preceding) as b from rule_items)
+@query("first_plus_repeat", """+ w as (select *, max(cast(ends_with(name, '-stmt') as int)) over (partition by lhs, alt order by pos rows between unbounded preceding and 1 preceding) as b from rule_items)
  select lhs, alt, pos, name from w where item_kind = 'repeat0' and b = 1""", "rule_items")
 def first_plus_repeat(t):
-    """Repeats with a statement item before them in their rule."""
-    bearing = F.max(F.col("name").endswith("-stmt").cast("int")).over(W.before("lhs", order=["alt", "pos"]))
+    """Repeats with a statement item before them in their sequence."""
+    bearing = F.max(F.col("name").endswith("-stmt").cast("int")).over(W.before("lhs", "alt", order=["pos"]))
     return t("rule_items").withColumn("b", bearing).where("item_kind = 'repeat0' AND b = 1").select("lhs", "alt", "pos", "name")
 
 

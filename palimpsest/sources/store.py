@@ -5,16 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the context's own
-    checkpoint folder; only where neither is set (tests on one machine) is one made."""
+    checkpoint folder; only on one machine, where neither is set, is one made."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if spark.sparkContext.getCheckpointDir() is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
         path = spark.sparkContext.getCheckpointDir()
     return path.rstrip("/")
@@ -40,6 +42,26 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, kinds: tuple[str, ..
     return rows.where(good).drop("_corrupt")
 
 
+def read_page_index(spark: SparkSession, path: str) -> DataFrame:
+    """(source, page, start, length, fault) of an index: its pages; lines that are no pages, with the fault `malformed page` and what
+    can be read of them; and sources that declare other numbers of pages or bytes than they have, without a page."""
+    page, head, any_ = r"^source (.*) page (\d+) start (\d+) length (\d+)$", r"^source (.*) pages (\d+) bytes (\d+)$", r"^source (.*?)(?: page (\d+)\b.*)?$"
+    lines = spark.read.text(path)
+
+    def part(pattern: str, i: int, kind: str) -> Column:
+        return F.nullif(F.regexp_extract("value", pattern, i), F.lit("")).cast(kind)
+
+    good, declares = F.col("value").rlike(page), F.col("value").rlike(head)
+    none = F.lit(None).cast("string")
+    pages = lines.where(good).select(part(page, 1, "string").alias("source"), *(part(page, i, "long").alias(n) for i, n in ((2, "page"), (3, "start"), (4, "length"))), none.alias("fault"))
+    bad = lines.where(~good & ~declares).select(part(any_, 1, "string").alias("source"), part(any_, 2, "long").alias("page"), F.lit("malformed page").alias("fault"))
+    declared = lines.where(declares).select(part(head, 1, "string").alias("source"), part(head, 2, "long").alias("n"), part(head, 3, "long").alias("total"))
+    found = pages.groupBy("source").agg(F.count("*").alias("found"), F.max(F.col("start") + F.col("length")).alias("bytes"))
+    both = declared.join(found, "source", "full")
+    wrong = F.array_compact(F.array(F.when(~F.col("n").eqNullSafe(F.col("found")), "declared pages"), F.when(~F.col("total").eqNullSafe(F.col("bytes")), "declared bytes")))
+    return pages.unionByName(bad, True).unionByName(both.select("source", F.explode(wrong).alias("fault")), True)
+
+
 def write_jsonl(rows: DataFrame, path: str, header: str | None = None) -> None:
     """One object a row; the header goes to a sidecar beside the rows, as rows have no order on a cluster."""
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)
