@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WHITE, slices
+from palimpsest.llm.common import WHITE, materialize, slices
 
 #: Words that make up at least this share of a language's words are its common words: at most 1 / SHARE each.
 SHARE = 0.002
@@ -104,7 +104,7 @@ class References:
     words of any language with all other words last."""
 
     def __init__(self, counts: DataFrame, share: float = SHARE) -> None:
-        counts = counts.persist()
+        counts = materialize(counts, "reference-counts")
         totals = {(r["lang"], r["kind"]): r["n"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
         self.langs = sorted({lang for lang, _ in totals})
         least = {lang: max(1, share * totals.get((lang, "word"), 0)) for lang in self.langs}
@@ -125,7 +125,6 @@ class References:
             self.words[i, -1] = totals.get((lang, "word"), 0) - self.words[i].sum()
         self.classes /= np.maximum(self.classes.sum(axis=1, keepdims=True), 1)
         self.words /= np.maximum(self.words.sum(axis=1, keepdims=True), 1)
-        counts.unpersist()
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
