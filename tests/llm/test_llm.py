@@ -226,6 +226,8 @@ def test_held_out_labels(spark):
     for name, label in (("op6_subword_toxicity", "toxic"), ("op8_random_indexing_quality", "quality")):
         rows = QUERIES[name](spark, data).join(labels, "doc_id").where("held_out").toPandas()
         assert (rows["predicted"] == rows[label]).mean() > 0.9
+        yes, no = rows[rows[label] == 1], rows[rows[label] == 0]
+        assert (yes["predicted"] == 1).mean() > 0.5 and (no["predicted"] == 1).mean() < 0.1
     docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "lang")
     rows = QUERIES["op10_hyperdimensional_language"](spark, data).join(docs, "doc_id").where("held_out").toPandas()
     assert (rows["lang_pred"] == rows["lang"]).mean() > 0.95
@@ -325,3 +327,98 @@ def test_unigram_fold_by_brute_force(spark):
         text = "".join(table.order[[table.table[p][0] for p in table.order].index(i)] if i > 255 else chr(i) for i in got[w])
         assert text == w
     assert pieces.load().fold == "merge"
+
+
+def test_quartile_digest_by_brute_force():
+    rng = random.Random(11)
+    for n in (0, 1, 7, 8, 500, 5000):
+        data = bytes(rng.choice(b"abcdefgh ") for _ in range(n))
+        counts = [0] * fingerprint.BUCKETS
+        for salt, (i, j, k) in enumerate(fingerprint.TRIPLETS, 1):
+            for at in range(max(0, n - k)):
+                h = ((data[at + i] << 16 | data[at + j] << 8 | data[at + k]) * 0x9E3779B1 + salt * 0x7FEB352D) & 0xFFFFFFFF
+                h = (h ^ h >> 15) * 0x846CA68B & 0xFFFFFFFF
+                counts[h >> 23] += 1
+        ranked = sorted(counts)
+        cuts = [ranked[len(ranked) * q // 4 - 1] for q in (1, 2, 3)]
+        codes = [sum(c > x for x in cuts) for c in counts]
+        bits = "".join(f"{c:02b}" for c in codes)
+        want = f"{min(255, round(12 * np.log2(n + 1))):02x}" + "".join(f"{int(bits[b : b + 8], 2):02x}" for b in range(0, len(bits), 8))
+        assert fingerprint.encode(fingerprint.quartile_codes(data)) == want
+
+
+def test_quality_counts_by_brute_force(spark):
+    """The whole query: its counts, the base rules, and that only texts that pass them are judged by divergence."""
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    rows = QUERIES["op5_distribution_divergence"](spark, DATA).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    white = " \t\n\v\f\r"
+    for r in rows:
+        text = texts[r["doc_id"]]
+        words = [w for w in "".join(" " if c in white else c for c in text).split(" ") if w]
+        places: dict = {}
+        for i in range(len(words) - 4):
+            places.setdefault(tuple(words[i : i + 5]), []).append(i)
+        repeated = {i + k for at in places.values() if len(at) > 1 for i in at for k in range(5)}
+        lines = [x for x in text.split("\n") if x.strip(white)]
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(repeated))
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        failed = len(words) < 10 or 100 * len(repeated) > 20 * len(words)
+        by_char, by_word = r["char_distance"], r["word_distance"]
+        far = (by_char or 0) >= quality_rules.MAX_CHAR_DISTANCE or (by_word or 0) >= quality_rules.MAX_WORD_DISTANCE
+        assert (r["base_failed"], r["kept"]) == (failed, not failed and not far)
+
+
+def test_letters_of_all_planes():
+    for text, n in (("😀 🎉", 0), ("12 .", 0), ("a", 1), ("𐐷x", 2), ("日本", 2), ("a😀b", 3), ("🄀", 0), (None, 0)):
+        assert len(langid.trigrams(text)) == n, text
+    classes = langid._letter_of()
+    assert all((classes[cp] > 0) == chr(cp).isalpha() for cp in range(0, 0x110000, 7))
+
+
+def test_warc_audit_of_odd_pages(spark):
+    """Lost, added, changed and unnamed pages; a record that moves is intact."""
+    rows = [(i, f"u{i}", "x" * (i % 7)) for i in range(3000)] + [(None, f"n{i}", "text") for i in range(40)] + [(-5, "minus", "y"), (7, "again", "z")]
+    gone, added, changed = {3, 1500, -5}, [(5000, "new", "a"), (None, "new", "b")], {10, 2999}
+    kept = [(i, u, h + "!" if i in changed else h) for i, u, h in rows if i not in gone and u != "n7"]
+    kind = "page_id long, url string, html string"
+    out = warc_audit.audit(spark.createDataFrame(rows, kind), spark.createDataFrame(kept + added, kind)).collect()
+    assert len(out) == len(rows) + 2
+    of = {s: sorted((r["page_id"] is None, r["page_id"] or 0) for r in out if r["status"] == s) for s in ("missing", "extra", "corrupt")}
+    assert of == {"missing": [(False, -5), (False, 3), (False, 1500), (True, 0)], "extra": [(False, 5000), (True, 0)], "corrupt": [(False, 10), (False, 2999)]}
+    assert warc_audit.audit(spark.createDataFrame([], kind), spark.createDataFrame([], kind)).count() == 0
+
+
+def test_names_that_clash_and_ids_that_repeat(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "one text of its own entirely here", 7), (1, "quite another one with other words", 8), (2, long, 9), (3, long + " end", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_rows long")
+    for name in ("n_rows", "own_id", "place", "copies", "key", "bucket", "node", "__n", "own_key"):
+        given = docs.withColumnRenamed("n_rows", name).withColumn("source", F.lit("s"))
+        kept = simhash.representatives(given)
+        assert kept.columns == given.columns
+        assert sorted((r["doc_id"], r[name]) for r in kept.collect()) == [(1, 7), (1, 8), (2, 9)]
+        again = mixing.repeat(given)
+        assert again.columns == given.columns and {(r["doc_id"], r[name]) for r in again.collect()} <= {(i, x) for i, _, x in rows}
+
+
+def test_mix_reruns_agree_and_inclusion_rises_with_size(spark):
+    rng = random.Random(12)
+    rows = [(i, "w " * rng.choice([4, 64]), "ab"[i % 3 == 0]) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = mixing.mix(docs, max_repeat=1).toPandas().sort_values("doc_id", ignore_index=True)
+    again = mixing.mix(docs.repartition(7), max_repeat=1).toPandas().sort_values("doc_id", ignore_index=True)
+    assert (first["taken"] == again["taken"]).all()
+    cut = first[(first["source"] == "a") & (first["target"] < first["source_size"])]
+    if len(cut):  # odds of inclusion go with the root of the size: 4 times for 16 times the words
+        small, large = (cut[cut["size"] == n]["copies"].mean() for n in (4, 64))
+        assert large > 1.5 * small
+
+
+def test_pipeline_stages_on_empty_and_odd_tables(spark, odd):
+    import corpus_pipeline
+
+    for docs in (odd.limit(0), odd.withColumn("n_chars", F.length("text"))):
+        assert corpus_pipeline.drop_near_duplicates(spark, docs, DATA).columns == docs.columns
+        assert corpus_pipeline.mix_sources(spark, docs, DATA).columns == docs.columns
+        assert corpus_pipeline.encode_pieces(spark, docs, DATA).count() == docs.count()
