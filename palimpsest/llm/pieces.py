@@ -7,9 +7,10 @@ lattice, and a fold over them (a higher-order aggregate) gives the word's pieces
 pair of best score until none is left (leftmost on ties), whose result a path of best score isn't; for a unigram table
 the Viterbi path. Characters without a piece become byte pieces.
 
-The ids go back to the texts in two ways. Words from a count on, at most COMMON, are sent to all tasks. All others are joined
-to the texts that hold them, each text once with a list of its own rare words. Words beyond LONG characters have the same
-lattice; their merges are folded with a heap in Arrow tasks, as the aggregate takes a word's length squared.
+Texts are numbered by words once: a task writes them in chunks of about CHUNK bytes, a word being its place among the common
+words (at most COMMON, sent to all tasks) or among those of its chunk that aren't common. Each distinct word is folded once;
+ids of words that aren't common come to their chunks by joins. Words beyond LONG characters have the same lattice; their merges are
+folded with a heap in Arrow tasks, as the aggregate takes a word's length squared.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import zstandard
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.common import materialize, partitions, slices
 
@@ -41,10 +44,12 @@ LONG, PART = 40, 256
 #: Edges are numbers: (begin * SPAN + length) << BITS | number, number being a piece's place by score. Numbers from CHARS on
 #: are single characters, by code point.
 SPAN, BITS, CHARS = 64, 22, 1 << 21
-#: Words that a task counts before it hands them on.
+#: Words that a task counts before it hands on those that it met more than once.
 HELD = 600_000
+#: Bytes of text of a chunk; a longer text is a chunk of its own.
+CHUNK = 1 << 20
 
-_common: dict[str, dict[str, bytes]] = {}
+_kept: dict[str, object] = {}
 
 
 @dataclass
@@ -151,18 +156,19 @@ def cut(text: str, find: Callable[[str], list[str]]) -> list[str]:
     return find(BLANK + text.replace(" ", BLANK))
 
 
-def word_counts(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
-    """(name, word, n): the distinct words of all texts; word is null where the name is the word. Each task counts its own
-    before they are dealt out by name."""
+def frequent_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
+    """(name, word, n): words that a task met more than once, from all texts; word is null where the name is the word. n tells
+    which words are worth sending to all tasks and nothing else, so single words of a task needn't be dealt out for it."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pieces.words, re.S).findall
         counts: Counter[str] = Counter()
 
         def rows() -> pa.RecordBatch:
-            names = list(map(name_of, counts))
-            own = [None if w == x else w for w, x in zip(counts, names, strict=True)]
-            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(own, pa.string()), pa.array(counts.values(), pa.int64())], ["name", "word", "n"])
+            words = [w for w, n in counts.items() if n > 1]
+            names = list(map(name_of, words))
+            own = [None if w == x else w for w, x in zip(words, names, strict=True)]
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(own, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["name", "word", "n"])
             counts.clear()
             return out
 
@@ -311,8 +317,9 @@ def _fold_long(rows: DataFrame, pieces: Pieces) -> DataFrame:
     return rows.select("name", "n", "word", "edges").mapInArrow(batches, "name string, n long, numbers array<int>")
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(name, n, numbers) of words (name, word, n), each once. The result is written out."""
+def encode_words(words: DataFrame, pieces: Pieces) -> list[DataFrame]:
+    """(name, n, numbers) of words (name, word, n), each once: short words, and long ones where they are folded apart. Words
+    that are dealt out by name stay so."""
     merge, unknown = pieces.fold == "merge", min((s for _, s in pieces.table.values()), default=0.0) - 10.0
     edges = F.col("edges") if merge else F.col("edges.edge")
 
@@ -323,31 +330,32 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
         return _let(F.transform(edges, lambda e: e.bitwiseAND(F.lit((1 << BITS) - 1))), given)
 
-    folded = _let(F.transform(edges, lambda e: F.shiftright(e, BITS)), numbers_of)
-    long = (F.col("size") > LONG) if merge else F.lit(False)
-    found = lattice(words, pieces).select("name", "n", "size", F.when(~long, folded).alias("numbers"), F.when(long, edges).alias("edges"))
-    found = materialize(found, "folded-words")
-    done = found.where("numbers IS NOT NULL").select("name", "n", "numbers")
+    folded = _let(F.transform(edges, lambda e: F.shiftright(e, BITS)), numbers_of).alias("numbers")
     if not merge:
-        return done
-    texts = materialize(words.where("word IS NOT NULL").select("name", "word"), "long-words")
-    return done.unionByName(_fold_long(found.where("numbers IS NULL").hint("merge").join(texts, "name"), pieces))
+        return [lattice(words, pieces).select("name", "n", folded)]
+    short, long = words.where("word IS NULL"), words.where("word IS NOT NULL")
+    texts = long.select("name", "word")
+    return [lattice(short, pieces).select("name", "n", folded), _fold_long(lattice(long, pieces).hint("merge").join(texts, "name"), pieces)]
 
 
-def common_words(coded: DataFrame, most: int) -> tuple[int, Broadcast]:
-    """The least count from which there are at most `most` words, and these words' numbers, as an Arrow stream for all tasks."""
+def common_words(docs: DataFrame, pieces: Pieces, most: int, text_col: str = "text") -> Broadcast:
+    """Names and numbers of at most `most` words, as an Arrow stream for all tasks, the most frequent first."""
     capped = 10_000
+    counts = materialize(frequent_words(docs, pieces, text_col), "frequent-words")
     total, least = 0, capped + 1
-    for r in coded.groupBy(F.least("n", F.lit(capped)).alias("n")).count().orderBy(F.desc("n")).collect():
+    for r in counts.groupBy(F.least("n", F.lit(capped)).alias("n")).count().orderBy(F.desc("n")).collect():
         total += r["count"]
         if total > most:
             break
         least = r["n"]
+    chosen = counts.where(F.col("n") >= least).repartition(partitions(docs.sparkSession), "name")
+    tables = [x.toArrow() for x in encode_words(chosen, pieces)]
+    table = pa.concat_tables([x.cast(tables[0].schema) for x in tables]).sort_by([("n", "descending"), ("name", "ascending")])
+    table = table.select(["name", "numbers"])
     sink = io.BytesIO()
-    table = coded.where(F.col("n") >= least).select("name", "numbers").toArrow()
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
-    return least, coded.sparkSession.sparkContext.broadcast(sink.getvalue())
+    return docs.sparkSession.sparkContext.broadcast(sink.getvalue())
 
 
 def _plain_ids(pieces: Pieces) -> np.ndarray:
@@ -360,51 +368,103 @@ def _plain_ids(pieces: Pieces) -> np.ndarray:
     return out
 
 
-def ids_of(numbers: np.ndarray, pieces: Pieces, plain: np.ndarray) -> np.ndarray:
-    """Ids of numbers; characters that are no piece give the ids of their bytes."""
+def ids_of(numbers: np.ndarray, offsets: np.ndarray, pieces: Pieces, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the numbers of words that begin at offsets, and where the ids of each begin; characters that are no piece give
+    the ids of their bytes."""
     found = plain[numbers]
-    if not len(found) or found.min() >= 0:
-        return found
-    spelt = [[i] if i >= 0 else [pieces.byte_ids[v] for v in chr(x - CHARS).encode("utf-8", "surrogatepass")] for i, x in zip(found.tolist(), numbers.tolist(), strict=True)]
-    return np.array([y for x in spelt for y in x], np.int32)
-
-
-def _known(common: Broadcast, pieces: Pieces) -> dict[str, bytes]:
-    """Names of the common words and their ids as bytes of four each; a worker keeps those that it had last."""
-    data = common.value
-    tag = hashlib.md5(data).hexdigest()
-    if tag not in _common:
-        _common.clear()
-        table = pa.ipc.open_stream(data).read_all()
-        numbers = table.column("numbers").combine_chunks()
-        offsets, values, plain = numbers.offsets.to_numpy(), numbers.values.to_numpy(), _plain_ids(pieces)
-        ids = plain[values]
-        raw, odd = ids.tobytes(), np.concatenate(([0], np.cumsum(ids < 0)))
-        rows = zip(table.column("name").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), (odd[offsets[1:]] > odd[offsets[:-1]]).tolist(), strict=True)
-        _common[tag] = {w: ids_of(values[a:z], pieces, plain).tobytes() if spelt else raw[4 * a : 4 * z] for w, a, z, spelt in rows}
-    return _common[tag]
-
-
-def rare_words(docs: DataFrame, pieces: Pieces, common: Broadcast, text_col: str = "text") -> DataFrame:
-    """(key, at, name): the words of each distinct text that aren't common, numbered in order of their first occurrence. A
-    task gives equal texts once; key is the digest of a text."""
+    odd = found < 0
+    if not odd.any():
+        return found, offsets
+    spelt = [[pieces.byte_ids[v] for v in chr(x - CHARS).encode("utf-8", "surrogatepass")] for x in numbers[odd].tolist()]
+    sizes = np.ones(len(found), np.int64)
+    sizes[odd] = list(map(len, spelt))
+    ids = np.repeat(found, sizes)
+    ids[np.repeat(odd, sizes)] = np.concatenate(spelt)
+    return ids, np.concatenate(([0], np.cumsum(sizes)))[offsets]
+
+
+def _of_common(common: Broadcast, what: str, make: Callable[[pa.Table], object]) -> object:
+    """What is made of the common words; a worker keeps what it had last."""
+    tag = what + hashlib.md5(common.value).hexdigest()
+    if tag not in _kept:
+        _kept.clear()
+        _kept[tag] = make(pa.ipc.open_stream(common.value).read_all())
+    return _kept[tag]
+
+
+class Places(dict):
+    """Places of the common words by name. Other words get -1, -2 and so on when they are first asked for."""
+
+    def __init__(self, names: list[str]) -> None:
+        super().__init__(zip(names, range(len(names)), strict=True))
+        self.others: list[str] = []
+        self.alike: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        if (name := name_of(word)) != word and name in self:
+            self.alike.append(word)
+            place = self[name]
+        else:
+            self.others.append(word)
+            place = -len(self.others)
+        self[word] = place
+        return place
+
+    def forget(self) -> None:
+        for word in (*self.others, *self.alike):
+            del self[word]
+        self.others, self.alike = [], []
+
+
+def chunks(rows: DataFrame, pieces: Pieces, common: Broadcast, check: bool) -> DataFrame:
+    """(chunk, rows, places, names, words) of rows whose last column is the text: the other columns of a chunk's texts, the number
+    of words of each and, with check, the digest of what it should decode to; places of their words, packed; and names
+    of the words that aren't common, with the word where it isn't the name. Numbers of chunks hold for one run: write the result."""
+    kept = rows.schema.fields[:-1]
+    more = [T.StructField("size", T.IntegerType())] + [T.StructField("sha", T.BinaryType())] * check
+    text = T.ArrayType(T.StringType())
+    schema = T.StructType().add("chunk", "long").add("rows", T.ArrayType(T.StructType([*kept, *more]))).add("places", "binary").add("names", text).add("words", text)
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, done = re.compile(pieces.words, re.S).findall, _known(common, pieces), set()
+        find, pack = re.compile(pieces.words, re.S).findall, zstandard.ZstdCompressor(level=3).compress
+        places = _of_common(common, "places", lambda t: Places(t.column("name").to_pylist()))
+        places.forget()
+        number = TaskContext.get().partitionId() << 32
         for b in it:
-            keys, ats, names = [], [], []
-            for key, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if key in done:
-                    continue
-                done.add(key)
-                rare = [x for w in dict.fromkeys(cut(text.as_py(), find)) if w not in known and (x := name_of(w)) not in known]
-                keys.extend([key] * len(rare))
-                ats.extend(range(len(rare)))
-                names.extend(rare)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ats, pa.int32()), pa.array(names, pa.string())], ["key", "at", "name"])
-
-    rows = docs.where(F.length(text_col) > 0).select(F.unhex(F.md5(F.col(text_col).cast("binary"))), text_col)
-    return rows.mapInArrow(batches, "key binary, at int, name string")
+            for a, z in slices([n or 0 for n in pc.binary_length(b.column(len(kept))).to_pylist()], CHUNK):
+                part, words, sizes, shas = b.slice(a, z - a), [], [], []
+                for t in part.column(len(kept)).to_pylist():
+                    found = cut(t, find) if t else []
+                    words += found
+                    sizes.append(len(found))
+                    if check:
+                        shas.append(hashlib.sha256((t or "").replace(BLANK, " ").encode("utf-8", "surrogatepass")).digest())
+                own = np.fromiter(map(places.__getitem__, words), np.int32, len(words))
+                names = list(map(name_of, places.others))
+                full = [None if w == x else w for w, x in zip(places.others, names, strict=True)]
+                places.forget()
+                columns = [*part.columns[:-1], pa.array(sizes, pa.int32()), *([pa.array(shas, pa.binary())] if check else [])]
+                held = pa.StructArray.from_arrays(columns, [f.name for f in (*kept, *more)])
+                # Bytes of equal weight lie together, which packs better.
+                packed = pack(own.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+                lists = [pa.array([x], pa.list_(pa.string())) for x in (names, full)]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays([0, len(held)], held), pa.array([packed], pa.binary()), *lists], schema.names)
+                number += 1
+
+    return rows.mapInArrow(batches, schema)
+
+
+def patches(texts: DataFrame, pieces: Pieces) -> DataFrame:
+    """(chunk, patch): place and numbers of each word of a chunk that isn't common."""
+    n = partitions(texts.sparkSession)
+    used = texts.select("chunk", F.posexplode(F.arrays_zip("names", "words")).alias("at", "x")).select("chunk", "at", "x.names", "x.words").toDF("chunk", "at", "name", "word")
+    words = used.select("name", "word").repartition(n, "name").groupBy("name").agg(F.min("word").alias("word"), F.lit(0).cast("long").alias("n"))
+    found = None
+    for k, coded in enumerate(encode_words(words, pieces)):
+        here = used if pieces.fold != "merge" else used.where("word IS NOT NULL" if k else "word IS NULL")
+        rows = here.select("chunk", "at", "name").repartition(n, "name").hint("merge").join(coded, "name").select("chunk", "at", "numbers")
+        found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("chunk").agg(F.collect_list(F.struct("at", "numbers")).alias("patch"))
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
@@ -419,63 +479,56 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool
     lower block mark as a blank) are added. Columns of these names in docs are replaced. Repeated rows all stay. common is the
     most words whose ids are sent to all tasks: it decides how ids come to the texts, not which."""
     kept = [c for c in docs.columns if c not in (text_col, "ids", "decoded_sha256", "exact")]
-    coded = encode_words(word_counts(docs, pieces, text_col), pieces)
-    least, sent = common_words(coded, common)
-    n = partitions(docs.sparkSession)
-    rare = rare_words(docs, pieces, sent, text_col).repartition(n, "name").distinct()
-    rare = rare.hint("merge").join(coded.where(F.col("n") < least).select("name", "numbers"), "name").groupBy("key").agg(F.collect_list(F.struct("at", "numbers")).alias("patch"))
-
-    def packed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for b in it:
-            texts = [None if t is None else pack(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.binary())], [*inner, "key", "text"])
-
     inner = [f"c{i}" for i in range(len(kept))]  # names of its own, whatever those of docs are
-    kinds = "".join(f"{i} {docs.schema[c].dataType.simpleString()}, " for i, c in zip(inner, kept, strict=True))
-    raw = F.col(f"`{text_col}`").cast("binary")
-    rows = docs.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, kept, strict=True)), F.unhex(F.md5(raw)).alias("key"), raw.alias("text"))
-    rows = rows.mapInArrow(packed, f"{kinds}key binary, text binary").hint("merge").join(rare, "key", "left")
+    sent = common_words(docs, pieces, common, text_col)
+    rows = docs.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, kept, strict=True)), F.col(f"`{text_col}`").alias("text"))
+    texts = materialize(chunks(rows, pieces, sent, check), "chunks")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known, unpack = re.compile(pieces.words, re.S).findall, _known(sent, pieces), zstandard.ZstdDecompressor().decompress
-        plain = _plain_ids(pieces)
-        for b in it:
-            for a, z in slices([1] * b.num_rows, 500):
-                part = b.slice(a, z - a)
-                ends, each, shas, exact = [0], [], [], []
-                for text, patch in zip(part.column(len(kept)), part.column(len(kept) + 1), strict=True):
-                    text = unpack(text.as_py()).decode("utf-8", "surrogatepass") if text.is_valid else ""
-                    ids = _encode(text, find, known, patch.as_py() if patch.is_valid else [], pieces, plain)
-                    each.append(ids)
-                    ends.append(ends[-1] + len(ids) // 4)
-                    if check:
-                        back = decode_ids(memoryview(ids).cast("i"), pieces)
-                        shas.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                        exact.append(back == text.replace(BLANK, " "))
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32)))
-                more = [pa.array(shas, pa.string()), pa.array(exact, pa.bool_())] if check else []
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], ids, *more], [*inner, "ids", *["decoded_sha256", "exact"][: len(more)]])
-
-    out = rows.select(*inner, "text", "patch").mapInArrow(batches, f"{kinds}ids array<int>" + (", decoded_sha256 string, exact boolean" if check else ""))
-    return out.select(*(F.col(i).alias(c) for i, c in zip(inner, kept, strict=True)), *out.columns[len(kept) :])
+        unpack, plain = zstandard.ZstdDecompressor().decompress, _plain_ids(pieces)
 
+        def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of lists of numbers, and where those of each begin."""
+            offsets = lists.offsets.to_numpy()
+            return ids_of(lists.flatten().to_numpy(), offsets - offsets[0], pieces, plain)
 
-def _encode(text: str, find: Callable[[str], list[str]], known: dict[str, bytes], patch: list[dict], pieces: Pieces, plain: np.ndarray) -> bytes:
-    """Ids of a text, by the common words and those of its patch."""
-    if not text:
-        return b""
-    words = cut(text, find)
-    if not patch:
-        return b"".join([known.get(w) or known[name_of(w)] for w in words])
-    rare = {p["at"]: p["numbers"] for p in patch}
-    own: dict[str, bytes] = {}
-    at = 0
-    for word in dict.fromkeys(words):
-        if (ids := known.get(word) or known.get(name_of(word))) is None:
-            ids, at = ids_of(np.array(rare[at], np.int64), pieces, plain).tobytes(), at + 1
-        own[word] = ids
-    return b"".join(map(own.__getitem__, words))
+        ids, begins = _of_common(sent, "ids", lambda t: flat(t.column("numbers").combine_chunks()))
+        n = len(begins) - 1
+        for b in it:
+            for at in range(b.num_rows):
+                held, patch = b.column(0).slice(at, 1).flatten(), b.column(2).slice(at, 1).flatten()
+                places = np.frombuffer(unpack(b.column(1)[at].as_py()), np.uint8).reshape(4, -1).T.copy().view("<i4")[:, 0].astype(np.int64)
+                columns = dict(zip((f.name for f in held.type), held.flatten(), strict=True))
+                values, starts, sizes = ids, begins[:-1].astype(np.int64), np.diff(begins)
+                if len(patch):
+                    spot, numbers = patch.flatten()
+                    other, ends = flat(numbers)
+                    order = np.empty(len(patch), np.int64)
+                    order[spot.to_numpy()] = np.arange(len(patch))
+                    values = np.concatenate((ids, other))
+                    starts = np.concatenate((starts, len(ids) + ends[:-1][order]))
+                    sizes = np.concatenate((sizes, np.diff(ends)[order]))
+                places[places < 0] = n - 1 - places[places < 0]
+                length = sizes[places]
+                word_ends = np.concatenate(([0], np.cumsum(length)))
+                coded = values[np.repeat(starts[places] - word_ends[:-1], length) + np.arange(word_ends[-1])]
+                ends = word_ends[np.concatenate(([0], np.cumsum(columns["size"].to_numpy())))]
+                more = []
+                if check:
+                    cells = coded.tolist()
+                    back = [hashlib.sha256(decode_ids(cells[a:z], pieces).encode("utf-8", "surrogatepass")) for a, z in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                    same = [x.digest() == y for x, y in zip(back, columns["sha"].to_pylist(), strict=True)]
+                    more = [pa.array([x.hexdigest() for x in back], pa.string()), pa.array(same, pa.bool_())]
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(coded, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(columns[c] for c in inner), lists, *more], names)
+
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    if check:
+        schema = schema.add("decoded_sha256", "string").add("exact", "boolean")
+    names = schema.names
+    joined = texts.select("chunk", "rows", "places").hint("merge").join(patches(texts, pieces), "chunk", "left")
+    out = joined.select("rows", "places", "patch").mapInArrow(batches, schema)
+    return out.select(*(F.col(i).alias(c) for i, c in zip(inner, kept, strict=True)), *out.columns[len(kept) :])
 
 
 def decode(rows: DataFrame, pieces: Pieces, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

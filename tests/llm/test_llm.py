@@ -320,7 +320,7 @@ def test_unigram_fold_by_brute_force(spark):
         return max(ways, key=lambda x: x[0])
 
     rows = spark.createDataFrame([(w, None, 1) for w in set(words)], "name string, word string, n long")
-    got = {r["name"]: pieces.ids_of(np.array(r["numbers"]), table, pieces._plain_ids(table)).tolist() for r in pieces.encode_words(rows, table).collect()}
+    got = {r["name"]: pieces.ids_of(np.array(r["numbers"]), np.array([0]), table, pieces._plain_ids(table))[0].tolist() for r in pieces.encode_words(rows, table)[0].collect()}
     score = {i: s for i, s in table.table.values()}
     for w in set(words):  # ways of equal score are equally right
         assert sum(score.get(i, min(made.values()) - 10) for i in got[w]) == pytest.approx(best(w)[0])
