@@ -19,6 +19,7 @@ import hashlib
 import heapq
 import io
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import materialize, partitions, slices
+from palimpsest.llm.common import materialize, partitions, shared_dir, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -44,10 +45,10 @@ LONG, PART = 40, 256
 #: Edges are numbers: (begin * SPAN + length) << BITS | number, number being a piece's place by score. Numbers from CHARS on
 #: are single characters, by code point.
 SPAN, BITS, CHARS = 64, 22, 1 << 21
-#: Words that a task counts before it hands on those that it met more than once.
-HELD = 600_000
+#: Words that a task counts before it hands on those that it met often enough, FREQUENT times or more.
+HELD, FREQUENT = 600_000, 3
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 2 << 20
 
 _kept: dict[str, object] = {}
 
@@ -157,15 +158,15 @@ def cut(text: str, find: Callable[[str], list[str]]) -> list[str]:
 
 
 def frequent_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
-    """(name, word, n): words that a task met more than once, from all texts; word is null where the name is the word. n tells
-    which words are worth sending to all tasks and nothing else, so single words of a task needn't be dealt out for it."""
+    """(name, word, n): words that a task met FREQUENT times, from all texts; word is null where the name is the word. n tells
+    which words are worth sending to all tasks and nothing else, so rarer words of a task needn't be dealt out for it."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(pieces.words, re.S).findall
         counts: Counter[str] = Counter()
 
         def rows() -> pa.RecordBatch:
-            words = [w for w, n in counts.items() if n > 1]
+            words = [w for w, n in counts.items() if n >= FREQUENT]
             names = list(map(name_of, words))
             own = [None if w == x else w for w, x in zip(words, names, strict=True)]
             out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(own, pa.string()), pa.array([counts[w] for w in words], pa.int64())], ["name", "word", "n"])
@@ -317,9 +318,9 @@ def _fold_long(rows: DataFrame, pieces: Pieces) -> DataFrame:
     return rows.select("name", "n", "word", "edges").mapInArrow(batches, "name string, n long, numbers array<int>")
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> list[DataFrame]:
-    """(name, n, numbers) of words (name, word, n), each once: short words, and long ones where they are folded apart. Words
-    that are dealt out by name stay so."""
+def encode_words(words: DataFrame, pieces: Pieces, long: bool | None = None) -> list[DataFrame]:
+    """(name, n, numbers) of words (name, word, n), each once: short words, and long ones where they are folded apart. long
+    tells that all words are short or all long. Words that are dealt out by name stay so."""
     merge, unknown = pieces.fold == "merge", min((s for _, s in pieces.table.values()), default=0.0) - 10.0
     edges = F.col("edges") if merge else F.col("edges.edge")
 
@@ -333,9 +334,13 @@ def encode_words(words: DataFrame, pieces: Pieces) -> list[DataFrame]:
     folded = _let(F.transform(edges, lambda e: F.shiftright(e, BITS)), numbers_of).alias("numbers")
     if not merge:
         return [lattice(words, pieces).select("name", "n", folded)]
-    short, long = words.where("word IS NULL"), words.where("word IS NOT NULL")
-    texts = long.select("name", "word")
-    return [lattice(short, pieces).select("name", "n", folded), _fold_long(lattice(long, pieces).hint("merge").join(texts, "name"), pieces)]
+    out = []
+    if not long:
+        out.append(lattice(words.where("word IS NULL"), pieces).select("name", "n", folded))
+    if long is not False:
+        apart = words.where("word IS NOT NULL")
+        out.append(_fold_long(lattice(apart, pieces).hint("merge").join(apart.select("name", "word"), "name"), pieces))
+    return out
 
 
 def common_words(docs: DataFrame, pieces: Pieces, most: int, text_col: str = "text") -> Broadcast:
@@ -455,16 +460,29 @@ def chunks(rows: DataFrame, pieces: Pieces, common: Broadcast, check: bool) -> D
 
 
 def patches(texts: DataFrame, pieces: Pieces) -> DataFrame:
-    """(chunk, patch): place and numbers of each word of a chunk that isn't common."""
+    """(chunk, patch): for each word of a chunk that isn't common, its place and then its numbers."""
     n = partitions(texts.sparkSession)
     used = texts.select("chunk", F.posexplode(F.arrays_zip("names", "words")).alias("at", "x")).select("chunk", "at", "x.names", "x.words").toDF("chunk", "at", "name", "word")
-    words = used.select("name", "word").repartition(n, "name").groupBy("name").agg(F.min("word").alias("word"), F.lit(0).cast("long").alias("n"))
     found = None
-    for k, coded in enumerate(encode_words(words, pieces)):
-        here = used if pieces.fold != "merge" else used.where("word IS NOT NULL" if k else "word IS NULL")
-        rows = here.select("chunk", "at", "name").repartition(n, "name").hint("merge").join(coded, "name").select("chunk", "at", "numbers")
-        found = rows if found is None else found.unionByName(rows)
-    return found.groupBy("chunk").agg(F.collect_list(F.struct("at", "numbers")).alias("patch"))
+    for long in (False, True):
+        here = used.where("word IS NOT NULL" if long else "word IS NULL")
+        words = here.select("name", *["word"] * long).repartition(n, "name").groupBy("name").agg(*[F.min("word").alias("word")] * long, F.lit(0).cast("long").alias("n"))
+        if not long:
+            words = words.withColumn("word", F.lit(None).cast("string"))
+        for coded in encode_words(words, pieces, long):
+            rows = here.select("chunk", "at", "name").repartition(n, "name").hint("merge").join(coded, "name")
+            rows = rows.select("chunk", F.concat(F.array("at"), "numbers").alias("numbers"))
+            found = rows if found is None else found.unionByName(rows)
+    return found.groupBy("chunk").agg(F.collect_list("numbers").alias("patch"))
+
+
+def by_chunk(texts: DataFrame) -> DataFrame:
+    """texts, written to the shared folder in buckets of their chunks: a join by chunk deals out the other side alone."""
+    spark = texts.sparkSession
+    name = f"palimpsest_chunks_{uuid.uuid4().hex}"
+    writer = texts.write.format("parquet").bucketBy(partitions(spark), "chunk").option("compression", "zstd")
+    writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:
@@ -482,7 +500,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool
     inner = [f"c{i}" for i in range(len(kept))]  # names of its own, whatever those of docs are
     sent = common_words(docs, pieces, common, text_col)
     rows = docs.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, kept, strict=True)), F.col(f"`{text_col}`").alias("text"))
-    texts = materialize(chunks(rows, pieces, sent, check), "chunks")
+    texts = by_chunk(chunks(rows, pieces, sent, check))
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, plain = zstandard.ZstdDecompressor().decompress, _plain_ids(pieces)
@@ -501,10 +519,10 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool
                 columns = dict(zip((f.name for f in held.type), held.flatten(), strict=True))
                 values, starts, sizes = ids, begins[:-1].astype(np.int64), np.diff(begins)
                 if len(patch):
-                    spot, numbers = patch.flatten()
-                    other, ends = flat(numbers)
+                    heads, cells = patch.offsets.to_numpy() - patch.offsets[0].as_py(), patch.flatten().to_numpy()
                     order = np.empty(len(patch), np.int64)
-                    order[spot.to_numpy()] = np.arange(len(patch))
+                    order[cells[heads[:-1]]] = np.arange(len(patch))
+                    other, ends = ids_of(np.delete(cells, heads[:-1]), heads - np.arange(len(heads)), pieces, plain)
                     values = np.concatenate((ids, other))
                     starts = np.concatenate((starts, len(ids) + ends[:-1][order]))
                     sizes = np.concatenate((sizes, np.diff(ends)[order]))
