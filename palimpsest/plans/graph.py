@@ -10,11 +10,13 @@ from palimpsest.operators.windows import before
 from palimpsest.plans.fixtures import query
 from palimpsest.sources import store
 
-REACHED = "+ roots as (select concat('part-', p_partkey) as node from part where p_partkey < 25), r(node) as (select node from roots union select dst from r join rule_edges on node = src)"
+REACHED = "+ roots as (select concat('part-', p_partkey) as node from part where concat('part-', p_partkey) not in (select dst from rule_edges)), r(node) as (select node from roots union select dst from r join rule_edges on node = src)"
 
 
-def part_roots(t, below=25):
-    return t("part").where(F.col("p_partkey") < below).select(F.concat(F.lit("part-"), "p_partkey").alias("node"))
+def part_roots(t):
+    """Parts that nothing refers to."""
+    parts = t("part").select(F.concat(F.lit("part-"), "p_partkey").alias("node"))
+    return parts.hint("merge").join(t("rule_edges").select(F.col("dst").alias("node")), "node", "left_anti")
 
 
 @query("rule_closure", REACHED + " select node, node in (select src from rule_edges) as resolved from r", "rule_edges")
@@ -24,12 +26,12 @@ def rule_closure(t):
     return G.reach(e, part_roots(t)).hint("merge").join(owners, "node", "left").select("node", F.col("own").isNotNull().alias("resolved"))
 
 
-@query("reachable_prune", REACHED + " select distinct src as node, src in (select node from r) as retained, case when src not in (select node from r) then 'unreachable from 25 roots' end as reason from rule_edges", "rule_edges")
+@query("reachable_prune", REACHED + " select distinct src as node, src in (select node from r) as retained, case when src not in (select node from r) then 'unreachable from the roots' end as reason from rule_edges", "rule_edges")
 def reachable_prune(t):
     """Owners that the roots reach, and witnesses of the pruned ones."""
     roots = part_roots(t)
     reached = G.reach(t("rule_edges"), roots).select("node", F.lit(True).alias("in"))
-    reason = F.lit("unreachable from 25 roots")
+    reason = F.lit("unreachable from the roots")
     rows = t("rule_edges").select(F.col("src").alias("node")).distinct().hint("merge").join(reached, "node", "left")
     return rows.select("node", F.col("in").isNotNull().alias("retained"), F.when(F.col("in").isNull(), reason).alias("reason"))
 
@@ -140,7 +142,7 @@ def factor_alias_family(t):
     return G.factor_aliases(t("rule_edges"), aliases(t))
 
 
-@query("factor_witnesses", ALIAS + " select name, case when name in (select concat('part-', p_partkey) from part where p_partkey < 25) then 'protected-reachability-root' when state = 'cyclic' then 'cyclic-unit-alias' when state = 'resolved' then 'factored' else 'kept' end as disposition from resolved", "rule_edges")
+@query("factor_witnesses", ALIAS + " select name, case when name in (select concat('part-', p_partkey) from part where concat('part-', p_partkey) not in (select dst from rule_edges)) then 'protected-reachability-root' when state = 'cyclic' then 'cyclic-unit-alias' when state = 'resolved' then 'factored' else 'kept' end as disposition from resolved", "rule_edges")
 def factor_witnesses(t):
     """What became of each name, roots being protected."""
     roots = part_roots(t).select(F.col("node").alias("name"), F.lit(True).alias("root"))
