@@ -28,6 +28,23 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     raise AssertionError
 
 
+def closure(rules: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, state) for all names that roots (node) reach over edges (src, dst), rules (name) having a row for each declaration:
+    'resolved' by a rule; 'ambiguous' if a reached rule refers to a name of several rules, which are followed all the same;
+    'unresolved' without a rule; 'missing root' if that is a root. Without any root the one row is (null, 'no roots')."""
+    roots = materialize(roots.select("node").distinct(), "roots")
+    reached = materialize(reach(edges, roots).select("node"), "reached")
+    declared = rules.groupBy(F.col("name").alias("node")).agg(F.count("*").alias("n"))
+    named = edges.select("src", "dst").hint("merge").join(reached.withColumnRenamed("node", "src"), "src", "left_semi")
+    named = named.select(F.col("dst").alias("node"), F.lit(True).alias("named")).distinct()
+    rows = reached.hint("merge").join(declared, "node", "left").hint("merge").join(named, "node", "left")
+    rows = rows.hint("merge").join(roots.withColumn("root", F.lit(True)), "node", "left")
+    state = F.when(F.col("n").isNull(), F.when(F.col("root"), "missing root").otherwise("unresolved"))
+    state = state.when((F.col("n") > 1) & F.col("named"), "ambiguous").otherwise("resolved")
+    none = roots.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("node"), F.lit("no roots").alias("state"))
+    return rows.select("node", state.alias("state")).unionByName(none)
+
+
 def pairs(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(src, dst): transitive closure by path doubling; self pairs are the nodes on cycles."""
     known = materialize(edges.select("src", "dst").distinct(), "pairs")

@@ -31,3 +31,10 @@ def intern(keys: DataFrame, key: str, pos: str, parts: int | None = None) -> Dat
     offset = F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv))[F.col("part")]
     rank = F.row_number().over(Window.partitionBy("part").orderBy("first_pos", "key"))
     return ranged.select("key", (offset + rank).cast("long").alias("id"))
+
+
+def coalesce(rows: DataFrame, location: list[str], evidence: list[str]) -> DataFrame:
+    """(location, evidence, fault): rows of one location become a site with an array of their evidence; a piece of evidence that
+    stands there twice is a fault. Nulls of a location are one value."""
+    sites = rows.groupBy(*location).agg(F.collect_list(F.struct(*evidence)).alias("evidence"))
+    return sites.withColumn("fault", F.when(F.size("evidence") > F.size(F.array_distinct("evidence")), "evidence is repeated"))

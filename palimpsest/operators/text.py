@@ -128,6 +128,22 @@ def notation_tokens(rows: DataFrame, text_col: str) -> DataFrame:
     return out.withColumn("position", F.col("position").cast("long")).withColumn("token_kind", kind)
 
 
+def canonical_notation(items: DataFrame) -> DataFrame:
+    """(lhs, notation) from items (lhs, alt, pos, item_kind, name): items of an alternative in order with one blank between them,
+    an optional one as `[ x ]`, a repeat from 0 as `[ x ] ...`, from 1 as `x ...`, and ` or ` between alternatives."""
+    kind, name = F.col("item_kind"), F.col("name")
+    x = F.when(kind == "optional", F.concat(F.lit("[ "), name, F.lit(" ]"))).when(kind == "repeat0", F.concat(F.lit("[ "), name, F.lit(" ] ...")))
+    x = x.when(kind == "repeat1", F.concat(name, F.lit(" ..."))).otherwise(name)
+    alts = items.groupBy("lhs", "alt").agg(F.array_sort(F.collect_list(F.struct("pos", x.alias("x")))).alias("xs"))
+    rules = alts.select("lhs", "alt", F.array_join("xs.x", " ").alias("x")).groupBy("lhs").agg(F.array_sort(F.collect_list(F.struct("alt", "x"))).alias("xs"))
+    return rules.select("lhs", F.array_join("xs.x", " or ").alias("notation"))
+
+
+def canonical_spacing(source: Column) -> Column:
+    """Source notation with one blank around brackets and `...` and between all else."""
+    return F.trim(F.regexp_replace(F.regexp_replace(source, r"(\[|\]|\.\.\.)", " $1 "), " +", " "))
+
+
 def fnv1a32(key: Column) -> Column:
     """32-bit FNV-1a of a string's bytes."""
     codes = F.transform(F.sequence(F.lit(1), F.octet_length(key)), lambda i: F.conv(F.hex(F.substring(key.cast("binary"), i, F.lit(1))), 16, 10).cast("long"))

@@ -113,3 +113,16 @@ def bracket_audit(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     depth = F.aggregate(signs, F.struct(F.lit(0).alias("now"), F.lit(0).alias("low")), lambda a, s: F.struct((a["now"] + s).alias("now"), F.least(a["low"], a["now"] + s).alias("low")))
     out = rows.withColumn("d", depth).select(*keys, F.col("d.now").cast("long").alias("open_at_end"), F.col("d.low").cast("long").alias("lowest"))
     return out.where("open_at_end <> 0 OR lowest < 0")
+
+
+def repeat_kinds(items: DataFrame, statement: Column, *node: str) -> DataFrame:
+    """(node, repeat_kind, item, derivations) of the repeats with a statement in them, items (item_kind, name) being what is repeated
+    and statement telling which names are one. A lone reference is 'direct'; a sequence is 'compound' if all else in it can be
+    empty, or 'unsupported'. Derivations are its statements, sorted, each once."""
+    bearing = (F.col("item_kind") == "ref") & statement
+    sound = bearing | F.col("item_kind").isin("optional", "repeat0")
+    names = F.array_join(F.array_sort(F.collect_set(F.when(bearing, F.col("name")))), ",")
+    g = items.groupBy(*node).agg(F.count("*").alias("n"), F.bool_and(sound).alias("sound"), F.bool_or(bearing).alias("bearing"), names.alias("derivations")).where("bearing")
+    kind = F.when(F.col("n") == 1, "direct").when(F.col("sound"), "compound").otherwise("unsupported")
+    item = F.when(F.col("n") == 1, F.col("derivations")).when(F.col("sound"), "sequence").otherwise("expression")
+    return g.select(*node, kind.alias("repeat_kind"), item.alias("item"), "derivations")

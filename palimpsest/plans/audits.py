@@ -141,12 +141,23 @@ def lineage_witness(t):
     return rows.unionByName(t("nation").select(F.lit("alias").alias("kind"), F.col("n_name").alias("id"), F.col("n_regionkey").cast("string").alias("detail")))
 
 
-@query("lineage_coverage", "with kept as (select min(doc_id) as k from documents group by text), w as (select doc_id as k from documents where doc_id % 9 <> 4) select doc_id from documents where doc_id not in (select k from kept) and doc_id not in (select k from w)")
+@query("lineage_coverage", """with kept as (select text, min(doc_id) as k from documents group by text), named as (select doc_id, k from documents d join kept on d.text is not distinct from kept.text), gone as (select * from named where doc_id <> k)
+ , refs as (select o.doc_id, case when o.doc_id % 3 = 1 then o.doc_id + 1 else coalesce(gone.k, o.doc_id + 1) end as ref from named o left join gone on gone.doc_id = o.doc_id + 1 where o.doc_id = o.k)
+ select doc_id, 'neither retained nor witnessed' as fault from gone where doc_id % 9 = 4 union all select doc_id, 'refers to a removed row' from refs where ref in (select doc_id from gone)""")
 def lineage_coverage(t):
-    """Rows neither retained (first of their text) nor witnessed (some witnesses are taken away)."""
-    docs = t("documents")
-    kept = docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return docs.select("doc_id").join(kept, "doc_id", "left_anti").join(docs.where("doc_id % 9 <> 4").select("doc_id"), "doc_id", "left_anti")
+    """Removed rows (all but the first of their text) without a witness, some being taken away, and retained rows that still refer to
+    a removed one. A row refers to the id after its own; references are led to retained rows, but for some that are left."""
+    docs = t("documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    kept = docs.groupBy("h").agg(F.min("doc_id").alias("k")).withColumnRenamed("h", "kh")
+    named = store.materialize(docs.hint("merge").join(kept, F.col("h").eqNullSafe(F.col("kh"))).select("doc_id", "k"), "lineage")
+    gone = named.where("doc_id <> k")
+    lost = gone.hint("merge").join(named.where("doc_id % 9 <> 4").select("doc_id"), "doc_id", "left_anti")
+    refs = named.where("doc_id = k").select("doc_id", (F.col("doc_id") + 1).alias("ref"))
+    refs = refs.hint("merge").join(gone.select(F.col("doc_id").alias("ref"), "k"), "ref", "left")
+    refs = refs.select("doc_id", F.when(F.col("doc_id") % 3 == 1, F.col("ref")).otherwise(F.coalesce("k", "ref")).alias("ref"))
+    stale = refs.hint("merge").join(gone.select(F.col("doc_id").alias("ref")), "ref", "left_semi")
+    out = lost.select("doc_id", F.lit("neither retained nor witnessed").alias("fault"))
+    return out.unionByName(stale.select("doc_id", F.lit("refers to a removed row").alias("fault")))
 
 
 @query("source_witness_refresh", "+ have as (select id, document from semantic_items where pos % 4 <> 1) select distinct id, document, (id, document) not in (select (id, document) from have) as added from semantic_items", "semantic_items")

@@ -47,14 +47,14 @@ select concat('order-', k, case when k % 3 = 0 then '-stmt' else '' end) as lhs,
        case when pk % 4 = 3 then concat('order-', (k * 5 + n) % c.c, case when ((k * 5 + n) % c.c) % 3 = 0 then '-stmt' else '' end)
             else concat('part-', pk) end as name
 from li cross join (select count(*) c from {{orders}}) c""",
-    "classifications": """select concat('nation-', n_nationkey, '-name') as name, 'alias' as kind, '' as target, '-name' as suffix, '' as prefix, '' as sep from {nation}
-union all select concat('nation-', n_nationkey, '-list'), 'list', '', '-list', '', ',' from {nation}
-union all select concat('scalar-nation-', n_nationkey), 'scalar', '', '', 'scalar-', '' from {nation}
-union all select concat('old-nation-', n_nationkey), 'erratum', concat('nation-', n_nationkey), '', '', '' from {nation}
-union all select concat('WORD-', n_nationkey), 'lexical', '', '', '', '' from {nation}
-union all select concat('hole-', n_nationkey), 'semantic-only', '', '', '', '' from {nation} where n_nationkey % 5 = 0
-union all select concat('WORD-', n_nationkey), 'lexical', '', '', '', '' from {nation} where n_nationkey % 4 = 0
-union all select concat('old-nation-', n_nationkey), 'erratum', 'nation-0', '', '', '' from {nation} where n_nationkey % 10 = 3""",
+    "classifications": """select concat('supp-', s_suppkey, '-name') as name, 'alias' as kind, '' as target, '-name' as suffix, '' as prefix, '' as sep from {supplier}
+union all select concat('supp-', s_suppkey, '-list'), 'list', '', '-list', '', ',' from {supplier}
+union all select concat('scalar-supp-', s_suppkey), 'scalar', '', '', 'scalar-', '' from {supplier}
+union all select concat('old-supp-', s_suppkey), 'erratum', concat('supp-', s_suppkey), '', '', '' from {supplier}
+union all select concat('WORD-', s_suppkey), 'lexical', '', '', '', '' from {supplier}
+union all select concat('hole-', s_suppkey), 'semantic-only', '', '', '', '' from {supplier} where s_suppkey % 5 = 0
+union all select concat('WORD-', s_suppkey), 'lexical', '', '', '', '' from {supplier} where s_suppkey % 4 = 0
+union all select concat('old-supp-', s_suppkey), 'erratum', 'supp-0', '', '', '' from {supplier} where s_suppkey % 10 = 3""",
     "codepoint_ranges": """select * from (values ('letter','LETTER',65,90), ('letter','LETTER',97,122), ('digit','DIGIT',48,57),
   ('en-dash','EN_DASH',8211,8211), ('right-quote','RIGHT_SINGLE_QUOTE',8217,8217)) as t(source_term, target, first_cp, last_cp)""",
     "glyphs": (
@@ -84,6 +84,10 @@ union all select concat('rhs/', r_regionkey + 1), concat('region-', r_regionkey)
 union all select concat('rhs/', n_regionkey + 1, '/', j), concat('nation-', n_nationkey) from n
 union all select concat('rhs/', n.n_regionkey + 1, '/', n.j, '/', s.k), concat('supp-', s_suppkey) from s join n on n.n_nationkey = s.s_nationkey""",
 }
+VIEWS["evidence"] = """with e as (select document, clause, source_hash, page, pos as byte_start, rule, subject as lhs, id as path, origin as kind, resolution as status from {semantic_items})
+select * from e
+union all select document, clause, source_hash, page, byte_start, rule, lhs, path, 'search', 'unresolved' from e where byte_start % 3 = 0
+union all select * from e where byte_start % 10 = 4"""
 VIEWS["checked_items"] = """select case when pos % 43 = 5 then null else id end as id, pos, case when pos % 47 = 6 then null else subject end as subject, case when pos % 53 = 7 then null else document end as document,
  case when pos % 59 = 8 then null when pos % 59 = 9 then '' else clause end as clause, case when pos % 61 = 10 then null when pos % 61 = 11 then '' else rule end as rule, case when pos % 67 = 12 then null else page end as page,
  case when pos % 71 = 13 then null else source_hash end as source_hash, case when pos % 73 = 14 then null else origin end as origin, case when pos % 79 = 15 then null when pos % 79 = 16 then 'open' else resolution end as resolution

@@ -19,11 +19,17 @@ def part_roots(t):
     return parts.hint("merge").join(t("rule_edges").select(F.col("dst").alias("node")), "node", "left_anti")
 
 
-@query("rule_closure", REACHED + " select node, node in (select src from rule_edges) as resolved from r", "rule_edges")
+RULES = "select distinct src as name from rule_edges union all select distinct src from rule_edges where src like 'part-%5'"
+
+
+@query("rule_closure", REACHED + f""", rules as ({RULES}), n as (select name, count(*) as n from rules group by name), named as (select distinct dst from rule_edges join r on node = src)
+ select node, case when n is null and node in (select node from roots) then 'missing root' when n is null then 'unresolved' when n > 1 and node in (select dst from named) then 'ambiguous' else 'resolved' end as state from r left join n on name = node
+ union all select null, 'no roots' where not exists (select * from roots)""", "rule_edges")
 def rule_closure(t):
+    """The closure of the roots; some owners are declared twice."""
     e = t("rule_edges")
-    owners = e.select(F.col("src").alias("node"), F.lit(True).alias("own")).distinct()
-    return G.reach(e, part_roots(t)).hint("merge").join(owners, "node", "left").select("node", F.col("own").isNotNull().alias("resolved"))
+    owners = e.select(F.col("src").alias("name")).distinct()
+    return G.closure(owners.unionByName(owners.where("name LIKE 'part-%5'")), e, part_roots(t))
 
 
 @query("reachable_prune", REACHED + " select distinct src as node, src in (select node from r) as retained, case when src not in (select node from r) then 'unreachable from the roots' end as reason from rule_edges", "rule_edges")
@@ -55,11 +61,11 @@ def typed_closure(t):
     return found.select("node", F.when(F.col("rule") == 1, "normative").when(F.col("fact") == 1, "derived").otherwise("terminal").alias("kind"))
 
 
-@query("classification_cycles", FORWARD + """, e as (select src, dst from fw union select concat('nation-', n_nationkey), concat('nation-', n_nationkey, '-list') from nation where n_nationkey % 6 = 1)
+@query("classification_cycles", FORWARD + """, e as (select src, dst from fw union select concat('supp-', s_suppkey), concat('supp-', s_suppkey, '-list') from supplier where s_suppkey % 6 = 1)
  , r(a, b) as (select src, dst from e union select a, dst from r join e on b = src) select a as name from r where a = b""", "classifications")
 def classification_cycles(t):
-    """Facts that lead back to themselves; some are planted by forwarding nations to their lists."""
-    planted = t("nation").where("n_nationkey % 6 = 1").select(F.concat(F.lit("nation-"), "n_nationkey").alias("src"), F.concat(F.lit("nation-"), "n_nationkey", F.lit("-list")).alias("dst"))
+    """Facts that lead back to themselves; some are planted by forwarding suppliers to their lists."""
+    planted = t("supplier").where("s_suppkey % 6 = 1").select(F.concat(F.lit("supp-"), "s_suppkey").alias("src"), F.concat(F.lit("supp-"), "s_suppkey", F.lit("-list")).alias("dst"))
     return G.pairs(forwards(t).unionByName(planted)).where("src = dst").select(F.col("src").alias("name"))
 
 

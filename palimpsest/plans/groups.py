@@ -18,6 +18,10 @@ def exprs(t):
     return t("rule_items").groupBy("lhs", "alt").agg(F.array_join(parts, " ").alias("expr"))
 
 
+# What makes a location.
+LOCATION = ["document", "clause", "source_hash", "page", "byte_start", "rule", "lhs", "path"]
+
+
 @query("group_by_lhs", "+ g as (select lang as lhs, min(doc_id) as first_pos, count(*) as members, string_agg(cast(doc_id as varchar), ',' order by doc_id) as positions from (select source as lang, doc_id from documents) group by lang) select *, row_number() over (order by first_pos) as place from g".replace("+ g", "with g", 1))
 def group_by_lhs(t):
     """Groups in order of their first row, with their members in order."""
@@ -69,10 +73,13 @@ def intern_keys(t):
     return G.intern(keys, "key", "pos")
 
 
-@query("coalesce_evidence", "select rule, page, document, count(*) as evidence, count(*) <> count(distinct origin || '/' || resolution) as repeated, string_agg(origin, ',' order by origin) as origins from semantic_items group by rule, page, document", "semantic_items")
+@query("coalesce_evidence", """+ g as (select document, clause, source_hash, page, byte_start, rule, lhs, path, string_agg(kind || ':' || status, ',' order by kind || ':' || status) as evidence, count(*) as n, count(distinct (kind, status)) as k from evidence group by all)
+ select * exclude (n, k), case when n > k then 'evidence is repeated' end as fault from g""", "semantic_items", "evidence")
 def coalesce_evidence(t):
-    g = t("semantic_items").groupBy("rule", "page", "document").agg(F.count("*").alias("evidence"), (F.count("*") != F.countDistinct(F.concat_ws("/", "origin", "resolution"))).alias("repeated"), F.array_join(F.array_sort(F.collect_list("origin")), ",").alias("origins"))
-    return g
+    """One site for each location, with its evidence; repeated evidence is a fault."""
+    sites = G.coalesce(t("evidence"), LOCATION, ["kind", "status"])
+    shown = F.array_join(F.array_sort(F.transform("evidence", lambda e: F.concat_ws(":", e["kind"], e["status"]))), ",")
+    return sites.select(*LOCATION, shown.alias("evidence"), "fault")
 
 
 @query("coalesce_mappings", "select id, count(*) as merged, count(distinct resolution) > 1 as conflict, min(resolution) as resolution from semantic_items where origin <> 'unknown' group by id union all select id, 1, false, resolution from semantic_items where origin = 'unknown'", "semantic_items")

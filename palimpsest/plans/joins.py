@@ -51,12 +51,12 @@ def lexicalize_tokens(t):
     return rows.select("page", "line_no", "position", "token", F.when(F.col("term"), "ref").otherwise(F.col("token_kind").cast("string")).alias("kind"))
 
 
-@query("effective_classifications", """+ own as (select distinct name, kind from classifications where kind <> 'lexical'), facts as (select concat('WORD-', n_nationkey) as name from nation union all select concat('hole-', n_nationkey) from nation)
+@query("effective_classifications", """+ own as (select distinct name, kind from classifications where kind <> 'lexical'), facts as (select concat('WORD-', s_suppkey) as name from supplier union all select concat('hole-', s_suppkey) from supplier)
  select name, kind from own union all select name, 'lexical' from facts where name not in (select name from own)""", "classifications")
 def effective_classifications(t):
     own = t("classifications").where("kind <> 'lexical'").select("name", "kind").distinct()
-    nation = t("nation")
-    facts = nation.select(F.concat(F.lit("WORD-"), "n_nationkey").alias("name")).union(nation.select(F.concat(F.lit("hole-"), "n_nationkey")))
+    supplier = t("supplier")
+    facts = supplier.select(F.concat(F.lit("WORD-"), "s_suppkey").alias("name")).union(supplier.select(F.concat(F.lit("hole-"), "s_suppkey")))
     return own.unionByName(facts.join(own, "name", "left_anti").withColumn("kind", F.lit("lexical")))
 
 

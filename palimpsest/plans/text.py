@@ -83,12 +83,19 @@ def extract_references(t):
     return rows.groupBy("page", "line_no", F.col("token").alias("name")).agg(F.min("position").alias("first_position"))
 
 
-@query("canonical_notation", TOKENS + " select page, line_no, string_agg(token, ' ' order by position) as notation, string_agg(token, ' ' order by position) = trim(regexp_replace(any_value(line), ' +', ' ', 'g')) as same from tokens join spec_lines using (page, line_no) group by page, line_no", "spec_lines")
+@query("canonical_notation", r"""+ a as (select lhs, alt, string_agg(case item_kind when 'optional' then '[ ' || name || ' ]' when 'repeat0' then '[ ' || name || ' ] ...' else name end, ' ' order by pos) as made,
+ string_agg(case item_kind when 'optional' then '[' || name || case when name like '%7' then '' else ']' end when 'repeat0' then '[' || name || ']...' else name end, '  ' order by pos) as raw from rule_items group by lhs, alt)
+ , g as (select lhs, string_agg(made, ' or ' order by alt) as notation, string_agg(raw, '   or ' order by alt) as raw from a group by lhs)
+ select lhs, notation, notation = trim(regexp_replace(regexp_replace(raw, '(\[|\]|\.\.\.)', ' \1 ', 'g'), ' +', ' ', 'g')) as same from g""", "rule_items")
 def canonical_notation(t):
-    """Notation built again from its tokens with single blanks, against its source."""
-    tokens = T.notation_tokens(t("spec_lines"), "line").groupBy("page", "line_no", "line")
-    made = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "token"))), lambda x: x["token"]), " ")
-    return tokens.agg(made.alias("notation")).select("page", "line_no", "notation", (F.col("notation") == F.trim(F.regexp_replace("line", " +", " "))).alias("same"))
+    """Notation built from the structure of rules, against sources with other blanks; some sources lack a bracket."""
+    source = F.when(F.col("item_kind") == "optional", F.concat(F.lit("["), "name", F.when(F.col("name").like("%7"), "").otherwise("]")))
+    source = source.when(F.col("item_kind") == "repeat0", F.concat(F.lit("["), "name", F.lit("]..."))).otherwise(F.col("name"))
+    alts = t("rule_items").groupBy("lhs", "alt").agg(F.array_sort(F.collect_list(F.struct("pos", source.alias("x")))).alias("xs"))
+    raw = alts.select("lhs", "alt", F.array_join("xs.x", "  ").alias("x")).groupBy("lhs").agg(F.array_sort(F.collect_list(F.struct("alt", "x"))).alias("xs"))
+    raw = raw.select("lhs", F.array_join("xs.x", "   or ").alias("raw"))
+    rows = T.canonical_notation(t("rule_items")).hint("merge").join(raw, "lhs")
+    return rows.select("lhs", "notation", (F.col("notation") == T.canonical_spacing(F.col("raw"))).alias("same"))
 
 
 @query("normative_clause", "select pos, rule, case when regexp_matches(rule, '^R[0-9]{3,}$') and cast(substr(rule, 2) as bigint) >= 100 then cast(cast(substr(rule, 2) as bigint) // 100 as varchar) else clause end as owner_clause from semantic_items", "semantic_items")

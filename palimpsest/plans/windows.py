@@ -137,8 +137,9 @@ def first_plus_repeat(t):
     return t("rule_items").withColumn("b", bearing).where("item_kind = 'repeat0' AND b = 1").select("lhs", "alt", "pos", "name")
 
 
-@query("repeat_item_kinds", """+ g as (select lhs, count(*) as items, bool_and(item_kind in ('ref', 'token')) as allowed, bool_or(ends_with(name, '-stmt')) as bearing, string_agg(distinct item_kind, ',' order by item_kind) as kinds from rule_items group by lhs)
- select lhs, case when items = 1 and allowed then 'direct' when allowed then 'compound' when bearing then 'unsupported' else 'none' end as repeat_kind, kinds from g""", "rule_items")
+@query("repeat_item_kinds", """+ marked as (select *, item_kind = 'ref' and ends_with(name, '-stmt') as bearing from rule_items)
+, g as (select lhs, alt, count(*) as n, count(*) filter (not bearing and item_kind not in ('optional', 'repeat0')) as bad, string_agg(distinct name, ',' order by name) filter (bearing) as derivations from marked group by lhs, alt)
+ select lhs, alt, case when n = 1 then 'direct' when bad = 0 then 'compound' else 'unsupported' end as repeat_kind, case when n = 1 then derivations when bad = 0 then 'sequence' else 'expression' end as item, derivations from g where derivations is not null""", "rule_items")
 def repeat_item_kinds(t):
-    g = t("rule_items").groupBy("lhs").agg(F.count("*").alias("items"), F.bool_and(F.col("item_kind").isin("ref", "token")).alias("allowed"), F.bool_or(F.col("name").endswith("-stmt")).alias("bearing"), F.array_join(F.array_sort(F.collect_set("item_kind")), ",").alias("kinds"))
-    return g.select("lhs", F.expr("case when items = 1 and allowed then 'direct' when allowed then 'compound' when bearing then 'unsupported' else 'none' end").alias("repeat_kind"), "kinds")
+    """Repeats, an alternative being what is repeated."""
+    return W.repeat_kinds(t("rule_items"), F.col("name").endswith("-stmt"), "lhs", "alt")
