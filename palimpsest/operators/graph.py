@@ -5,25 +5,41 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from palimpsest.sources.store import materialize
 
 
+#: Hops of a round once the frontier no longer grows.
+HOPS = 4
+
+
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, depth) for all nodes reachable from seeds (node) over edges (src, dst), seeds included at depth 0. The edges are
-    worked out once; a round reads them as written."""
+    worked out once; a round reads them as written. A round goes one hop while the frontier grows and several when it doesn't,
+    so that long thin paths take few jobs; hops inside a round may meet known nodes, which go at its end."""
     edges = materialize(edges.select("src", "dst").distinct(), "edges")
     frontier = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "reach")
-    seen = frontier
-    for depth in count(1):
-        found = frontier.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = materialize(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth).cast("long")), "reach")
-        if frontier.isEmpty():
+    seen, size, depth, hops = frontier, 0.0, 0, 1
+    for rounds in count(1):
+        step, found = frontier.select("node"), None
+        for hop in range(1, hops + 1):
+            step = step.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            at = step.withColumn("depth", F.lit(depth + hop).cast("long"))
+            found = found.unionByName(at) if found else at
+        found = found.groupBy("node").agg(F.min("depth").alias("depth"))
+        met = Observation()  # counts the rows as they are written
+        new = materialize(found.join(seen, "node", "left_anti").observe(met, F.count(F.lit(1)).alias("n")), "reach")
+        depth += hops
+        n = met.get["n"]
+        if n == 0:
             return seen
-        seen = seen.unionByName(frontier)
-        if depth % 10 == 0:
+        seen = seen.unionByName(new)
+        frontier = new.where(F.col("depth") == depth)
+        before, size = size, n / hops
+        hops = 1 if size > before else HOPS
+        if rounds % 10 == 0:
             seen = materialize(seen, "reach")
     raise AssertionError
 
@@ -32,11 +48,12 @@ def closure(rules: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, state) for all names that roots (node) reach over edges (src, dst), rules (name) having a row for each declaration:
     'resolved' by a rule; 'ambiguous' if a reached rule refers to a name of several rules, which are followed all the same;
     'unresolved' without a rule; 'missing root' if that is a root. Without any root the one row is (null, 'no roots')."""
+    edges = materialize(edges.select("src", "dst").distinct(), "edges")
     roots = materialize(roots.select("node").distinct(), "roots")
     reached = materialize(reach(edges, roots).select("node"), "reached")
-    declared = rules.groupBy(F.col("name").alias("node")).agg(F.count("*").alias("n"))
+    declared = materialize(rules.groupBy(F.col("name").alias("node")).agg(F.count("*").alias("n")), "rules")
     named = edges.select("src", "dst").hint("merge").join(reached.withColumnRenamed("node", "src"), "src", "left_semi")
-    named = named.select(F.col("dst").alias("node"), F.lit(True).alias("named")).distinct()
+    named = materialize(named.select(F.col("dst").alias("node"), F.lit(True).alias("named")).distinct(), "named")
     rows = reached.hint("merge").join(declared, "node", "left").hint("merge").join(named, "node", "left")
     rows = rows.hint("merge").join(roots.withColumn("root", F.lit(True)), "node", "left")
     state = F.when(F.col("n").isNull(), F.when(F.col("root"), "missing root").otherwise("unresolved"))
