@@ -1,6 +1,7 @@
 """Golden cases and planted faults."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.operators import contracts, graph, text, windows
 from palimpsest.plans.catalog import QUERIES
@@ -97,3 +98,28 @@ def test_planted_faults_are_all_found(spark, name, reasons):
     """Each condition of a contract is broken by some row, and is the reason given."""
     got = {r["reason"] for r in QUERIES[name](spark, "/root/testdata/sf0.01").select("reason").distinct().collect()}
     assert len(got) == reasons, sorted(got)
+
+
+def test_closure_states(spark):
+    rules = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "name string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "ghost"), ("x", "y")], "src string, dst string")
+    roots = spark.createDataFrame([("a",), ("none",)], "node string")
+    want = {("a", "resolved"), ("b", "ambiguous"), ("c", "resolved"), ("ghost", "unresolved"), ("none", "missing root")}
+    assert {tuple(r) for r in graph.closure(rules, edges, roots).collect()} == want
+    assert [tuple(r) for r in graph.closure(rules, edges, roots.where("false")).collect()] == [(None, "no roots")]
+
+
+def test_reach_keeps_depths_over_many_hops(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(12)] + [("n0", "n5"), ("n12", "n0"), ("n3", "m")]
+    got = graph.reach(spark.createDataFrame(chain, "src string, dst string"), spark.createDataFrame([("n0",)], "node string"))
+    assert {r["node"]: r["depth"] for r in got.collect()} == {f"n{i}": i if i < 5 else i - 4 for i in range(13)} | {"m": 4}
+
+
+def test_repeat_kinds_and_notation(spark):
+    rows = [("r", 1, 1, "ref", "if-stmt"), ("r", 2, 1, "ref", "do-stmt"), ("r", 2, 2, "optional", "x"), ("r", 3, 1, "ref", "do-stmt"), ("r", 3, 2, "token", "END"), ("r", 4, 1, "repeat0", "y"), ("r", 5, 1, "repeat1", "z")]
+    items = spark.createDataFrame(rows, "lhs string, alt int, pos int, item_kind string, name string")
+    kinds = windows.repeat_kinds(items, F.col("name").endswith("-stmt"), "lhs", "alt").drop("lhs")
+    assert {tuple(r) for r in kinds.collect()} == {(1, "direct", "if-stmt", "if-stmt"), (2, "compound", "sequence", "do-stmt"), (3, "unsupported", "expression", "do-stmt")}
+    made = text.canonical_notation(items).first()["notation"]
+    assert made == "if-stmt or do-stmt [ x ] or do-stmt END or [ y ] ... or z ..."
+    assert spark.range(1).select(text.canonical_spacing(F.lit(" [y]...  or z"))).first()[0] == "[ y ] ... or z"
