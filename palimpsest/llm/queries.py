@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import fingerprint, html_cut, langid, mixing, pieces, quality_net, quality_rules, simhash, toxicity, warc_audit
+from palimpsest.llm import fingerprint, html_cut, langid, mixing, pieces, quality_net, quality_rules, simhash, toxicity, vector_codes, warc_audit
 from palimpsest.llm.common import held_out, table
 
 
@@ -73,11 +73,16 @@ def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quartile_digest, op2_simhash_pivots, op3_html_minimum_cut, op4_warc_merkle_audit, op5_distribution_divergence, op6_subword_toxicity,
         op7_sentencepiece_lattice, op8_random_indexing_quality, op9_pareto_mix, op10_hyperdimensional_language,
+        op12_vector_codes,
     )
 }
 _CRLF = "chr(13) || chr(10)"
@@ -85,8 +90,34 @@ _RECORD = f"""'WARC/1.0' || {_CRLF} || 'WARC-Type: resource' || {_CRLF} || 'WARC
  || 'Content-Type: text/html' || {_CRLF} || 'Content-Length: ' || strlen(html) || {_CRLF} || {_CRLF} || html || {_CRLF} || {_CRLF}"""
 _PLACED = """select page_id, page_id // 1000 as warc_file, cast(coalesce(sum(strlen(rec)) over (partition by page_id // 1000 order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as record_offset,
  cast(strlen(rec) as bigint) as record_length, sha256(rec) as record_sha256"""
+
+
+def _codes_sql(rounds: int = 4) -> str:
+    """Integer k-means of op12, a round being the assignment and then the means."""
+
+    def nearest(book: str) -> str:
+        return f"""select vec_id, part, min(d) as d, arg_min(entry, (d, entry)) as entry from (
+ select x.vec_id, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v)) as d from x join {book} c on c.part = x.part and c.pos = x.pos group by x.vec_id, x.part, c.entry) group by vec_id, part"""
+
+    steps = [
+        """kept as (select vec_id, label, embedding from embeddings where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0)""",
+        """x as (select vec_id, (i - 1) // (n // 4) as part, (i - 1) % (n // 4) as pos, cast(floor(1024 * cast(embedding[i] as double)) as bigint) as v
+ from (select vec_id, embedding, len(embedding) as n, unnest(range(1, len(embedding) + 1)) as i from kept))""",
+        """c0 as (select part, entry, pos, v from x join (select vec_id, row_number() over (order by vec_id) - 1 as entry from kept qualify entry < 256) using (vec_id))""",
+    ]
+    for t in range(rounds):
+        steps.append(f"a{t} as materialized ({nearest(f'c{t}')})")
+        steps.append(f"m{t} as (select a.part, a.entry, x.pos, cast(floor(cast(sum(x.v) as double) / count(*)) as bigint) as v from a{t} a join x on x.vec_id = a.vec_id and x.part = a.part group by a.part, a.entry, x.pos)")
+        steps.append(f"c{t + 1} as materialized (select c.part, c.entry, c.pos, coalesce(m.v, c.v) as v from c{t} c left join m{t} m on m.part = c.part and m.entry = c.entry and m.pos = c.pos)")
+    steps.append(f"last as ({nearest(f'c{rounds}')})")
+    steps.append("""rows as (select vec_id, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error from last group by vec_id)""")
+    return f"""with {", ".join(steps)} select r.vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+ (select sha256(string_agg(cast(v as varchar), ',' order by part, entry, pos)) from c{rounds}) as codebooks_sha256 from rows r join kept k on k.vec_id = r.vec_id"""
+
+
 #: The others have no SQL: they are tested against brute force, exact round trips or held-out labels.
 SQL: dict[str, str] = {
+    "op12_vector_codes": _codes_sql(),
     "op4_warc_merkle_audit": f"""with a as (select page_id, url, coalesce(html, '') as html from pages where page_id % 50 <> 13),
  b as (select page_id, url, case when page_id % 50 = 7 then '#' else '' end || coalesce(html, '') as html from pages where page_id % 50 <> 9),
  ra as (select page_id, {_RECORD} as rec from a), rb as (select page_id, {_RECORD} as rec from b)
