@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import fingerprint, html_cut, langid, mixing, pieces, quality_net, quality_rules, simhash, token_align, toxicity, vector_codes, warc_audit
+from palimpsest.llm import fingerprint, html_cut, langid, mixing, ngram_join, pieces, quality_net, quality_rules, simhash, token_align, toxicity, vector_codes, warc_audit
 from palimpsest.llm.common import held_out, table
 
 
@@ -73,6 +73,10 @@ def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.codes(table(spark, sf_dir, "embeddings"))
 
@@ -86,7 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quartile_digest, op2_simhash_pivots, op3_html_minimum_cut, op4_warc_merkle_audit, op5_distribution_divergence, op6_subword_toxicity,
         op7_sentencepiece_lattice, op8_random_indexing_quality, op9_pareto_mix, op10_hyperdimensional_language,
-        op12_vector_codes, op13_token_alignment,
+        op11_ngram_join, op12_vector_codes, op13_token_alignment,
     )
 }
 _CRLF = "chr(13) || chr(10)"
