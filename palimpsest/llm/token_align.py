@@ -5,6 +5,9 @@ many at once) came to lie in the longer list, steps double until they are past t
 rank between. Ends found in both lists cut the tokens into groups; the ranks of a token's begin and end are the range of
 tokens of the other list that overlap it.
 
+Neither tokenizer has a token across a space between two visible characters of ASCII, so a text is encoded in segments cut there,
+and a worker encodes equal segments once.
+
 The links of a document, as distinct pairs of ids and how often each occurs, are written packed beside its other results, so texts
 are encoded once. How many documents hold a pair is counted from there, each task adding up what it reads first. Pairs are
 sent to all tasks from the most frequent on, at most SENT of them; the documents' other pairs are joined with their counts.
@@ -15,8 +18,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +41,17 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 SENT = 2_000_000
 #: Distinct pairs that a task holds before it hands on what it counted.
 HELD = 2_000_000
+#: Segments that a worker may hold when it begins a run of texts.
+MET = 400_000
 #: Bytes of text that are encoded at a time.
-SLICE = 1 << 20
+SLICE = 3 << 20
 #: Ends between two that are searched for from the begin of the list.
 BLOCK = 64
 
-_kept: dict[str, tuple[Tokenizer, sentencepiece.SentencePieceProcessor]] = {}
+#: A space before which A begins a token and B a piece, whatever stands around.
+_CUT = re.compile("(?<=[!-~]) (?=[!-~])")
+
+_kept: dict[str, Segments] = {}
 
 
 def byte_level() -> dict[str, int]:
@@ -64,13 +75,10 @@ class Tokenizers:
     def __post_init__(self) -> None:
         self.name = hashlib.sha256(self.a_json.encode() + self.b_model).hexdigest()
 
-    def opened(self) -> tuple[Tokenizer, sentencepiece.SentencePieceProcessor]:
+    def opened(self) -> Segments:
         """Once a worker."""
         if self.name not in _kept:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            a = Tokenizer.from_str(self.a_json)
-            a.encode_special_tokens = True
-            _kept[self.name] = a, sentencepiece.SentencePieceProcessor(model_proto=self.b_model)
+            _kept[self.name] = Segments(self)
         return _kept[self.name]
 
 
@@ -161,29 +169,75 @@ class Aligned:
     times: list[np.ndarray]
 
 
+class Encoded:
+    """Ids of segments by one tokenizer: all of them in one array, where each segment's begin and end, and whether they give it back."""
+
+    def __init__(self, table: list[bytes]) -> None:
+        self.table, self.ids, self.cuts, self.sound = table, np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def add(self, ids: list[list[int]], wanted: list[bytes]) -> None:
+        ends = self.cuts[-1] + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        sound = [b"".join([self.table[t] for t in x]) == w for x, w in zip(ids, wanted, strict=True)]
+        self.ids = np.concatenate((self.ids, np.array(list(chain.from_iterable(ids)), np.int64)))
+        self.cuts, self.sound = np.concatenate((self.cuts, ends)), np.concatenate((self.sound, np.array(sound, bool)))
+
+    def of_texts(self, segment: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each text has) of texts that are segments in a row, text telling whose each is."""
+        sizes = np.diff(self.cuts)[segment]
+        ids = self.ids[np.arange(sizes.sum()) + np.repeat(self.cuts[segment] - (np.cumsum(sizes) - sizes), sizes)]
+        return ids, np.bincount(text, sizes, texts).astype(np.int64)
+
+
+class Segments:
+    """The segments that a worker has met lately, and their ids by both tokenizers."""
+
+    def __init__(self, known: Tokenizers) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.a = Tokenizer.from_str(known.a_json)
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=known.b_model)
+        self.known = known
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # the next number
+        self.sides = Encoded(self.known.a_bytes), Encoded(self.known.b_bytes)
+
+    def encode(self, texts: list[str | None]) -> tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]:
+        """Places of the texts that both tokenizers give back, and for each tokenizer their ids and how many each text has."""
+        if len(self.number) > MET:
+            self.clear()
+        number, met = self.number, len(self.number)
+        of_text = [list(map(number.__getitem__, _CUT.split(t))) if t else [] for t in texts]
+        new = list(islice(number, met, None))
+        if new:
+            spaced = [" " + s for s in new]
+            wanted = [s.encode() for s in spaced]
+            batch = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
+            self.sides[0].add([e.ids for e in batch(spaced, add_special_tokens=False)], wanted)
+            self.sides[1].add(self.b.encode(new, num_threads=1), wanted)
+        sizes = np.fromiter(map(len, of_text), np.int64, len(texts))
+        segment = np.fromiter(chain.from_iterable(of_text), np.int64, sizes.sum())
+        text = np.repeat(np.arange(len(texts)), sizes)
+        faults = np.bincount(text, ~(self.sides[0].sound & self.sides[1].sound)[segment], len(texts))
+        fine = (sizes > 0) & (faults == 0)
+        keep = fine[text]
+        text = (np.cumsum(fine) - 1)[text[keep]]
+        return np.flatnonzero(fine).tolist(), [side.of_texts(segment[keep], text, int(fine.sum())) for side in self.sides]
+
+
 def align(texts: list[str | None], known: Tokenizers) -> Aligned:
     n, size_b = len(texts), len(known.b_bytes)
-    a, b = known.opened()
-    given = [i for i, t in enumerate(texts) if t]
-    batch = getattr(a, "encode_batch_fast", a.encode_batch)
-    ids_a = [e.ids for e in batch([" " + texts[i] for i in given], add_special_tokens=False)] if given else []
-    ids_b = b.encode([texts[i] for i in given], num_threads=1) if given else []
-    sound, ends = [], []
-    for i, x, y in zip(given, ids_a, ids_b, strict=True):
-        whole = b" " + texts[i].encode()
-        if b"".join([known.a_bytes[t] for t in x]) == whole == b"".join([known.b_bytes[t] for t in y]):
-            sound.append((i, x, y))
-            ends.append(len(whole))
+    sound, encoded = known.opened().encode(texts)
     n_a, n_b, n_groups, n_links = (np.zeros(n, np.int64) for _ in range(4))
     out = Aligned(n_a, n_b, n_groups, n_links, [""] * n, [np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n)
     if not sound:
         return out
-    place = np.array([i for i, _, _ in sound])
+    place = np.array(sound)
     sides = []
-    for side, table in ((1, known.a_bytes), (2, known.b_bytes)):
+    for (ids, counts), table in zip(encoded, (known.a_bytes, known.b_bytes), strict=True):
         lengths = np.array(list(map(len, table)), np.int64)
-        counts = np.array([len(s[side]) for s in sound])
-        ids = np.fromiter((t for s in sound for t in s[side]), np.int64, counts.sum())
         sides.append((counts, ids, np.cumsum(lengths[ids]), np.repeat(np.arange(len(sound)), counts)))
     (count_a, id_a, end_a, doc_a), (count_b, id_b, end_b, doc_b) = sides
     n_a[place], n_b[place] = count_a, count_b
