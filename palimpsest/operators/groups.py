@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.order import Carried, attach, ranked, scan
 from palimpsest.sources.store import materialize
 
 
@@ -38,3 +39,35 @@ def coalesce(rows: DataFrame, location: list[str], evidence: list[str]) -> DataF
     stands there twice is a fault. Nulls of a location are one value."""
     sites = rows.groupBy(*location).agg(F.collect_list(F.struct(*evidence)).alias("evidence"))
     return sites.withColumn("fault", F.when(F.size("evidence") > F.size(F.array_distinct("evidence")), "evidence is repeated"))
+
+
+def members(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, order, member, first, members, place): the rows of a group numbered from 1 in order, with the order of its first row, how many
+    there are, and the place of the group among groups by their first rows. A group is rows, never a list."""
+    own = rows.select(F.col(key).alias("key"), F.col(order).alias("order"))
+    each = own.groupBy("key").agg(F.min("order").alias("first"), F.count("*").alias("members"))
+    groups = ranked(each, ["first", "key"])
+    numbered = scan(own, ["key"], ["order"], Carried(sums={"member": F.lit(1)})).withColumn("member", F.col("member") + 1)
+    groups, numbered = (x.withColumn("key", F.struct("key")) for x in (groups, numbered))  # structs of null are equal
+    return attach(numbered, groups, ["key"]).select("key.key", "order", "member", "first", "members", "place")
+
+
+def tree_digests(rows: DataFrame, key: str, order: str, text: str, fanout: int = 256) -> DataFrame:
+    """(key, digest, bytes, pieces) of the pieces of each group in order. A piece's own SHA-256 is a leaf; fanout nodes that follow one another
+    make a node, the SHA-256 of their digests joined; a node that is alone in its group is its digest. So no task holds
+    more than fanout digests of a group, and the digest depends on the pieces and their order alone."""
+    leaves = rows.select(F.col(key).alias("key"), F.col(order).alias("order"), F.sha2(text, 256).alias("h"), F.octet_length(text).cast("long").alias("size"))
+    leaves = materialize(leaves, "leaves")
+    totals = materialize(leaves.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("pieces")), "totals")
+    nodes = scan(leaves.select("key", "order", "h"), ["key"], ["order"], Carried(sums={"at": F.lit(1)})).select("key", F.col("at").cast("long").alias("at"), F.coalesce("h", F.lit("")).alias("h"))
+    left = totals.agg(F.max("pieces")).first()[0] or 0
+    first = True
+    while first or left > 1:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "")
+        above = nodes.groupBy("key", F.floor(F.col("at") / fanout).alias("up")).agg(F.count("*").alias("n"), F.min("h").alias("only"), joined.alias("joined"))
+        # A single node of a group is done; a last run of one node is hashed like any other.
+        alone = (F.col("n") == 1) & (F.col("up") == 0) if not first else F.lit(False)
+        nodes = materialize(above.select("key", F.col("up").alias("at"), F.when(alone, F.col("only")).otherwise(F.sha2("joined", 256)).alias("h")), "nodes")
+        left, first = -(-left // fanout), False
+    both = nodes.select(F.struct("key").alias("key"), F.col("h").alias("digest")).join(totals.withColumn("key", F.struct("key")).hint("merge"), "key")
+    return both.select("key.key", "digest", "bytes", "pieces")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import text as T
+from palimpsest.operators.order import Carried, scan, scan_runs
 
 
 def before(*keys: str, order: list) -> Window:
@@ -17,18 +18,17 @@ def upto(*keys: str, order: list) -> Window:
 
 
 def page_spans(pages: DataFrame, source: str, page: str, text: str) -> DataFrame:
-    """(source, page, byte_start, byte_length): pages laid end to end with a separator of one byte between."""
+    """(source, page, byte_start, byte_length): pages laid end to end with a separator of one byte between. A source may have any number
+    of pages."""
     rows = pages.select(F.col(source).alias("source"), F.col(page).alias("page"), F.octet_length(text).cast("long").alias("byte_length"))
-    start = F.coalesce(F.sum(F.col("byte_length") + 1).over(before("source", order=["page"])), F.lit(0))
-    return rows.select("source", "page", start.alias("byte_start"), "byte_length")
+    return scan(rows, ["source"], ["page"], Carried(sums={"byte_start": F.col("byte_length") + 1})).select("source", "page", F.col("byte_start").cast("long").alias("byte_start"), "byte_length")
 
 
 def page_span_audit(spans: DataFrame) -> DataFrame:
     """(source, page, reason): the first fault of each source; none for a sound index."""
-    w = Window.partitionBy("source").orderBy("page")
-    end = F.lag(F.col("byte_start") + F.col("byte_length") + 1).over(w)
-    reason = F.when(F.col("byte_start") < 0, "negative").when(F.col("byte_length") < 0, "negative").when(F.col("byte_start") != F.coalesce(end, F.lit(0)), "gap or overlap")
-    found = spans.withColumn("reason", reason).where("reason IS NOT NULL")
+    rows = scan(spans, ["source"], ["page"], Carried(prior={"end": F.col("byte_start") + F.col("byte_length") + 1}))
+    reason = F.when(F.col("byte_start") < 0, "negative").when(F.col("byte_length") < 0, "negative").when(F.col("byte_start") != F.coalesce("end", F.lit(0)), "gap or overlap")
+    found = rows.withColumn("reason", reason).where("reason IS NOT NULL")
     return found.groupBy("source").agg(F.min("page").alias("page"), F.min_by("reason", "page").alias("reason"))
 
 
@@ -59,40 +59,42 @@ def canonical_page_text(spaced: DataFrame, page: str = "doc_id") -> DataFrame:
     return lines.groupBy(page).agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("glyph_line", "s"))), lambda x: x["s"]), "\n"), F.lit("\n")).alias("page_text"))
 
 
-def owner_attribution(lines: DataFrame, document: list[Column | str], order: list[str]) -> DataFrame:
+def owner_attribution(lines: DataFrame, document: list[str], order: list[str]) -> DataFrame:
     """All columns plus number, kind and owner. Lines that go on a rule inherit it, across pages too; any other line ends
-    it. Window keys are the document's; within a document the state runs through all lines."""
+    it. order begins with the page: pages are bounded, a document may have any number of them, and what a page hands on to the next is
+    its last event."""
     clean = T.without_number(F.col("line"))
     kind, goes_on = T.structure_kind(F.col("line"))
     rows = lines.withColumns({"number": T.printed_number(F.col("line")), "kind": kind, "goes_on": goes_on})
     event = F.when(F.col("kind") == "rule-start", F.regexp_extract(clean, "^(R[0-9]+)", 1)).when(~F.col("goes_on"), "")
-    rule = F.last(event, ignorenulls=True).over(upto(*document, order=order))
-    rows = rows.withColumn("owner", rule).withColumn("inside", F.col("goes_on") & (F.coalesce(F.col("owner"), F.lit("")) != ""))
+    rows = scan_runs(rows, document, order[:1], order[1:], Carried(last={"owner": event}))
+    rows = rows.withColumn("inside", F.col("goes_on") & (F.coalesce(F.col("owner"), F.lit("")) != ""))
     kept = F.when(F.col("goes_on") | (F.col("kind") == "rule-start"), F.nullif("owner", F.lit("")))
     return rows.withColumn("owner", kept).withColumn("kind", F.when(F.col("inside"), "rule-continuation").otherwise(F.col("kind"))).drop("goes_on", "inside")
 
 
 def production_blocks(lines: DataFrame, document: list[str], order: list[str]) -> DataFrame:
     """Lines of productions: class, occurrence (number of the start), position in the block, rule, lhs, operator, content, and
-    clause, the first number of the latest heading, on starts only. Layout lines neither end nor continue a block."""
+    clause, the first number of the latest heading, on starts only. Layout lines neither end nor continue a block. Whether a block is
+    open, its number, its head and the heading are carried from page to page, as in owner_attribution."""
     text = F.ltrim(T.without_number(F.col("line")))
-    rows = lines.withColumn("class", T.production_class(F.col("line"))).withColumn("x", text)
-    w = upto(*document, order=order)
-    state = F.last(F.when(F.col("class") == "start", True).when(F.col("class").isin("heading", "boundary"), False), ignorenulls=True).over(w)
-    rows = rows.withColumns({"active": state, "occurrence": F.sum((F.col("class") == "start").cast("long")).over(w), "heading": F.last(F.when(F.col("class") == "heading", F.regexp_extract("x", "^([0-9]+)", 1)), ignorenulls=True).over(w)})
-    rows = rows.where("class = 'start' OR (class IN ('or', 'sequence') AND active)")
     start = F.col("class") == "start"
     head = r"^(R[0-9]+) *([^ ].*?) is  *(.*)$"
-    rows = rows.withColumns({
+    rows = lines.withColumn("class", T.production_class(F.col("line"))).withColumn("x", text)
+    opens = F.when(start, True).when(F.col("class").isin("heading", "boundary"), False)
+    heads = F.when(start, F.struct(F.regexp_extract("x", head, 1).alias("rule"), F.regexp_extract("x", head, 2).alias("lhs")))
+    heading = F.when(F.col("class") == "heading", F.regexp_extract("x", "^([0-9]+)", 1))
+    carried = Carried(sums={"starts": start.cast("long")}, last={"active": opens, "block": heads, "heading": heading})
+    rows = scan_runs(rows, document, order[:1], order[1:], carried)
+    rows = rows.withColumn("occurrence", (F.col("starts") + start.cast("long")).cast("long"))
+    rows = rows.where("class = 'start' OR (class IN ('or', 'sequence') AND active)")
+    return rows.withColumns({
         "operator": F.when(start, "is").otherwise(F.col("class")),
         "content": F.when(start, F.regexp_extract("x", head, 3)).when(F.col("class") == "or", F.trim(F.expr("substr(x, 4)"))).otherwise(F.col("x")),
         "clause": F.when(start, F.col("heading")),
         "position": (F.row_number().over(Window.partitionBy(*document, "occurrence").orderBy(*order)) - 1).cast("long"),
-    })
-    of = Window.partitionBy(*document, "occurrence").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rule = F.first(F.when(start, F.regexp_extract("x", head, 1)), ignorenulls=True).over(of)
-    lhs = F.first(F.when(start, F.regexp_extract("x", head, 2)), ignorenulls=True).over(of)
-    return rows.withColumns({"rule": rule, "lhs": lhs}).drop("x", "active", "heading")
+        "rule": F.col("block.rule"), "lhs": F.col("block.lhs"),
+    }).drop("x", "active", "heading", "block", "starts")
 
 
 def assemble_productions(blocks: DataFrame, document: list[str]) -> DataFrame:

@@ -22,11 +22,12 @@ def exprs(t):
 LOCATION = ["document", "clause", "source_hash", "page", "byte_start", "rule", "lhs", "path"]
 
 
-@query("group_by_lhs", "+ g as (select lang as lhs, min(doc_id) as first_pos, count(*) as members, string_agg(cast(doc_id as varchar), ',' order by doc_id) as positions from (select source as lang, doc_id from documents) group by lang) select *, row_number() over (order by first_pos) as place from g".replace("+ g", "with g", 1))
+@query("group_by_lhs", """with g as (select source as lhs, min(doc_id) as first_pos, count(*) as members from documents group by source), p as (select *, row_number() over (order by first_pos) as place from g)
+ select p.lhs, d.doc_id, row_number() over (partition by d.source order by d.doc_id) as member, first_pos, members, place from documents d join p on d.source is not distinct from p.lhs""")
 def group_by_lhs(t):
-    """Groups in order of their first row, with their members in order."""
-    g = t("documents").groupBy(F.col("source").alias("lhs")).agg(F.min("doc_id").alias("first_pos"), F.count("*").alias("members"), F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("positions"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy("first_pos")).cast("long"))
+    """Groups in order of their first row, with their members in order, a row each."""
+    g = G.members(t("documents"), "source", "doc_id")
+    return g.select(F.col("key").alias("lhs"), F.col("order").alias("doc_id"), F.col("member").cast("long").alias("member"), F.col("first").alias("first_pos"), "members", "place")
 
 
 @query("rule_occurrences", "select rule, count(*) as occurrences from semantic_items group by rule", "semantic_items")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from palimpsest.operators import text as T
+from palimpsest.operators import groups as G
 from palimpsest.plans.fixtures import query
 
 SPANS = """+ spans as (select * from (select doc_id, line_no, cast(coalesce(sum(strlen(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as bigint) as byte_start,
@@ -148,11 +149,19 @@ def sha256_format_check(t):
     return t("semantic_items").select("pos", F.col("source_hash").rlike("^[0-9A-Fa-f]{64}$").alias("well_formed"))
 
 
-@query("group_digest", "select source, sha256(string_agg(sha256(text), '' order by doc_id)) as digest, cast(sum(strlen(text)) as bigint) as bytes, count(*) as pieces from documents group by source")
+# Runs of 16 pieces, so that small tables too have several levels.
+FANOUT = 16
+_LEVELS = "".join(
+    f""", l{k} as (select source, ix // {FANOUT} as ix, case when {'false' if k == 1 else 'count(*) = 1 and ix // ' + str(FANOUT) + ' = 0'} then min(h) else sha256(string_agg(h, '' order by ix)) end as h from l{k - 1} group by source, ix // {FANOUT})"""
+    for k in range(1, 9)
+)
+
+
+@query("group_digest", f"""with l0 as (select source, row_number() over (partition by source order by doc_id) - 1 as ix, sha256(text) as h from documents){_LEVELS}
+ select l8.source, l8.h as digest, t.bytes, t.pieces from l8 join (select source, cast(sum(strlen(text)) as bigint) as bytes, count(*) as pieces from documents group by source) t on t.source is not distinct from l8.source""")
 def group_digest(t):
-    """Digest, size and number of a group's pieces in order; pieces go in by their own hashes."""
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))), lambda x: x["h"])
-    return t("documents").groupBy("source").agg(F.sha2(F.array_join(parts, ""), 256).alias("digest"), F.sum(F.octet_length("text").cast("long")).alias("bytes"), F.count("*").alias("pieces"))
+    """Digest, size and number of a group's pieces in order: a tree over runs of their own hashes."""
+    return G.tree_digests(t("documents"), "source", "doc_id", "text", FANOUT).withColumnRenamed("key", "source")
 
 
 @query("expression_fingerprint", "select lhs, alt, sha256(string_agg(item_kind || ':' || name, ' ' order by pos)) as fingerprint from rule_items group by lhs, alt", "rule_items")
