@@ -3,45 +3,52 @@ to the shared folder, so plans stay short and rounds survive lost executors."""
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from palimpsest.sources.store import materialize
+from palimpsest.sources.store import Dealt, materialize
 
 
 #: Hops of a round once the frontier no longer grows.
-HOPS = 4
+HOPS = 12
 
 
 def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(node, depth) for all nodes reachable from seeds (node) over edges (src, dst), seeds included at depth 0. The edges are
-    worked out once; a round reads them as written. A round goes one hop while the frontier grows and several when it doesn't,
-    so that long thin paths take few jobs; hops inside a round may meet known nodes, which go at its end."""
-    edges = materialize(edges.select("src", "dst").distinct(), "edges")
-    frontier = materialize(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "reach")
-    seen, size, depth, hops = frontier, 0.0, 0, 1
-    for rounds in count(1):
-        step, found = frontier.select("node"), None
-        for hop in range(1, hops + 1):
-            step = step.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-            at = step.withColumn("depth", F.lit(depth + hop).cast("long"))
-            found = found.unionByName(at) if found else at
-        found = found.groupBy("node").agg(F.min("depth").alias("depth"))
+    """(node, depth) for all nodes reachable from seeds (node) over edges (src, dst), seeds included at depth 0. Edges and
+    visited nodes are dealt out by node once, in buckets; a round shuffles its frontier alone and takes away what each earlier
+    round found, bucket by bucket. A round goes one hop while the frontier grows and several when it doesn't, so that long
+    thin paths take few jobs."""
+    dealt = Dealt(edges.sparkSession)
+    edges = dealt.write(edges.select("src", "dst").distinct(), "src")
+    frontier = dealt.write(seeds.select("node").distinct().withColumn("depth", F.lit(0).cast("long")), "node")
+    seen, size, depth, hops = [frontier], 0.0, 0, 1
+    while True:
+        found = frontier
+        for hop in range(hops):
+            # Rows of the last hop go on; all rows stay.
+            ahead = found.join(edges.hint("merge"), (F.col("node") == F.col("src")) & (F.col("depth") == depth + hop), "left")
+            step = F.array(F.struct("node", "depth"), F.struct(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")))
+            found = ahead.select(F.explode(step).alias("s")).where("s.node IS NOT NULL").groupBy("s.node").agg(F.min("s.depth").alias("depth"))
+        for known in seen:
+            found = found.join(known.select("node").hint("merge"), "node", "left_anti")
         met = Observation()  # counts the rows as they are written
-        new = materialize(found.join(seen, "node", "left_anti").observe(met, F.count(F.lit(1)).alias("n")), "reach")
+        new = dealt.write(found.observe(met, F.count(F.lit(1)).alias("n")), "node")
         depth += hops
         n = met.get["n"]
         if n == 0:
-            return seen
-        seen = seen.unionByName(new)
+            break
+        seen.append(new)
         frontier = new.where(F.col("depth") == depth)
         before, size = size, n / hops
         hops = 1 if size > before else HOPS
-        if rounds % 10 == 0:
-            seen = materialize(seen, "reach")
-    raise AssertionError
+        if len(seen) > 10:
+            seen = [dealt.write(reduce(DataFrame.unionByName, seen), "node")]
+    out = materialize(reduce(DataFrame.unionByName, seen), "reach")
+    dealt.drop()
+    return out
 
 
 def closure(rules: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -50,10 +57,10 @@ def closure(rules: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     'unresolved' without a rule; 'missing root' if that is a root. Without any root the one row is (null, 'no roots')."""
     edges = materialize(edges.select("src", "dst").distinct(), "edges")
     roots = materialize(roots.select("node").distinct(), "roots")
-    reached = materialize(reach(edges, roots).select("node"), "reached")
-    declared = materialize(rules.groupBy(F.col("name").alias("node")).agg(F.count("*").alias("n")), "rules")
+    reached = reach(edges, roots).select("node")
+    declared = rules.groupBy(F.col("name").alias("node")).agg(F.count("*").alias("n"))
     named = edges.select("src", "dst").hint("merge").join(reached.withColumnRenamed("node", "src"), "src", "left_semi")
-    named = materialize(named.select(F.col("dst").alias("node"), F.lit(True).alias("named")).distinct(), "named")
+    named = named.select(F.col("dst").alias("node"), F.lit(True).alias("named")).distinct()
     rows = reached.hint("merge").join(declared, "node", "left").hint("merge").join(named, "node", "left")
     rows = rows.hint("merge").join(roots.withColumn("root", F.lit(True)), "node", "left")
     state = F.when(F.col("n").isNull(), F.when(F.col("root"), "missing root").otherwise("unresolved"))
@@ -62,6 +69,61 @@ def closure(rules: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.select("node", state.alias("state")).unionByName(none)
 
 
+# Why a row was pruned.
+FROM_ONE = "not-reachable-from-selected-root"
+FROM_ALL = "not-reachable-from-declared-roots"
+
+
+def prune(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, retained, reason) for every owner (src) of edges: those that no root (node) reaches are pruned, with a reason that tells
+    whether there is one root or more."""
+    roots = materialize(roots.select("node").distinct(), "roots")
+    reached = reach(edges, roots).select("node", F.lit(True).alias("in"))
+    reason = F.lit(FROM_ONE if roots.count() == 1 else FROM_ALL)
+    rows = edges.select(F.col("src").alias("node")).distinct().hint("merge").join(reached, "node", "left")
+    return rows.select("node", F.col("in").isNotNull().alias("retained"), F.when(F.col("in").isNull(), reason).alias("reason"))
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, component): the nodes that reach themselves, and the greatest node of their strongly connected component. Nodes without an
+    edge in or out are trimmed until few go; then each node takes the greatest label that reaches it, and what leads back to
+    a label's own node among nodes of its label is its component. Components are taken away until no edge is left."""
+    edges = materialize(edges.select("src", "dst").distinct(), "edges")
+    loops = materialize(edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component")), "loops")
+    edges = materialize(edges.where("src <> dst"), "edges")
+    done, n = loops.limit(0), edges.count()
+    while n:
+        while n:
+            live = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            edges = materialize(live.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "edges")
+            before, n = n, edges.count()
+            if n > 0.9 * before:
+                break
+        if not n:
+            break
+        nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
+        label = materialize(nodes.withColumn("label", F.col("node")), "labels")
+        while True:
+            next_ = label
+            for _ in range(HOPS // 4):
+                moved = edges.join(next_.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "label")
+                next_ = next_.unionByName(moved).groupBy("node").agg(F.max("label").alias("label"))
+            changed = Observation()
+            both = next_.join(label.withColumnRenamed("label", "was"), "node").observe(changed, F.count_if(F.col("label") != F.col("was")).alias("n"))
+            label = materialize(both.select("node", "label"), "labels")
+            if not changed.get["n"]:
+                break
+        inside = edges.join(label.select(F.col("node").alias("src"), "label"), "src").join(label.select(F.col("node").alias("dst"), F.col("label").alias("l2")), "dst").where("label = l2")
+        back = reach(inside.select(F.col("dst").alias("src"), F.col("src").alias("dst")), label.where("node = label").select("node"))
+        found = materialize(back.select("node").join(label, "node"), "components")
+        done = done.unionByName(found.select("node", F.col("label").alias("component")))
+        rest = edges.join(found.select(F.col("node").alias("src")), "src", "left_anti").join(found.select(F.col("node").alias("dst")), "dst", "left_anti")
+        edges = materialize(rest.select("src", "dst"), "edges")
+        n = edges.count()
+    many = done.join(done.groupBy("component").agg(F.count("*").alias("n")).where("n > 1"), "component").select("node", "component")
+    return many.unionByName(loops.join(many, "node", "left_anti"))
+
+
 def pairs(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(src, dst): transitive closure by path doubling; self pairs are the nodes on cycles."""
     known = materialize(edges.select("src", "dst").distinct(), "pairs")

@@ -55,8 +55,17 @@ union all select concat('WORD-', s_suppkey), 'lexical', '', '', '', '' from {sup
 union all select concat('hole-', s_suppkey), 'semantic-only', '', '', '', '' from {supplier} where s_suppkey % 5 = 0
 union all select concat('WORD-', s_suppkey), 'lexical', '', '', '', '' from {supplier} where s_suppkey % 4 = 0
 union all select concat('old-supp-', s_suppkey), 'erratum', 'supp-0', '', '', '' from {supplier} where s_suppkey % 10 = 3""",
-    "codepoint_ranges": """select * from (values ('letter','LETTER',65,90), ('letter','LETTER',97,122), ('digit','DIGIT',48,57),
-  ('en-dash','EN_DASH',8211,8211), ('right-quote','RIGHT_SINGLE_QUOTE',8217,8217)) as t(source_term, target, first_cp, last_cp)""",
+    # Tables of fifty facts, one a part: their ranges are apart but where faults are planted.
+    "lex_facts": """select cast(floor(p_partkey / 50) as bigint) as tbl, p_partkey as fact, case when p_partkey % 173 = 5 then 'TERM-4' else concat('TERM-', p_partkey) end as source_term,
+       case when p_partkey % 211 = 9 then '' else concat('target-', p_partkey - case when p_partkey % 331 = 7 then 1 else 0 end) end as target, p_brand as class, 'doc' as document, cast(p_size as varchar(9)) as clause,
+       case when p_partkey % 397 = 11 then null else p_partkey end as page, case when p_partkey % 467 = 3 then 'none' else repeat('a', 64) end as hash,
+       case when p_partkey % 150 = 55 then 'processor-defined' else '' end as codepoint
+  from {part}""",
+    "lex_ranges": """select cast(floor(p_partkey / 50) as bigint) as tbl, p_partkey as fact, 32 + 20 * (p_partkey % 50) as first, 32 + 20 * (p_partkey % 50) + p_size % 15 as last from {part} where p_partkey % 150 not in (55, 56)
+union all select cast(floor(p_partkey / 50) as bigint), p_partkey, 8192 + 20 * (p_partkey % 50), 8192 + 20 * (p_partkey % 50) + 9 from {part} where p_partkey % 3 = 0 and p_partkey % 150 <> 56
+union all select cast(floor(p_partkey / 50) as bigint), p_partkey, 30 + 20 * (p_partkey % 50), 200 + 20 * (p_partkey % 50) from {part} where p_partkey % 500 in (110, 430)
+union all select cast(floor(p_partkey / 50) as bigint), p_partkey, 70000 + p_partkey, 69990 + p_partkey from {part} where p_partkey % 600 = 300
+union all select cast(floor(p_partkey / 50) as bigint), p_partkey, 55000, 55300 from {part} where p_partkey % 700 = 660""",
     "glyphs": (
         """select doc_id, cast(pos as bigint) as text_index, ch,
        cast(6.0 * (pos % 40) + (case when pos % 7 = 0 then 4.0 else 0.0 end) as double) as x1, cast(6.0 * (pos % 40) + 5.0 as double) as x2,
@@ -84,6 +93,17 @@ union all select concat('rhs/', r_regionkey + 1), concat('region-', r_regionkey)
 union all select concat('rhs/', n_regionkey + 1, '/', j), concat('nation-', n_nationkey) from n
 union all select concat('rhs/', n.n_regionkey + 1, '/', n.j, '/', s.k), concat('supp-', s_suppkey) from s join n on n.n_nationkey = s.s_nationkey""",
 }
+VIEWS["expr_nodes"] = """with i as (select lhs, alt, pos, item_kind, name, case when item_kind = 'ref' then 0 else cast(substr(name, 6) as bigint) % 7 end as m from {rule_items}),
+w as (select lhs, concat('rhs/', alt, '/', pos, '/1') as path, name, m from i where item_kind in ('optional', 'repeat0'))
+select lhs as tree, 'rhs' as path, 'choice' as kind, '' as name, 1 as minimum from i group by lhs
+union all select lhs, concat('rhs/', alt), 'sequence', '', 1 from i group by lhs, alt
+union all select lhs, concat('rhs/', alt, '/', pos), case item_kind when 'ref' then 'reference' when 'repeat0' then 'repeat' else item_kind end, case when item_kind in ('ref', 'token') then name else '' end, case when item_kind = 'repeat0' then cast(m % 2 as int) else 1 end from i
+union all select lhs, path, case when m in (0, 6) then 'token' when m = 1 then 'choice' when m = 2 then 'optional' when m = 5 then 'repeat' else 'sequence' end, case when m in (0, 6) then name else '' end, 0 from w
+union all select lhs, concat(path, '/1'), case when m = 1 then 'choice' when m in (2, 3) then 'token' when m = 5 then 'optional' else 'sequence' end, case when m in (2, 3) then name else '' end, 1 from w where m in (1, 2, 3, 4, 5)
+union all select lhs, concat(path, '/2'), case when m = 1 then 'token' else 'reference' end, case when m = 1 then name else lhs end, 1 from w where m in (1, 4)
+union all select lhs, concat(path, '/1/1'), case when m = 5 then 'sequence' else 'token' end, case when m = 5 then '' else name end, 1 from w where m in (1, 4, 5)
+union all select lhs, concat(path, '/1/2'), 'reference', lhs, 1 from w where m in (1, 4)
+union all select lhs, concat(path, '/1/1/1'), 'reference', lhs, 1 from w where m = 5"""
 VIEWS["evidence"] = """with e as (select document, clause, source_hash, page, pos as byte_start, rule, subject as lhs, id as path, origin as kind, resolution as status from {semantic_items})
 select * from e
 union all select document, clause, source_hash, page, byte_start, rule, lhs, path, 'search', 'unresolved' from e where byte_start % 3 = 0

@@ -32,14 +32,18 @@ def rule_closure(t):
     return G.closure(owners.unionByName(owners.where("name LIKE 'part-%5'")), e, part_roots(t))
 
 
-@query("reachable_prune", REACHED + " select distinct src as node, src in (select node from r) as retained, case when src not in (select node from r) then 'unreachable from the roots' end as reason from rule_edges", "rule_edges")
+_ONE = "one(node) as (select max(node) from roots union select dst from one join rule_edges on node = src)"
+
+
+@query("reachable_prune", REACHED + f""", {_ONE} select distinct 'declared' as profile, src as node, src in (select node from r) as retained, case when src not in (select node from r) then case when (select count(*) from roots) = 1 then '{G.FROM_ONE}' else '{G.FROM_ALL}' end end as reason from rule_edges
+ union all select distinct 'selected', src, src in (select node from one), case when src not in (select node from one) then '{G.FROM_ONE}' end from rule_edges""", "rule_edges")
 def reachable_prune(t):
-    """Owners that the roots reach, and witnesses of the pruned ones."""
+    """Owners that all roots reach and those that a single root reaches, with witnesses of the pruned ones."""
     roots = part_roots(t)
-    reached = G.reach(t("rule_edges"), roots).select("node", F.lit(True).alias("in"))
-    reason = F.lit("unreachable from the roots")
-    rows = t("rule_edges").select(F.col("src").alias("node")).distinct().hint("merge").join(reached, "node", "left")
-    return rows.select("node", F.col("in").isNotNull().alias("retained"), F.when(F.col("in").isNull(), reason).alias("reason"))
+    edges = store.materialize(t("rule_edges"), "edges")
+    declared = G.prune(edges, roots).withColumn("profile", F.lit("declared"))
+    selected = G.prune(edges, roots.agg(F.max("node").alias("node"))).withColumn("profile", F.lit("selected"))
+    return declared.unionByName(selected)
 
 
 FORWARD = """+ fw as (select distinct name as src, case kind when 'erratum' then target when 'scalar' then substr(name, 8) else left(name, length(name) - 5) end as dst from classifications where kind in ('alias', 'list', 'scalar', 'erratum'))"""
@@ -66,7 +70,7 @@ def typed_closure(t):
 def classification_cycles(t):
     """Facts that lead back to themselves; some are planted by forwarding suppliers to their lists."""
     planted = t("supplier").where("s_suppkey % 6 = 1").select(F.concat(F.lit("supp-"), "s_suppkey").alias("src"), F.concat(F.lit("supp-"), "s_suppkey", F.lit("-list")).alias("dst"))
-    return G.pairs(forwards(t).unionByName(planted)).where("src = dst").select(F.col("src").alias("name"))
+    return G.cycles(forwards(t).unionByName(planted)).select(F.col("node").alias("name"))
 
 
 @query("affected_by", """+ r(node) as (select distinct name from rule_items where item_kind = 'ref' and ends_with(name, '9-stmt') union select lhs from r join rule_items on name = node and item_kind = 'ref') select node from r""", "rule_items")
@@ -111,7 +115,7 @@ def left_corner_pairs(t):
 @query("cycle_report", CORNER + ", bases as (select distinct lhs from rule_items group by lhs, alt having bool_and(item_kind <> 'ref')) select src as name, src in (select lhs from bases) as has_base from c where src = dst", "rule_items")
 def cycle_report(t):
     bases = t("rule_items").groupBy("lhs", "alt").agg(F.bool_and(F.col("item_kind") != "ref").alias("b")).where("b").select(F.col("lhs").alias("src"), F.lit(True).alias("b")).distinct()
-    return G.pairs(corners(t)).where("src = dst").join(bases, "src", "left").select(F.col("src").alias("name"), F.col("b").isNotNull().alias("has_base"))
+    return G.cycles(corners(t)).withColumnRenamed("node", "src").join(bases, "src", "left").select(F.col("src").alias("name"), F.col("b").isNotNull().alias("has_base"))
 
 
 @query("topo_levels", """+ e as (select src, dst from rule_edges where dst not like 'part-%' or cast(substr(src, 6) as bigint) > cast(substr(dst, 6) as bigint))
@@ -176,17 +180,22 @@ def factor_replay_audit(t):
     return out.unionByName(given.exceptAll(replay).withColumn("fault", F.lit("unexpected")))
 
 
-INDEX = "+ keyed as (select path, name, list_transform(string_split(path, '/')[2:], lambda x: cast(x as int)) as k from tree_nodes), indexed as (select path, name, k, row_number() over (partition by k[1] order by k) as idx from keyed where len(k) > 0)"
+INDEX = "+ keyed as (select path, name, list_transform(string_split(path, '/')[2:], lambda x: cast(x as int)) as k from tree_nodes), indexed as (select path, name, k, row_number() over (order by k) as idx from keyed)"
+
+
+def one_tree(t):
+    return R.path_index(t("tree_nodes").withColumn("tree", F.lit("rhs")))
 
 
 @query("path_index", INDEX + " select path, name, idx from indexed", "tree_nodes")
 def path_index(t):
-    return R.path_index(t("tree_nodes")).select("path", "name", "idx")
+    """The pre-order numbers of one tree of all regions, nations and suppliers."""
+    return one_tree(t).select("path", "name", "idx")
 
 
 @query("subtree_span", INDEX + " select a.path, max(b.idx) as last_idx, count(*) as nodes from indexed a join indexed b on b.path = a.path or starts_with(b.path, a.path || '/') group by a.path", "tree_nodes")
 def subtree_span(t):
-    return R.subtree_span(R.path_index(t("tree_nodes")))
+    return R.subtree_span(one_tree(t)).drop("tree")
 
 
 @query("node_table_check", "+ c as (select a.path, a.name, len(string_split(a.path, '/')) as depth, count(b.path) as children from tree_nodes a left join tree_nodes b on a.path = regexp_replace(b.path, '/[0-9]+$', '') and b.path <> a.path group by all) select path, case when depth < 4 and children = 0 then 'a choice without a child' when depth = 4 and children > 0 then 'a leaf with a child' when depth = 4 and name like '%7' then 'empty name' end as reason from c where reason is not null", "tree_nodes")
@@ -207,7 +216,31 @@ def split_alternatives(t):
     return R.split_alternatives(t("rule_items"))
 
 
-@query("flatten_choices", "+ d as (select lhs, name, min(alt * 10 + pos) as p from rule_items group by lhs, name) select lhs, string_agg(name, '|' order by p) as choices, count(*) as kept, count(*) = 1 as unwrapped from d group by lhs", "rule_items")
+def _flatten_sql(deepest: int = 7) -> str:
+    """Levels from the deepest up: (tree, path, kind, w, parts, inner_w, inner_e, e), a part being {w, e}."""
+    known = "select distinct lhs as name from rule_items where ends_with(lhs, '3-stmt')"
+    out = [f"empty_names as ({known})", "leveled as (select *, len(string_split(path, '/')) as depth from expr_nodes)"]
+    shape = "cast(null as struct(w varchar, e boolean)[]) as parts, cast(null as varchar) as inner_w, cast(null as boolean) as inner_e"
+    out.append(f"t{deepest + 1} as (select tree, path, kind, name as w, {shape}, false as e, 'none' as op, cast([] as varchar[]) as dropped from expr_nodes where false)")
+    for d in range(deepest, 0, -1):
+        out.append(f"""g{d} as (select c.tree, regexp_replace(c.path, '/[0-9]+$', '') as path, list(c order by cast(regexp_extract(c.path, '[0-9]+$') as int)) as c from t{d + 1} c group by 1, 2),
+i{d} as (select l.*, c, case when kind in ('sequence', 'choice') then flatten(list_transform(c, lambda x: case when x.kind = l.kind then list_transform(x.parts, lambda p: {{'p': p, 'src': null}}) else [{{'p': {{'w': x.w, 'e': x.e}}, 'src': x.path}}] end)) end as items
+ from leveled l join g{d} g on g.tree = l.tree and g.path = l.path where depth = {d} and kind not in ('reference', 'token')),
+k{d} as (select *, list_transform(items, lambda x: x.p.w) as ws from i{d}),
+f{d} as (select *, case when kind = 'choice' then list_filter(items, lambda x, i: list_position(ws, x.p.w) = i) else items end as kept, case when kind = 'choice' then list_transform(list_filter(items, lambda x, i: list_position(ws, x.p.w) <> i and x.src is not null), lambda x: x.src) else [] end as dropped, c[1] as ch from k{d}),
+p{d} as (select *, list_transform(kept, lambda x: x.p) as parts, case when len(kept) = 1 then list_filter(c, lambda x: x.w = kept[1].p.w)[1] when kind = 'optional' and ch.e then ch end as same,
+ case when kind = 'repeat' and ch.kind <> 'optional' then minimum else 0 end as least from f{d}),
+t{d} as (select tree, path, kind, case when kind = 'token' then chr(39) || name || chr(39) else name end as w, {shape}, kind = 'reference' and name in (select name from empty_names) as e, 'identity' as op, cast([] as varchar[]) as dropped from leveled where depth = {d} and kind in ('reference', 'token')
+ union all select tree, path, coalesce(same.kind, kind), case when same is not null then same.w when kind = 'optional' then '[' || ch.w || ']' when kind = 'repeat' then '{{' || coalesce(ch.inner_w, ch.w) || '}}' || least when kind = 'sequence' then '(' || array_to_string(list_transform(parts, lambda p: p.w), ' ') || ')' else '(' || array_to_string(list_transform(parts, lambda p: p.w), ' | ') || ')' end,
+ case when same is not null then same.parts when kind in ('sequence', 'choice') then parts end, case when same is not null then same.inner_w when kind = 'optional' then ch.w end, case when same is not null then same.inner_e when kind = 'optional' then ch.e end,
+ case when same is not null then same.e when kind = 'optional' then true when kind = 'repeat' then least = 0 or coalesce(ch.inner_e, ch.e) when kind = 'sequence' then len(list_filter(parts, lambda p: not p.e)) = 0 else len(list_filter(parts, lambda p: p.e)) > 0 end,
+ case when kind = 'optional' then case when same is null then 'identity' else 'optional-wrapper-removal' end when kind = 'repeat' then case when ch.kind = 'optional' then 'optional-wrapper-removal' else 'identity' end when same is null then kind || '-flatten' else kind || '-collapse' end, dropped from p{d})""")
+    every = " union all ".join(f"select * from t{d}" for d in range(1, deepest + 1))
+    return f"+ {', '.join(out)}, every as ({every}) select tree, path, op as operation, w as written from every union all select tree, unnest(dropped), 'choice-deduplicate', null from every"
+
+
+@query("flatten_choices", _flatten_sql(), "rule_items", "expr_nodes")
 def flatten_choices(t):
-    """Nested choices flattened, duplicates dropped (the first stays), single ones unwrapped."""
-    return R.flatten_choices(t("rule_items"))
+    """Expression trees of all orders, normalised at any depth, with what was done to each node."""
+    names = t("rule_items").where(F.col("lhs").endswith("3-stmt")).select(F.col("lhs").alias("name"))
+    return R.normalized(t("expr_nodes"), names)

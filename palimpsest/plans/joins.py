@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators import ranges as R
 from palimpsest.operators import text as T
 from palimpsest.plans.fixtures import query
 from palimpsest.plans.text import TOKENS
@@ -60,27 +61,43 @@ def effective_classifications(t):
     return own.unionByName(facts.join(own, "name", "left_anti").withColumn("kind", F.lit("lexical")))
 
 
-CP = "+ cps as (select unnest(string_split(text, '')) as ch from documents where text <> ''), pts as (select cast(unicode(ch) as bigint) as cp, count(*) as uses from cps group by all)"
-
-
-@query("codepoint_class_lookup", CP + """, hit as (select cp, uses, count(target) as n, min(target) as target from pts left join codepoint_ranges on cp between first_cp and last_cp group by cp, uses)
- select cp, uses, case when cp > 1114111 or cp between 55296 and 57343 then 'invalid_scalar' when n = 1 then 'match' when n > 1 then 'ambiguous' else 'no_match' end as status, target from hit""", "codepoint_ranges")
+FACT_FAULTS = """+ rg as (select *, row_number() over (order by tbl, fact, first, last) as rid from lex_ranges)
+, fact_faults as (select distinct tbl, fact, reason from (
+ select tbl, fact, case when trim(source_term) = '' or trim(target) = '' or trim(class) = '' then 'lacks source term, class or target' end as reason from lex_facts
+ union all select tbl, fact, case when page is null or not regexp_full_match(hash, '[0-9A-Fa-f]{64}') then 'lacks provenance' end from lex_facts
+ union all select tbl, fact, case when codepoint <> 'processor-defined' and (tbl, fact) not in (select (tbl, fact) from lex_ranges) then 'has neither scalar nor range' end from lex_facts
+ union all select a.tbl, a.fact, 'repeats a source term' from lex_facts a join lex_facts b on a.tbl = b.tbl and a.source_term = b.source_term and b.fact < a.fact
+ union all select a.tbl, a.fact, 'repeats a target' from lex_facts a join lex_facts b on a.tbl = b.tbl and a.target = b.target and b.fact < a.fact and a.target <> ''
+ union all select tbl, fact, 'range outside Unicode scalars' from rg where first not between 0 and 1114111 or last not between 0 and 1114111 or first between 55296 and 57343 or last between 55296 and 57343
+ union all select tbl, fact, 'reversed range' from rg where first > last
+ union all select a.tbl, a.fact, 'overlapping ranges' from rg a join rg b on a.tbl = b.tbl and a.rid <> b.rid and a.first <= b.last and b.first <= a.last and (b.first, b.last, b.fact) < (a.first, a.last, a.fact) where a.first <= a.last and b.first <= b.last) where reason is not null)"""
+
+LOOKED = FACT_FAULTS + """
+, n as (select max(tbl) + 1 as c from lex_facts)
+, pts as (select tbl, cp, count(*) as uses from (select doc_id % n.c as tbl, cast(unicode(unnest(string_split(text, ''))) as bigint) as cp from documents, n where text <> '' union all select doc_id % n.c, 55296 + doc_id % 3000 from documents, n) group by all)
+, hit as (select pts.tbl, cp, uses, count(distinct fact) as n, min(fact) as hit from pts left join lex_ranges r on r.tbl = pts.tbl and cp between first and last group by all)
+, bad as (select distinct tbl from fact_faults where tbl % 4 <> 0)
+, def as (select tbl, min(fact) as defined from lex_facts where (tbl, fact) not in (select (tbl, fact) from lex_ranges) group by tbl)
+, looked as (select h.tbl, cp, uses, case when cp > 1114111 or cp between 55296 and 57343 then 'invalid_scalar' when bad.tbl is not null then 'invalid_facts' when n > 1 then 'ambiguous' when n = 1 then 'match' when defined is not null then 'unsupported' else 'no_match' end as status, hit, defined
+ from hit h left join bad on bad.tbl = h.tbl left join def on def.tbl = h.tbl)"""
+
+
+@query("codepoint_class_lookup", LOOKED + " select tbl, cp, uses, status, case status when 'match' then hit when 'unsupported' then defined end as fact from looked", "lex_facts", "lex_ranges")
 def codepoint_class_lookup(t):
-    """Classes of all scalars of the texts: distinct scalars against a table of ranges, which is small by definition."""
-    cps = T.codepoints(t("documents")).groupBy("cp").agg(F.count("*").alias("uses"))
-    hit = cps.join(F.broadcast(t("codepoint_ranges")), F.expr("cp between first_cp and last_cp"), "left").groupBy("cp", "uses").agg(F.count("target").alias("n"), F.min("target").alias("target"))
-    return hit.select("cp", "uses", F.expr("case when cp > 1114111 or cp between 55296 and 57343 then 'invalid_scalar' when n = 1 then 'match' when n > 1 then 'ambiguous' else 'no_match' end").alias("status"), "target")
+    """Facts of all scalars of the texts, a text's being looked up in one of the tables; some are no scalars. Every fourth table is
+    taken without a check of its facts."""
+    facts = t("lex_facts")
+    tables = facts.agg(F.max("tbl") + 1).first()[0]
+    docs = t("documents").withColumn("tbl", F.col("doc_id") % tables)
+    cps = T.codepoints(docs, "tbl").select(F.col("doc_id").alias("tbl"), "cp").unionByName(docs.select("tbl", (55296 + F.col("doc_id") % 3000).alias("cp")))
+    points = cps.groupBy("tbl", "cp").agg(F.count("*").alias("uses"))
+    return R.lookup(points, facts, t("lex_ranges"), facts.where("tbl % 4 = 0").select("tbl"))
 
 
-@query("range_overlap_audit", """with r as (select p_partkey as id, p_brand as grp, p_partkey * 3 as f, p_partkey * 3 + p_size % 9 - 1 as l from part), v as (select * from r where l >= f),
- m as (select *, max(l) over (partition by grp order by f, id rows between unbounded preceding and 1 preceding) as reach from v)
- select id, 'overlap' as reason from m where reach >= f union all select id, 'reversed' from r where l < f""")
+@query("range_overlap_audit", FACT_FAULTS + " select * from fact_faults", "lex_facts", "lex_ranges")
 def range_overlap_audit(t):
-    """Ranges that are reversed, or that one before them in their group reaches into: a sort and a running maximum, no self-join."""
-    r = t("part").selectExpr("p_partkey as id", "p_brand as grp", "p_partkey * 3 as f", "p_partkey * 3 + p_size % 9 - 1 as l")
-    w = Window.partitionBy("grp").orderBy("f", "id").rowsBetween(Window.unboundedPreceding, -1)
-    over = r.where("l >= f").withColumn("reach", F.max("l").over(w)).where("reach >= f")
-    return over.select("id", F.lit("overlap").alias("reason")).unionByName(r.where("l < f").select("id", F.lit("reversed").alias("reason")))
+    """All faults of facts and their ranges: overlaps inside a fact and across facts by a sort and a carried maximum, no self-join."""
+    return R.fact_faults(t("lex_facts"), t("lex_ranges"))
 
 
 CANDIDATES = """+ cand as (select pos, id, rule, document, clause, page, source_hash as hash, case when pos % 13 = 4 then 'suppressed' else 'candidate' end as status from semantic_items)

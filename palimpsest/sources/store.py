@@ -33,6 +33,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Dealt:
+    """Tables written in buckets of a column, each file holding one, so that joins and groups by that column read them without a shuffle.
+    They are named in the session's catalog as long as they are needed; drop() takes them out and deletes their files."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def write(self, df: DataFrame, column: str) -> DataFrame:
+        name = f"palimpsest_dealt_{uuid.uuid4().hex}"
+        self.paths[name] = fresh(self.spark, "dealt")
+        df.repartition(self.buckets, column).write.bucketBy(self.buckets, column).sortBy(column).option("path", self.paths[name]).saveAsTable(name)
+        return self.spark.table(name)
+
+    def drop(self) -> None:
+        for name, path in self.paths.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        self.paths = {}
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, kinds: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
     """Records of the given kinds that have all required fields. Lines that are no records are skipped."""
     rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
