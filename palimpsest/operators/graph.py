@@ -200,3 +200,43 @@ def factor_aliases(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     rows = edges.hint("merge").join(gone, "dst", "left").select("src", F.coalesce("representative", "dst").alias("dst"))
     rows = rows.hint("merge").join(gone.select(F.col("dst").alias("src")), "src", "left_anti")
     return rows.groupBy("src", "dst").agg(F.count("*").alias("merged"))
+
+
+def alias_families(rules: DataFrame, protected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The retained names and the witnesses, from rules (lhs, alt, ref, role, source): a row an alternative, ref being set where it is a
+    reference and nothing else. A name whose one alternative is a reference is an alias of what that leads to in the end, its
+    representative, and goes unless it is protected (name).
+
+    Retained: (name, aliases, refs, roles, provenance), refs being those of its alternatives with removed aliases replaced, roles and
+    provenance its own and those of the aliases that went; arrays sorted, of distinct values that a group of their own finds
+    first. Witnesses: (name, representative, disposition, reason): `factored`, or `rejected` because it is protected, on a cycle,
+    or one of several alternatives of a name (only where exactly one of them leads to a representative other than the name)."""
+    rules = materialize(rules, "rules")
+    alts = rules.groupBy("lhs").agg(F.count("*").alias("n"), F.first("ref", ignorenulls=True).alias("ref"))
+    names = alts.select(F.col("lhs").alias("name"), F.when(F.col("n") == 1, F.col("ref")).alias("next"))
+    # References to names without a rule lead nowhere.
+    outside = names.where("next IS NOT NULL").select(F.col("next").alias("name")).distinct().join(names.select("name"), "name", "left_anti")
+    resolved = materialize(resolve_aliases(names.unionByName(outside.withColumn("next", F.lit(None).cast("string")))), "resolved")
+    safe = resolved.where("representative IS NOT NULL").join(outside.withColumnRenamed("name", "representative"), "representative", "left_anti")
+    kept = protected.select("name").distinct().withColumn("kept", F.lit(True))
+    aliases = materialize(safe.where("state = 'resolved'").join(kept, "name", "left").select("name", "representative", F.coalesce("kept", F.lit(False)).alias("kept")), "aliases")
+    gone = aliases.where("NOT kept").select("name", "representative")
+    merged = rules.hint("merge").join(gone.withColumnRenamed("name", "lhs"), "lhs", "left")
+    merged = materialize(merged.select(F.coalesce("representative", "lhs").alias("name"), "lhs", F.col("representative").isNotNull().alias("alias"), "ref", "role", "source"), "merged")
+    refs = merged.where("NOT alias AND ref IS NOT NULL").select("name", "ref").hint("merge").join(gone.select(F.col("name").alias("ref"), "representative"), "ref", "left")
+    values = refs.select("name", F.lit("refs").alias("what"), F.coalesce("representative", "ref").alias("v"))
+    for what, column in (("roles", "role"), ("provenance", "source")):
+        values = values.unionByName(merged.where(f"{column} IS NOT NULL").select("name", F.lit(what).alias("what"), F.col(column).alias("v")))
+    lists = values.distinct().groupBy("name").pivot("what", ["refs", "roles", "provenance"]).agg(F.array_sort(F.collect_list("v")))
+    count = merged.groupBy("name").agg(F.count_distinct(F.when(F.col("alias"), F.col("lhs"))).alias("aliases"))
+    retained = count.hint("merge").join(lists, "name", "left")
+    retained = retained.select("name", "aliases", *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("refs", "roles", "provenance")))
+
+    several = rules.where("ref IS NOT NULL").join(alts.where("n > 1").select("lhs"), "lhs", "left_semi").select(F.col("lhs").alias("name"), F.col("ref").alias("to"))
+    leads = several.hint("merge").join(safe.select(F.col("name").alias("to"), "representative"), "to").where("representative <> name")
+    leads = leads.groupBy("name", "representative").agg(F.count("*").alias("n")).where("n = 1").select("name", "representative", F.lit("multi-alternative-alias").alias("reason"))
+    reason = F.when(F.col("kept"), "protected-reachability-root").otherwise("whole-unit-alias")
+    witness = aliases.select("name", "representative", reason.alias("reason"))
+    cyclic = resolved.where("state = 'cyclic'").select("name", "representative", F.lit("cyclic-unit-alias").alias("reason"))
+    witness = witness.unionByName(cyclic).unionByName(leads)
+    return retained, witness.select("name", "representative", F.when(F.col("reason") == "whole-unit-alias", "factored").otherwise("rejected").alias("disposition"), "reason")

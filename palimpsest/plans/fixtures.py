@@ -93,6 +93,8 @@ union all select concat('rhs/', r_regionkey + 1), concat('region-', r_regionkey)
 union all select concat('rhs/', n_regionkey + 1, '/', j), concat('nation-', n_nationkey) from n
 union all select concat('rhs/', n.n_regionkey + 1, '/', n.j, '/', s.k), concat('supp-', s_suppkey) from s join n on n.n_nationkey = s.s_nationkey""",
 }
+VIEWS["alias_rules"] = """select concat('part-', p_partkey) as lhs, 1 as alt, case when p_partkey % 3 <> 0 then concat('part-', (p_partkey * 7 + 3) % n.c) end as ref, p_type as role, p_brand as source from {part} cross join (select count(*) c from {part}) n
+union all select concat('part-', p_partkey), 2, case when p_partkey % 26 = 19 then concat('ghost-', p_partkey) end, concat(p_type, '-alt'), concat('size-', p_size) from {part} where p_partkey % 13 = 6"""
 VIEWS["expr_nodes"] = """with i as (select lhs, alt, pos, item_kind, name, case when item_kind = 'ref' then 0 else cast(substr(name, 6) as bigint) % 7 end as m from {rule_items}),
 w as (select lhs, concat('rhs/', alt, '/', pos, '/1') as path, name, m from i where item_kind in ('optional', 'repeat0'))
 select lhs as tree, 'rhs' as path, 'choice' as kind, '' as name, 1 as minimum from i group by lhs

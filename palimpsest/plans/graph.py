@@ -147,17 +147,35 @@ def alias_resolve(t):
 FACTORED = ALIAS + """, gone as (select name, representative from resolved where state = 'resolved'), factored as (select src, coalesce(representative, dst) as dst, count(*) as merged from rule_edges left join gone on dst = name where src not in (select name from gone) group by 1, 2)"""
 
 
-@query("factor_alias_family", FACTORED + " select * from factored", "rule_edges")
+FAMILY = """+ single as (select lhs, max(ref) as nxt from alias_rules group by lhs having count(*) = 1 and max(ref) is not null)
+, names as (select distinct lhs as name from alias_rules)
+, steps(name, pt, hops) as (select name, name, 0 from names union all select s.name, single.nxt, hops + 1 from steps s join single on single.lhs = s.pt where hops < 400)
+, res as (select name, max(case when pt not in (select lhs from single) then pt end) as rep from steps group by name)
+, roots as (select concat('part-', p_partkey) as name from part where concat('part-', p_partkey) not in (select dst from rule_edges))
+, al as (select name, rep, name in (select name from roots) as kept from res where rep <> name and rep in (select name from names))
+, gone as (select name, rep from al where not kept)
+, mine as (select coalesce(g.rep, r.lhs) as name, r.*, g.rep is not null as alias from alias_rules r left join gone g on g.name = r.lhs)"""
+
+
+def families(t):
+    return G.alias_families(t("alias_rules"), part_roots(t).withColumnRenamed("node", "name"))
+
+
+@query("factor_alias_family", FAMILY + """ select name, count(distinct lhs) filter (alias) as aliases,
+ coalesce((select string_agg(distinct coalesce(g.rep, m2.ref), ',' order by coalesce(g.rep, m2.ref)) from mine m2 left join gone g on g.name = m2.ref where m2.name = mine.name and not m2.alias and m2.ref is not null), '') as refs,
+ string_agg(distinct role, ',' order by role) as roles, string_agg(distinct source, ',' order by source) as provenance from mine group by name""", "rule_edges", "alias_rules")
 def factor_alias_family(t):
-    return G.factor_aliases(t("rule_edges"), aliases(t))
+    """Names that stay when aliases are merged into what they stand for, with the roles and sources of their whole family."""
+    retained, _ = families(t)
+    return retained.select("name", "aliases", *(F.array_join(c, ",").alias(c) for c in ("refs", "roles", "provenance")))
 
 
-@query("factor_witnesses", ALIAS + " select name, case when name in (select concat('part-', p_partkey) from part where concat('part-', p_partkey) not in (select dst from rule_edges)) then 'protected-reachability-root' when state = 'cyclic' then 'cyclic-unit-alias' when state = 'resolved' then 'factored' else 'kept' end as disposition from resolved", "rule_edges")
+@query("factor_witnesses", FAMILY + """ select name, rep as representative, case when kept then 'rejected' else 'factored' end as disposition, case when kept then 'protected-reachability-root' else 'whole-unit-alias' end as reason from al
+ union all select name, null, 'rejected', 'cyclic-unit-alias' from res where rep is null
+ union all select r.lhs, res.rep, 'rejected', 'multi-alternative-alias' from alias_rules r join res on res.name = r.ref where r.lhs not in (select lhs from single) and res.rep <> r.lhs and res.rep in (select name from names) group by r.lhs, res.rep having count(*) = 1""", "rule_edges", "alias_rules")
 def factor_witnesses(t):
-    """What became of each name, roots being protected."""
-    roots = part_roots(t).select(F.col("node").alias("name"), F.lit(True).alias("root"))
-    d = F.when(F.col("root"), "protected-reachability-root").when(F.col("state") == "cyclic", "cyclic-unit-alias").when(F.col("state") == "resolved", "factored").otherwise("kept")
-    return aliases(t).join(roots, "name", "left").select("name", d.alias("disposition"))
+    """What became of each alias, and why some were not merged; names that nothing refers to are protected."""
+    return families(t)[1]
 
 
 @query("disposition_table", REACHED + """, names as (select src as node from rule_edges union select node from r) select node, case when node in (select node from r) then 'selected' when node like 'part-1%' then 'omitted_root' else 'omitted_helper' end as disposition from names""", "rule_edges")
