@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import text as T
 from palimpsest.operators.contracts import first_fault
-from palimpsest.operators.order import ranked
+from palimpsest.operators.order import Carried, ranked, scan_runs
 from palimpsest.plans.fixtures import query
 from palimpsest.plans.text import SPANS
 from palimpsest.operators import windows as W
-from palimpsest.plans.windows import ASSEMBLED, BLOCKS, blocks_of
+from palimpsest.plans.windows import ASSEMBLED, BLOCKS, blocks_of, doc
 from palimpsest.sources import store
 
 # Fixed values of the domains.
@@ -197,25 +197,60 @@ def page_range(t):
     return t("spec_lines").where(F.col("page").between(11, 20))
 
 
-PROD = "kind string, rule string, lhs string, operator string, content string, page long, line_no long"
-
-
-def productions(t) -> DataFrame:
-    kind = F.when(F.col("operator") == "is", "production-start").otherwise("production-continuation")
-    return blocks_of(t).select(kind.alias("kind"), "rule", "lhs", "operator", "content", F.col("page").cast("long"), F.col("line_no").cast("long"))
-
-
-@query("read_productions_jsonl", BLOCKS + " select 'production-start' as kind, rule, lhs, operator, content, cast(page as bigint) as page, line_no from blocks where operator = 'is'", "spec_lines")
+# Fields of a production record in the order in which they are written, those that must be there, and the kinds.
+PRODUCTION_FIELDS = {
+    "kind": "string", "rule": "string", "lhs": "string", "operator": "string", "text": "string", "page": "int", "byte_start": "long", "byte_length": "long",
+    "occurrence": "int", "occurrence_clause": "string", "source_line": "string",
+}
+PRODUCTION_REQUIRED = ("kind", "rule", "lhs", "operator", "text", "page", "byte_start", "byte_length")
+PRODUCTION_KINDS = ("production-start", "production-continuation")
+HEADER = '{"format":"productions","origin":"MECHANICAL"}'
+
+RECORDS = BLOCKS + """, starts as (select (page - 1) // 10 as doc, page, line_no, line, coalesce(sum(strlen(line) + 1) over (partition by (page - 1) // 10 order by page, line_no rows between unbounded preceding and 1 preceding), 0) as byte_start from spec_lines)
+, recs as (select case operator when 'is' then 'production-start' else 'production-continuation' end as kind, rule, lhs, operator, content as text, b.page, cast(byte_start as bigint) as byte_start, cast(strlen(line) as bigint) as byte_length, occurrence, clause, line as source_line, b.line_no, b.doc
+ from blocks b join starts using (doc, page, line_no))
+, written as (select *, '{"kind":"' || kind || '","rule":"' || rule || '","lhs":"' || lhs || '","operator":"' || operator || '","text":"' || text || '","page":' || page || ',"byte_start":' || byte_start || ',"byte_length":' || byte_length || ',"occurrence":' || occurrence
+ || case when clause is null then '' else ',"occurrence_clause":"' || clause || '"' end || ',"source_line":"' || source_line || '","origin":"MECHANICAL"}' as record from recs)"""
+
+
+def records(t) -> DataFrame:
+    """Production records of all documents, with their spans in their document."""
+    lines = t("spec_lines").withColumn("doc", doc())
+    lines = scan_runs(lines, ["doc"], ["page"], ["line_no"], Carried(sums={"byte_start": F.octet_length("line") + 1}))
+    rows = W.production_blocks(lines, ["doc"], ["page", "line_no"])
+    kind = F.when(F.col("operator") == "is", PRODUCTION_KINDS[0]).otherwise(PRODUCTION_KINDS[1])
+    return rows.select(kind.alias("kind"), "rule", "lhs", "operator", F.trim("content").alias("text"), "page", F.col("byte_start").cast("long"), F.octet_length("line").cast("long").alias("byte_length"),
+                       "occurrence", F.col("clause").alias("occurrence_clause"), F.col("line").alias("source_line"), "line_no", "doc")
+
+
+@query("read_productions_jsonl", RECORDS + """, lines as (select *, case when line_no % 31 = 4 then replace(record, '"page":', '"page":"x') when line_no % 29 = 3 then replace(record, '"byte_length"', '"length"') when line_no % 43 = 7 then replace(record, '"byte_start":', '"byte_start":true,"was":') when line_no % 37 = 5 then left(record, length(record) - 20)
+ when line_no % 41 = 6 then replace(record, 'production-', 'other-') else record end as line, case when line_no % 31 = 4 then 'no record' when line_no % 29 = 3 then 'missing field byte_length' when line_no % 43 = 7 then 'invalid integer field byte_start' when line_no % 37 = 5 then 'no record' end as reject from written where line_no % 31 = 4 or line_no % 29 = 3 or line_no % 43 = 7 or line_no % 37 = 5 or line_no % 41 <> 6)
+ select case when reject is null then kind end as kind, case when reject is null then rule end as rule, case when reject is null then lhs end as lhs, case when reject is null then operator end as operator, case when reject is null then text end as text, case when reject is null then page end as page,
+ case when reject is null then byte_start end as byte_start, case when reject is null then byte_length end as byte_length, case when reject is null and line_no % 5 <> 2 then occurrence end as occurrence, case when reject is null then clause end as occurrence_clause, case when reject is null then source_line end as source_line,
+ case when reject is null then line_no % 5 <> 2 end as has_occurrence, case when reject is null then clause is not null end as has_occurrence_clause, case when reject is null then true end as has_source_line, coalesce(reject, null) as reject,
+ case when reject is not null then case when line_no % 5 = 2 then replace(line, '"occurrence":', '"number":') else line end end as line from lines""", "spec_lines")
 def read_productions_jsonl(t):
-    """All productions written as JSON lines and read back, starts only."""
-    rows = productions(t)
-    store.write_jsonl(rows, path := store.fresh(rows.sparkSession, "jsonl"), '{"format":"productions"}')
-    return store.read_jsonl(rows.sparkSession, path, PROD, ("production-start",), ("rule", "lhs", "content", "page"))
-
-
-@query("write_productions_jsonl", BLOCKS + " select '{\"rule\":\"' || rule || '\",\"operator\":\"' || operator || '\",\"content\":\"' || replace(content, '\"', '\\\"') || '\"}' as record from blocks", "spec_lines")
+    """All production records written as JSON lines and read back; some are of another kind, some lack a field or an optional one, some
+    are cut off or have a page that ends the object."""
+    rows = records(t)
+    record = F.to_json(F.struct(*PRODUCTION_FIELDS, F.lit("MECHANICAL").alias("origin")))
+    n = F.col("line_no")
+    line = F.when(n % 31 == 4, F.replace(record, F.lit('"page":'), F.lit('"page":"x'))).when(n % 29 == 3, F.replace(record, F.lit('"byte_length"'), F.lit('"length"')))
+    line = line.when(n % 43 == 7, F.replace(record, F.lit('"byte_start":'), F.lit('"byte_start":true,"was":')))
+    line = line.when(n % 37 == 5, F.left(record, F.length(record) - 20)).when(n % 41 == 6, F.replace(record, F.lit("production-"), F.lit("other-"))).otherwise(record)
+    line = F.when(n % 5 == 2, F.replace(line, F.lit('"occurrence":'), F.lit('"number":'))).otherwise(line)
+    path = store.fresh(rows.sparkSession, "jsonl")
+    rows.select(line.alias("value")).write.text(path)
+    return store.read_jsonl(rows.sparkSession, path, PRODUCTION_FIELDS, PRODUCTION_REQUIRED, PRODUCTION_KINDS)
+
+
+@query("write_productions_jsonl", RECORDS + f" select record, false as header from written union all select '{HEADER}', true", "spec_lines")
 def write_productions_jsonl(t):
-    return productions(t).select(F.to_json(F.struct("rule", "operator", "content")).alias("record"))
+    """All production records with their spans, written as JSON lines with a header beside them, and what then stands in the files."""
+    rows, spark = records(t).select(*PRODUCTION_FIELDS, F.lit("MECHANICAL").alias("origin")), t("orders").sparkSession
+    store.write_jsonl(rows, path := store.fresh(spark, "jsonl"), HEADER)
+    written = spark.read.text(path).select(F.col("value").alias("record"), F.lit(False).alias("header"))
+    return written.unionByName(spark.read.text(path + ".header").select(F.col("value").alias("record"), F.lit(True).alias("header")))
 
 
 @query("read_page_index", """with s as (select source, doc_id as page, cast(coalesce(sum(strlen(text) + 1) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start, cast(strlen(text) as bigint) as length from documents)
@@ -234,12 +269,30 @@ def read_page_index(t):
     return store.read_page_index(spark, path)
 
 
-@query("read_candidates_tsv", "select cast(pos as varchar) as pos, rule, document, clause, cast(page as varchar) as page, origin from semantic_items where origin <> 'unknown'", "semantic_items")
+# The columns of candidates, those that must be there, and the statuses.
+CANDIDATE_COLUMNS = ["rule", "container", "document", "clause", "page", "byte_start", "hash", "kind", "path", "item", "derivation", "status"]
+CANDIDATE_REQUIRED = ("rule", "container", "status")
+STATUSES = ("candidate", "suppressed", "unsupported")
+
+_STATUS = "case when pos % 23 = 4 then 'open' when pos % 7 = 3 then 'suppressed' when pos % 11 = 5 then 'unsupported' else 'candidate' end"
+_NULLED = ", ".join(f"case when reject is null then nullif({c}, '') end as {c}" for c in CANDIDATE_COLUMNS)
+
+
+@query("read_candidates_tsv", f"""+ c as (select pos, case when pos % 29 = 5 then '' else rule end as rule, subject as container, document, clause, cast(page as varchar) as page, cast(pos as varchar) as byte_start, source_hash as hash, origin as kind, 'rhs/' || id as path, 'item' as item, 'direct' as derivation, {_STATUS} as status from semantic_items)
+, l as (select *, concat_ws(chr(9), coalesce(rule, ''), coalesce(container, ''), coalesce(document, ''), clause, page, byte_start, coalesce(hash, ''), kind, path, item) || case when pos % 31 = 6 then '' else chr(9) || derivation end || chr(9) || status as line,
+ case when pos % 31 = 6 then 'fields: 11' when coalesce(rule, '') = '' or coalesce(container, '') = '' then 'empty required field' when pos % 23 = 4 then 'unknown status' end as reject from c)
+ select {_NULLED}, reject, case when reject is not null then line end as line from l""", "semantic_items")
 def read_candidates_tsv(t):
-    """Candidates written as TSV with a header and read back; statuses outside the domain are dropped."""
-    rows = t("semantic_items").select(F.col("pos").cast("string"), "rule", "document", "clause", F.col("page").cast("string"), "origin")
-    store.write_tsv(rows, path := store.fresh(rows.sparkSession, "tsv"))
-    return store.read_tsv(rows.sparkSession, path, "pos string, rule string, document string, clause string, page string, origin string").where(F.col("origin").isin(*ORIGINS))
+    """Candidates of twelve columns written as TSV and read back; some have an unknown status, no rule, or a field too few."""
+    rows = t("semantic_items")
+    columns = dict(zip(CANDIDATE_COLUMNS, ["case when pos % 29 = 5 then '' else rule end", "subject", "document", "clause", "page", "pos", "source_hash", "origin", "concat('rhs/', id)", "'item'", "'direct'", _STATUS], strict=True))
+    value = F.concat_ws("\t", *(F.when(F.col("pos") % 31 == 6, F.lit(None)).otherwise(F.lit("direct")) if n == "derivation" else F.coalesce(F.expr(e).cast("string"), F.lit("")) for n, e in columns.items()))
+    spark = rows.sparkSession
+    # One header a file, of which a range of partitions each has its own.
+    head = spark.range(0, 4, 1, 4).select(F.lit("\t".join(CANDIDATE_COLUMNS)).alias("value"), F.col("id").cast("int").alias("file"), F.lit(0).alias("n"))
+    body = rows.select(value.alias("value"), F.pmod(F.xxhash64("pos"), F.lit(4)).cast("int").alias("file"), F.lit(1).alias("n"))
+    head.unionByName(body).repartition(4, "file").sortWithinPartitions("file", "n").select("value").write.text(path := store.fresh(spark, "tsv"))
+    return store.read_tsv_checked(spark, path, CANDIDATE_COLUMNS, CANDIDATE_REQUIRED, {"status": STATUSES})
 
 
 @query("read_roots", "select p_name as root, count(*) as lines from part where p_partkey % 3 <> 0 group by p_name")

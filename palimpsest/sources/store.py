@@ -55,13 +55,49 @@ class Dealt:
         self.paths = {}
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, kinds: tuple[str, ...], required: tuple[str, ...]) -> DataFrame:
-    """Records of the given kinds that have all required fields. Lines that are no records are skipped."""
-    rows = spark.read.schema(f"{schema}, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    good = F.col("kind").isin(*kinds)
-    for c in required:
-        good = good & F.col(c).isNotNull()
-    return rows.where(good).drop("_corrupt")
+def read_jsonl(spark: SparkSession, path: str, fields: dict[str, str], required: tuple[str, ...], kinds: tuple[str, ...]) -> DataFrame:
+    """The fields (name: string, int or long), has_<name> for those that aren't required, reject and line: a row for each record of one of the
+    kinds. Lines that are no JSON object, lack a required field or have a number that is none are rows too, with the reason in
+    reject (the first, in the order of fields) and the line as it is; their fields are null. Records without a kind or of another are
+    skipped."""
+    schema = ", ".join(f"`{name}` string" for name in fields)
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    rows = lines.withColumn("r", F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    fault = F.when(F.col("r").isNull() | F.col("r._corrupt").isNotNull() | ~F.ltrim("value").startswith("{"), "no record")
+    for name, kind in fields.items():
+        given = F.col(f"r.`{name}`")
+        if name in required:
+            fault = fault.when(given.isNull(), f"missing field {name}")
+        if kind != "string":
+            fault = fault.when(given.isNotNull() & given.try_cast(kind).isNull(), f"invalid integer field {name}")
+    rows = rows.withColumn("reject", fault).where((F.col("reject") == "no record") | F.col("r.kind").isin(*kinds))
+    sound = F.col("reject").isNull()
+    out = [F.when(sound, F.col(f"r.`{name}`").try_cast(kind)).alias(name) for name, kind in fields.items()]
+    out += [F.when(sound, F.col(f"r.`{name}`").isNotNull()).alias(f"has_{name}") for name in fields if name not in required]
+    return rows.select(*out, "reject", F.when(~sound, F.col("value")).alias("line"))
+
+
+def read_tsv_checked(spark: SparkSession, path: str, names: list[str], required: tuple[str, ...], domains: dict[str, tuple[str, ...]], leading: int = 2) -> DataFrame:
+    """names, reject and line: a row for each line of tab-separated files that begin with a header, of which the first leading names and the
+    number are checked. Lines with another number of fields, without a required field or with a value outside its domain are rows
+    with the reason in reject and the line as it is; a file without its header is one row, the path being its line. Blank
+    lines are skipped; empty fields are null."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where("trim(value) <> ''")
+    f = F.split("value", "\t", -1)
+    head = F.size(f) == len(names)
+    for i, n in enumerate(names[:leading]):
+        head = head & (F.get(f, i) == n)
+    lines = lines.withColumns({"f": f, "head": head})
+    fields = {n: F.nullif(F.trim(F.get("f", i)), F.lit("")) for i, n in enumerate(names)}
+    fault = F.when(F.size("f") != len(names), F.concat(F.lit("fields: "), F.size("f")))
+    for n in required:
+        fault = fault.when(fields[n].isNull(), "empty required field")
+    for n, domain in domains.items():
+        fault = fault.when(~fields[n].isin(*domain), f"unknown {n}")
+    rows = lines.where("NOT head").withColumn("reject", fault)
+    good = rows.select(*(F.when(F.col("reject").isNull(), c).alias(n) for n, c in fields.items()), "reject", F.when(F.col("reject").isNotNull(), F.col("value")).alias("line"))
+    bare = lines.groupBy("file").agg(F.bool_or("head").alias("head")).where("NOT head").select(F.lit("invalid header").alias("reject"), F.col("file").alias("line"))
+    return good.unionByName(bare, True)
 
 
 def read_page_index(spark: SparkSession, path: str) -> DataFrame:
