@@ -27,7 +27,8 @@ LENGTH_WEIGHT = 1 / 64
 
 
 def quartile_codes(data: bytes) -> np.ndarray:
-    """Length code, then the quartile (0 to 3) of each bucket. Fewer bytes than a triplet spans: all 0."""
+    """Length code, then the quartile (0 to 3) of each bucket. Fewer bytes than a triplet spans: all 0. The length code stops at 255,
+    so texts of about 2.4 MB and more share one."""
     a = np.frombuffer(data, np.uint8).astype(np.uint32)
     counts = np.zeros(BUCKETS, np.int64)
     for salt, (i, j, k) in enumerate(TRIPLETS, 1):

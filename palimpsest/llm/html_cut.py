@@ -1,11 +1,14 @@
 """Main text of web pages by minimum cut.
 
-The nodes of a page's graph are its blocks of text and the elements that contain them. A linear classifier gives the cost of
-calling a node content or boilerplate, and so the capacities of its edges to the two terminals: for a block by its own
-text alone (length and links), for an element by its tag and its names, counted once for each block inside of it. Most elements
-say nothing. Smoothness edges tie a block to its element, an element to the one around it, and neighbouring blocks to each other, the
-less the farther apart they are in the document tree. The minimum cut labels all nodes at once, so that the text of
-a comment goes with its container, and a short line of an article with the article.
+The nodes of a page's graph are its blocks of text. A linear classifier gives the cost of calling a block content or boilerplate,
+and so the capacities of its edges to the two terminals, from its length and links and from the tags and names of the elements
+around it. Smoothness edges tie blocks that follow one another, the less the farther apart they are in the document tree, and
+blocks that follow one another inside one element, though others stand between. The minimum cut labels all blocks at once:
+elements that say much of a block outweigh its neighbours, and where they say little, a short line goes with the paragraphs
+that it stands among.
+
+Kept are all texts but those of scripts, styles, templates, drawings, forms' own fields, embedded frames and media; formulas, objects'
+substitutes and what is meant for pages without scripts are text like any other.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 #: Comments; elements whose content is not page text; declarations; tags.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|textarea|title|select|canvas|audio|video)\b{_ATTRS}>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe|textarea|title|select|canvas|audio|video)\b{_ATTRS}>.*?(?:</\1\s*>|\Z)"
     rf"|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRS}|[^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
@@ -33,7 +36,7 @@ _PIECES = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 # HTML element classes and the words that sites use in class and id names.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mrow msub msup mfrac msqrt".split())
 _SAME = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "p": "p"}
 _TAG = {
     "nav": -6.0, "header": -4.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "menu": -6.0, "button": -6.0, "fieldset": -5.0, "dialog": -6.0, "head": -9.0, "label": -3.0,
@@ -49,9 +52,10 @@ _BAD = frozenset(
 _GOOD = frozenset("article articlebody content main body story post entry text maincontent".split())
 _AD_LEADS = -7.0
 _NAMED_GOOD = 1.5
-#: Smoothness: neighbours in page order, a block and its element, an element and the one around it, and what a step in the
-#: tree divides by.
-ADJACENT, INSIDE, AROUND, STEP = 1.2, 6.0, 4.0, 1.0
+#: Smoothness: neighbours in page order, neighbours inside an element, and what a step in the tree divides by.
+ADJACENT, INSIDE, STEP = 0.9, 0.6, 0.5
+#: The classifier: what it starts from, the shares of links and of the length, and the most that elements say either way.
+START, LINKED, LENGTH, AROUND = -0.2, -3.0, 0.8, 4.0
 
 
 def _own_score(tag: str, attrs: str) -> float:
@@ -173,10 +177,16 @@ def _softplus(x: float) -> float:
     return math.log1p(math.exp(-abs(x))) + max(x, 0.0)
 
 
-def costs(block: _Block) -> tuple[float, float]:
-    """Costs of the labels content and boilerplate of a block, from the log odds of its own text."""
+def log_odds(block: _Block, around: float) -> float:
+    """The classifier's log odds that a block is content. around: what the elements around it say."""
     share = block.linked / max(block.chars, 1)
-    z = block.score - 0.5 - 4.0 * share + 0.8 * min(math.log1p(block.chars / 40), 3.0)
+    said = max(-AROUND, min(AROUND, around + block.score))
+    return START + LINKED * share + LENGTH * min(math.log1p(block.chars / 40), 3.0) + said
+
+
+def costs(block: _Block, around: float) -> tuple[float, float]:
+    """Costs of the labels content and boilerplate of a block."""
+    z = log_odds(block, around)
     return _softplus(-z), _softplus(z)
 
 
@@ -193,22 +203,21 @@ def _distance(a: int, b: int, boxes: list[_Box]) -> int:
 
 
 def graph(found: list[_Block], boxes: list[_Box]) -> tuple[list[float], list[tuple[int, int, float]]]:
-    """Terminals and edges of a page. Nodes are the blocks, then the elements that contain blocks."""
-    inside = [0] * len(boxes)
-    for b in found:
-        inside[b.box] += 1
-    for i in range(len(boxes) - 1, 0, -1):  # an element comes after the one around it
-        inside[boxes[i].around] += inside[i]
-    used = [i for i in range(len(boxes)) if inside[i]]
-    node = {box: len(found) + k for k, box in enumerate(used)}
+    """Terminals and edges of a page, whose nodes are its blocks."""
+    said = [0.0] * len(boxes)
+    for i, box in enumerate(boxes):  # an element comes after the one around it
+        said[i] = box.score + (said[box.around] if i else 0.0)
     terminal = []
     for b in found:
-        content, boilerplate = costs(b)
+        content, boilerplate = costs(b, said[b.box])
         terminal.append(boilerplate - content)  # what both terminals share is cut in any case
-    terminal += [boxes[i].score * inside[i] for i in used]
-    edges = [(i, node[b.box], INSIDE) for i, b in enumerate(found)]
-    edges += [(node[i], node[boxes[i].around], AROUND) for i in used if i]
-    edges += [(i, i + 1, ADJACENT / (1 + STEP * _distance(a.box, b.box, boxes))) for i, (a, b) in enumerate(zip(found, found[1:]))]
+    edges = [(i, i + 1, ADJACENT / (1 + STEP * _distance(a.box, b.box, boxes))) for i, (a, b) in enumerate(zip(found, found[1:]))]
+    last: dict[int, int] = {}  # of the blocks around which an element is the next but one, the latest
+    for i, b in enumerate(found):
+        outer = boxes[b.box].around
+        if outer in last and last[outer] < i - 1:
+            edges.append((last[outer], i, INSIDE))
+        last[outer] = i
     return terminal, edges
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import io
+import math
 import re
 import uuid
 from collections import Counter
@@ -345,15 +346,16 @@ def encode_words(words: DataFrame, pieces: Pieces, long: bool | None = None) ->
 
 def common_words(docs: DataFrame, pieces: Pieces, most: int, text_col: str = "text") -> Broadcast:
     """Names and numbers of at most `most` words, as an Arrow stream for all tasks, the most frequent first."""
-    capped = 10_000
     counts = materialize(frequent_words(docs, pieces, text_col), "frequent-words")
-    total, least = 0, capped + 1
-    for r in counts.groupBy(F.least("n", F.lit(capped)).alias("n")).count().orderBy(F.desc("n")).collect():
+    # Steps of a thousandth beyond ten thousand, so that few counts come to the driver and the last step taken is known to fit.
+    step = F.when(F.col("n") <= 10_000, F.col("n")).otherwise(10_001 + F.floor(F.log(F.col("n") / 10_000) / math.log(1.001)))
+    total, least = 0, None
+    for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         total += r["count"]
         if total > most:
             break
-        least = r["n"]
-    chosen = counts.where(F.col("n") >= least).repartition(partitions(docs.sparkSession), "name")
+        least = r["step"]
+    chosen = counts.where(F.lit(False) if least is None else step >= least).repartition(partitions(docs.sparkSession), "name")
     tables = [x.toArrow() for x in encode_words(chosen, pieces)]
     table = pa.concat_tables([x.cast(tables[0].schema) for x in tables]).sort_by([("n", "descending"), ("name", "ascending")])
     table = table.select(["name", "numbers"])
@@ -477,12 +479,15 @@ def patches(texts: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def by_chunk(texts: DataFrame) -> DataFrame:
-    """texts, written to the shared folder in buckets of their chunks: a join by chunk deals out the other side alone."""
+    """texts, written to the shared folder in buckets of their chunks: a join by chunk deals out the other side alone. The catalog
+    has the table only until it is read here; the files stay."""
     spark = texts.sparkSession
     name = f"palimpsest_chunks_{uuid.uuid4().hex}"
     writer = texts.write.format("parquet").bucketBy(partitions(spark), "chunk").option("compression", "zstd")
     writer.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def decode_ids(ids: list[int], pieces: Pieces) -> str:

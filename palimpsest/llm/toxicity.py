@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import WHITE, joined_bytes, slices
@@ -184,8 +184,9 @@ def fit(texts: list[str | None], labels: np.ndarray, prevalence: float | None =
 
 def learn_from(docs: DataFrame, labels: DataFrame, limits: dict[int, int] | None = None) -> Model:
     """Fit on the texts of docs (doc_id, text) that labels (doc_id, label 0 or 1) covers: at most
-    limits[label] rows of each label, by a hash of doc_id, with their whole texts, up to TRAIN_BYTES. Of rows that agree in id
-    one is learned from."""
+    limits[label] rows of each label, by a hash of doc_id, with their whole texts, up to TRAIN_BYTES in all: a text that doesn't fit any
+    more is left out and the next ones are tried. Of rows that agree in id one is learned from. An empty table gives a constant
+    model."""
     limits = limits or TRAIN_ROWS
     labels = labels.where(F.col("label").isin(0, 1)).select("doc_id", "label").distinct()
     shares = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
@@ -193,11 +194,18 @@ def learn_from(docs: DataFrame, labels: DataFrame, limits: dict[int, int] | None
     for label, most in limits.items():
         some = labels.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = some if chosen is None else chosen.unionByName(some)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "label")  # over the chosen rows alone
-    rows = rows.withColumn("so_far", F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).where(F.col("so_far") <= TRAIN_BYTES)
-    rows = rows.select("doc_id", "label", "text").toPandas().sort_values(["doc_id", "label"])
+    # Lengths first: at most the rows of limits come to the driver, which takes texts in order as long as they fit, leaving out longer ones.
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("own"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    sizes = sizes.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("own", "bytes")).alias("s"))
+    sizes = sizes.select("doc_id", "label", "s.own", "s.bytes", F.xxhash64("doc_id").alias("place"))
+    left, taken = TRAIN_BYTES, []
+    for r in sorted(sizes.collect(), key=lambda r: (r["place"], str(r["doc_id"]), r["label"])):
+        if r["bytes"] <= left:
+            left -= r["bytes"]
+            taken.append((r["doc_id"], r["label"], r["own"]))
+    wanted = docs.sparkSession.createDataFrame(taken, sizes.select("doc_id", "label", "own").schema)
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("own")).join(F.broadcast(wanted), ["doc_id", "own"])
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).toPandas().sort_values(["doc_id", "label"])
     total = sum(shares.values())
     return fit(rows["text"].to_list(), rows["label"].to_numpy(np.int64), shares.get(1, 0) / total if total else None)
 
