@@ -34,13 +34,13 @@ def _plain(sql: str) -> str:
     return sql.replace("regexp_like(", "regexp_matches(").replace("sha2(cast(l_partkey as string), 256)", "sha256(cast(l_partkey as string))").replace("sha2(p_brand, 256)", "sha256(p_brand)")
 
 
-def _checked(name: str, table: str, key: str, h: str, columns: Columns, rules: dict[str, str], extra: str | None = None) -> None:
-    """Register a query of (pos, reason): the first fault of each unsound row. extra: SQL of a column over the others that
-    many rules use. Such rows are written out first: the optimiser would put its terms into each rule, more than code
+def _checked(name: str, table: str, key: str, h: str, columns: Columns, rules: dict[str, str], expected: str, extra: str | None = None) -> None:
+    """Register a query of (pos, reason): the first fault of each unsound row. expected: SQL of the reason by what was planted (h) and
+    the row of the table, which knows neither the columns nor the rules; DuckDB is asked that. extra: SQL of a column over the
+    others that many rules use. Such rows are written out first: the optimiser would put its terms into each rule, more than code
     can be generated for."""
     reason = first_fault(rules)
-    source = f"(select *, {extra} from rows)" if extra else "rows"
-    sql = f"{_duck(table, key, h, columns)}, f as (select pos, {_plain(reason)} as reason from {source}) select * from f where reason is not null"
+    sql = f"with f as (select {key} as pos, {expected} as reason from (select *, {h} as h from {table})) select * from f where reason is not null"
 
     @query(name, sql)
     def check(t):
@@ -49,6 +49,11 @@ def _checked(name: str, table: str, key: str, h: str, columns: Columns, rules: d
         return rows.selectExpr("pos", f"{reason} as reason").where("reason IS NOT NULL")
 
 
+def _by(reasons: dict[str, tuple[int, ...] | str]) -> str:
+    """SQL of a reason from the numbers under which its faults are planted, or a condition, in order."""
+    return "case " + " ".join(f"when {f'h in {(*at, -1)}' if isinstance(at, tuple) else at} then '{reason}'" for reason, at in reasons.items()) + " end"
+
+
 LINE, PLACE = "l_orderkey * 10 + l_linenumber", "(l_orderkey * 7 + l_partkey * 3 + l_linenumber) % 401"
 SOURCE_COLUMNS: Columns = {
     "document": ("concat('doc-', l_suppkey)", {1: "null"}),
@@ -61,7 +66,8 @@ SOURCE_COLUMNS: Columns = {
     "occurrence": ("l_linenumber", {9: "-1"}),
     "source_hash": ("sha2(cast(l_partkey as string), 256)", {10: "''"}),
 }
-_checked("source_ref_check", "lineitem", LINE, PLACE, SOURCE_COLUMNS, source_rules())
+_SOURCE_PLANTED = {"document": (1,), "clause": (2,), "rule": (3,), "page": (4,), "hash": (10,), "page span": "h = 5 or (h = 6 and l_orderkey % 50 > 0)", "byte span": (7, 8), "occurrence": (9,)}
+_checked("source_ref_check", "lineitem", LINE, PLACE, SOURCE_COLUMNS, source_rules(), _by(_SOURCE_PLANTED))
 
 # Fixed values of the boundary candidates.
 KINDS = ("repeat-item", "first-plus-repeat", "compound-repeat-item", "sequence-internal")
@@ -94,6 +100,10 @@ _checked(
         "status": "status = 'candidate'",
         "kind": _one_of("kind", *KINDS),
     },
+    _by({
+        "rule or container": (1, 2, 3), "lineage": (4, 5, 6, 10, 13), "hash form": (14,), "page": (7, 8), "byte start": (11,), "path missing": (16,), "path form": (18, 19, 20, 21),
+        "item or derivation": (22, 23), "status": "h = 24 or l_suppkey % 9 = 4", "kind": (25,),
+    }),
 )
 
 # Fixed values of the correspondence rows.
@@ -168,6 +178,13 @@ _checked(
         "disposition": _one_of("disposition", *DISPOSITIONS),
         "reason": "why <> ''",
     },
+    _by(_SOURCE_PLANTED | {
+        "source alternative": (11,), "raw path": (12,), "node kind": (13,), "node name": (14,), "boundary role": (15,), "target identity": (16, 17), "target alternative": (18,), "target path": (19, 20), "target slot": (21,),
+        # A row that names no retained target has none of its fields; one field alone makes it name one that lacks a document.
+        "retained target missing": "h = 34 and l_partkey % 4 = 0", "retained document": "(h = 29 and l_partkey % 4 = 0) or (h in (30, 32, 35, 36, 37, 38, 39) and l_partkey % 4 <> 0)",
+        "retained page span": (36,), "retained byte span": (37,), "retained alternative": "h = 33 and l_partkey % 4 = 0", "retained path missing": "h = 31 and l_partkey % 4 = 0", "retained path": (38,), "retained slot": (39,),
+        "retained path is not the root": (30,), "retained slot is not the root": (32,), "transformation": (22,), "expression hash": (23, 24), "source or target hash": (25, 26), "disposition": (27,), "reason": (28,),
+    }),
     f"{_ABSENT} as none_kept",
 )
 
@@ -207,7 +224,14 @@ _FACT_FAULT = first_fault(
 )
 
 
-@query("layout_fact_check", f"""{_duck(*_FACT_AT)}, f as (select cast(pos as string) as subject, {_plain(_FACT_FAULT)} as reason from rows)
+# A field of another kind of fact is unexpected; one of the kind's own is out of its domain.
+_FACT_PLANTED = _by({
+    "kind": (1,), "unexpected field": "(h = 3 and p_size % 4 <> 0) or (h = 5 and p_size % 4 <> 3) or (h = 6 and p_size % 4 <> 1) or (h = 7 and p_size % 4 <> 2)", "source form": (2,), "origin": (13,), "provenance": (8, 9, 10, 11, 12),
+    "terminator": (3,), "suffix": "h = 4 and p_size % 4 = 3", "signal": (6,), "policy": (7,),
+})
+
+
+@query("layout_fact_check", f"""{_duck(*_FACT_AT)}, f as (select cast(p_partkey as string) as subject, {_FACT_PLANTED} as reason from (select *, (p_partkey * 7 + p_size) % 41 as h from part))
  select * from f where reason is not null
  union all select cast(min(pos) as string), 'duplicate' from rows group by {", ".join(FACTS)} having count(*) > 1
  union all select document, 'suffix facts' from rows group by document having count(*) filter (kind = 'statement-class-suffix') <> 1
