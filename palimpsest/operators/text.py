@@ -190,6 +190,15 @@ def codepoints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return chars.select("doc_id", F.col("position").cast("long"), F.ascii("ch").cast("long").alias("cp"), F.octet_length("ch").cast("long").alias("width"))
 
 
+def spelled(cps: DataFrame, given: DataFrame) -> DataFrame:
+    """(cp, spelling, fault) of scalars (cp, width) from a table of spellings (cp, spelling), one a scalar: the spelling if there is one, else
+    the empty string. A scalar beyond ASCII without one, and a spelling that isn't ASCII, are faults."""
+    rows = cps.hint("merge").join(given, "cp", "left")
+    has, plain = F.coalesce(F.col("spelling") != "", F.lit(False)), F.octet_length("spelling") == F.length("spelling")
+    fault = F.when(has & ~plain, "spelling beyond ASCII").when(~has & (F.col("width") > 1), "needs a spelling")
+    return rows.select("cp", F.when(has & plain, F.col("spelling")).otherwise("").alias("spelling"), fault.alias("fault"))
+
+
 def codepoint_ranges(rows: DataFrame, spec_col: str) -> DataFrame:
     """All columns of rows plus first_cp and last_cp, for `U+0041-U+005A,U+0061`; processor-defined and malformed
     entries give no rows."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators import text as T
+from palimpsest.operators.graph import FROM_ALL, FROM_ONE
 from palimpsest.operators.order import Carried, scan, scan_runs
 
 
@@ -128,3 +129,13 @@ def repeat_kinds(items: DataFrame, statement: Column, *node: str) -> DataFrame:
     kind = F.when(F.col("n") == 1, "direct").when(F.col("sound"), "compound").otherwise("unsupported")
     item = F.when(F.col("n") == 1, F.col("derivations")).when(F.col("sound"), "sequence").otherwise("expression")
     return g.select(*node, kind.alias("repeat_kind"), item.alias("item"), "derivations")
+
+
+def lineage(targets: DataFrame, pruned: DataFrame, aliases: DataFrame, omitted: DataFrame) -> DataFrame:
+    """(kind, id, profile, detail, reason): the rows of all four, each (id, profile, detail), profile telling whether they were worked out for
+    one root (`root`) or several (`set`); detail may be absent."""
+    from_roots = F.when(F.col("profile") == "root", FROM_ONE).otherwise(FROM_ALL)
+    rows = targets.withColumns({"kind": F.lit("target"), "reason": F.lit(None).cast("string")})
+    for more, kind, reason in ((pruned, "pruned", from_roots), (aliases, "alias", F.lit("whole-unit-alias")), (omitted, "omitted-before", F.lit("omitted-before-target-lowering"))):
+        rows = rows.unionByName(more.withColumns({"kind": F.lit(kind), "reason": reason}), allowMissingColumns=True)
+    return rows.select("kind", "id", "profile", "detail", "reason")
