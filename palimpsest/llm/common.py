@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.sources.store import materialize, shared_dir
+
+__all__ = ["WHITE", "WORD", "forget", "held_out", "joined_bytes", "materialize", "partitions", "shared_dir", "slices", "spare", "table"]
+
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or the context's
-    own checkpoint folder. Only on one machine, where neither is set, is one made."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not path:
-        if context.getCheckpointDir() is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
-        path = context.getCheckpointDir()
-    return path.rstrip("/")
-
-
 def spare(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores after them where df has columns of these names in any case."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -38,15 +25,6 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: cuts the lineage with
-    files that survive the loss of executors, and gives later joins true sizes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def forget(df: DataFrame) -> None:
     """Delete the files of a table that materialize wrote, once nothing reads it any more."""
     jvm = df.sparkSession._jvm
