@@ -34,6 +34,19 @@ def intern(keys: DataFrame, key: str, pos: str, parts: int | None = None) -> Dat
     return ranged.select("key", (offset + rank).cast("long").alias("id"))
 
 
+def interned(rows: DataFrame, key: str, pos: str) -> DataFrame:
+    """All columns of rows plus id, is_new and fault: the dense id of each row's key, whether the row is its first by pos, and `empty key`
+    for null and empty keys, which have no id. Ids of few keys are sent to all tasks; those of many are merged."""
+    empty = F.coalesce(F.col(key) == "", F.lit(True))
+    named = rows.where(~empty)
+    ids = intern(named, key, pos).withColumnRenamed("key", "__key")
+    first = named.groupBy(F.col(key).alias("__key")).agg(F.min(pos).alias("__first"))
+    side = ids.hint("merge").join(first, "__key")
+    found = attach(named.withColumn("__key", F.col(key)), side, ["__key"])
+    found = found.withColumns({"is_new": F.col(pos) == F.col("__first"), "fault": F.lit(None).cast("string")}).select(*rows.columns, "id", "is_new", "fault")
+    return found.unionByName(rows.where(empty).withColumn("fault", F.lit("empty key")), allowMissingColumns=True)
+
+
 def coalesce(rows: DataFrame, location: list[str], evidence: list[str]) -> DataFrame:
     """(location, evidence, fault): rows of one location become a site with an array of their evidence; a piece of evidence that
     stands there twice is a fault. Nulls of a location are one value."""

@@ -116,7 +116,7 @@ def production_class(line: Column) -> Column:
     text = F.ltrim(without_number(line))
     heading = text.rlike(r"^[0-9]+(\.[0-9]+)+[ \t]+.*[A-Za-z]") & ~text.contains(". . .")
     start = text.rlike("^R[0-9]+ *[^ ].* is  *[^ ]")
-    layout = (text == "") | F.regexp_like(text, F.lit("^(J3/|2023-|2024-|2025-|WD )")) | text.rlike("^[0-9]+$")
+    layout = (text == "") | F.regexp_like(text, F.lit(f"^({'|'.join(LAYOUT_PREFIXES)})")) | text.rlike("^[0-9]+$")
     boundary = text.rlike("^[0-9]") | any_prefix(text, BOUNDARY_PREFIXES) | text.rlike("^C[0-9]") | ~looks_like_grammar(text)
     return F.when(heading, "heading").when(start, "start").when(layout, "layout").when(boundary, "boundary").when(text.startswith("or "), "or").otherwise("sequence")
 

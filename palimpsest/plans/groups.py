@@ -66,12 +66,14 @@ def suppressed_retained_link(t):
     return rows.hint("merge").join(first, "key").where("doc_id <> retained").select(F.col("doc_id").alias("suppressed"), "retained")
 
 
-@query("intern_keys", "with k as (select translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key, min((doc_id, i)) as first_pos from (select doc_id, unnest(range(len(string_split(text, ' ')))) as i, unnest(string_split(text, ' ')) as word from documents) where word <> '' group by 1) select key, row_number() over (order by first_pos) as id from k")
+@query("intern_keys", """with w as (select doc_id, unnest(range(len(string_split(text, ' ')))) as i, translate(unnest(string_split(text, ' ')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from documents)
+, k as (select key, min((doc_id, i)) as first_pos from w where key <> '' group by 1), n as (select *, row_number() over (order by first_pos) as id from k)
+ select doc_id, cast(i as int) as i, w.key, id, case when id is not null then (doc_id, i) = first_pos end as is_new, case when id is null then 'empty key' end as fault from w left join n on n.key = w.key""")
 def intern_keys(t):
-    """Words of all texts, A-Z folded alone, with dense ids in order of their first occurrence."""
-    words = t("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word")).where("word <> ''")
-    keys = words.select(F.translate("word", ascii_uppercase, ascii_lowercase).alias("key"), F.struct("doc_id", "i").alias("pos"))
-    return G.intern(keys, "key", "pos")
+    """Words of all texts, A-Z folded alone, with dense ids in order of their first occurrence; empty words are faults."""
+    words = t("documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "word"))
+    keys = words.select("doc_id", "i", F.translate("word", ascii_uppercase, ascii_lowercase).alias("key"), F.struct("doc_id", "i").alias("pos"))
+    return G.interned(keys, "key", "pos").drop("pos")
 
 
 @query("coalesce_evidence", """+ g as (select document, clause, source_hash, page, byte_start, rule, lhs, path, string_agg(kind || ':' || status, ',' order by kind || ':' || status) as evidence, count(*) as n, count(distinct (kind, status)) as k from evidence group by all)

@@ -51,11 +51,14 @@ KINDS = CLEANED + r"""
 
 PRODUCTION = """+ texts as (select page, line_no, line, ltrim(%s, ' ') as x from spec_lines)
 , tests as (select *, regexp_matches(x, '^[0-9]+(\\.[0-9]+)+[ \\t]+.*[A-Za-z]') and not contains(x, '. . .') as hd, regexp_matches(x, '^R[0-9]+ *[^ ].* is  *[^ ]') as st,
- x = '' or regexp_matches(x, '^(J3/|2023-|2024-|2025-|WD )') or regexp_matches(x, '^[0-9]+$') as ly,
- case when x = '' then false when starts_with(x, 'or ') then true when left(x, 1) in ('[','(','.','+','-','*','/','=','_','''','"') then true when not regexp_matches(x, '[ \\t]') then true
-  when contains(x, '...') or contains(x, ']') then true when regexp_matches(x, '^(The|A|An|Each|For|This|Examples|is|shall|must|means|where|which|that|if)') then false else regexp_matches(x, '^[A-Za-z]') end as gr,
- regexp_matches(x, '^([0-9]|NOTE|Table|Examples|See|C[0-9])') as bd from texts)
+ x = '' or regexp_matches(x, '^(@LAYOUT@)') or regexp_matches(x, '^[0-9]+$') as ly,
+ case when x = '' then false when starts_with(x, 'or ') then true when left(x, 1) in (@MARKS@) then true when not regexp_matches(x, '[ \\t]') then true
+  when contains(x, '...') or contains(x, ']') then true when regexp_matches(x, '^(@PROSE@)') then false else regexp_matches(x, '^[A-Za-z]') end as gr,
+ regexp_matches(x, '^([0-9]|@BOUNDARY@|C[0-9])') as bd from texts)
 , classed as (select page, line_no, line, x, gr, case when hd then 'heading' when st then 'start' when ly then 'layout' when bd or not gr then 'boundary' when starts_with(x, 'or ') then 'or' else 'sequence' end as class from tests)""" % CLEAN
+# The notation's fixed values, from where they are kept.
+for _name, _values in {"LAYOUT": "|".join(T.LAYOUT_PREFIXES), "PROSE": "|".join(p.strip() for p in T.PROSE_PREFIXES), "BOUNDARY": "|".join(p.strip() for p in T.BOUNDARY_PREFIXES), "MARKS": ",".join("'" + c.replace("'", "''") + "'" for c in T.GRAMMAR_MARKS)}.items():
+    PRODUCTION = PRODUCTION.replace(f"@{_name}@", _values)
 
 
 @query("classify_production_lines", PRODUCTION + " select page, line_no, class from classed", "spec_lines")
