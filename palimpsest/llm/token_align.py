@@ -42,7 +42,7 @@ SENT = 2_000_000
 #: Distinct pairs that a task holds before it hands on what it counted.
 HELD = 2_000_000
 #: Segments that a worker may hold when it begins a run of texts.
-MET = 1_000_000
+MET = 700_000
 #: Bytes of text that are encoded at a time.
 SLICE = 3 << 20
 #: Ends between two that are searched for from the begin of the list.
