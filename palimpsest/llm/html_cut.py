@@ -287,7 +287,9 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All columns of pages but the html, plus text (empty if there is none; a null page is empty) and
-    n_chars, its code points. Existing columns of these names are replaced. Whole pages are read."""
+    n_chars, its code points. Existing columns of these names are replaced. Whole pages are read. Repeated rows each have their text;
+    where two labellings cost the same, blocks that no flow reaches from the content side are boilerplate; an empty table
+    gives no rows."""
     kept = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -218,7 +218,8 @@ def _lengths(texts: pa.Array) -> list[int]:
 
 def score(docs: DataFrame, net: Network, vectors: np.ndarray, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """All columns of docs plus score (0 to 1) and predicted (1 from the threshold on). Every row is scored, null
-    and empty texts as texts without a token. Columns of these names in docs are replaced."""
+    and empty texts as texts without a token, repeated rows alike; a score that equals the threshold is predicted 1, and an
+    empty table gives no rows. Columns of these names in docs are replaced."""
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     spot = kept.index(text_col)
 

@@ -139,7 +139,8 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 def measure(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, char_distance, word_distance (both
     null under the minimum length or without references), base_failed, kept. Null texts have no
-    words and fail the base rules. Every row gives one row; extra columns are not carried."""
+    words and fail the base rules. Every row gives one row, repeated rows equal ones, an empty table none; of languages
+    at an equal distance none is preferred, as only the distance counts. Extra columns are not carried."""
 
     def judge(doc_id: int | None, text: str) -> tuple:
         data = text.encode("utf-8", "surrogatepass")

@@ -212,8 +212,8 @@ def learn_from(docs: DataFrame, labels: DataFrame, limits: dict[int, int] | None
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """All columns of docs but the text, plus score (0 to 1) and predicted (1 from the threshold on).
-    Null and empty texts, and texts of white space, have the score of the labels' overall odds.
-    Columns of these names in docs are replaced."""
+    Null and empty texts, and texts of white space, have the score of the labels' overall odds. Repeated rows are scored alike; a score
+    that equals the threshold is predicted 1; an empty table gives no rows. Columns of these names in docs are replaced."""
     kept = [c for c in docs.columns if c not in (text_col, "score", "predicted")]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
