@@ -566,7 +566,7 @@ def test_pipeline_stages_on_empty_and_odd_tables(spark, odd):
         if name == "SimHash near-dedup":
             assert sorted(str(r["doc_id"]) for r in rows) == ["1", "3", "3", "4", "None"]
         if name.startswith("mixing"):
-            assert all(r["text"] and r["text"].strip() for r in rows)
+            assert max(sum(tuple(r) == x for r in rows) for x in given) <= mixing.MAX_REPEAT
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     coded = corpus_pipeline.encode_pieces(spark, clash.withColumn("ids", F.lit("mine")), DATA)
     assert coded.columns == [c for c in clash.columns if c != "text"] + ["ids", "ids_", "n_ids"]
