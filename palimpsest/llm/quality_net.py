@@ -26,7 +26,7 @@ from palimpsest.llm.toxicity import sigmoid
 WORD_ROWS, ROWS_PER_KIND = 65_536, 4096
 ROWS = WORD_ROWS + 3 * ROWS_PER_KIND
 #: Bytes of text that are counted at a time.
-SLICE = 4_000_000
+SLICE = 2_000_000
 DIM = 32
 NONZERO = 4
 REACH = 2
