@@ -41,7 +41,7 @@ def test_pages_as_rows_anywhere(spark, pages, monkeypatch):
     assert glyphs.page_text(pages.limit(0)).count() == glyphs.layout_records(pages.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["extract_layout_records", "canonical_page_text", "gap_spaces"])
+@pytest.mark.parametrize("name", ["extract_layout_records", "canonical_page_text", "gap_spaces", "reading_order"])
 def test_no_shuffle(spark, name):
     plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
