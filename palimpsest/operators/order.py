@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.sources.store import materialize
+from palimpsest.sources.store import dealt_out, materialize
 
 
 def ranked(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -89,9 +89,12 @@ def scan(rows: DataFrame, key: list[str], order: list[str], carried: Carried) ->
 
 
 def scan_runs(rows: DataFrame, key: list[str], run: list[str], order: list[str], carried: Carried) -> DataFrame:
-    """As scan, where columns run, which aren't null, cut a key's rows into bounded runs that follow one another by run: rows are dealt out
-    by key and run once, and only what a run hands on is scanned along the key."""
-    own = carried.inside(rows, [*key, *run], order)
+    """As scan, where columns run, which aren't null, cut a key's rows into bounded runs that follow one another by run: rows, with what they
+    carry, are worked out and dealt out by key and run once, and only what a run hands on is scanned along the key."""
+    given = {f"__given_{n}": c for kind in (carried.sums, carried.last, carried.prior, carried.highest) for n, c in kind.items()}
+    rows = dealt_out(rows.withColumns(given), *key, *run)
+    carried = Carried(*({n: F.col(f"__given_{n}") for n in kind} for kind in (carried.sums, carried.last, carried.prior, carried.highest)))
+    own = carried.inside(rows, [*key, *run], order).drop(*given)
     runs = carried.handed_on(rows, [*key, *run], order)
     before = scan(runs, key, run, carried.of_runs())
     names = [f"__before_{n}" for n in carried.names()]

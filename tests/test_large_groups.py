@@ -269,3 +269,29 @@ def test_pairs_along_shortest_paths(spark):
     # Two tables a doubling: known pairs are neither written nor shuffled again.
     assert 0 < len(written) <= 2 * 7
     assert graph.pairs(spark.createDataFrame([], "src string, dst string")).count() == 0
+
+
+def test_lines_are_read_once(spark):
+    """A scan along runs works its rows out once, whatever reads them, and the join with what pages hand on shuffles none of them."""
+    worked_out = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(line):
+        worked_out.add(1)
+        return line
+
+    lines = view(spark, DATA, "spec_lines").withColumn("doc", F.lit(1))
+    n = lines.count()
+    rows = scan_runs(lines.withColumn("line", seen("line")), ["doc"], ["page"], ["line_no"], Carried(sums={"at": F.octet_length("line")}))
+    assert rows.where("at >= 0").select("line").distinct().count() > 0 and worked_out.value == n
+    # Only the one row a page is dealt out for the join.
+    assert rows._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(doc#") <= 3
+
+
+def test_records_are_compressed(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id", "'a field that repeats' as text")
+    store.write_jsonl(rows, f"{tmp_path}/j")
+    store.write_tsv(rows, f"{tmp_path}/t")
+    for name in ("j", "t"):
+        assert sum(p.stat().st_size for p in (tmp_path / name).glob("part-*")) < 20_000
+    assert spark.read.text(f"{tmp_path}/j").count() == store.read_tsv(spark, f"{tmp_path}/t", "id long, text string").count() == 2000
