@@ -101,6 +101,7 @@ MOVED = BLOCKS + ", moved as (select *, case when line_no % 23 = 4 then occurren
 def occurrence_audit(t):
     """Starts whose number doesn't rise, and continuations that carry another number than their start."""
     rows = blocks_of(t).withColumn("given", F.when(F.col("line_no") % 23 == 4, F.col("occurrence") - 1).otherwise(F.col("occurrence"))).withColumn("st", F.col("operator") == "is")
+    rows = rows.select("doc", "page", "line_no", "given", "st")
     started = F.when(F.col("st"), F.col("given"))
     rows = scan_runs(rows, ["doc"], ["page"], ["line_no"], Carried(prior={"prev": started}, last={"active": started}))
     rows = rows.where("(st AND given <= prev) OR (NOT st AND given <> active)")
@@ -223,13 +224,22 @@ RECORDS = BLOCKS + """, starts as (select (page - 1) // 10 as doc, page, line_no
  || case when clause is null then '' else ',"occurrence_clause":"' || clause || '"' end || ',"source_line":"' || source_line || '","origin":"MECHANICAL"}' as record from recs)"""
 
 
-def records(t) -> DataFrame:
-    """Production records of all documents, with their spans in their document."""
+def spanned(t) -> DataFrame:
+    """All lines with their document and their place in its bytes."""
     lines = t("spec_lines").withColumn("doc", doc())
     lines = scan_runs(lines, ["doc"], ["page"], ["line_no"], Carried(sums={"byte_start": F.octet_length("line") + 1}))
-    rows = W.production_blocks(lines, ["doc"], ["page", "line_no"])
+    return lines.withColumn("byte_start", F.col("byte_start").cast("long"))
+
+
+def spanned_blocks(t) -> DataFrame:
+    """Blocks of productions with the bytes of their lines; both run along a document at once."""
+    return W.production_blocks(t("spec_lines").withColumn("doc", doc()), ["doc"], ["page", "line_no"], {"byte_start": F.octet_length("line") + 1})
+
+
+def records(blocks: DataFrame) -> DataFrame:
+    """Production records of all documents, with their spans in their document."""
     kind = F.when(F.col("operator") == "is", PRODUCTION_KINDS[0]).otherwise(PRODUCTION_KINDS[1])
-    return rows.select(kind.alias("kind"), "rule", "lhs", "operator", F.trim("content").alias("text"), "page", F.col("byte_start").cast("long"), F.octet_length("line").cast("long").alias("byte_length"),
+    return blocks.select(kind.alias("kind"), "rule", "lhs", "operator", F.trim("content").alias("text"), "page", F.col("byte_start").cast("long"), F.octet_length("line").cast("long").alias("byte_length"),
                        "occurrence", F.col("clause").alias("occurrence_clause"), F.col("line").alias("source_line"), "line_no", "doc")
 
 
@@ -242,7 +252,7 @@ def records(t) -> DataFrame:
 def read_productions_jsonl(t):
     """All production records written as JSON lines and read back; some are of another kind, some lack a field or an optional one, some
     are cut off or have a page that ends the object."""
-    rows = records(t)
+    rows = records(spanned_blocks(t))
     record = F.to_json(F.struct(*PRODUCTION_FIELDS, F.lit("MECHANICAL").alias("origin")))
     n = F.col("line_no")
     line = F.when(n % 31 == 4, F.replace(record, F.lit('"page":'), F.lit('"page":"x'))).when(n % 29 == 3, F.replace(record, F.lit('"byte_length"'), F.lit('"length"')))
@@ -250,14 +260,14 @@ def read_productions_jsonl(t):
     line = line.when(n % 37 == 5, F.left(record, F.length(record) - 20)).when(n % 41 == 6, F.replace(record, F.lit("production-"), F.lit("other-"))).otherwise(record)
     line = F.when(n % 5 == 2, F.replace(line, F.lit('"occurrence":'), F.lit('"number":'))).otherwise(line)
     path = store.fresh(rows.sparkSession, "jsonl")
-    rows.select(line.alias("value")).write.text(path)
+    rows.select(line.alias("value")).write.text(path, compression="gzip")
     return store.read_jsonl(rows.sparkSession, path, PRODUCTION_FIELDS, PRODUCTION_REQUIRED, PRODUCTION_KINDS)
 
 
 @query("write_productions_jsonl", RECORDS + f" select record, false as header from written union all select '{HEADER}', true", "spec_lines")
 def write_productions_jsonl(t):
     """All production records with their spans, written as JSON lines with a header beside them, and what then stands in the files."""
-    rows, spark = records(t).select(*PRODUCTION_FIELDS, F.lit("MECHANICAL").alias("origin")), t("orders").sparkSession
+    rows, spark = records(spanned_blocks(t)).select(*PRODUCTION_FIELDS, F.lit("MECHANICAL").alias("origin")), t("orders").sparkSession
     store.write_jsonl(rows, path := store.fresh(spark, "jsonl"), HEADER)
     written = spark.read.text(path).select(F.col("value").alias("record"), F.lit(False).alias("header"))
     return written.unionByName(spark.read.text(path + ".header").select(F.col("value").alias("record"), F.lit(True).alias("header")))
@@ -282,10 +292,9 @@ GIVEN = RECORDS + """, docs as (select doc, string_agg(line, chr(10) order by pa
 def validity_report(t):
     """The audit of each document's production records. Of every four documents one is sound (but in every third of these an object is
     missing); in the others spans are moved or too long, occurrences changed or missing, source lines missing, starts repeated."""
-    lines = t("spec_lines").withColumn("doc", doc())
-    lines = scan_runs(lines, ["doc"], ["page"], ["line_no"], Carried(sums={"byte_start": F.octet_length("line") + 1}))
-    lines = store.materialize(lines.select("doc", "page", "line_no", "line", F.col("byte_start").cast("long")), "lines")
-    good = store.materialize(records(t), "records")
+    lines = store.materialize(spanned(t).select("doc", "page", "line_no", "line", "byte_start"), "lines")
+    blocks = store.materialize(W.production_blocks(lines, ["doc"], ["page", "line_no"]), "blocks")
+    good = records(blocks)
     kind, n, start = F.col("doc") % 4, F.col("line_no"), F.col("kind") == PRODUCTION_KINDS[0]
     copies = F.when((kind == 3) & start & (n % 37 == 5), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     given = good.select(
@@ -294,7 +303,7 @@ def validity_report(t):
         F.when((kind == 2) & (n % 31 == 6), None).otherwise(F.col("occurrence") - F.when((kind == 2) & (n % 23 == 4), 1).otherwise(0)).alias("occurrence"),
         F.when((kind == 2) & (n % 41 == 7), None).otherwise(F.col("source_line")).alias("source_line"),
     )
-    made = W.assemble_productions(W.production_blocks(t("spec_lines").withColumn("doc", doc()), ["doc"], ["page", "line_no"]), ["doc"])
+    made = W.assemble_productions(blocks, ["doc"])
     objects = made.groupBy("doc").agg((F.count("*") - F.when(F.col("doc") % 12 == 8, 1).otherwise(0)).alias("n"))
     return validity(store.materialize(given, "given"), lines, objects)
 
