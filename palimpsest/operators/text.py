@@ -121,10 +121,26 @@ def production_class(line: Column) -> Column:
     return F.when(heading, "heading").when(start, "start").when(layout, "layout").when(boundary, "boundary").when(text.startswith("or "), "or").otherwise("sequence")
 
 
+REFERENCE = "^[a-z][a-z0-9_-]*$"
+
+
+def _tokens(text_col: str) -> Column:
+    return F.filter(F.split(text_col, " +"), lambda x: x != "")
+
+
+def references(rows: DataFrame, text_col: str) -> DataFrame:
+    """All columns of rows plus name and first_position: the references among a text's tokens, each once. They are found inside the row of the
+    text, so nothing is shuffled."""
+    tokens = _tokens(text_col)
+    names = F.array_distinct(F.filter(tokens, lambda x: x.rlike(REFERENCE)))
+    out = rows.withColumn("name", F.explode(names))
+    return out.withColumn("first_position", (F.array_position(tokens, F.col("name")) - 1).cast("long"))
+
+
 def notation_tokens(rows: DataFrame, text_col: str) -> DataFrame:
     """All columns of rows plus position, token and token_kind: 1 a reference, 6 a terminal, 0 rejected."""
-    out = rows.select("*", F.posexplode(F.filter(F.split(text_col, " +"), lambda x: x != "")).alias("position", "token"))
-    kind = F.when(F.col("token").rlike("^[a-z][a-z0-9_-]*$"), 1).when(F.col("token").rlike("^[A-Z0-9_.!-/:-@\\[-`{-~]|^[^\\x00-\\x7F]"), 6).otherwise(0)
+    out = rows.select("*", F.posexplode(_tokens(text_col)).alias("position", "token"))
+    kind = F.when(F.col("token").rlike(REFERENCE), 1).when(F.col("token").rlike("^[A-Z0-9_.!-/:-@\\[-`{-~]|^[^\\x00-\\x7F]"), 6).otherwise(0)
     return out.withColumn("position", F.col("position").cast("long")).withColumn("token_kind", kind)
 
 

@@ -83,8 +83,7 @@ def tokenize_notation(t):
 
 @query("extract_references", TOKENS + " select page, line_no, token as name, min(position) as first_position from tokens where token_kind = 1 group by all", "spec_lines")
 def extract_references(t):
-    rows = T.notation_tokens(t("spec_lines"), "line").where("token_kind = 1")
-    return rows.groupBy("page", "line_no", F.col("token").alias("name")).agg(F.min("position").alias("first_position"))
+    return T.references(t("spec_lines"), "line").select("page", "line_no", "name", "first_position")
 
 
 @query("canonical_notation", r"""+ a as (select lhs, alt, string_agg(case item_kind when 'optional' then '[ ' || name || ' ]' when 'repeat0' then '[ ' || name || ' ] ...' else name end, ' ' order by pos) as made,

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, groups, ranges, trees, windows
+from palimpsest.operators import graph, groups, ranges, text, trees, windows
 from palimpsest.operators.order import Carried, scan, scan_runs
 from palimpsest.plans.fixtures import view
 from palimpsest.sources import store
@@ -295,3 +295,28 @@ def test_records_are_compressed(spark, tmp_path):
     for name in ("j", "t"):
         assert sum(p.stat().st_size for p in (tmp_path / name).glob("part-*")) < 20_000
     assert spark.read.text(f"{tmp_path}/j").count() == store.read_tsv(spark, f"{tmp_path}/t", "id long, text string").count() == 2000
+
+
+def test_references_inside_their_line(spark):
+    rows = spark.createDataFrame([(1, "a  b a C-1 b-2 a"), (2, ""), (3, None), (4, " x X x")], "n int, line string")
+    found = text.references(rows, "line").select("n", "name", "first_position")
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 0), (1, "b", 1), (1, "b-2", 4), (4, "x", 0)]
+    plan = text.references(view(spark, DATA, "lines"), "line")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
+def test_keys_are_grouped_once(spark):
+    """Words are worked out for their ids and first places together, and once more for the rows themselves."""
+    worked_out = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(word):
+        worked_out.add(1)
+        return word
+
+    words = spark.range(600).select("id", F.concat(F.lit("w"), F.col("id") % 7).alias("word")).withColumnRenamed("id", "pos").withColumn("word", seen("word").alias("word"))
+    groups.intern(words.where("word <> ''"), "word", "pos").collect()
+    once = worked_out.value
+    got = groups.interned(words, "word", "pos").collect()
+    assert {(r["word"], r["id"]) for r in got} == {(f"w{i}", i + 1) for i in range(7)} and [r["pos"] for r in got if r["is_new"]] == list(range(7))
+    assert once and worked_out.value - once <= 2.5 * once
