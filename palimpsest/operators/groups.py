@@ -21,27 +21,31 @@ def merge_provenance(rows: DataFrame, key: list[Column], pos: str, provenance: s
 def intern(keys: DataFrame, key: str, pos: str, parts: int | None = None) -> DataFrame:
     """(key, id): dense ids from 1 in order of first position, which may be a struct. Positions are cut into ranges; ranks run inside a range, after
     the number of keys in the ranges before it. What comes to the driver is one number a range."""
-    first = materialize(keys.groupBy(F.col(key).alias("key")).agg(F.min(pos).alias("first_pos")), "keys")
+    return _placed_keys(keys, key, pos, parts).select("key", "id")
+
+
+def _placed_keys(keys: DataFrame, key: str, pos: str, parts: int | None = None) -> DataFrame:
+    """intern with the first positions, first_pos."""
     n = parts or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = materialize(keys.groupBy(F.col(key).alias("key")).agg(F.min(pos).alias("first_pos")), "keys")
     ranged = materialize(first.repartitionByRange(n, "first_pos").withColumn("part", F.spark_partition_id()), "ranges")
     total, offsets = 0, {}
     for r in ranged.groupBy("part").count().orderBy("part").collect():
         offsets[r["part"]], total = total, total + r["count"]
     if not offsets:
-        return ranged.select("key", F.lit(0).cast("long").alias("id"))
+        return ranged.select("key", "first_pos", F.lit(0).cast("long").alias("id"))
     offset = F.create_map(*(F.lit(x) for kv in offsets.items() for x in kv))[F.col("part")]
     rank = F.row_number().over(Window.partitionBy("part").orderBy("first_pos", "key"))
-    return ranged.select("key", (offset + rank).cast("long").alias("id"))
+    return ranged.select("key", "first_pos", (offset + rank).cast("long").alias("id"))
 
 
 def interned(rows: DataFrame, key: str, pos: str) -> DataFrame:
     """All columns of rows plus id, is_new and fault: the dense id of each row's key, whether the row is its first by pos, and `empty key`
-    for null and empty keys, which have no id. Ids of few keys are sent to all tasks; those of many are merged."""
+    for null and empty keys, which have no id. Ids of few keys are sent to all tasks; those of many are merged. Rows are grouped by
+    their keys once, for ids and first positions together."""
     empty = F.coalesce(F.col(key) == "", F.lit(True))
     named = rows.where(~empty)
-    ids = intern(named, key, pos).withColumnRenamed("key", "__key")
-    first = named.groupBy(F.col(key).alias("__key")).agg(F.min(pos).alias("__first"))
-    side = ids.hint("merge").join(first, "__key")
+    side = _placed_keys(named, key, pos).withColumnsRenamed({"key": "__key", "first_pos": "__first"})
     found = attach(named.withColumn("__key", F.col(key)), side, ["__key"])
     found = found.withColumns({"is_new": F.col(pos) == F.col("__first"), "fault": F.lit(None).cast("string")}).select(*rows.columns, "id", "is_new", "fault")
     return found.unionByName(rows.where(empty).withColumn("fault", F.lit("empty key")), allowMissingColumns=True)
