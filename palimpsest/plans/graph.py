@@ -100,7 +100,9 @@ CORNER = NULLABLE + f"""
 def corners(t):
     items = t("rule_items")
     empty = G.nullable(items).select(F.col("lhs").alias("name"), F.lit(True).alias("empty"))
-    rows = items.hint("merge").join(empty, "name", "left")
+    # Only references are looked up; names of other items may be very frequent.
+    ref = F.col("item_kind").eqNullSafe("ref")
+    rows = items.where(ref).hint("merge").join(empty, "name", "left").unionByName(items.where(~ref), True)
     nul = F.col("item_kind").isin("optional", "repeat0") | ((F.col("item_kind") == "ref") & F.coalesce("empty", F.lit(False)))
     ahead = F.coalesce(F.bool_and(nul).over(before("lhs", "alt", order=["pos"])), F.lit(True))
     return rows.withColumn("ahead", ahead).where("ahead AND item_kind = 'ref'").select(F.col("lhs").alias("src"), F.col("name").alias("dst"))

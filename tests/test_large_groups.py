@@ -320,3 +320,28 @@ def test_keys_are_grouped_once(spark):
     got = groups.interned(words, "word", "pos").collect()
     assert {(r["word"], r["id"]) for r in got} == {(f"w{i}", i + 1) for i in range(7)} and [r["pos"] for r in got if r["is_new"]] == list(range(7))
     assert once and worked_out.value - once <= 2.5 * once
+
+
+def test_names_that_can_be_empty(spark):
+    """Against plain Python. Rounds join references alone: what needs no name is written once and in no join by a name."""
+    rng, rows = random.Random(4), []
+    for i in range(80):
+        for alt in range(rng.randint(1, 3)):
+            for _ in range(rng.randint(1, 3)):
+                kind = rng.choice(["token", "optional", "repeat0", "ref", "ref"])
+                rows.append((f"n{i}", alt, kind, f"n{rng.randrange(90)}" if kind == "ref" else "x"))
+    rows += [(f"c{i}", 1, "ref", f"c{i + 1}") for i in range(6)] + [("c6", 1, "optional", "x"), ("c6", 1, "ref", "c6"), ("c6", 2, "repeat0", "x"), ("gone", 1, "ref", None), ("gone", 1, "optional", "x")]
+    items = {}
+    for lhs, alt, kind, name in rows:
+        items.setdefault((lhs, alt), []).append((kind, name))
+    want = set()
+    while more := {lhs for (lhs, _), xs in items.items() if all(k in ("optional", "repeat0") or k == "ref" and (n is None or n in want) for k, n in xs)} - want:
+        want |= more
+    dealt, keep = [], store.Dealt.write
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(store.Dealt, "write", lambda self, df, column: dealt.append(column) or keep(self, df, column))
+        got = graph.nullable(spark.createDataFrame(rows, "lhs string, alt int, item_kind string, name string"))
+    assert sorted(r["lhs"] for r in got.collect()) == sorted(want) and "c0" in want and len(want) > 20
+    assert dealt[0] == "need" and len(dealt) > 2 and set(dealt[1:]) == {"lhs"}
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("palimpsest")]
+    assert graph.nullable(spark.createDataFrame([], "lhs string, alt int, item_kind string, name string")).count() == 0
