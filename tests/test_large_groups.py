@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators import graph, groups, ranges, text, trees, windows
 from palimpsest.operators.order import Carried, scan, scan_runs
+from palimpsest.plans.catalog import QUERIES
 from palimpsest.plans.fixtures import view
 from palimpsest.sources import store
 
@@ -345,3 +346,10 @@ def test_names_that_can_be_empty(spark):
     assert dealt[0] == "need" and len(dealt) > 2 and set(dealt[1:]) == {"lhs"}
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("palimpsest")]
     assert graph.nullable(spark.createDataFrame([], "lhs string, alt int, item_kind string, name string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["candidate_check", "source_ref_check"])
+def test_rules_are_compiled(spark, name):
+    """Longer methods than 8,000 bytes are interpreted."""
+    stages = QUERIES[name](spark, DATA)._jdf.queryExecution().debug().codegenToSeq()
+    assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
