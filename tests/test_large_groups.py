@@ -353,3 +353,8 @@ def test_rules_are_compiled(spark, name):
     """Longer methods than 8,000 bytes are interpreted."""
     stages = QUERIES[name](spark, DATA)._jdf.queryExecution().debug().codegenToSeq()
     assert max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())) < 8000
+
+
+def test_no_texts_are_joined_to_labels(spark):
+    plan = view(spark, DATA, "semantic_items")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2(" not in plan.split("Join", 1)[0] and "sha2(" in plan.split("Join", 1)[1]
