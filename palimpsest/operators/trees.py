@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.operators.order import Carried, scan
-from palimpsest.sources.store import materialize
+from palimpsest.sources.store import materialize, tasks_for
 
 
 def path_key(path: Column) -> Column:
@@ -69,24 +69,29 @@ def normalized(nodes: DataFrame, empty_names: DataFrame) -> DataFrame:
     its choice drops is `choice-deduplicate`, beside its own operation. empty_names (name): references that can be empty.
 
     Trees are rewritten from their deepest nodes up, a round each level, whatever their depth; a round reads the nodes of one level and
-    the trees of the level below, which go to their parents by a key of their own."""
+    the trees of the level below, which go to their parents by a key of their own, dealt out to as many tasks as nodes need."""
     depth = F.size(F.split("path", "/"))
     rows = nodes.select("tree", "path", "kind", "name", "minimum", depth.alias("depth"))
-    known = empty_names.select("name").distinct().withColumn("known", F.lit(True))
-    rows = materialize(rows.hint("merge").join(known, "name", "left"), "nodes")
+    rows = materialize(rows, "nodes")
+    tasks = tasks_for(rows)
+    known = materialize(empty_names.select("name").distinct().withColumn("known", F.lit(True)), "names")
+    # Only references are looked up: the nodes that have no name would be a single key.
+    refs = rows.where("kind = 'reference'").hint("merge").join(known, "name", "left")
+    refs = materialize(refs.select("tree", "path", "kind", "name", "depth", F.coalesce("known", F.lit(False)).alias("known")), "references")
+    tokens = rows.where("kind = 'token'").select("tree", "path", "kind", "name", "depth", F.lit(False).alias("known"))
     levels = [r["depth"] for r in rows.select("depth").distinct().orderBy(F.desc("depth")).collect()]
     below, done = None, None
     for level in levels:
         own = rows.where(F.col("depth") == level)
         name = F.when(F.col("kind") == "token", F.concat(F.lit("'"), F.col("name"), F.lit("'"))).otherwise(F.col("name"))
-        leaf = _tree(F.col("kind"), name, None, None, F.coalesce(F.col("known") & (F.col("kind") == "reference"), F.lit(False)))
-        leaves = own.where("kind IN ('reference', 'token')").select("tree", "path", F.lit("identity").alias("operation"), leaf.alias("t"), F.lit(None).cast("array<string>").alias("dropped"))
+        leaf = _tree(F.col("kind"), name, None, None, F.col("known"))
+        leaves = refs.unionByName(tokens).where(F.col("depth") == level).select("tree", "path", F.lit("identity").alias("operation"), leaf.alias("t"), F.lit(None).cast("array<string>").alias("dropped"))
         here = leaves
         if below is not None:
             last = F.element_at(F.split("path", "/"), -1).cast("int")
             children = below.select("tree", F.regexp_replace("path", "/[0-9]+$", "").alias("path"), F.struct(last.alias("n"), F.col("path").alias("at"), "t").alias("c"))
-            children = children.groupBy("tree", "path").agg(F.array_sort(F.collect_list("c")).alias("c"))
-            inner = own.where("kind NOT IN ('reference', 'token')").hint("merge").join(children, ["tree", "path"])
+            children = children.repartition(tasks, "tree", "path").groupBy("tree", "path").agg(F.array_sort(F.collect_list("c")).alias("c"))
+            inner = own.where("kind NOT IN ('reference', 'token')").repartition(tasks, "tree", "path").hint("merge").join(children, ["tree", "path"])
             here = leaves.unionByName(_rewritten(inner))
         here = materialize(here, "trees")
         log = here.select("tree", "path", "operation", F.col("t.written").alias("written"))

@@ -358,3 +358,13 @@ def test_rules_are_compiled(spark, name):
 def test_no_texts_are_joined_to_labels(spark):
     plan = view(spark, DATA, "semantic_items")._jdf.queryExecution().optimizedPlan().toString()
     assert "sha2(" not in plan.split("Join", 1)[0] and "sha2(" in plan.split("Join", 1)[1]
+
+
+def test_only_references_are_looked_up(spark, monkeypatch):
+    """Nodes without a name are in no join by the name."""
+    written, keep = {}, trees.materialize
+    monkeypatch.setattr(trees, "materialize", lambda df, label: written.setdefault(label, keep(df, label)) if label == "references" else keep(df, label))
+    rows = [(t, p, k, n, 1) for t in range(40) for p, k, n in (("rhs", "choice", ""), ("rhs/1", "reference", "e"), ("rhs/2", "sequence", ""), ("rhs/2/1", "token", "e"), ("rhs/2/2", "reference", "f"))]
+    got = trees.normalized(spark.createDataFrame(rows, "tree int, path string, kind string, name string, minimum int"), spark.createDataFrame([("e",)], "name string"))
+    assert got.where("written = \"(e | ('e' f))\"").count() == 40
+    assert sorted({(r["kind"], r["name"], r["known"]) for r in written["references"].collect()}) == [("reference", "e", True), ("reference", "f", False)] and written["references"].count() == 80
