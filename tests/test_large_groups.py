@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import graph, groups, ranges, text, trees, windows
+from palimpsest.operators import contracts, graph, groups, ranges, text, trees, windows
 from palimpsest.operators.order import Carried, scan, scan_runs
 from palimpsest.plans.catalog import QUERIES
 from palimpsest.plans.fixtures import view
@@ -368,3 +368,16 @@ def test_only_references_are_looked_up(spark, monkeypatch):
     got = trees.normalized(spark.createDataFrame(rows, "tree int, path string, kind string, name string, minimum int"), spark.createDataFrame([("e",)], "name string"))
     assert got.where("written = \"(e | ('e' f))\"").count() == 40
     assert sorted({(r["kind"], r["name"], r["known"]) for r in written["references"].collect()}) == [("reference", "e", True), ("reference", "f", False)] and written["references"].count() == 80
+
+
+def test_tasks_follow_the_number_of_members(spark, monkeypatch):
+    monkeypatch.setattr(store, "TASK_ROWS", 10)
+    decls = [(i, f"d{i}", ("record", "sum", "list", "enum")[i % 4], None if i % 3 else "d1") for i in range(40)] + [(40, "d0", "record", None)]
+    members = [(i % 40, f"m{i}", (None, "int", "d3", "ghost", "")[i % 5]) for i in range(200)] + [(0, "m0", "int")]
+    df = contracts.registry_faults(spark.createDataFrame(decls, "decl_id int, name string, kind string, target string"), spark.createDataFrame(members, "decl_id int, member string, type string"))
+    want = [(0, None, "duplicate declaration"), (0, "m0", "duplicate member")]
+    want += [(d, m, "unknown member type") for d, m, t in members if d % 4 == 0 and t in (None, "", "ghost")] + [(d, m, "unknown payload type") for d, m, t in members if d % 4 == 1 and t == "ghost"]
+    want += [(d, None, "unknown target type") for d, _, k, t in decls if k == "list" and t is None]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and ", 21" in plan
