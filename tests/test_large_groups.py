@@ -381,3 +381,8 @@ def test_tasks_follow_the_number_of_members(spark, monkeypatch):
     assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" in plan and ", 21" in plan
+
+
+def test_frequent_tokens_are_dealt_out_by_line_too(spark):
+    plan = QUERIES["lexicalize_tokens"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [token#" in plan and "lane#" in plan.split("RepartitionByExpression [token#", 1)[1].split("\n")[0]
