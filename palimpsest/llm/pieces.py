@@ -45,7 +45,8 @@ COMMON = 500_000
 LONG, PART = 40, 256
 #: Edges are numbers: (begin * SPAN + length) << BITS | number, number being a piece's place by score. Numbers from CHARS on
 #: are single characters, by code point.
-SPAN, BITS, CHARS = 64, 22, 1 << 21
+SPAN_BITS, BITS, CHARS = 6, 22, 1 << 21
+SPAN = 1 << SPAN_BITS
 #: Words that a task counts before it hands on those that it met often enough, FREQUENT times or more.
 HELD, FREQUENT = 600_000, 3
 #: Bytes of text of a chunk; a longer text is a chunk of its own.
@@ -57,7 +58,8 @@ _kept: dict[str, object] = {}
 @dataclass
 class Pieces:
     """The piece table: id and score of each piece, ids of the byte pieces, and the fold to use. words is a regular
-    expression of the words of a text; order has the pieces by score, the best first, ties the places of equal scores."""
+    expression of the words of a text; order has the pieces by score, the best first, ties the places of equal scores, late
+    the places of those that merges reach after a piece that isn't better."""
 
     table: dict[str, tuple[int, float]]
     byte_ids: list[int]
@@ -67,6 +69,7 @@ class Pieces:
     words: str = field(init=False)
     order: list[str] = field(init=False)
     ties: list[tuple[int, int]] = field(init=False)
+    late: list[int] = field(init=False)
 
     def __post_init__(self) -> None:
         if any(BLANK in p.lstrip(BLANK) for p in self.table):
@@ -80,6 +83,7 @@ class Pieces:
         self.ties = [(a, z) for a, z in zip(begins, [*begins[1:], len(scores)], strict=True) if z - a > 1]
         if self.fold == "merge" and len(self.ties) > 16:
             raise ValueError("too many pieces of equal score")
+        self.late = late_pieces(self.order, self.ties) if self.fold == "merge" else []
         group: dict[str, str] = {}
 
         def root(c: str) -> str:
@@ -99,6 +103,19 @@ class Pieces:
         self.words = f"{BLANK}*(?:{classes}[^{BLANK}])|{BLANK}+"
 
 
+def late_pieces(order: list[str], ties: list[tuple[int, int]]) -> list[int]:
+    """Places of the pieces whose last merge, where their own text is merged, isn't behind all merges before it. In a word
+    that holds none of them, merges come in the order of rank: what a merge makes possible is behind it."""
+    rank = {p: i for i, p in enumerate(order)} | {order[i]: a for a, z in ties for i in range(a, z)}
+    late = []
+    for number, p in enumerate(order):
+        edges = {(a, z): rank[p[a:z]] for a in range(len(p)) for z in range(a + 2, len(p) + 1) if p[a:z] in rank}
+        merged: list[int] = []
+        if len(p) > 2 and len(heap_merge(len(p), edges, merged)) == 1 and max(merged[:-1]) >= merged[-1]:
+            late.append(number)
+    return late
+
+
 def fold_of(model: bytes) -> str:
     """The fold of a serialized model, by the model_type (field 3) of its trainer_spec (field 2); without one it is unigram."""
 
@@ -209,7 +226,9 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     edge = F.when(F.col("k") > 0, F.shiftleft(F.col("i") * SPAN + F.col("k"), BITS).bitwiseOR(F.col("number")))
     if pieces.fold != "merge":
         edge = F.when(edge.isNotNull(), F.struct(edge.alias("edge"), "score"))
-    return found.groupBy("name").agg(F.min("n").alias("n"), F.min("size").alias("size"), F.collect_list(edge).alias("edges"))
+    # Grouping sorts the edges: a hash ahead of the name spares comparing names, most of which begin alike.
+    groups = found.groupBy(F.xxhash64("name").alias("hash"), "name")
+    return groups.agg(F.min("n").alias("n"), F.min("size").alias("size"), F.collect_list(edge).alias("edges")).drop("hash")
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -234,11 +253,6 @@ def fold_merge(keys: Column, numbers: Column, ties: list[tuple[int, int]]) -> Co
         joined = F.transform(F.sequence(F.lit(1), F.size(ends) - 2), lambda k: _of(keys, ranks, F.get(ends, k - 1), F.get(ends, k + 1)) * SPAN + k)
         return _let(F.array_min(F.when(F.size(ends) > 2, joined)), without)
 
-    def rank(number: Column) -> Column:
-        for a, z in ties:
-            number = F.when((number >= a) & (number < z), F.lit(a).cast("long")).otherwise(number)
-        return number
-
     def fold(given: Column) -> Column:
         nonlocal ranks
         ranks = given
@@ -246,7 +260,39 @@ def fold_merge(keys: Column, numbers: Column, ties: list[tuple[int, int]]) -> Co
 
     ranks = numbers
     times = F.when(F.col("size") > 1, F.sequence(F.lit(2), "size")).otherwise(F.array().cast("array<int>"))
-    return _let(F.transform(numbers, rank), fold)
+    return _let(F.transform(numbers, lambda x: _rank(x, ties)), fold)
+
+
+def fold_in_order(edges: Column, ties: list[tuple[int, int]]) -> Column:
+    """What fold_merge gives for words of at most LONG characters without late pieces: there the edges need to be gone through
+    only once, by rank and place. Bit i of the state is set where a span ends at i or begins there."""
+
+    one = F.lit(1).cast("long")
+
+    def step(bounds: Column, edge: Column) -> Column:
+        begin = F.shiftright(edge, SPAN_BITS).bitwiseAND(F.lit(SPAN - 1)).cast("int")
+        k = edge.bitwiseAND(F.lit(SPAN - 1)).cast("int")
+
+        def merged(window: Column) -> Column:
+            # Its ends are bounds, and there is one more between them.
+            pair = (F.bit_count(window) == 3) & (window.bitwiseAND(one) == one) & (window >= F.call_function("shiftleft", one, k))
+            mid = window - F.call_function("shiftleft", one, k) - 1
+            return F.when(pair, bounds - F.call_function("shiftleft", mid, begin)).otherwise(bounds)
+
+        window = F.call_function("shiftright", bounds, begin).bitwiseAND(F.call_function("shiftleft", F.lit(2).cast("long"), k) - 1)
+        return _let(window, merged)
+
+    ranked = F.transform(edges, lambda e: F.shiftleft(_rank(e.bitwiseAND(F.lit((1 << BITS) - 1)), ties), 2 * SPAN_BITS).bitwiseOR(F.shiftright(e, BITS)))
+    start = F.call_function("shiftleft", F.lit(2).cast("long"), F.col("size")) - 1
+    ends = F.sequence(F.lit(0).cast("long"), F.col("size").cast("long"))
+    return _let(F.aggregate(F.sort_array(ranked), start, step), lambda bounds: F.filter(ends, lambda i: F.call_function("shiftright", bounds, i.cast("int")).bitwiseAND(one) == one))
+
+
+def _rank(number: Column, ties: list[tuple[int, int]]) -> Column:
+    """The place of the first of the pieces of equal score."""
+    for a, z in ties:
+        number = F.when((number >= a) & (number < z), F.lit(a).cast("long")).otherwise(number)
+    return number
 
 
 def fold_viterbi(keys: Column, scores: Column, longest: int, unknown: float) -> Column:
@@ -282,17 +328,20 @@ def _numbers(ends: Column, keys: Column, numbers: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(ends) - 1), one)
 
 
-def heap_merge(n: int, edges: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
-    """Spans of a word of n characters, merged along edges ((begin, end) to rank): best rank first, leftmost on ties."""
+def heap_merge(n: int, edges: dict[tuple[int, int], int], merged: list[int] | None = None) -> list[tuple[int, int]]:
+    """Spans of a word of n characters, merged along edges ((begin, end) to rank): best rank first, leftmost on ties. merged
+    gets the ranks of the merges, one by one."""
     after, before = list(range(1, n + 1)), list(range(-1, n))  # ends of spans; begin of the span before
     live = [True] * n
     heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := edges.get((i, i + 2))) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, mid, end = heapq.heappop(heap)
+        r, i, mid, end = heapq.heappop(heap)
         if not live[i] or after[i] != mid or mid >= n or not live[mid] or after[mid] != end:
             continue
         live[mid] = False
+        if merged is not None:
+            merged.append(r)
         after[i] = end
         if end < n:
             before[end] = i
@@ -327,7 +376,15 @@ def encode_words(words: DataFrame, pieces: Pieces, long: bool | None = None) ->
 
     def numbers_of(keys: Column) -> Column:
         def given(numbers: Column) -> Column:
-            ends = fold_merge(keys, numbers, pieces.ties) if merge else fold_viterbi(keys, F.col("edges.score"), pieces.longest, unknown)
+            if merge:
+                # Ties count only between pieces that such a word can hold.
+                late = set(pieces.late)
+                ties = [(a, z) for a, z in pieces.ties if sum(len(pieces.order[i]) > 1 and i not in late for i in range(a, z)) > 1]
+                ends = fold_in_order(edges, ties)
+                if pieces.late:
+                    ends = F.when(F.exists(numbers, lambda x: x.isin(pieces.late)), fold_merge(keys, numbers, pieces.ties)).otherwise(ends)
+            else:
+                ends = fold_viterbi(keys, F.col("edges.score"), pieces.longest, unknown)
             return _let(ends, lambda x: _numbers(x, keys, numbers))
 
         return _let(F.transform(edges, lambda e: e.bitwiseAND(F.lit((1 << BITS) - 1))), given)

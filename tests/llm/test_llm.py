@@ -203,6 +203,32 @@ def test_lattice_by_brute_force(spark):
         assert got[pieces.name_of(w)] == sorted(want)
 
 
+def test_merges_in_order_of_rank(spark):
+    """Words without late pieces are folded in one pass and give what merges one by one give; words with them still do, by the other way."""
+    table = pieces.load()
+    assert table.late and all(set(table.order[i]) == {pieces.BLANK} for i in table.late)
+    rng = random.Random(8)
+    made = {"".join(rng.choice(table.order) for _ in range(rng.randint(1, 5)))[: pieces.LONG] for _ in range(1500)}
+    made |= {pieces.BLANK * n + x for n in range(1, 36) for x in ("", "a", "the")}
+    # abc has its place before bc, which merges reach first where a b isn't a piece.
+    small = pieces.Pieces({p: (i, -float(i)) for i, p in enumerate(["abc", "bc", "cd", "abcd", "dd"])}, [0] * 256, [b""] * 5, "merge")
+    assert [small.order[i] for i in small.late] == ["abc"]
+    few = {"".join(rng.choice("abcd") for _ in range(rng.randint(1, 12))) for _ in range(300)}
+    for t, words in ((table, made), (small, few)):
+        rank = {p: i for i, p in enumerate(t.order)} | {t.order[i]: a for a, z in t.ties for i in range(a, z)}
+        rows = spark.createDataFrame([(w, None, 1) for w in sorted(words)], "name string, word string, n long")
+        coded = pieces.encode_words(rows, t, False)[0]
+        assert "sort_array" in coded._jdf.queryExecution().optimizedPlan().toString()
+        got = {r["name"]: r["numbers"] for r in coded.collect()}
+        assert len(got) == len(words)
+        for w in words:
+            spans = list(w)
+            while pairs := [(rank[a + b], i) for i, (a, b) in enumerate(zip(spans, spans[1:])) if a + b in rank]:
+                i = min(pairs)[1]
+                spans[i : i + 2] = [spans[i] + spans[i + 1]]
+            assert got[w] == [pieces.CHARS + ord(x) if len(x) == 1 else t.order.index(x) for x in spans]
+
+
 def test_mixing_targets(spark):
     rng = random.Random(5)
     rows = [(i, "w " * rng.randint(0, 30), f"s{min(int(rng.expovariate(0.5)), 6)}") for i in range(3000)]
