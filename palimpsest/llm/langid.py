@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,14 +79,14 @@ def trigram_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 def prototypes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """Languages in order and their prototypes, one row each, of length 1. The counts come to the
     driver: their number is bounded by languages x trigram codes, not by documents."""
-    counts = trigram_counts(docs, text_col, lang_col).toPandas()
-    langs, rows = [], []
-    for lang, part in counts.groupby("lang", sort=True):
+    counts = trigram_counts(docs, text_col, lang_col).toArrow()
+    langs, rows = sorted(pc.unique(counts.column("lang")).to_pylist()), []
+    for lang in langs:
+        part = counts.filter(pc.equal(counts.column("lang"), lang))
+        n, codes = part.column("n").to_numpy().astype(np.float64), part.column("code").to_numpy()
         total = np.zeros(dim)
-        for a in range(0, len(part), 4096):
-            chunk = part.iloc[a : a + 4096]
-            total += chunk["n"].to_numpy(np.float64) @ vectors(chunk["code"].to_numpy(), dim)
-        langs.append(lang)
+        for a in range(0, len(n), 1024):
+            total += n[a : a + 1024] @ vectors(codes[a : a + 1024], dim)
         rows.append(total / max(np.linalg.norm(total), 1e-12))
     return langs, np.array(rows, np.float32).reshape(len(rows), dim)
 

@@ -103,6 +103,8 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     seed = options.get("seed", "mix")
     key, copies, n, r, times, copy = spare(docs, "own_key", "copies", "n_rows", "row_no", "times", "copy_no")
     taken = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies))
+    # Written, or the driver plans the whole mix again at each stage of the join below.
+    taken = materialize(taken, "taken")
     keyed = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col), seed)).hint("merge").join(taken, key)
     same = Window.partitionBy(key)
     keyed = keyed.withColumn(n, F.count("*").over(same)).withColumn(r, F.row_number().over(same.orderBy(F.xxhash64(*docs.columns))))

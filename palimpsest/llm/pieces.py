@@ -209,10 +209,10 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(pa.table([pa.array(c) for c in zip(*rows, strict=True)], ["piece", "number", "score"]))
 
 
-def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
+def lattice(words: DataFrame, pieces: Pieces, known: DataFrame | None = None) -> DataFrame:
     """(name, n, size, edges): those substrings of a word of (name, word, n) that are pieces, as edges; for a unigram table
     structs of edge and score. Merges need none of single characters. Words stay where they are; what is sent to all tasks
-    is the vocabulary."""
+    is the vocabulary. known is its written piece_table, or else one is made."""
     word = F.coalesce("word", "name")
     size = F.length(word)
     parts = words.select("name", "n", size.alias("size"), word.alias("word"), F.explode(F.sequence(F.lit(0), size - 1, F.lit(PART))).alias("base"))
@@ -222,7 +222,7 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     lengths = F.expr(f"case when size - base - i >= {shortest} then sequence({shortest}, least({pieces.longest}, size - base - i)) else array() end")
     spans = begins.select("*", F.explode(F.when(F.col("base") + F.col("i") == 0, F.concat(F.array(F.lit(0)), lengths)).otherwise(lengths)).alias("k"))
     spans = spans.select("name", "n", "size", (F.col("base") + F.col("i")).cast("long").alias("i"), "k", F.expr("substring(part, i + 1, k)").alias("piece"))
-    found = spans.join(F.broadcast(piece_table(words.sparkSession, pieces)), "piece")
+    found = spans.join(F.broadcast(piece_table(words.sparkSession, pieces) if known is None else known), "piece")
     edge = F.when(F.col("k") > 0, F.shiftleft(F.col("i") * SPAN + F.col("k"), BITS).bitwiseOR(F.col("number")))
     if pieces.fold != "merge":
         edge = F.when(edge.isNotNull(), F.struct(edge.alias("edge"), "score"))
@@ -368,9 +368,9 @@ def _fold_long(rows: DataFrame, pieces: Pieces) -> DataFrame:
     return rows.select("name", "n", "word", "edges").mapInArrow(batches, "name string, n long, numbers array<int>")
 
 
-def encode_words(words: DataFrame, pieces: Pieces, long: bool | None = None) -> list[DataFrame]:
+def encode_words(words: DataFrame, pieces: Pieces, long: bool | None = None, known: DataFrame | None = None) -> list[DataFrame]:
     """(name, n, numbers) of words (name, word, n), each once: short words, and long ones where they are folded apart. long
-    tells that all words are short or all long. Words that are dealt out by name stay so."""
+    tells that all words are short or all long, known is as in lattice. Words that are dealt out by name stay so."""
     merge, unknown = pieces.fold == "merge", min((s for _, s in pieces.table.values()), default=0.0) - 10.0
     edges = F.col("edges") if merge else F.col("edges.edge")
 
@@ -391,17 +391,17 @@ def encode_words(words: DataFrame, pieces: Pieces, long: bool | None = None) ->
 
     folded = _let(F.transform(edges, lambda e: F.shiftright(e, BITS)), numbers_of).alias("numbers")
     if not merge:
-        return [lattice(words, pieces).select("name", "n", folded)]
+        return [lattice(words, pieces, known).select("name", "n", folded)]
     out = []
     if not long:
-        out.append(lattice(words.where("word IS NULL"), pieces).select("name", "n", folded))
+        out.append(lattice(words.where("word IS NULL"), pieces, known).select("name", "n", folded))
     if long is not False:
         apart = words.where("word IS NOT NULL")
-        out.append(_fold_long(lattice(apart, pieces).hint("merge").join(apart.select("name", "word"), "name"), pieces))
+        out.append(_fold_long(lattice(apart, pieces, known).hint("merge").join(apart.select("name", "word"), "name"), pieces))
     return out
 
 
-def common_words(docs: DataFrame, pieces: Pieces, most: int, text_col: str = "text") -> Broadcast:
+def common_words(docs: DataFrame, pieces: Pieces, most: int, text_col: str = "text", known: DataFrame | None = None) -> Broadcast:
     """Names and numbers of at most `most` words, as an Arrow stream for all tasks, the most frequent first."""
     counts = materialize(frequent_words(docs, pieces, text_col), "frequent-words")
     # Steps of a thousandth beyond ten thousand, so that few counts come to the driver and the last step taken is known to fit.
@@ -413,7 +413,7 @@ def common_words(docs: DataFrame, pieces: Pieces, most: int, text_col: str = "te
             break
         least = r["step"]
     chosen = counts.where(F.lit(False) if least is None else step >= least).repartition(partitions(docs.sparkSession), "name")
-    tables = [x.toArrow() for x in encode_words(chosen, pieces)]
+    tables = [x.toArrow() for x in encode_words(chosen, pieces, known=known)]
     table = pa.concat_tables([x.cast(tables[0].schema) for x in tables]).sort_by([("n", "descending"), ("name", "ascending")])
     table = table.select(["name", "numbers"])
     sink = io.BytesIO()
@@ -518,7 +518,7 @@ def chunks(rows: DataFrame, pieces: Pieces, common: Broadcast, check: bool) -> D
     return rows.mapInArrow(batches, schema)
 
 
-def patches(texts: DataFrame, pieces: Pieces) -> DataFrame:
+def patches(texts: DataFrame, pieces: Pieces, known: DataFrame | None = None) -> DataFrame:
     """(chunk, patch): for each word of a chunk that isn't common, its place and then its numbers."""
     n = partitions(texts.sparkSession)
     used = texts.select("chunk", F.posexplode(F.arrays_zip("names", "words")).alias("at", "x")).select("chunk", "at", "x.names", "x.words").toDF("chunk", "at", "name", "word")
@@ -528,7 +528,7 @@ def patches(texts: DataFrame, pieces: Pieces) -> DataFrame:
         words = here.select("name", *["word"] * long).repartition(n, "name").groupBy("name").agg(*[F.min("word").alias("word")] * long, F.lit(0).cast("long").alias("n"))
         if not long:
             words = words.withColumn("word", F.lit(None).cast("string"))
-        for coded in encode_words(words, pieces, long):
+        for coded in encode_words(words, pieces, long, known):
             rows = here.select("chunk", "at", "name").repartition(n, "name").hint("merge").join(coded, "name")
             rows = rows.select("chunk", F.concat(F.array("at"), "numbers").alias("numbers"))
             found = rows if found is None else found.unionByName(rows)
@@ -560,7 +560,9 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool
     most words whose ids are sent to all tasks: it decides how ids come to the texts, not which."""
     kept = [c for c in docs.columns if c not in (text_col, "ids", "decoded_sha256", "exact")]
     inner = [f"c{i}" for i in range(len(kept))]  # names of its own, whatever those of docs are
-    sent = common_words(docs, pieces, common, text_col)
+    # Written once: otherwise the driver holds the vocabulary's rows in each plan that joins them.
+    known = materialize(piece_table(docs.sparkSession, pieces), "pieces")
+    sent = common_words(docs, pieces, common, text_col, known)
     rows = docs.select(*(F.col(f"`{c}`").alias(i) for i, c in zip(inner, kept, strict=True)), F.col(f"`{text_col}`").alias("text"))
     texts = by_chunk(chunks(rows, pieces, sent, check))
 
@@ -606,7 +608,7 @@ def encode(docs: DataFrame, pieces: Pieces, text_col: str = "text", check: bool
     if check:
         schema = schema.add("decoded_sha256", "string").add("exact", "boolean")
     names = schema.names
-    joined = texts.select("chunk", "rows", "places").hint("merge").join(patches(texts, pieces), "chunk", "left")
+    joined = texts.select("chunk", "rows", "places").hint("merge").join(patches(texts, pieces, known), "chunk", "left")
     out = joined.select("rows", "places", "patch").mapInArrow(batches, schema)
     return out.select(*(F.col(i).alias(c) for i, c in zip(inner, kept, strict=True)), *out.columns[len(kept) :])
 

@@ -47,7 +47,8 @@ _RANDOM = np.random.default_rng(5)
 _BYTE_HASH = _RANDOM.integers(1, 2**63, 256, np.uint64)
 _BYTE_HASH[65:91] = _BYTE_HASH[97:123]
 _PLACE_HASH = _RANDOM.integers(1, 2**63, 32, np.uint64) | np.uint64(1)
-_SPOT = np.argsort(_RANDOM.random((ROWS, DIM)), axis=1)[:, :NONZERO]
+# A copy, as a view would keep the whole order in the driver and in each worker.
+_SPOT = np.argsort(_RANDOM.random((ROWS, DIM)), axis=1)[:, :NONZERO].astype(np.int8)
 _SIGN = _RANDOM.choice([-1.0, 1.0], (ROWS, NONZERO))
 
 
@@ -102,11 +103,13 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Word vectors of length 1 (0 for rows that no text has), without their common direction. The
     table has a fixed number of rows, whatever the number of documents."""
-    sums = context_sums(docs, text_col).toPandas().sort_values("row")
+    sums = context_sums(docs, text_col).toArrow()
     out = np.zeros((ROWS, DIM))
-    found = sums["row"].to_numpy()
-    v = np.round(sums.drop(columns="row").to_numpy())
-    out[found] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    found = sums.column("row").to_numpy()
+    for d in range(DIM):
+        out[found, d] = np.round(sums.column(f"v{d}").to_numpy())
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    found = np.sort(found)
     if len(found):
         out[found] -= out[found].mean(axis=0)
     return out.astype(np.float32)
@@ -207,9 +210,9 @@ def learn(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, text_col: str
 
     found = rows.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(batches, "doc_id long, label int, features array<float>")
     # Of rows that agree in id one is learned from.
-    found = found.groupBy("doc_id", "label").agg(F.min("features").alias("features")).toPandas().sort_values(["doc_id", "label"])
-    x = np.stack(found["features"].to_list()) if len(found) else np.empty((0, WIDTH))
-    return fit(x.astype(np.float64), found["label"].to_numpy(np.int64))
+    found = found.groupBy("doc_id", "label").agg(F.min("features").alias("features")).toArrow().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    x = found.column("features").combine_chunks().flatten().to_numpy().reshape(-1, WIDTH)
+    return fit(x.astype(np.float64), found.column("label").to_numpy().astype(np.int64))
 
 
 def _lengths(texts: pa.Array) -> list[int]:

@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import materialize, partitions, spare
@@ -195,8 +195,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = materialize(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.hint("merge").join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = materialize(small.select("e.u", "e.v").where("u > v").distinct(), "edges")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        met = Observation()  # tells the edges apart from those of the last round as they are written
+        found = small.select("e.u", "e.v").where("u > v").distinct()
+        edges = materialize(found.observe(met, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), "edges")
+        now = met.get
         if now == mark:
             return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
         mark = now

@@ -601,3 +601,26 @@ def test_pipeline_stages_on_empty_and_odd_tables(spark, odd):
     for r in rows:
         assert r["ids"] == "mine" and r["ids_"] == model.encode(texts[r["exact"]] or "") and r["n_ids"] == len(r["ids_"])
     assert corpus_pipeline.encode_pieces(spark, clash.limit(0), DATA).count() == 0
+
+
+def test_the_driver_plans_little_and_keeps_no_copies(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word {i % 3} of a text that goes on here", "en", "ab"[i % 2]) for i in range(12)], "doc_id long, text string, lang string, source string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("label"))
+    # A table of fixed size is no view of a larger one.
+    assert quality_net._SPOT.base is None and quality_net._SPOT.nbytes == quality_net.ROWS * quality_net.NONZERO
+
+    def refused(*_: object) -> None:
+        raise AssertionError("rows come to the driver one by one")
+
+    monkeypatch.setattr(type(docs), "toPandas", refused)
+    monkeypatch.setattr(type(docs), "first", refused)
+    vectors = quality_net.word_vectors(docs)
+    assert quality_net.learn(docs, labels, vectors).logits(np.zeros((1, quality_net.WIDTH))).shape == (1,)
+    assert langid.prototypes(docs)[0] == ["en"]
+    # A round of components takes no query besides those that write its edges.
+    edges = spark.createDataFrame([(2, 1), (3, 2), (7, 5)], "u long, v long")
+    assert sorted(map(tuple, simhash.components(edges).collect())) == [(2, 1), (3, 1), (7, 5)]
+    # The mix is written before documents are joined to it, and the vocabulary is in no plan.
+    assert mixing.repeat(docs)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    plan = pieces.encode(docs, pieces.load())._jdf.queryExecution().analyzed().toString()
+    assert "LocalRelation" not in plan and "LogicalRDD" not in plan
