@@ -16,7 +16,7 @@ a spanning forest, not its pairs. What hangs together is then verified by the ex
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -103,17 +103,24 @@ def bands_of(n: int) -> list[int]:
     return sorted({band_of(n), band_of(n * 5 // 4)})
 
 
+def described(own: np.ndarray, groups: tuple[float, int] = GROUPS) -> tuple[bytes, bytes | None, bool]:
+    """A set's digest of 128 bits, which stands for it, its sketch, and whether its groups don't suffice (short). Sets of fewer than four
+    shingles are near equal ones alone and need neither sketch nor groups."""
+    large = len(own) > 3
+    short = large and not all(signatures(own, band, groups)[1] for band in bands_of(len(own)))
+    return xxhash.xxh3_128_digest(own.tobytes()), sketch(own) if large else None, short
+
+
 def sets(docs: DataFrame, id_col: str, text_col: str, groups: tuple[float, int] = GROUPS) -> DataFrame:
-    """(doc_id, text_hash, n, digest, sketch, short) for each row, written out. The digest of 128 bits stands for the set; short: the
-    set's groups don't suffice."""
+    """(doc_id, text_hash, n, digest, sketch, short) for each row, written out, the last three as described tells."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             own = [shingle_set(t.as_py()) for t in b.column(2)]
-            short = [len(x) > 3 and not all(signatures(x, band, groups)[1] for band in bands_of(len(x))) for x in own]
+            digest, drawn, short = zip(*(described(x, groups) for x in own), strict=True) if own else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(map(len, own), pa.int64()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()), pa.array([sketch(x) if len(x) > 3 else None for x in own], pa.binary()), pa.array(short, pa.bool_())],
+                [b.column(0), b.column(1), pa.array(map(len, own), pa.int64()), pa.array(digest, pa.binary()), pa.array(drawn, pa.binary()), pa.array(short, pa.bool_())],
                 ["doc_id", "text_hash", "n", "digest", "sketch", "short"],
             )
 
@@ -121,9 +128,9 @@ def sets(docs: DataFrame, id_col: str, text_col: str, groups: tuple[float, int]
     return materialize(rows.mapInArrow(batches, f"doc_id {kind}, text_hash long, n long, digest binary, sketch binary, short boolean"), "sets")
 
 
-def signed(texts: DataFrame, nodes: DataFrame, groups: tuple[float, int] | None = GROUPS) -> DataFrame:
+def signed(texts: DataFrame, nodes: DataFrame, groups: tuple[float, int] | None = GROUPS, set_of: Callable[[str | None], np.ndarray] = shingle_set) -> DataFrame:
     """(sig, node): signatures of one text of each node. texts: (doc_id, text_hash, text); nodes: (node, n, digest, head), of four
-    shingles or more."""
+    shingles or more; set_of gives a text's set."""
     side = nodes.select("head.doc_id", "head.text_hash", "node", "digest")
     side = side.hint("broadcast" if nodes.count() <= BROADCAST else "merge")
 
@@ -131,7 +138,7 @@ def signed(texts: DataFrame, nodes: DataFrame, groups: tuple[float, int] | None
         for b in it:
             out, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for node, digest, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = shingle_set(text)
+                own = set_of(text)
                 if xxhash.xxh3_128_digest(own.tobytes()) != digest:  # another text of an id and a hash that occur twice
                     continue
                 for band in bands_of(len(own)):
@@ -270,6 +277,19 @@ def forest(rows: list[list], across: bool) -> list[tuple[int, int]]:
     return out
 
 
+def candidates(texts: DataFrame, nodes: DataFrame, groups: tuple[float, int] = GROUPS, set_of: Callable[[str | None], np.ndarray] = shingle_set) -> DataFrame:
+    """Edges (u > v) that connect the two nodes of every near pair, and of others too. texts: (doc_id, text_hash, text); nodes: (node, n,
+    digest, sketch, short, head), each set once."""
+    large = nodes.where("n > 3")
+    shared = lists(signed(texts, large, groups, set_of))
+    if not nodes.where("short").isEmpty():
+        # Any set near a short one shares a signature of single shingles with it.
+        fine = lists(signed(texts, large, None, set_of))
+        of_short = fine.hint("merge").join(nodes.where("short").select("node"), "node", "left_semi").select("list").distinct()
+        shared = shared.unionByName(fine.hint("merge").join(of_short, "list", "left_semi"))
+    return compared(shared, nodes)
+
+
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[float, int] = GROUPS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row: the size of its text's shingle set, and the smallest id that a chain of links
     reaches, itself included.
@@ -282,15 +302,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
     nodes = with_id.groupBy("digest").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"), F.min("n").alias("n"), F.min("sketch").alias("sketch"), F.max("short").alias("short"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    large = nodes.where("n > 3")
-    shared = lists(signed(texts, large, groups))
-    if not nodes.where("short").isEmpty():
-        # Any set near a short one shares a signature of single shingles with it.
-        fine = lists(signed(texts, large, None))
-        of_short = fine.hint("merge").join(nodes.where("short").select("node"), "node", "left_semi").select("list").distinct()
-        shared = shared.unionByName(fine.hint("merge").join(of_short, "list", "left_semi"))
-    candidates = simhash.groups_of(simhash.components(compared(shared, nodes)))
-    member = simhash.components(simhash.similar_links(candidates, nodes.select("node", "head"), texts, WORDS))
+    placed = simhash.groups_of(simhash.components(candidates(texts, nodes, groups)))
+    member = simhash.components(simhash.similar_links(placed, nodes.select("node", "head"), texts, WORDS))
     member = nodes.select("node", "digest", "head").hint("merge").join(member, "node", "left").withColumn("component", F.coalesce("component", "node"))
     member = materialize(member.select("digest", "component", "head"), "members")
     least = member.groupBy("component").agg(F.min("head.doc_id").alias("least"))

@@ -11,13 +11,15 @@ the edges of a spanning forest of its links, not the links themselves.
 Texts of a Jaccard similarity of 0.8 differ in about 10 of 64 bits, too many for these blocks. `similar` takes a wide
 fingerprint of their shingle sets, 24 lanes of 64 bits; each of its 96 bands of 16 bits is a bucket key. In a bucket pairs are
 discarded by their pivot distances and by the bits of two lanes, and what hangs together is verified by the exact similarity
-of the shingle sets. A pair at 0.8 has equal bits in a band with odds of 0.8485 ** 16 and so is in no common bucket with odds of
-0.1 %, less the more alike it is. Few pairs of unlike texts are told apart by the pivots at so wide a limit; the lanes do it.
+of the shingle sets. Bands and lanes miss a share of the near pairs (at 0.8 between large sets 0.1 % by the odds, of 2,000 pairs of sets
+of four and five shingles 93). So the candidates of ngram_join, among which every near pair is, are verified together with those of the bands, and the
+result is that of all pairs. Few pairs of unlike texts are told apart by the pivots at so wide a limit; the lanes do it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -324,13 +326,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     of NEAR or more over word shingles leads from one to the other. Texts of equal sets are near, null, empty and blank ones
     too. Repeated ids are told apart by text_hash, which is that of the text as given. Extra columns are not carried; an
     empty table gives no rows."""
+    from palimpsest.llm import ngram_join  # which imports this module
+
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
 
     def fingerprint(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             sets = [shingles(t.as_py(), words_per_shingle) for t in b.column(2)]
             nodes = np.array([xxhash.xxh64_intdigest(own.tobytes(), SEED) for own in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), pa.array([wide_fingerprint(own).tobytes() for own in sets], pa.binary())], ["doc_id", "text_hash", "node", "lanes"])
+            lanes = pa.array([wide_fingerprint(own).tobytes() for own in sets], pa.binary())
+            digest, sketch, short = zip(*map(ngram_join.described, sets), strict=True) if sets else ((), (), ())
+            more = [pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary()), pa.array(sketch, pa.binary()), pa.array(short, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nodes), lanes, *more], ["doc_id", "text_hash", "node", "lanes", "n", "digest", "sketch", "short"])
 
     def bands(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -342,10 +349,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *each)], ["bucket", "node", "a", "b"])
 
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = materialize(texts.mapInArrow(fingerprint, f"doc_id {kind}, text_hash long, node long, lanes binary"), "fingerprints")
-    nodes = materialize(found.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"), F.min("lanes").alias("lanes")), "nodes")
+    found = materialize(texts.mapInArrow(fingerprint, f"doc_id {kind}, text_hash long, node long, lanes binary, n long, digest binary, sketch binary, short boolean"), "fingerprints")
+    each = [F.min(c).alias(c) for c in ("lanes", "n", "digest", "sketch", "short")]
+    nodes = materialize(found.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"), *each), "nodes")
     keyed = nodes.select("node", "lanes").mapInArrow(bands, "bucket int, node long, a long, b long")
-    member = components(similar_links(groups_of(components(bucket_links(keyed, WIDE_BITS))), nodes.select("node", "head"), texts, words_per_shingle))
+    edges = materialize(bucket_links(keyed, WIDE_BITS), "edges").unionByName(ngram_join.candidates(texts, nodes, set_of=partial(shingles, size=words_per_shingle)))
+    member = components(similar_links(groups_of(components(edges)), nodes.select("node", "head"), texts, words_per_shingle))
     return found.select("doc_id", "text_hash", "node").hint("merge").join(member, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
 
 

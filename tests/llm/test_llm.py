@@ -363,6 +363,16 @@ def test_near_dedup_stage_by_brute_force(spark):
     simhash.CHUNK = 1024
 
 
+def test_near_dedup_loses_no_pair_of_small_sets(spark):
+    """Four of five shingles in common are 0.8; bands of fingerprints alone lose some of these pairs."""
+    rng, rows = random.Random(5), []
+    for i in range(400):
+        words = [f"w{rng.randrange(10**7)}" for _ in range(9)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:8]))]
+    kept = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 800, 2))
+
+
 def test_unigram_fold_by_brute_force(spark):
     """The best of all paths over a unigram table with made-up scores, characters without a piece ten under the least."""
     rng = random.Random(9)
