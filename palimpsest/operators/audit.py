@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.operators.order import Carried, scan_runs
+from palimpsest.operators.order import Carried, scan, scan_runs
+from palimpsest.sources.store import materialize
 
 
 def validity(records: DataFrame, lines: DataFrame, objects: DataFrame) -> DataFrame:
@@ -14,21 +15,21 @@ def validity(records: DataFrame, lines: DataFrame, objects: DataFrame) -> DataFr
     and the verdict: PASS only if there are starts, as many as objects, and all errors are 0.
 
     records: (doc, page, line_no, copy, kind, byte_start, byte_length, occurrence, source_line), in order of page, line_no and copy; lines: (doc,
-    page, line_no, byte_start, line) of the text; objects: (doc, n). Spans are cut from the text of their page, so a span that
-    goes on beyond it is no line of the text. What runs along a document is carried from page to page."""
-    size = F.octet_length("line")
-    pages = lines.groupBy("doc", "page").agg(
-        F.min("byte_start").alias("page_start"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("page_text"), F.max(F.col("byte_start") + size).alias("page_end"),
-    )
-    ends = pages.groupBy("doc").agg(F.max("page_end").alias("doc_end"))
+    page, line_no, line) of the text; objects: (doc, n). Spans are cut from the text of their page, so a span that
+    goes on beyond it is no line of the text. What runs along a document is carried from page to page. Records and lines are to come of tables
+    dealt out by doc and page: neither is shuffled or written again, pages of a row each are."""
+    sizes = lines.groupBy("doc", "page").agg(F.sum(F.octet_length("line") + 1).alias("page_bytes"))
+    pages = materialize(scan(sizes, ["doc"], ["page"], Carried(sums={"page_start": F.col("page_bytes")})), "pages")
+    pages = pages.hint("merge").join(pages.groupBy("doc").agg((F.sum("page_bytes") - 1).alias("doc_end")), "doc").select("doc", "page", "page_start", "doc_end")
+    texts = lines.groupBy("doc", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("page_text"))
     start = F.col("kind") == "production-start"
-    rows = records.hint("merge").join(ends.hint("merge"), "doc")
+    rows = records.join(materialize(pages, "pages").hint("merge"), ["doc", "page"])
     inside = (F.col("byte_start") >= 0) & (F.col("byte_length") >= 0) & (F.col("byte_start") + F.col("byte_length") <= F.col("doc_end"))
     rows = rows.withColumn("inside", inside)
     started = F.when(start, F.col("occurrence"))
     carried = Carried(prior={"end_before": F.when(F.col("inside"), F.col("byte_start") + F.col("byte_length")), "start_before": started}, last={"active": started})
-    rows = scan_runs(rows, ["doc"], ["page"], ["line_no", "copy"], carried)
-    rows = rows.join(pages.select("doc", "page", "page_start", "page_text").hint("merge"), ["doc", "page"])
+    rows = scan_runs(rows, ["doc"], ["page"], ["line_no", "copy"], carried, dealt=True)
+    rows = rows.join(texts.hint("merge"), ["doc", "page"])
     cut = F.expr("substring(cast(page_text as binary), cast(byte_start - page_start + 1 as int), cast(byte_length as int))")
     given = F.substring(F.col("source_line").cast("binary"), F.lit(1), F.col("byte_length").cast("int"))
     differs = F.col("source_line").isNull() | (F.col("byte_start") < F.col("page_start")) | (cut != given)

@@ -88,11 +88,12 @@ def scan(rows: DataFrame, key: list[str], order: list[str], carried: Carried) ->
     return both.withColumns(carried.joined(names)).drop("__part", "__at", "__key", *names)
 
 
-def scan_runs(rows: DataFrame, key: list[str], run: list[str], order: list[str], carried: Carried) -> DataFrame:
+def scan_runs(rows: DataFrame, key: list[str], run: list[str], order: list[str], carried: Carried, dealt: bool = False) -> DataFrame:
     """As scan, where columns run, which aren't null, cut a key's rows into bounded runs that follow one another by run: rows, with what they
-    carry, are worked out and dealt out by key and run once, and only what a run hands on is scanned along the key."""
+    carry, are worked out and dealt out by key and run once, and only what a run hands on is scanned along the key. dealt: rows come of a table
+    dealt out by key and run and aren't written again; what they carry is worked out twice instead."""
     given = {f"__given_{n}": c for kind in (carried.sums, carried.last, carried.prior, carried.highest) for n, c in kind.items()}
-    rows = dealt_out(rows.withColumns(given), *key, *run)
+    rows = rows.withColumns(given) if dealt else dealt_out(rows.withColumns(given), *key, *run)
     carried = Carried(*({n: F.col(f"__given_{n}") for n in kind} for kind in (carried.sums, carried.last, carried.prior, carried.highest)))
     own = carried.inside(rows, [*key, *run], order).drop(*given)
     runs = carried.handed_on(rows, [*key, *run], order)

@@ -224,13 +224,6 @@ RECORDS = BLOCKS + """, starts as (select (page - 1) // 10 as doc, page, line_no
  || case when clause is null then '' else ',"occurrence_clause":"' || clause || '"' end || ',"source_line":"' || source_line || '","origin":"MECHANICAL"}' as record from recs)"""
 
 
-def spanned(t) -> DataFrame:
-    """All lines with their document and their place in its bytes."""
-    lines = t("spec_lines").withColumn("doc", doc())
-    lines = scan_runs(lines, ["doc"], ["page"], ["line_no"], Carried(sums={"byte_start": F.octet_length("line") + 1}))
-    return lines.withColumn("byte_start", F.col("byte_start").cast("long"))
-
-
 def spanned_blocks(t) -> DataFrame:
     """Blocks of productions with the bytes of their lines; both run along a document at once."""
     return W.production_blocks(t("spec_lines").withColumn("doc", doc()), ["doc"], ["page", "line_no"], {"byte_start": F.octet_length("line") + 1})
@@ -292,8 +285,9 @@ GIVEN = RECORDS + """, docs as (select doc, string_agg(line, chr(10) order by pa
 def validity_report(t):
     """The audit of each document's production records. Of every four documents one is sound (but in every third of these an object is
     missing); in the others spans are moved or too long, occurrences changed or missing, source lines missing, starts repeated."""
-    lines = store.materialize(spanned(t).select("doc", "page", "line_no", "line", "byte_start"), "lines")
-    blocks = store.materialize(W.production_blocks(lines, ["doc"], ["page", "line_no"]), "blocks")
+    buckets = store.tasks_for(t("lineitem"))
+    lines = store.dealt_out(t("spec_lines").withColumn("doc", doc()), "doc", "page", buckets=buckets)
+    blocks = W.production_blocks(lines, ["doc"], ["page", "line_no"], {"byte_start": F.octet_length("line") + 1}, dealt=True)
     good = records(blocks)
     kind, n, start = F.col("doc") % 4, F.col("line_no"), F.col("kind") == PRODUCTION_KINDS[0]
     copies = F.when((kind == 3) & start & (n % 37 == 5), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -305,7 +299,7 @@ def validity_report(t):
     )
     made = W.assemble_productions(blocks, ["doc"])
     objects = made.groupBy("doc").agg((F.count("*") - F.when(F.col("doc") % 12 == 8, 1).otherwise(0)).alias("n"))
-    return validity(store.materialize(given, "given"), lines, objects)
+    return validity(store.dealt_out(given, "doc", "page", buckets=buckets, placed=True), lines, objects)
 
 
 @query("read_page_index", """with s as (select source, doc_id as page, cast(coalesce(sum(strlen(text) + 1) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start, cast(strlen(text) as bigint) as length from documents)

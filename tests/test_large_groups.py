@@ -6,6 +6,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 from palimpsest.operators import contracts, graph, groups, ranges, text, trees, windows
 from palimpsest.operators.order import Carried, scan, scan_runs
@@ -289,6 +290,19 @@ def test_lines_are_read_once(spark):
     assert rows._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(doc#") <= 3
 
 
+def test_lines_and_records_are_dealt_out_once(spark, monkeypatch):
+    """The audit of records writes their lines and the records once each, and finds the same in more buckets than shuffle partitions."""
+    written = []
+    for way in ("parquet", "saveAsTable"):
+        real = getattr(DataFrameWriter, way)
+        monkeypatch.setattr(DataFrameWriter, way, lambda self, *given, _real=real: (written.append(self._df.columns), _real(self, *given)))
+    report = QUERIES["validity_report"](spark, DATA)
+    assert sum(not {"line", "source_line"}.isdisjoint(columns) for columns in written) == 2
+    want = sorted(map(tuple, report.collect()))
+    monkeypatch.setattr(store, "TASK_ROWS", 600)  # ten buckets
+    assert sorted(map(tuple, QUERIES["validity_report"](spark, DATA).collect())) == want
+
+
 def test_records_are_compressed(spark, tmp_path):
     rows = spark.range(2000).selectExpr("id", "'a field that repeats' as text")
     store.write_jsonl(rows, f"{tmp_path}/j")
